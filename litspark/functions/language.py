@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from litspark.functions.text import as_col, strip
+from litspark.functions.text import as_col, once, strip
+
+NOT_LETTERS = r"[^\p{L}]+"
 
 # Small words per language; the order of the languages settles ties.
 PROFILES: dict[str, list[str]] = {
@@ -17,27 +19,33 @@ PROFILES: dict[str, list[str]] = {
 UNCLEAR = "unclear"
 
 
-def _scores(text: Column, profiles: dict[str, list[str]]) -> list[Column]:
-    lowered = F.lower(text)
-    return [
-        F.regexp_count(lowered, F.lit(rf"(?<!\p{{L}})(?:{'|'.join(words)})(?!\p{{L}})"))
-        for words in profiles.values()
-    ]
-
+def _ranked(words: Column, profiles: dict[str, list[str]]) -> Column:
+    def score(lang_words: list[str]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(lang_words)))
 
-def detect_text(text: Column | str, profiles: dict[str, list[str]] = PROFILES) -> Column:
-    """Language with the most small words; ``unclear`` where there are none."""
-    ranked = F.array_max(
+    best = F.array_max(
         F.array(
             *[
-                F.struct(score.alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("lang"))
-                for i, (name, score) in enumerate(
-                    zip(profiles, _scores(as_col(text), profiles), strict=True)
+                F.struct(
+                    score(lang_words).alias("score"),
+                    F.lit(-i).alias("order"),
+                    F.lit(name).alias("lang"),
                 )
+                for i, (name, lang_words) in enumerate(profiles.items())
             ]
         )
     )
-    return F.when(ranked["score"] > 0, ranked["lang"]).otherwise(F.lit(UNCLEAR))
+    return F.when(best["score"] > 0, best["lang"]).otherwise(F.lit(UNCLEAR))
+
+
+def detect_text(text: Column | str, profiles: dict[str, list[str]] = PROFILES) -> Column:
+    """Language with the most small words; ``unclear`` where there are none.
+
+    The text is split and reduced to known words once, then counted per language.
+    """
+    every = sorted({w for lang_words in profiles.values() for w in lang_words})
+    known = F.filter(F.split(F.lower(as_col(text)), NOT_LETTERS), lambda w: w.isin(every))
+    return once(known, lambda words: _ranked(words, profiles))
 
 
 def detect_language(
@@ -46,13 +54,9 @@ def detect_language(
     """Where both texts are there they must agree; else the one that is there decides."""
     title, abstract = as_col(title), as_col(abstract)
     has_both = (strip(title) != "") & (strip(abstract) != "")
-    in_title = detect_text(title, profiles)
-    in_abstract = detect_text(abstract, profiles)
-    joined = F.concat_ws(" ", title, abstract)
-    return (
-        F.when(
-            has_both,
-            F.when(in_title == in_abstract, in_title).otherwise(F.lit(UNCLEAR)),
-        )
-        .otherwise(detect_text(joined, profiles))
+    both = F.struct(
+        detect_text(title, profiles).alias("t"), detect_text(abstract, profiles).alias("a")
     )
+    agreed = once(both, lambda d: F.when(d["t"] == d["a"], d["t"]).otherwise(F.lit(UNCLEAR)))
+    joined = F.concat_ws(" ", title, abstract)
+    return F.when(has_both, agreed).otherwise(detect_text(joined, profiles))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     """Without white space at both ends."""
     return F.btrim(as_col(c), F.lit(WHITESPACE))
@@ -71,7 +78,7 @@ def rebuild_abstract(index: Column | str) -> Column:
             ),
         )
     )
-    words = F.transform(F.array_sort(placed), lambda w: w["key"])
+    words = F.transform(F.sort_array(placed), lambda w: w["key"])
     return F.nullif(F.array_join(words, " "), F.lit(""))
 
 

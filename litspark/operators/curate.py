@@ -94,15 +94,17 @@ def first_per_key(df: DataFrame, key: Column, order: Column) -> DataFrame:
     )
 
 
-def combine_new(existing: DataFrame, new: DataFrame, order: str = "ord") -> DataFrame:
+def combine_new(existing: DataFrame, new: DataFrame, order: tuple[str, ...] = ("ord",)) -> DataFrame:
     """All existing rows, and of the new ones the first per key that is not there yet.
 
+    ``order`` names the columns that number the new rows; no two rows may be alike in them.
     Rows without DOI and title are always kept: they get a key of their own. ``is_new`` and
-    the order column give the order of the combined list.
+    the order columns give the order of the combined list.
     """
     keys = existing.select(dedup_key().alias("_key")).where(F.col("_key").isNotNull()).distinct()
-    own_key = F.coalesce(dedup_key(), F.concat(F.lit("row:"), F.col(order).cast("string")))
-    fresh = first_per_key(new, own_key, F.col(order)).join(keys, "_key", "left_anti").drop("_key")
+    own_key = F.concat_ws(":", F.lit("row"), *[F.col(c).cast("string") for c in order])
+    first = first_per_key(new, F.coalesce(dedup_key(), own_key), F.struct(*order))
+    fresh = first.join(keys, "_key", "left_anti").drop("_key")
     return existing.withColumn("is_new", F.lit(False)).unionByName(
         fresh.withColumn("is_new", F.lit(True)), allowMissingColumns=True
     )
@@ -123,35 +125,22 @@ def merge_searches(
 
     Each column takes its first non-missing value by file name, then row order. One
     aggregation does it: membership is a bit per search, so the state per key stays small.
-    ``first_seen`` is the place of the key's first row, which settles ties in the order.
+    ``first_file`` and ``first_row`` are the place of the key's first row; they settle ties.
     """
     ids = sorted(search_ids) if search_ids is not None else list_searches_of(df)
     # Files are read by name, in which the role follows the id: ``a1__...`` before ``a__...``.
     by_file = sorted(ids, key=lambda s: f"{s}__{role}.csv")
-    place = F.array_position(F.lit(by_file), F.col("search_id")).cast("bigint")
+    place = F.array_position(F.lit(by_file), F.col("search_id")).cast("int") - 1
+    own_key = F.concat_ws(":", F.lit("row"), "search_id", F.col(order).cast("string"))
     keyed = df.where(F.col("search_id").isin(ids)).select(
-        F.coalesce(
-            dedup_key(), F.concat_ws(":", F.lit("row"), "search_id", F.col(order).cast("string"))
-        ).alias("_key"),
-        # Rows per search stay below 2^44, searches below 2^19.
-        F.shiftleft(place, 44).bitwiseOR(F.col(order).cast("bigint")).alias("_at"),
-        place.alias("_place"),
+        F.coalesce(dedup_key(), own_key).alias("_key"),
+        F.struct(place.alias("file"), F.col(order).alias("row")).alias("_at"),
         *RECORD_COLUMNS,
     )
-    firsts = [
-        F.min_by(c, F.when(~is_missing(c), F.col("_at"))).alias(c) for c in RECORD_COLUMNS
-    ]
+    firsts = [F.min_by(c, F.when(~is_missing(c), F.col("_at"))).alias(c) for c in RECORD_COLUMNS]
     words = range(0, len(ids), MASK_BITS)
-    masks = []
-    for w in words:
-        bit = F.col("_place") - 1 - w
-        one = F.expr(f"shiftleft(1L, cast(_place - 1 - {w} as int))")
-        masks.append(
-            F.bit_or(F.when(bit.between(0, MASK_BITS - 1), one).otherwise(F.lit(0).cast("bigint"))).alias(
-                f"_mask{w}"
-            )
-        )
-    merged = keyed.groupBy("_key").agg(*firsts, *masks, F.min("_at").alias("first_seen"))
+    masks = [_membership(w).alias(f"_mask{w}") for w in words]
+    merged = keyed.groupBy("_key").agg(*firsts, *masks, F.min("_at").alias("_first"))
 
     def flag(search: str) -> Column:
         i = by_file.index(search)
@@ -163,11 +152,20 @@ def merge_searches(
         *RECORD_COLUMNS,
         (found_in - 1).cast("int").alias("duplicates_counter"),
         *[flag(s) for s in ids],
-        "first_seen",
+        F.col("_first.file").alias("first_file"),
+        F.col("_first.row").alias("first_row"),
     )
 
 
-def newest_first(df: DataFrame, order: str = "first_seen") -> DataFrame:
+def _membership(first: int) -> Column:
+    """Bits of the searches from number ``first`` on that a key was found in."""
+    bit = F.col("_at.file") - first
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    inside = bit.between(0, MASK_BITS - 1)
+    return F.bit_or(F.when(inside, one).otherwise(F.lit(0).cast("bigint")))
+
+
+def newest_first(df: DataFrame, order: tuple[str, ...] = ("first_file", "first_row")) -> DataFrame:
     """By year, newest first, rows without a year last; ``order`` settles ties."""
     year = F.col("year").try_cast("int")
-    return df.orderBy(year.desc_nulls_last(), F.col(order))
+    return df.orderBy(year.desc_nulls_last(), *order)

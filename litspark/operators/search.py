@@ -28,7 +28,7 @@ def has_phrase(text: Column, phrase: str) -> Column:
 
 
 def boolean_sql(query: str, text: str) -> str:
-    """A query as a Spark SQL condition on the column ``text``.
+    """A query as a Spark SQL condition on ``text``.
 
     The notation's marks become SQL words and each term a ``contains``; precedence and
     grouping are then Spark's own. Terms side by side must both be there.
@@ -45,18 +45,20 @@ def boolean_sql(query: str, text: str) -> str:
             out.append(token)
         else:
             words = re.sub(r"[\W_]+", " ", token.lower()).strip()
-            out.append(f"contains(`{text}`, ' {words} ')" if words else "true")
+            out.append(f"contains({text}, ' {words} ')" if words else "true")
     return " ".join(out) or "true"
 
 
-def keyword_filter(df: DataFrame, query: str, columns: tuple[str, ...] = ("title", "abstract")) -> DataFrame:
-    """Rows whose title and abstract match a query with AND, OR, NOT, phrases and groups."""
-    column = "_search_text"
-    return (
-        df.withColumn(column, searchable(*columns))
-        .where(F.expr(boolean_sql(query, column)))
-        .drop(column)
-    )
+def keyword_filter(
+    df: DataFrame, query: str, columns: tuple[str, ...] = ("title", "abstract")
+) -> DataFrame:
+    """Rows whose title and abstract match a query with AND, OR, NOT, phrases and groups.
+
+    The searchable text is built once per row: ``exists`` over a one-element array keeps the
+    optimizer from copying it into every term.
+    """
+    condition = F.expr(f"exists(array(_search_text), t -> {boolean_sql(query, 't')})")
+    return df.withColumn("_search_text", searchable(*columns)).where(condition).drop("_search_text")
 
 
 def year_filter(df: DataFrame, years: str | None, only_open_access: bool = False) -> DataFrame:

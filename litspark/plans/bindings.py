@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from litspark import schemas
 from litspark.functions.filenames import structured_filename
+from litspark.functions.text import once
 from litspark.sources.readers import file_parts
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -298,8 +299,11 @@ def dialogue(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 def landed_pages(spark: SparkSession, folder: str, engine: int) -> DataFrame:
     """Documents as response pages of 100 works, one JSON text per page."""
-    docs = publication_columns(read(spark, folder, "documents"))
-    doc_id, page = F.col("doc_id"), F.floor(F.col("doc_id") / 100)
+    page = F.floor(F.col("doc_id") / 100).alias("page_no")
+    # The works of a page come together first, as plain texts; the pages are built there.
+    docs = read(spark, folder, "documents").select("*", page).repartition("page_no")
+    docs = publication_columns(docs)
+    doc_id = F.col("doc_id")
     if engine == 1:
         work = F.struct(
             F.concat(F.lit("P"), doc_id.cast("string")).alias("paperId"),
@@ -312,7 +316,7 @@ def landed_pages(spark: SparkSession, folder: str, engine: int) -> DataFrame:
             (F.col("n_chars") % 7).cast("int").alias("referenceCount"),
             (F.col("n_chars") % 100).cast("int").alias("citationCount"),
         )
-        rows = docs.select(doc_id, page.alias("page_no"), work.alias("work"))
+        rows = docs.select(doc_id, "page_no", work.alias("work"))
     else:
         prefix = F.get(F.lit(["https://doi.org/", "HTTP://DOI.ORG/", "doi.org/", ""]), (doc_id % 4).cast("int"))
         work = F.struct(
@@ -324,16 +328,15 @@ def landed_pages(spark: SparkSession, folder: str, engine: int) -> DataFrame:
                 "names", lambda n: F.struct(F.struct(n.alias("display_name")).alias("author"))
             ).alias("authorships"),
             F.struct(_every(4).alias("is_oa")).alias("open_access"),
-            F.col("index").alias("abstract_inverted_index"),
+            inverted_index("abstract").alias("abstract_inverted_index"),
             F.when(
                 ~_every(13), F.array_repeat(F.lit("W1"), (doc_id % 7).cast("int"))
             ).alias("referenced_works"),
             (F.col("n_chars") % 100).cast("int").alias("cited_by_count"),
         )
-        indexed = docs.join(inverted_abstracts(docs), "doc_id", "left")
-        rows = indexed.select(doc_id, page.alias("page_no"), work.alias("work"))
+        rows = docs.select(doc_id, "page_no", work.alias("work"))
     # A page holds at most 100 works: the ids are unique.
-    ordered = F.array_sort(F.collect_list(F.struct("doc_id", F.to_json("work").alias("json"))))
+    ordered = F.sort_array(F.collect_list(F.struct("doc_id", F.to_json("work").alias("json"))))
     works = F.array_join(F.transform(ordered, lambda w: w["json"]), ",")
     field = "data" if engine == 1 else "results"
     return rows.groupBy("page_no").agg(works.alias("works")).select(
@@ -348,15 +351,28 @@ def landed_pages(spark: SparkSession, folder: str, engine: int) -> DataFrame:
     )
 
 
-def inverted_abstracts(docs: DataFrame) -> DataFrame:
-    """Word -> positions of each abstract. A group is one abstract."""
-    words = docs.where("abstract is not null").select(
-        "doc_id", F.posexplode(F.split("abstract", " ")).alias("pos", "word")
-    )
-    positions = words.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("at"))
-    return positions.groupBy("doc_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("index")
-    )
+def inverted_index(abstract: Column | str) -> Column:
+    """Word -> positions of a text: sorted words, cut where a new word starts."""
+    words = F.split(abstract, " ")
+    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("pos"))))
+
+    def cut(p: Column) -> Column:
+        def starts_word(i: Column) -> Column:
+            return (i == 0) | (F.get(p, i)["word"] != F.get(p, i - 1)["word"])
+
+        starts = F.filter(F.sequence(F.lit(0), F.size(p) - 1), starts_word)
+
+        def entries(s: Column) -> Column:
+            def entry(at: Column, k: Column) -> Column:
+                length = F.coalesce(F.get(s, k + 1), F.size(p)) - at
+                places = F.transform(F.slice(p, at + 1, length), lambda x: x["pos"])
+                return F.struct(F.get(p, at)["word"].alias("key"), places.alias("value"))
+
+            return F.transform(s, entry)
+
+        return F.map_from_entries(once(starts, entries))
+
+    return F.when(F.col(abstract).isNotNull(), once(placed, cut))
 
 
 def parse_pages(landed: DataFrame, engine: int) -> DataFrame:

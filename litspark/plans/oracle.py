@@ -123,7 +123,8 @@ def _merged(source: str, role: str) -> str:
     return f"""
     , names AS (SELECT DISTINCT search_id || '__{role}.csv' AS f FROM {source})
     SELECT {firsts}, CAST(count(DISTINCT search_id) - 1 AS INTEGER) AS duplicates_counter, {flags},
-        CAST(min({place} * 17592186044416 + ord) AS BIGINT) AS first_seen
+        CAST(min({place}) - 1 AS INTEGER) AS first_file,
+        arg_min(ord, ({place}, ord)) AS first_row
     FROM {source} GROUP BY coalesce({key()}, 'row:' || search_id || ':' || ord)"""
 
 
@@ -189,9 +190,9 @@ SQL["limited_search"] = with_pubs(
     AND (contains(hay, ' the ') OR contains(hay, ' la ')) ORDER BY ord LIMIT 150"""
 )
 SQL["query_notation"] = with_pubs(
-    r"""SELECT doc_id,
-        regexp_replace('NOT ' || array_to_string(string_split(regexp_replace(title, '[^\p{L} ]', '', 'g'), ' '),
-            ' AND NOT ') || ' OR state-of-art', 'NOT +(AND|OR)', '- \1', 'g') AS translated,
+    r"""SELECT doc_id, array_to_string(list_transform(
+            string_split(regexp_replace(title, '[^\p{L} ]', '', 'g'), ' '),
+            lambda w: CASE WHEN w = '' THEN '-' ELSE 'NOT ' || w END), ' AND ') || ' OR state-of-art' AS translated,
         year AS year_from, CASE WHEN ord % 2 = 0 THEN year + 3 ELSE year END AS year_to FROM pubs"""
 )
 _CONFIGS = """, configs AS (SELECT search_id, min(title) AS query,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +42,14 @@ def apply_record_schema(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*columns, *keep)
 
 
+def row_in_file() -> Column:
+    """Grows with the rows of a file; unique within it, not between files.
+
+    A multi-line file is read by one task, and the lower 33 bits are the row's place there.
+    """
+    return F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+
+
 def _read_semicolon(spark: SparkSession, path: str, **options: str) -> DataFrame:
     text_schema = T.StructType([T.StructField(c, T.StringType()) for c in schemas.RECORD_COLUMNS])
     reader = (
@@ -58,8 +66,7 @@ def _read_semicolon(spark: SparkSession, path: str, **options: str) -> DataFrame
     return reader.csv(path).select(
         "*",
         F.col("_metadata.file_name").alias("file_name"),
-        # Grows with the row number inside a file: a multi-line file is read by one task.
-        F.monotonically_increasing_id().alias("ord"),
+        row_in_file().alias("ord"),
     )
 
 
@@ -155,4 +162,4 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
         .csv(path)
     )
     cleaned = [F.when(~is_missing(F.col(f"`{c}`")), F.col(f"`{c}`")).alias(c) for c in rows.columns]
-    return rows.select(*cleaned, F.monotonically_increasing_id().alias("ord"))
+    return rows.select(*cleaned, row_in_file().alias("ord"))

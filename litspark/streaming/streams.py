@@ -34,14 +34,29 @@ def stream_pages(
 
 
 def stream_first_seen(
-    records: DataFrame, event_time: str = "ingested_at", delay: str = "7 days", row_id: str = "ord"
+    records: DataFrame,
+    event_time: str = "ingested_at",
+    delay: str = "7 days",
+    row_id: str = "ord",
+    salts: int = 16,
 ) -> DataFrame:
-    """Records whose key was not seen within the delay. Rows without a key all pass."""
+    """Records whose key was not seen within the delay. Rows without a key all pass.
+
+    The first step spreads each key over ``salts`` tasks, so that a frequent key reaches the
+    second one as a few rows only.
+    """
     own = F.concat(F.lit("row:"), F.col(row_id).cast("string"))
+    keyed = records.withColumns(
+        {
+            "dedup_key": F.coalesce(dedup_key(), own),
+            "_salt": F.pmod(F.xxhash64(row_id), F.lit(salts)),
+        }
+    )
     return (
-        records.withColumn("dedup_key", F.coalesce(dedup_key(), own))
-        .withWatermark(event_time, delay)
+        keyed.withWatermark(event_time, delay)
+        .dropDuplicatesWithinWatermark(["dedup_key", "_salt"])
         .dropDuplicatesWithinWatermark(["dedup_key"])
+        .drop("_salt")
     )
 
 
