@@ -9,13 +9,9 @@ HOT_SHARE = 0.02
 SALTS = 64
 
 
-def _bytes(spark: SparkSession, text: str) -> int:
-    """A Spark size setting (``10MB``, ``10485760b``) in bytes."""
-    return int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text))
-
-
 def broadcast_limit(spark: SparkSession) -> int:
-    return _bytes(spark, spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10MB"))
+    """``spark.sql.autoBroadcastJoinThreshold`` in bytes; negative where it is off."""
+    return int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
 
 
 def estimated_bytes(df: DataFrame) -> int:
