@@ -69,8 +69,8 @@ def latest_rows(results: DataFrame, filtered: DataFrame | None) -> DataFrame:
     """Input of an exclusion run, per search: its filtered rows where it has any run so far."""
     if filtered is None:
         return results
-    done = filtered.select("search_id").distinct()
-    untouched = results.join(done, "search_id", "left_anti")
+    # The searches are a short list: a filter, where a join would shuffle whole searches.
+    untouched = results.where(~F.col("search_id").isin(list_searches_of(filtered)))
     return filtered.unionByName(untouched, allowMissingColumns=True)
 
 

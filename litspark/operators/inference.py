@@ -164,5 +164,13 @@ def resume(rows: DataFrame, connect: Callable[[], Client], concurrency: int | No
     return run_experiment(pending(rows), connect, concurrency)
 
 
+def run_one(rows: DataFrame, id_or_code: int | str, connect: Callable[[], Client]) -> DataFrame:
+    """Result of one row, run whether or not it has been run before."""
+    chosen = pick(rows, id_or_code)
+    if chosen.isEmpty():
+        raise ValueError(f"no row with id {id_or_code!r}")
+    return run_experiment(chosen.orderBy("ID").limit(1), connect)
+
+
 def by_id(rows: DataFrame) -> DataFrame:
     return rows.orderBy("ID")

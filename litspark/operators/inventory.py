@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -198,16 +200,25 @@ PROJECT_INPUTS = ("data.csv", "llm-params.csv", "mapping.csv", "llm-models.csv")
 
 
 def list_projects(files: DataFrame) -> DataFrame:
-    """Per project: whether all inputs are there, and its experiment snapshots by name.
+    """Per project: when it was made, and whether all its inputs are there.
 
-    ``files`` has ``project``, ``file_name``, ``modificationTime``.
+    ``files`` has ``project``, ``file_name``, ``modificationTime``. Each input is a flag of its
+    own, so a project of any size adds up before the shuffle.
     """
-    name = F.col("file_name")
-    is_snapshot = name.startswith("experiment") & name.endswith(".db")
+    has = [F.max(F.col("file_name") == name) for name in PROJECT_INPUTS]
     return files.groupBy("project").agg(
         F.min("modificationTime").alias("created"),
-        (F.count_distinct(F.when(name.isin(*PROJECT_INPUTS), name)) == len(PROJECT_INPUTS)).alias(
-            "initialized"
-        ),
-        F.array_sort(F.collect_set(F.when(is_snapshot, name))).alias("snapshots"),
+        reduce(Column.__and__, has).alias("initialized"),
     )
+
+
+def project_snapshots(files: DataFrame, prefix: str = "experiment", suffix: str = ".db") -> DataFrame:
+    """One row per project and experiment snapshot."""
+    name = F.col("file_name")
+    return files.where(name.startswith(prefix) & name.endswith(suffix)).select("project", name).distinct()
+
+
+def sorted_list(listed: DataFrame, by: str = "project", descending: bool = False) -> DataFrame:
+    """A list by name or by creation time, in either direction; names settle ties."""
+    first = F.desc(by) if descending else F.asc(by)
+    return listed.orderBy(first, *[c for c in ("project", "search_id") if c in listed.columns and c != by])

@@ -82,24 +82,25 @@ def matched(mapping: DataFrame, data: DataFrame, prompts: DataFrame) -> DataFram
 
 
 def render_rows(numbered: DataFrame, data: DataFrame, prompts: DataFrame) -> DataFrame:
-    """Prompt text and hashes of the matched mapping rows."""
+    """Prompt text and hashes of the matched mapping rows.
+
+    The join carries the data columns once; the JSON and the context are made after it.
+    """
     columns = [c for c in data.columns if c not in ("ID", "ord")]
-    described = data.select(
-        F.col("ID").alias("data_id"),
-        text.original_data("ID", columns).alias("original_data"),
-        data_context("ID", columns).alias("_context"),
-    ).withColumn("original_data_hash", text.sha256_hex("original_data"))
-    rows = lookup_join(lookup_join(numbered, described, "data_id", "inner"), prompts, "prompt_id", "inner")
-    rendered = rows.withColumn("prompt", render_prompt("template", "_context"))
-    return rendered.select(
+    raw = data.select(F.col("ID").alias("data_id"), *columns)
+    rows = lookup_join(lookup_join(numbered, raw, "data_id", "inner"), prompts, "prompt_id", "inner")
+    rendered = rows.select(
         "map_idx",
         "data_id",
         "prompt_id",
-        "prompt",
+        render_prompt("template", data_context("data_id", columns)).alias("prompt"),
+        text.original_data("data_id", columns).alias("original_data"),
+    )
+    return rendered.select(
+        "*",
         text.estimate_tokens("prompt").alias("tokens_estimate"),
-        "original_data",
         text.sha256_hex("prompt").alias("prompt_hash"),
-        "original_data_hash",
+        text.sha256_hex("original_data").alias("original_data_hash"),
     )
 
 

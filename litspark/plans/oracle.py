@@ -442,11 +442,12 @@ SQL["search_list"] = with_pubs(
 _PROJECTS = f"""WITH project_files AS (SELECT source || '-' || lang AS project, CASE
     WHEN doc_id % 6 < 4 THEN ({listed(list(PROJECT_INPUTS))})[doc_id % 6 + 1]
     WHEN doc_id % 6 = 4 THEN printf('experiment_20260101_%02d.db', doc_id // 20 % 100)
-    ELSE 'note_' || doc_id || '.txt' END AS file_name FROM documents)"""
-SQL["project_list"] = f"""{_PROJECTS} SELECT project,
-    count(DISTINCT file_name) FILTER (file_name IN ({listed(list(PROJECT_INPUTS))[1:-1]})) = 4 AS initialized,
-    coalesce(array_to_string(list_sort(list(DISTINCT file_name) FILTER (file_name LIKE 'experiment%.db')), ','), '')
-        AS snapshots FROM project_files GROUP BY project"""
+    ELSE 'note_' || doc_id || '.txt' END AS file_name, doc_id FROM documents)"""
+SQL["project_list"] = f"""{_PROJECTS} SELECT project, min(doc_id) * 60 AS created,
+    count(DISTINCT file_name) FILTER (file_name IN ({listed(list(PROJECT_INPUTS))[1:-1]})) = 4 AS initialized
+    FROM project_files GROUP BY project"""
+SQL["project_snapshots"] = f"""{_PROJECTS} SELECT DISTINCT project, file_name FROM project_files
+    WHERE file_name LIKE 'experiment%.db'"""
 _TOP = "coalesce((SELECT max(CAST(substr(file_name, 21, length(file_name) - 23) AS INTEGER)) FROM project_files WHERE file_name LIKE 'experiment%.db'), 0)"
 SQL["next_snapshot"] = f"""{_PROJECTS}, top AS (SELECT {_TOP} AS n)
     SELECT 'next' AS kind, printf('experiment_20260301_%02d.db', n + 1) AS file_name FROM top

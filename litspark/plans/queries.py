@@ -364,16 +364,20 @@ def _project_files(spark: SparkSession, folder: str) -> DataFrame:
     return b.read(spark, folder, "documents").select(
         F.concat_ws("-", "source", "lang").alias("project"),
         name.alias("file_name"),
-        (n * 60).cast("timestamp").alias("modificationTime"),
+        F.timestamp_seconds(n * 60).alias("modificationTime"),
     )
 
 
 @query
 def project_list(spark: SparkSession, folder: str) -> DataFrame:
     listed = inventory.list_projects(_project_files(spark, folder))
-    return listed.select(
-        "project", "initialized", F.array_join("snapshots", ",").alias("snapshots")
-    ).orderBy("project")
+    newest = inventory.sorted_list(listed, "created", descending=True)
+    return newest.select("project", "initialized", F.unix_timestamp("created").alias("created"))
+
+
+@query
+def project_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    return inventory.project_snapshots(_project_files(spark, folder))
 
 
 @query

@@ -15,8 +15,13 @@ def write_mode(rewrite: bool) -> str:
 
 
 def sort_records(df: DataFrame) -> DataFrame:
-    """Newest first, then by title; missing values last."""
-    return df.orderBy(F.desc_nulls_last("year"), F.asc_nulls_last("title"))
+    """Newest first, then by title; missing values last.
+
+    Further columns order the rows of one title, so that many such rows (those without year
+    and title, say) can be sorted in several ranges.
+    """
+    ties = ["search_engine_internal_id", "doi", "pdf_filename", "abstract"]
+    return df.orderBy(F.desc_nulls_last("year"), F.asc_nulls_last("title"), *ties)
 
 
 def write_records(df: DataFrame, path: str, rewrite: bool = False, fmt: str = "parquet") -> None:

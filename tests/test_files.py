@@ -134,12 +134,20 @@ def test_search_and_project_lists(spark, records):
     results = records({"search_id": "s1"}, {"search_id": "s1"})
     flags = inventory.list_searches(configs, results).collect()
     assert {r["search_id"]: r["has_results"] for r in flags} == {"s1": True, "s2": False}
-    when = datetime.datetime(2026, 1, 1)
     names = [("p", n) for n in inventory.PROJECT_INPUTS]
     names += [("p", "experiment_1_02.db"), ("p", "experiment_1_01.db"), ("q", "data.csv"), ("q", "data.csv")]
-    df = spark.createDataFrame([(p, n, when) for p, n in names], "project string, file_name string, modificationTime timestamp")
-    got = {r["project"]: (r["initialized"], r["snapshots"]) for r in inventory.list_projects(df).collect()}
-    assert got == {"p": (True, ["experiment_1_01.db", "experiment_1_02.db"]), "q": (False, [])}
+    rows = [(p, n, datetime.datetime(2026, 1, 9 - i)) for i, (p, n) in enumerate(names)]
+    df = spark.createDataFrame(rows, "project string, file_name string, modificationTime timestamp")
+    projects = inventory.list_projects(df)
+    assert {r["project"]: r["initialized"] for r in projects.collect()} == {"p": True, "q": False}
+    snapshots = inventory.project_snapshots(df).orderBy("file_name").collect()
+    assert [tuple(r) for r in snapshots] == [("p", "experiment_1_01.db"), ("p", "experiment_1_02.db")]
+
+    def order(by, descending):
+        return [r["project"] for r in inventory.sorted_list(projects, by, descending).collect()]
+
+    assert order("project", False) == ["p", "q"] and order("project", True) == ["q", "p"]
+    assert order("created", False) == ["q", "p"] and order("created", True) == ["p", "q"]
 
 
 def test_snapshots(files):

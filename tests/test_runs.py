@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from litspark import schemas
 from litspark.operators import inference, stats
 from litspark.operators.offline import connect_offline
+from litspark.sources import writers
 from litspark.streaming import streams
 
 COLUMNS = [c for c in schemas.EXPERIMENT_COLUMNS if c != "response_json"] + ["provider"]
@@ -90,6 +91,24 @@ def test_pick_rows(rows):
     assert inference.pending(df).count() == 3
 
 
+def test_run_one(rows):
+    df = rows({"status": "success"}, {"code": "x"})
+    assert [r["ID"] for r in inference.run_one(df, 1, connect_offline).collect()] == [1]
+    assert [r["ID"] for r in inference.run_one(df, "x", connect_offline).collect()] == [2]
+    with pytest.raises(ValueError):
+        inference.run_one(df, "nothing", connect_offline)
+
+
+def test_write_responses(spark, rows, tmp_path):
+    df = rows({"provider": "vllm"}, {})
+    results = inference.run_experiment(df, connect_offline)
+    kept = inference.with_response_json(df, results)
+    writers.write_responses(kept, str(tmp_path / "responses"))
+    stored = spark.read.json(str(tmp_path / "responses"))
+    assert sorted(r["provider"] for r in stored.collect()) == ["ollama", "vllm"]
+    assert len(list((tmp_path / "responses").glob("provider=*"))) == 2
+
+
 def test_across_providers(spark):
     a = spark.createDataFrame([(1, 2)], "ID bigint, openai_seed int")
     b = spark.createDataFrame([(0, "low")], "ID bigint, gemini_thinking_level string")
