@@ -13,6 +13,7 @@ from litspark.functions.text import is_missing, strip
 from litspark.operators.curate import usable_doi
 from litspark.operators.skew import lookup_join
 from litspark.schemas import RECORD, SOURCE_MANUAL
+from litspark.session import materialize
 
 
 def _files_by_stem(files: DataFrame) -> DataFrame:
@@ -139,6 +140,8 @@ def download_plan(
     else:
         marks = failed.select(order).distinct().withColumn("_failed", F.lit(True))
         checked = checked.join(marks, order, "left")
+    # Read twice below: written once, so that the joins so far run once.
+    checked = materialize(checked)
     can_fetch = (
         (F.col("resolution") == "ok")
         & F.col("_there").isNull()

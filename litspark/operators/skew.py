@@ -40,19 +40,21 @@ def lookup_join(
     how: str = "left",
     limit: int | None = None,
     salts: int = SALTS,
+    hot: list | None = None,
 ) -> DataFrame:
     """Join ``left`` to ``right``, which has at most one row per ``key``.
 
     A right side under Spark's broadcast limit is left to Spark, which then shuffles nothing.
     Above it, rows of a hot key go to ``salts`` tasks and the right row of that key is
     repeated as often. AQE alone would not split it: it needs a plain shuffle on both sides,
-    and the right side usually comes out of an aggregation.
+    and the right side usually comes out of an aggregation. ``hot`` spares the pass that
+    looks for hot keys where the caller knows them.
     """
     spark = left.sparkSession
     limit = broadcast_limit(spark) if limit is None else limit
     if estimated_bytes(right) <= limit:
         return left.join(right, key, how)
-    hot = hot_keys(left, key)
+    hot = hot_keys(left, key) if hot is None else hot
     if not hot:
         return left.join(right, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))

@@ -9,7 +9,13 @@ from litspark import schemas
 from litspark.functions import text
 from litspark.functions.prompts import data_context, render_prompt
 from litspark.operators.ordering import with_dense_index
-from litspark.operators.skew import lookup_join
+from litspark.operators.skew import (
+    HOT_SHARE,
+    broadcast_limit,
+    estimated_bytes,
+    hot_keys,
+    lookup_join,
+)
 
 COPY_COLUMNS = ["title", "abstract", "doi", "authors"]
 
@@ -88,7 +94,11 @@ def render_rows(numbered: DataFrame, data: DataFrame, prompts: DataFrame) -> Dat
     """
     columns = [c for c in data.columns if c not in ("ID", "ord")]
     raw = data.select(F.col("ID").alias("data_id"), *columns)
-    rows = lookup_join(lookup_join(numbered, raw, "data_id", "inner"), prompts, "prompt_id", "inner")
+    # Hot prompts are looked for in the ids, before the data is joined.
+    fits = estimated_bytes(prompts) <= broadcast_limit(data.sparkSession)
+    hot = [] if fits else hot_keys(numbered, "prompt_id")
+    rows = lookup_join(numbered, raw, "data_id", "inner")
+    rows = lookup_join(rows, prompts, "prompt_id", "inner", hot=hot)
     rendered = rows.select(
         "map_idx",
         "data_id",
@@ -124,7 +134,10 @@ def generate(
         numbers = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_pairs - 1).cast("bigint")))
     else:
         numbers = F.explode(F.array().cast("array<bigint>"))
-    grid = lookup_join(rendered.withColumn("pair_idx", numbers), pairs, "pair_idx", "inner")
+    # All pairs have equally many rows: each is hot, or none.
+    hot = list(range(n_pairs)) if n_pairs * HOT_SHARE <= 1 else []
+    repeated = rendered.withColumn("pair_idx", numbers)
+    grid = lookup_join(repeated, pairs, "pair_idx", "inner", hot=hot)
     row_id = (
         F.lit(n_rows) * F.col("before") + F.col("map_idx") * F.col("pairs") + F.col("pos") + 1
     ).cast("bigint")

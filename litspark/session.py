@@ -16,6 +16,8 @@ def build_session(app: str = "litspark", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Looking up the call site of every column function makes large expressions slow to build.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # A task that calls a model must not be started twice side by side.
         .config("spark.speculation", "false")
     )
