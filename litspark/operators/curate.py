@@ -65,12 +65,19 @@ def exclude_audit(df: DataFrame, by: str = "search_id", **criteria) -> DataFrame
     return df.groupBy(by).agg(*counts).select(by, F.inline(F.array(*rows)))
 
 
-def latest_rows(results: DataFrame, filtered: DataFrame | None) -> DataFrame:
-    """Input of an exclusion run, per search: its filtered rows where it has any run so far."""
+def latest_rows(
+    results: DataFrame, filtered: DataFrame | None, done: list[str] | None = None
+) -> DataFrame:
+    """Input of an exclusion run, per search: its filtered rows where it has any run so far.
+
+    ``done`` names the searches that were filtered before; it is needed where one of them has
+    no rows left.
+    """
     if filtered is None:
         return results
     # The searches are a short list: a filter, where a join would shuffle whole searches.
-    untouched = results.where(~F.col("search_id").isin(list_searches_of(filtered)))
+    done = list_searches_of(filtered) if done is None else done
+    untouched = results.where(~F.col("search_id").isin(done))
     return filtered.unionByName(untouched, allowMissingColumns=True)
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 HOT_SHARE = 0.02
 SALTS = 64
+# Size up to which all keys are counted, and the least share that is: estimates of joined
+# tables, and of tables of unknown size, are far too high.
+SAMPLE_BYTES = 1 << 30
+LEAST_SAMPLE = 0.01
 
 
 def broadcast_limit(spark: SparkSession) -> int:
@@ -22,15 +26,17 @@ def estimated_bytes(df: DataFrame) -> int:
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
     """Keys that hold at least ``share`` of the rows: never more than ``1 / share``.
 
-    One pass over one column with a sketch per task. The counts are estimates, which is
-    enough: they only decide what is salted, not what is in the result.
+    Counted on the key column alone, on a sample where that is large. A sample is enough: the
+    counts only decide what is salted, not what is in the result.
     """
-    k = int(2 / share)
-    row = df.agg(
-        F.count(key).alias("n"), F.expr(f"approx_top_k(`{key}`, {k}, 10000)").alias("top")
-    ).first()
-    found = row["top"] or []
-    return [t["item"] for t in found if t["item"] is not None and t["count"] >= share * row["n"]]
+    keys = df.select(key).where(F.col(key).isNotNull())
+    fraction = max(SAMPLE_BYTES / max(estimated_bytes(keys), 1), LEAST_SAMPLE)
+    if fraction < 1:
+        keys = keys.sample(fraction, seed=0)
+    seen = Observation()
+    counts = keys.observe(seen, F.count("*").alias("n")).groupBy(key).count()
+    top = counts.orderBy(F.desc("count")).limit(int(1 / share)).collect()
+    return [row[key] for row in top if row["count"] >= share * seen.get["n"]]
 
 
 def lookup_join(

@@ -20,7 +20,7 @@ def sort_records(df: DataFrame) -> DataFrame:
     Further columns order the rows of one title, so that many such rows (those without year
     and title, say) can be sorted in several ranges.
     """
-    ties = ["search_engine_internal_id", "doi", "pdf_filename", "abstract"]
+    ties = ["search_engine_internal_id", "doi", F.xxhash64(*df.columns)]
     return df.orderBy(F.desc_nulls_last("year"), F.asc_nulls_last("title"), *ties)
 
 

@@ -157,6 +157,8 @@ def test_latest_rows(records):
     filtered = results.where("doi = '2'")
     assert sorted(r["doi"] for r in curate.latest_rows(results, filtered).collect()) == ["2", "3"]
     assert curate.latest_rows(results, None).count() == 3
+    emptied = results.where("false")
+    assert [r["doi"] for r in curate.latest_rows(results, emptied, [A]).collect()] == ["3"]
 
 
 def test_combine_new(records):

@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from litspark.operators import inventory, stats
-from litspark.operators.extract import extract_text
+from litspark.operators.extract import extract_text, load_path
 from litspark.operators.offline import html_pages
-from litspark.sources import writers
+from litspark.sources import readers, writers
 
 
 @pytest.fixture
@@ -117,6 +117,18 @@ def test_extract_text(spark, files):
     assert {r["outcome"]: r["count"] for r in counts} == {"extracted": 1, "skipped": 1, "error": 1, "existing": 1}
 
 
+def test_tasks_read_the_files(spark, files, tmp_path):
+    for name in ("a b.pdf", "old.pdf"):
+        (tmp_path / name).write_bytes(b"<p>" + name.encode())
+    df = readers.read_file_inventory(spark, str(tmp_path))
+    gone = spark.createDataFrame([("gone.pdf", "file:/none/gone.pdf")], "file_name string, path string")
+    df = df.select("file_name", "path").unionByName(gone)
+    plan = inventory.extract_plan(files("a b.pdf", "old.pdf", "gone.pdf", "old.txt"))
+    got = extract_text(df, html_pages, plan, load=load_path).collect()
+    assert {r["file_name"]: (r["text"], r["outcome"]) for r in got} == {
+        "a b.pdf": (" a b.pdf", "extracted"), "old.pdf": (None, "existing"), "gone.pdf": (None, "error")}
+
+
 def test_pages_are_joined(spark):
     df = spark.createDataFrame([("a.pdf", b"1|2|")], "file_name string, content binary")
     got = extract_text(df, lambda content: [p or None for p in content.decode().split("|")])

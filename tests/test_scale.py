@@ -54,6 +54,12 @@ def test_hot_keys(spark, hot_table):
     assert skew.hot_keys(hot_table.where("false"), "key") == []
 
 
+def test_hot_keys_of_a_table_of_unknown_size(spark):
+    df = spark.createDataFrame([("hot" if i % 3 == 0 else f"k{i}",) for i in range(6000)], "key string")
+    assert skew.estimated_bytes(df) > skew.SAMPLE_BYTES / skew.LEAST_SAMPLE
+    assert "hot" in skew.hot_keys(df, "key")
+
+
 def test_dense_index(spark):
     df = spark.range(0, 5000, numPartitions=7).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("name"), "id"
