@@ -144,7 +144,14 @@ def merge_searches(
         F.struct(place.alias("file"), F.col(order).alias("row")).alias("_at"),
         *RECORD_COLUMNS,
     )
-    firsts = [F.min_by(c, F.when(~is_missing(c), F.col("_at"))).alias(c) for c in RECORD_COLUMNS]
+    kinds = dict(df.dtypes)
+
+    def first(c: str) -> Column:
+        # Numbers and flags have one form of missing; only text is looked into.
+        there = ~is_missing(c) if kinds[c] in ("string", "double", "float") else F.col(c).isNotNull()
+        return F.min_by(c, F.when(there, F.col("_at"))).alias(c)
+
+    firsts = [first(c) for c in RECORD_COLUMNS]
     words = range(0, len(ids), MASK_BITS)
     masks = [_membership(w).alias(f"_mask{w}") for w in words]
     merged = keyed.groupBy("_key").agg(*firsts, *masks, F.min("_at").alias("_first"))

@@ -16,29 +16,43 @@ from litspark.schemas import RECORD, SOURCE_MANUAL
 from litspark.session import materialize
 
 
-def _files_by_stem(files: DataFrame) -> DataFrame:
-    """One row per stem: its file names, and whether a ``.txt`` and a ``.md`` are there.
+# Bits of a stem's files: 0 is the stem itself as a name, 1 to 8 are the spellings of ``.pdf``.
+LOWER_PDF_BIT = 1
+TXT_BIT = 9
+MD_BIT = 10
 
-    A stem has at most the spellings of ``.pdf`` as names, so the list is short.
-    """
+
+def _spelling(name: Column) -> Column:
+    """Bit number of a file name: which letters of a ``.pdf`` ending are upper case."""
+    upper = [
+        F.when(F.substring(name, at, 1) == letter, weight).otherwise(0)
+        for at, letter, weight in ((-3, "P", 4), (-2, "D", 2), (-1, "F", 1))
+    ]
+    return F.when(F.lower(name).endswith(".pdf"), upper[0] + upper[1] + upper[2] + 1).otherwise(0)
+
+
+def _bit(number: Column | int) -> Column:
+    number = F.lit(number) if isinstance(number, int) else number
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), number)
+
+
+def _has(number: Column | int) -> Column:
+    return F.coalesce(F.col("_files").bitwiseAND(_bit(number)) != 0, F.lit(False))
+
+
+def _files_by_stem(files: DataFrame) -> DataFrame:
+    """One row per stem with a bit for each of its files that matters here."""
     name = F.col("file_name")
-    ext = F.substring_index(name, ".", -1)
     cut = F.regexp_replace(name, r"\.(txt|md)$", "")
     entries = F.array(
-        F.struct(stem(name).alias("_stem"), name.alias("name"), F.lit(None).cast("string").alias("text")),
-        F.struct(cut.alias("_stem"), F.lit(None).cast("string").alias("name"), ext.alias("text")),
+        F.struct(stem(name).alias("_stem"), _bit(_spelling(name)).alias("bit")),
+        F.struct(
+            cut.alias("_stem"), F.when(name.endswith(".txt"), _bit(TXT_BIT)).otherwise(_bit(MD_BIT)).alias("bit")
+        ),
     )
     # Without a text ending the second entry says nothing.
     kept = F.when(cut != name, entries).otherwise(F.slice(entries, 1, 1))
-    return (
-        files.select(F.inline(kept))
-        .groupBy("_stem")
-        .agg(
-            F.collect_set("name").alias("_names"),
-            F.max(F.coalesce(F.col("text") == "txt", F.lit(False))).alias("_txt"),
-            F.max(F.coalesce(F.col("text") == "md", F.lit(False))).alias("_md"),
-        )
-    )
+    return files.select(F.inline(kept)).groupBy("_stem").agg(F.bit_or("bit").alias("_files"))
 
 
 def _record_name() -> Column:
@@ -55,13 +69,12 @@ def sync(
     ``changed`` marks updated rows, ``added`` the rows of unlisted PDFs.
     """
     by_stem = _files_by_stem(files)
-    keyed = records.withColumn("_stem", stem(_record_name()))
+    keyed = records.withColumn("_name", _record_name()).withColumn("_stem", stem("_name"))
     found = lookup_join(keyed, by_stem, "_stem", "left")
-    name = _record_name()
-    has_pdf = F.coalesce(F.array_contains("_names", name), F.lit(False))
-    to_flag = has_pdf & ~F.coalesce(F.col("pdf_downloaded"), F.lit(False))
-    to_txt = F.coalesce(F.col("_txt"), F.lit(False)) & is_missing("txt_filename")
-    to_md = F.coalesce(F.col("_md"), F.lit(False)) & is_missing("markdown_filename")
+    name = F.col("_name")
+    to_flag = _has(_spelling(name)) & ~F.coalesce(F.col("pdf_downloaded"), F.lit(False))
+    to_txt = _has(TXT_BIT) & is_missing("txt_filename")
+    to_md = _has(MD_BIT) & is_missing("markdown_filename")
     updated = found.select(
         *[
             {
@@ -76,27 +89,22 @@ def sync(
     )
     if add_extra:
         updated = updated.unionByName(unlisted_pdfs(records, by_stem), allowMissingColumns=True)
-    counts = updated.agg(
-        F.count_if("changed").alias("updated"), F.count_if("added").alias("added")
-    )
+    counts = updated.agg(F.count_if("changed").alias("updated"), F.count_if("added").alias("added"))
     return updated, counts
 
 
 def unlisted_pdfs(records: DataFrame, by_stem: DataFrame) -> DataFrame:
-    """Records for PDFs no row lists."""
+    """Records for PDFs no row lists. Only the lower-case ending counts, as in a file pattern."""
     listed = records.select(_record_name().alias("pdf_filename")).where("pdf_filename is not null")
-    pdfs = by_stem.select("_stem", "_txt", "_md", F.explode("_names").alias("pdf_filename"))
-    # Only the lower-case ending counts here, as in a file pattern.
-    extra = pdfs.where(F.col("pdf_filename").endswith(".pdf")).join(
-        listed.distinct(), "pdf_filename", "left_anti"
-    )
+    pdfs = by_stem.where(_has(LOWER_PDF_BIT)).withColumn("pdf_filename", F.concat("_stem", F.lit(".pdf")))
+    extra = pdfs.join(listed.distinct(), "pdf_filename", "left_anti")
     name = F.col("pdf_filename")
     values = {
         "pdf_filename": name,
         "pdf_downloaded": F.lit(True),
         "entry_source": F.lit(SOURCE_MANUAL),
-        "txt_filename": F.when(F.col("_txt"), companion(name, "txt")),
-        "markdown_filename": F.when(F.col("_md"), companion(name, "md")),
+        "txt_filename": F.when(_has(TXT_BIT), companion(name, "txt")),
+        "markdown_filename": F.when(_has(MD_BIT), companion(name, "md")),
     }
     return extra.select(
         *[
