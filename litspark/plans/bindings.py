@@ -11,7 +11,14 @@ from litspark.functions.filenames import structured_filename
 from litspark.functions.text import once
 from litspark.sources.readers import file_parts
 
-DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+# Stated, not inferred: inference reads file footers in a job of its own per read.
+TABLES = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+    "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
 
 MODELS = [
     ("llama3:8b", "Ollama", "", 0),
@@ -36,7 +43,7 @@ PROVIDERS = ["ollama", "vllm", "openai", "gemini"]
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+    return spark.read.schema(TABLES[table]).parquet(f"{folder}/{table}.parquet")
 
 
 def _every(n: int, rest: int = 0, column: str = "doc_id") -> Column:

@@ -592,7 +592,7 @@ def dialogue_results(spark: SparkSession, folder: str) -> DataFrame:
 
 def _document_stream(spark: SparkSession, folder: str) -> DataFrame:
     return (
-        spark.readStream.schema(b.DOCUMENTS)
+        spark.readStream.schema(b.TABLES["documents"])
         .option("pathGlobFilter", "documents.parquet")
         .parquet(folder)
     )
@@ -633,9 +633,8 @@ def stream_run(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def stream_run_stats(spark: SparkSession, folder: str) -> DataFrame:
     base = work_dir(spark)
-    events = b.read(spark, folder, "events")
     source = (
-        spark.readStream.schema(events.schema)
+        spark.readStream.schema(b.TABLES["events"])
         .option("pathGlobFilter", "events.parquet")
         .parquet(folder)
     )
