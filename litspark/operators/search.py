@@ -61,12 +61,12 @@ def keyword_filter(
     return df.withColumn("_search_text", searchable(*columns)).where(condition).drop("_search_text")
 
 
-def year_filter(df: DataFrame, years: str | None, only_open_access: bool = False) -> DataFrame:
+def year_filter(df: DataFrame, year: str | None, only_open_access: bool = False) -> DataFrame:
     """Years as ``2020-2025`` or ``2023``, and open access only where asked for.
 
     The bounds are plain numbers in the plan, so that they reach a Parquet scan.
     """
-    first, _, last = (years or "").partition("-")
+    first, _, last = (year or "").partition("-")
     if first.strip():
         low = int(first)
         high = int(last.split("-")[0]) if last.split("-")[0].strip() else low
@@ -77,32 +77,32 @@ def year_filter(df: DataFrame, years: str | None, only_open_access: bool = False
 
 
 def limited(
-    df: DataFrame, order: list[str | Column], limit: int | None = None, ceiling: int = DEFAULT_RESULT_CEILING
+    df: DataFrame, order: list[str | Column], limit: int | None = None, cap: int = DEFAULT_RESULT_CEILING
 ) -> DataFrame:
     """The first rows in order: as many as the tighter of limit and ceiling allows."""
-    size = ceiling if limit is None else min(limit, ceiling)
+    size = cap if limit is None else min(limit, cap)
     return df.orderBy(*order).limit(size)
 
 
-def truncated(page_meta: DataFrame, limit: int | None = None, ceiling: int = DEFAULT_RESULT_CEILING) -> DataFrame:
-    """One row: whether the ceiling, not the caller's limit, cut the results (``count`` per page)."""
-    by_ceiling = limit is None or limit >= ceiling
+def truncated(page_meta: DataFrame, limit: int | None = None, cap: int = DEFAULT_RESULT_CEILING) -> DataFrame:
+    """One row: whether the cap, not the caller's limit, cut the results (``count`` per page)."""
+    by_ceiling = limit is None or limit >= cap
     return page_meta.agg(
-        (F.lit(by_ceiling) & F.coalesce(F.max("count") > ceiling, F.lit(False))).alias("truncated")
+        (F.lit(by_ceiling) & F.coalesce(F.max("count") > cap, F.lit(False))).alias("truncated")
     )
 
 
 def search_corpus(
     df: DataFrame,
     query: str | None = None,
-    years: str | None = None,
+    year: str | None = None,
     only_open_access: bool = False,
     limit: int | None = None,
-    ceiling: int = DEFAULT_RESULT_CEILING,
+    cap: int = DEFAULT_RESULT_CEILING,
     order: tuple[str, ...] = ("ord",),
 ) -> DataFrame:
     """A search over stored records: cheap conditions first, then keywords, then the limit."""
-    rows = year_filter(df, years, only_open_access)
+    rows = year_filter(df, year, only_open_access)
     if query:
         rows = keyword_filter(rows, query)
-    return limited(rows, list(order), limit, ceiling)
+    return limited(rows, list(order), limit, cap)
