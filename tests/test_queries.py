@@ -6,9 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from litspark.plans.oracle import SQL
+from litspark.plans.queries import REGISTRY as QUERIES
 
 FOLDER = os.environ.get("LITSPARK_TEST_SF", "/root/testdata/sf0.001")
-QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +39,8 @@ def test_query(spark, tables, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry_module.queries())
+    assert set(SQL) <= set(entry_module.oracle_sql())
 
 
 def test_entry(spark):
