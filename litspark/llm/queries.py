@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litspark.llm import bpe, url_filter
+from litspark.llm import bpe, decontaminate, shards, url_filter, warc
+from litspark.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -77,3 +78,40 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("token_ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark windows of ten words in every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    marked = decontaminate.mark(docs, table(spark, folder, "benchmark"))
+    return marked.select(
+        "doc_id",
+        "n_words",
+        decontaminate.n_hit().alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+@query
+def op4_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents shuffled into 40 shards whose row counts differ by one at most."""
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    rows = table(spark, folder, "documents").select(
+        "doc_id",
+        (F.octet_length(text) + 16).cast("bigint").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+    )
+    return shards.shuffle_to_shards(rows, 40).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+@query
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written as a WARC record, and what the archives give back."""
+    records = warc.plan_records(table(spark, folder, "pages"), "page_id", "html")
+    manifest = warc.write_archives(warc.chunk_table(records), work_dir(spark))
+    back = warc.records_of(warc.read_archives(manifest, with_bytes=False))
+    return back.withColumnRenamed("id", "page_id")
