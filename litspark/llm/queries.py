@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litspark.llm import bpe, decontaminate, shards, url_filter, warc
+from litspark.llm import bpe, decontaminate, shards, url_filter, warc, weak_labels
 from litspark.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,11 @@ def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     manifest = warc.write_archives(warc.chunk_table(records), work_dir(spark))
     back = warc.records_of(warc.read_archives(manifest, with_bytes=False))
     return back.withColumnRenamed("id", "page_id")
+
+
+@query
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's score and whether it is kept."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    judged = weak_labels.classify(docs, table(spark, folder, "labels"))
+    return judged.select("doc_id", F.round("score", 6).alias("score"), "keep")
