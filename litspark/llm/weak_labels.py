@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from litspark.llm.arrays import MARKS, SPACES, Texts, pieces, texts, words
+from litspark.llm.arrays import LOWER, MARKS, SPACES, Texts, Words, mix, pieces, texts, words
 
 LABELLED = 6000
 TRAIN = 12000
@@ -61,8 +61,12 @@ GROUPS = {
 OWN = sum(len(x) for x in GROUPS.values())
 
 
+STEMS = (4, 6, 8)  # bytes
+Lists = tuple[np.ndarray, np.ndarray]  # sure and likely words
+
+
 class Votes(NamedTuple):
-    """Votes [text, labeller], and the distinct hashed words of each text."""
+    """Votes [text, labeller], and the distinct hashed words and stems of each text."""
 
     votes: np.ndarray
     bucket: np.ndarray
@@ -84,8 +88,27 @@ def _distinct(values: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray
     return v[at], np.diff(np.append(at, len(v))), np.searchsorted(o[at], np.arange(n + 1))
 
 
-def vote(t: Texts, lists: list[np.ndarray]) -> Votes:
-    """Votes of all labellers; ``lists`` has the sorted word hashes of each abuse labeller."""
+def _terms(t: Texts, w: Words) -> np.ndarray:
+    """Hash of each word, and of its first bytes where it is longer: a row for each kind.
+
+    Inflected abuse shares its beginning. Words without such a beginning repeat the word's hash.
+    """
+    padded = np.concatenate([LOWER[t.data], np.zeros(8, "u1")])
+    packed = np.zeros(len(w.hash), "u8")
+    for i in range(8):
+        packed |= padded[w.start + i].astype("u8") << np.uint64(8 * i)
+    rows = [w.hash]
+    for n in STEMS:
+        stem = mix((packed & np.uint64((1 << (8 * n)) - 1)) + np.uint64(n))
+        rows.append(np.where(w.end - w.start > n, stem, w.hash))
+    return np.stack(rows)
+
+
+def vote(t: Texts, lists: list[Lists]) -> Votes:
+    """Votes of all labellers; ``lists`` has the words of each abuse labeller.
+
+    One word that is hardly ever in clean texts makes it vote bad, or two that are rarely.
+    """
     n = len(t.start)
     size = np.maximum(t.end - t.start, 1)
     w = words(t, SPACES)
@@ -126,38 +149,47 @@ def vote(t: Texts, lists: list[np.ndarray]) -> Votes:
     ]
     plain = words(t, MARKS)
     plain_owner = np.repeat(np.arange(n), np.diff(plain.first))
-    hashes, _, first = _distinct(plain.hash, plain_owner, n)
-    for known in lists:
-        hit = np.isin(hashes, known)
-        sums = np.concatenate([[0], np.cumsum(hit)])
-        found = sums[first[1:]] - sums[first[:-1]] > 0
-        columns.append(np.where(found, BAD, np.where(np.diff(first) > 0, GOOD, NONE)))
+    terms = _terms(t, plain)
+    hashes, _, first = _distinct(terms.reshape(-1), np.tile(plain_owner, len(terms)), n)
+    for sure, likely in lists:
+        hit = np.isin(terms, likely).any(axis=0)
+        _, _, words_hit = _distinct(plain.hash[hit], plain_owner[hit], n)
+        certain = np.bincount(plain_owner[np.isin(terms, sure).any(axis=0)], minlength=n) > 0
+        n_hit = np.diff(words_hit)
+        found = np.where(certain | (n_hit >= 2), BAD, np.where(n_hit == 1, NONE, GOOD))
+        columns.append(np.where(np.diff(first) > 0, found, NONE))
     return Votes(np.stack(columns, axis=1).astype("i1"), (hashes >> np.uint64(64 - BITS)).astype("i8"), first)
 
 
-def learn_lists(rows: list[tuple[str, int]], folds: int = FOLDS) -> list[np.ndarray]:
+def learn_lists(rows: list[tuple[str, int]], folds: int = FOLDS) -> list[Lists]:
     """Of each fold of (text, toxic) rows: words found much more often in toxic texts.
 
     A word counts once with each word before it, so that the words of a text with many copies
     don't look frequent: abuse stands in ever new places.
     """
     lists = []
+    order = np.random.default_rng(0).permutation(len(rows)).tolist()
     for k in range(folds):
-        own = rows[k::folds]
+        own = [rows[i] for i in order[k::folds]]
         t = texts(pa.array([x for x, _ in own], pa.string()))
         toxic = np.array([y for _, y in own], bool)
         w = words(t, MARKS)
         owner = np.repeat(np.arange(len(own)), np.diff(w.first))
         before = np.zeros(len(w.hash), "u8")
         before[1:] = np.where(owner[1:] == owner[:-1], w.hash[:-1], 0)
-        distinct, counts = np.unique(w.hash), []
+        # With a stem the whole word counts as its surroundings too.
+        around = mix(before + mix(w.hash))
+        terms = _terms(t, w)
+        distinct, counts = np.unique(terms), []
         for kind in (True, False):
             mine = toxic[owner] == kind
-            pairs = np.unique(np.stack([w.hash[mine], before[mine]]), axis=1)[0]
+            near = np.tile(around[mine], len(terms))
+            pairs = np.unique(np.stack([terms[:, mine].reshape(-1), near]), axis=1)[0]
             counts.append(np.bincount(np.searchsorted(distinct, pairs), minlength=len(distinct)))
         n_bad, n_good = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
-        share, other = counts[0] / n_bad, (counts[1] + 0.5) / n_good
-        lists.append(distinct[(share >= 0.02) & (share >= 20 * other)])
+        common = counts[0] >= max(3, 0.08 * n_bad)
+        likely = common & (counts[0] / n_bad >= 20 * (counts[1] + 0.5) / n_good)
+        lists.append((distinct[likely & (counts[1] <= 0.001 * n_good)], distinct[likely]))
     return lists
 
 
@@ -223,7 +255,7 @@ def apply_scorer(votes: Votes, weights: np.ndarray) -> np.ndarray:
 
 
 class Model(NamedTuple):
-    lists: list[np.ndarray]
+    lists: list[Lists]
     patterns: dict[bytes, float]
     weights: np.ndarray
 
