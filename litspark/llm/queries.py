@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litspark.llm import bpe, decontaminate, shards, url_filter, warc, weak_labels
+from litspark.llm import bpe, decontaminate, jaccard_join, shards, url_filter, warc, weak_labels
 from litspark.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +81,13 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents linked by 85 of 100 shared four-word shingles, and their components."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return jaccard_join.link(docs, size=4, threshold=Fraction(85, 100))
+
+
 @query
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark windows of ten words in every document."""
