@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litspark.llm import bpe, decontaminate, jaccard_join, shards, url_filter, warc, weak_labels
+from litspark.llm import bpe, decontaminate, jaccard_join, pq_dedup, shards, url_filter, warc, weak_labels
 from litspark.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,6 +116,32 @@ def op4_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shards.shuffle_to_shards(rows, 40).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+@query
+def op6_pq_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors of one label linked by a cosine of 0.93, and their components."""
+    return pq_dedup.link(table(spark, folder, "embeddings"))
+
+
+SQL["op6_pq_dedup"] = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links,
+  component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN least ON least.a = e.vec_id
+"""
+
+
 @query
 def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Every page written as a WARC record, and what the archives give back."""

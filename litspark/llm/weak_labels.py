@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 
 from litspark.llm.arrays import LOWER, MARKS, SPACES, Texts, Words, mix, pieces, texts, words
 
-LABELLED = 6000
-TRAIN = 12000
+LABELLED = 5000
+TRAIN = 8000
 BITS = 18
 FOLDS = 3
 ROUNDS = 50
@@ -183,8 +183,11 @@ def learn_lists(rows: list[tuple[str, int]], folds: int = FOLDS) -> list[Lists]:
         distinct, counts = np.unique(terms), []
         for kind in (True, False):
             mine = toxic[owner] == kind
-            near = np.tile(around[mine], len(terms))
-            pairs = np.unique(np.stack([terms[:, mine].reshape(-1), near]), axis=1)[0]
+            held, near = terms[:, mine], around[mine]
+            pair = np.concatenate([mix(row + mix(near)) for row in held])
+            once = np.unique(pair, return_index=True)[1]
+            pairs = held.reshape(-1)[once]
+            del pair, once
             counts.append(np.bincount(np.searchsorted(distinct, pairs), minlength=len(distinct)))
         n_bad, n_good = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
         common = counts[0] >= max(3, 0.08 * n_bad)
@@ -275,6 +278,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     rows = docs.join(F.broadcast(chosen), "id").where("text IS NOT NULL").dropDuplicates(["id"]).collect()
     rows.sort(key=lambda r: r["id"])
     lists = learn_lists([(r["text"], r["toxic"]) for r in rows])
+    del rows
     n_labellers = OWN + len(lists)
     shared = spark.sparkContext.broadcast(lists)
 
@@ -318,7 +322,8 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     first = np.concatenate([[0], np.cumsum([len(b) for b in buckets])]).astype("i8")
     votes = np.array([np.frombuffer(bytes(r["votes"]), "i1") for r in sample], "i1").reshape(-1, n_labellers)
     target = np.array([posterior.get(bytes(r["votes"]), 0.0) for r in sample])
-    flat = np.concatenate([np.zeros(0, "i4"), *buckets]).astype("i8")
+    flat = np.concatenate([np.zeros(0, "i4"), *buckets])
+    del buckets, sample
     return Model(lists, posterior, train_scorer(Votes(votes, flat, first), target, n_labellers))
 
 
