@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litspark.llm import bpe, decontaminate, jaccard_join, pq_dedup, shards, url_filter, warc, weak_labels
+from litspark.llm import bpe, decontaminate, jaccard_join, pq_dedup, repeat_tree, shards, url_filter, warc, weak_labels
 from litspark.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,18 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     judged = weak_labels.classify(docs, table(spark, folder, "labels"))
     return judged.select("doc_id", F.round("score", 6).alias("score"), "keep")
+
+
+@query
+def op10_repeat_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document that repeat 100 bytes seen earlier, removed."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    cut = repeat_tree.remove(docs)
+    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint")
+    return cut.select(
+        "doc_id",
+        n_bytes.alias("n_bytes"),
+        (n_bytes - F.octet_length("kept")).alias("n_removed"),
+        F.coalesce(F.size("spans"), F.lit(0)).cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
