@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litspark.llm import bpe, decontaminate, jaccard_join, pq_dedup, repeat_tree, shards, url_filter, warc, weak_labels
+from litspark.llm import bpe, compact_windows, decontaminate, jaccard_join, pq_dedup, repeat_tree, shards, url_filter, warc, weak_labels
 from litspark.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,6 +151,23 @@ def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     return back.withColumnRenamed("id", "page_id")
 
 
+@query
+def op8_compact_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of 50 words or more that nearly repeat earlier ones, and where those stand."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    marked = compact_windows.mark(docs)
+    n_removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return marked.select(
+        "doc_id",
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"),
+        n_removed.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.transform("spans", lambda s: s["start"]).alias("starts"),
+        F.transform("spans", lambda s: s["end"]).alias("ends"),
+        F.col("sources").alias("source_ids"),
+    )
+
+
 @query
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's score and whether it is kept."""

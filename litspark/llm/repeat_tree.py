@@ -31,10 +31,11 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litspark.llm.arrays import Texts, mix, pieces, prefix_sums, range_hash, texts
+from litspark.llm.spans import kept_bytes, union
 from litspark.session import materialize
 
 LENGTH = 100
@@ -42,7 +43,6 @@ GRAM = 32
 MOST = 512
 SEGMENT = 1 << 20
 SALTS = 16
-_SPAN = "struct<start: bigint, end: bigint>"
 
 
 def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -424,32 +424,7 @@ def repeats(
     spans = copies.unionAll(again).unionAll(scan(buckets, length, gram))
     if not large.isEmpty():
         spans = spans.unionAll(_one_by_one(undecided.join(large, "gram", "left_semi"), length, gram))
-    return spans.groupBy("id").agg(_union(F.array_sort(F.collect_set(F.struct("start", "end")))).alias("spans"))
-
-
-def _union(spans: Column) -> Column:
-    """Sorted spans with overlapping and touching ones joined."""
-
-    def add(done: Column, s: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))
-        apart = (F.size(done) == 0) | (last["end"] < s["start"])
-        return F.when(apart, F.concat(done, F.array(s))).otherwise(grown)
-
-    empty = F.array().cast(f"array<{_SPAN}>")
-    return F.aggregate(spans, empty, add)
-
-
-def kept_bytes(text: Column, spans: Column) -> Column:
-    """What is left of a text, as binary: single bytes of a character may be gone."""
-    body = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
-    n = F.octet_length(body)
-    spans = F.coalesce(spans, F.array().cast(f"array<{_SPAN}>"))
-    starts = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(spans, lambda s: s["end"]))
-    ends = F.concat(F.transform(spans, lambda s: s["start"]), F.array(n.cast("bigint")))
-    cut = lambda a, b: F.substring(body, (a + 1).cast("int"), (b - a).cast("int")).cast("string")
-    return F.array_join(F.zip_with(starts, ends, cut), "").cast("binary")
+    return spans.groupBy("id").agg(union(F.array_sort(F.collect_set(F.struct("start", "end")))).alias("spans"))
 
 
 def remove(documents: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -457,4 +432,4 @@ def remove(documents: DataFrame, key: str = "doc_id", text: str = "text", **how)
     found = repeats(documents, key, text, **how).withColumnRenamed("id", "_repeat_id")
     rest = documents.drop("spans", "kept")
     joined = rest.join(found, rest[key].cast("bigint") == F.col("_repeat_id"), "left").drop("_repeat_id")
-    return joined.withColumn("kept", F.when(F.col("spans").isNull(), F.encode(F.coalesce(text, F.lit("")), "UTF-8")).otherwise(kept_bytes(F.col(text), F.col("spans"))))
+    return joined.withColumn("kept", kept_bytes(F.col(text), F.col("spans")))
