@@ -45,12 +45,21 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/litspark-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Values that depend on task order (partition numbers) are fixed by this, also when
-    executors are lost later.
+    executors are lost later. The shuffle files of the write are dropped once it is done: the
+    table takes their place, and a long job holds one step's files at a time.
     """
-    path = work_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, work_dir(df.sparkSession)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
