@@ -40,7 +40,7 @@ from litspark.session import materialize
 
 LENGTH = 100
 GRAM = 32
-MOST = 512
+MOST = 1 << 15
 SEGMENT = 1 << 20
 SALTS = 16
 
