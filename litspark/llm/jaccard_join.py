@@ -12,11 +12,15 @@ An empty part says nothing, so ``k`` has slack. A set whose empty parts could us
 agree (a few short texts) also enters its ``(1 - t) size + 1`` smallest hashes as keys: similar
 sets share one of those, so nothing is lost.
 
+Documents with a key in common also compare a whole sketch: the parity of the hashes at each of
+about as many bits as the set has elements. Its Hamming distance, too, is at most the number of
+elements that differ, so a pair above ``d`` is no link and is dropped where it is met.
+
 The rows of a key are never all paired with each other. In the first round the documents of a key
-meet its first document, in each later one its next ``PIVOTS``; pairs in different components are
-verified on the whole texts, and links become components. A key whose documents are all in one
-component is done. Groups of equal sets are linked by the set's hash without any pair, and only
-the first of each takes part in the rounds.
+meet its first document, in each later one its next (``PIVOTS`` to ``MOST_PIVOTS``); pairs in different components that
+pass the sketch are verified on the whole texts, and links become components. A key whose documents
+are all in one component is done. Groups of equal sets are linked by the set's hash without any
+pair, and only the first of each takes part in the rounds.
 
 Cases: null and empty texts have an empty set and link with nothing. A text of fewer words than
 ``n`` has one element: all its words. Rows with a null id can't be named by a
@@ -40,6 +44,7 @@ from litspark.session import materialize
 SIZE = 5
 THRESHOLD = Fraction(8, 10)
 PIVOTS = 32
+MOST_PIVOTS = 8192
 BAND_RATIO = 1.4
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -127,13 +132,28 @@ def keys_of(hashes: np.ndarray, first: np.ndarray, bands: Bands) -> tuple[np.nda
     return keys[order], np.bincount(owners, minlength=n)
 
 
+def parity_sketches(hashes: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Bit sketch of each set: a power of two of bits, as many as elements or more, 64 at least."""
+    size = np.diff(first)
+    words = np.ones(len(size), "i8")
+    some = size > 64
+    words[some] = 1 << np.ceil(np.log2(size[some] / 64)).astype("i8")
+    start = np.cumsum(words) - words
+    owner = np.repeat(np.arange(len(size)), size)
+    # The word from bits 6 on, so that halving a sketch keeps the lower of them.
+    at = start[owner] + ((hashes >> np.uint64(6)).astype("i8") & (words[owner] - 1))
+    out = np.zeros(int(words.sum()), "u8")
+    np.bitwise_xor.at(out, at, np.uint64(1) << (hashes & np.uint64(63)))
+    return [out[a : a + n].tobytes() for a, n in zip(start.tolist(), words.tolist())]
+
+
 def sketches(documents: DataFrame, key: str, text: str, size: int, threshold: Fraction) -> DataFrame:
     """Id, set size, set hash, and the join keys of each document.
 
     A copy of a set already met in the same partition (within a bounded memory of them) carries
     no keys, only the id it equals: large groups of copies shrink before they are shuffled.
     """
-    remember = 200_000
+    remember = 50_000
 
     def run(batches):
         seen: dict[tuple[int, int], int] = {}
@@ -163,6 +183,7 @@ def sketches(documents: DataFrame, key: str, text: str, size: int, threshold: Fr
             counts = np.where(fresh, n, 0)
             keys, times = keys_of(hashes[taken], np.concatenate([[0], np.cumsum(counts)]), bands)
             at = np.concatenate([[0], np.cumsum(times)])
+            bits = parity_sketches(hashes[taken], np.concatenate([[0], np.cumsum(counts)]))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()),
@@ -171,13 +192,14 @@ def sketches(documents: DataFrame, key: str, text: str, size: int, threshold: Fr
                     pa.array(whole[1]),
                     pa.array(same, pa.int64()),
                     list_array(keys.view("i8"), at, pa.int64()),
+                    pa.array(bits, pa.binary()),
                 ],
-                names=["id", "n", "set_a", "set_b", "same", "keys"],
+                names=["id", "n", "set_a", "set_b", "same", "keys", "sketch"],
             )
 
     rows = documents.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
     return rows.where("id IS NOT NULL").mapInArrow(
-        run, "id bigint, n bigint, set_a bigint, set_b bigint, same bigint, keys array<bigint>"
+        run, "id bigint, n bigint, set_a bigint, set_b bigint, same bigint, keys array<bigint>, sketch binary"
     )
 
 
@@ -187,52 +209,87 @@ def _run_starts(keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def pivot_pairs(grouped: DataFrame, low: int, high: int) -> DataFrame:
+class _Sketches:
+    """Sketches of a batch, folded to a common length where two are compared."""
+
+    def __init__(self, column: pa.Array):
+        t = texts(column)
+        self.data = np.frombuffer(t.data.tobytes(), "u8")
+        self.start, self.words = t.start // 8, (t.end - t.start) // 8
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _of(self, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Matrix of all sketches of ``words`` or more, folded to that; row of each."""
+        if words not in self.folded:
+            own = np.flatnonzero(self.words >= words)
+            rows = np.zeros((len(own), words), "u8")
+            for n in np.unique(self.words[own]).tolist():
+                mine = self.words[own] == n
+                whole = self.data[self.start[own[mine]][:, None] + np.arange(n)[None]]
+                rows[mine] = np.bitwise_xor.reduce(whole.reshape(len(whole), n // words, words), axis=1)
+            place = np.full(len(self.words), -1)
+            place[own] = np.arange(len(own))
+            self.folded[words] = rows, place
+        return self.folded[words]
+
+    def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        words = np.minimum(self.words[a], self.words[b])
+        out = np.zeros(len(a), "i8")
+        for n in np.unique(words).tolist():
+            rows, place = self._of(n)
+            for at in np.array_split(np.flatnonzero(words == n), 1 + (words == n).sum() * n // (1 << 19)):
+                out[at] = np.bitwise_count(rows[place[a[at]]] ^ rows[place[b[at]]]).sum(1)
+        return out
+
+
+def pivot_pairs(grouped: DataFrame, low: int, high: int, threshold: Fraction) -> DataFrame:
     """Pairs of the documents of a key with its documents number ``low`` to ``high - 1``.
 
-    ``grouped`` is partitioned by key and sorted by key and id: key, id, root. Only pairs of
-    different components, of a pivot and a later document, are given. Only the pivots of the key
-    at hand are held, so that a key of any size passes in a stream.
+    ``grouped`` is partitioned by key and sorted by key and id: key, id, root, n, sketch. Pairs of a
+    pivot and a later document in another component are given if size and sketch let them be a
+    link. Only the pivots of the key at hand are held: a key of any size passes in a stream.
     """
+    up, down = threshold.numerator, threshold.denominator
 
     def run(batches):
-        key, rank, pivots = None, 0, (np.zeros(0, "i8"), np.zeros(0, "i8"))
+        key, rank, held = None, 0, None
         for batch in batches:
-            keys, ids, comps = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            if not len(keys):
+            if not batch.num_rows:
                 continue
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            goes_on = keys[0] == key
+            h = held.num_rows if goes_on and held is not None else 0
+            if h:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+                keys = np.append(np.full(h, key), keys)
+            ids, comps, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            own = _Sketches(batch.column(4))
             new = _run_starts(keys)
-            new[0] = keys[0] != key
-            start = np.flatnonzero(new)
-            begin = np.zeros(len(keys), "i8")
-            begin[start] = start
-            ranks = np.arange(len(keys)) - np.maximum.accumulate(begin)
-            head = slice(0, int(start[0]) if len(start) else len(keys))
-            ranks[head] += rank
-            out_a, out_b = [], []
-            # Documents of the key that an earlier batch began meet its pivots.
-            for p, c in zip(*(x.tolist() for x in pivots)):
-                far = comps[head] != c
-                out_a.append(np.full(int(far.sum()), p))
-                out_b.append(ids[head][far])
-            # A pivot in the batch stands a known number of rows before: shift and compare.
+            start = np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
+            ranks = np.arange(len(keys)) - start
+            # Row of a key's document number 0, had all of them come in this batch.
+            base = start.copy()
+            if goes_on:
+                head = start == 0
+                base[head] = -low if rank > low else -rank
+                ranks[head] = np.where(np.arange(int(head.sum())) < h, low, rank - h) + np.arange(int(head.sum()))
+            pairs = [np.zeros((2, 0), "i8")]
             for r in range(low, min(high, int(ranks.max()))):
-                at = np.flatnonzero(ranks > r)
-                pivot = at - (ranks[at] - r)
-                at, pivot = at[pivot >= 0], pivot[pivot >= 0]
-                far = comps[at] != comps[pivot]
-                out_a.append(ids[pivot[far]])
-                out_b.append(ids[at[far]])
-            tail = slice(int(start[-1]) if len(start) else 0, len(keys))
-            chosen = (ranks[tail] >= low) & (ranks[tail] < high)
-            mine = (ids[tail][chosen], comps[tail][chosen])
-            pivots = mine if len(start) else tuple(np.concatenate(x) for x in zip(pivots, mine))
+                at = np.flatnonzero((ranks > r) & (np.arange(len(keys)) >= h))
+                pivot = base[at] + r
+                a, b = pivot[pivot >= 0], at[pivot >= 0]
+                ok = (comps[a] != comps[b]) & (down * np.minimum(n[a], n[b]) >= up * np.maximum(n[a], n[b]))
+                a, b = a[ok], b[ok]
+                near = own.distance(a, b) <= (n[a] + n[b]) * (down - up) // (down + up)
+                pairs.append(np.stack([ids[a[near]], ids[b[near]]]))
+            last = start == start[-1]
+            chosen = last & (ranks >= low) & (ranks < high)
+            held = batch.filter(pa.array(chosen))
             key, rank = keys[-1], int(ranks[-1]) + 1
-            if out_a:
-                pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=EDGES)
+            found = np.unique(np.concatenate(pairs, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], schema=EDGES)
 
-    return grouped.select("key", "id", "root").mapInArrow(run, "a bigint, b bigint")
+    return grouped.select("key", "id", "root", "n", "sketch").mapInArrow(run, "a bigint, b bigint")
 
 
 def verify(pairs: DataFrame, documents: DataFrame, size: int, threshold: Fraction) -> DataFrame:
@@ -255,8 +312,10 @@ def verify(pairs: DataFrame, documents: DataFrame, size: int, threshold: Fractio
                     linked[i] = down * shared >= up * (len(x) + len(y) - shared)
             yield pa.RecordBatch.from_arrays([pa.array(a[linked]), pa.array(b[linked])], schema=EDGES)
 
-    with_b = pairs.join(documents.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(documents.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+    chosen = materialize(documents.join(ids, "id", "left_semi"))
+    with_b = pairs.join(chosen.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = with_b.join(chosen.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -281,31 +340,28 @@ def link(
     keys = full.where("same IS NULL").select(F.explode("keys").alias("key"), "id")
     grouped = _shared(keys.repartition("key").sortWithinPartitions("key", "id"))
     grouped = materialize(grouped.join(again.select(F.col("a").alias("id")), "id", "left_anti"))
-    low, high, texts_of = 0, 1, None
+    bits = full.where("same IS NULL").select("id", "n", "sketch")
+    named = root.select(F.col("node").alias("id"), "root")
+    low, high = 0, 1
     while True:
-        rooted = grouped.join(root.select(F.col("node").alias("id"), "root"), "id", "left")
-        rooted = rooted.select("key", "id", F.coalesce("root", "id").alias("root"))
-        if low:
-            # A key is open while it has two components, and documents beyond the pivots so far.
-            per_key = rooted.groupBy("key").agg(
-                F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n")
-            )
-            grouped = materialize(
-                grouped.join(per_key.where((F.col("least") < F.col("most")) & (F.col("n") > low + 1)).select("key"), "key")
-            )
-            rooted = grouped.join(root.select(F.col("node").alias("id"), "root"), "id", "left")
-            rooted = rooted.select("key", "id", F.coalesce("root", "id").alias("root"))
-        mine = rooted.repartition("key").sortWithinPartitions("key", "id")
-        pairs = materialize(pivot_pairs(mine, low, high).distinct())
-        if low and grouped.isEmpty() or not low and pairs.isEmpty():
+        rooted = grouped.join(named, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+        mine = rooted.join(bits, "id").repartition("key").sortWithinPartitions("key", "id")
+        pairs = materialize(pivot_pairs(mine, low, high, threshold).distinct())
+        if not pairs.isEmpty():
+            links = verify(pairs, rows, size, threshold)
+            stars = root.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            root = components(materialize(stars.unionAll(links)))
+            named = root.select(F.col("node").alias("id"), "root")
+        # A key stays open while it has two components, and documents beyond the pivots so far.
+        rooted = grouped.join(named, "id", "left").select("key", F.coalesce("root", "id").alias("root"))
+        per_key = rooted.groupBy("key").agg(
+            F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n")
+        )
+        still = per_key.where((F.col("least") < F.col("most")) & (F.col("n") > high + 1)).select("key")
+        grouped = materialize(grouped.join(still, "key", "left_semi"))
+        if grouped.isEmpty():
             return _result(sets, root, key)
-        if texts_of is None:
-            ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-            texts_of = materialize(rows.join(ids, "id", "left_semi"))
-        links = verify(pairs, texts_of, size, threshold)
-        stars = root.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        root = components(materialize(stars.unionAll(links)))
-        low, high = high, high + PIVOTS
+        low, high = high, high + min(MOST_PIVOTS, max(PIVOTS, 8 * (high - low)))
 
 
 def _shared(rows: DataFrame) -> DataFrame:
