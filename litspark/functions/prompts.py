@@ -18,7 +18,7 @@ def template_text(c: Column | str) -> Column:
 def data_context(row_id: Column | str, columns: list[str]) -> Column:
     """Map from lower-cased column name to text. Missing values give empty text."""
     values: dict[str, Column] = {
-        name.lower(): F.coalesce(F.col(name).cast("string"), F.lit("")) for name in columns
+        name.lower(): F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("")) for name in columns
     }
     values["id"] = as_col(row_id)
     return F.create_map(*[x for name, value in values.items() for x in (F.lit(name), value)])

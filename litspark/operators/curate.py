@@ -70,13 +70,14 @@ def latest_rows(
 ) -> DataFrame:
     """Input of an exclusion run, per search: its filtered rows where it has any run so far.
 
-    ``done`` names the searches that were filtered before; it is needed where one of them has
-    no rows left.
+    ``done`` names the searches that were filtered before. The rows alone don't tell: a search
+    may have none left, and must not come back whole.
     """
     if filtered is None:
         return results
+    if done is None:
+        raise ValueError("name the searches that were filtered before")
     # The searches are a short list: a filter, where a join would shuffle whole searches.
-    done = list_searches_of(filtered) if done is None else done
     untouched = results.where(~F.col("search_id").isin(done))
     return filtered.unionByName(untouched, allowMissingColumns=True)
 

@@ -130,12 +130,16 @@ def run_experiment(
 def merge_results(rows: DataFrame, results: DataFrame) -> DataFrame:
     """Rows with the given result columns of ``results`` written over theirs, by ``(provider, ID)``.
 
-    A matched row takes the result's value also where that is null.
+    A matched row takes the result's value also where that is null. Of several results of one row
+    a success counts before an error, and the newest of its kind.
     """
     keys = ["provider", "ID"]
     given = [c for c in results.columns if c in rows.columns and c not in keys]
-    renamed = results.select(
-        *keys, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in given]
+    rank = [F.col("status") == "success"] if "status" in results.columns else []
+    rank += [F.col(c) for c in ("timestamp", "call_count") if c in results.columns]
+    best = F.max_by(F.struct(F.lit(True).alias("_hit"), *given), F.struct(*rank, F.xxhash64(*given)))
+    renamed = results.groupBy(*keys).agg(best.alias("_best")).select(
+        *keys, "_best._hit", *[F.col(f"_best.{c}").alias(f"_new_{c}") for c in given]
     )
     joined = rows.join(renamed, keys, "left")
     return joined.select(

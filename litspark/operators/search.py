@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litspark.functions.text import as_col
-from litspark.schemas import DEFAULT_RESULT_CEILING
 
 NOT_WORD = r"[^\p{L}\p{N}]+"
-_TOKEN = re.compile(r'"[^"]*"|[()]|[^\s()"]+')
-_OPERATORS = {"AND", "OR", "NOT"}
 
 
 def searchable(*columns: Column | str) -> Column:
@@ -21,32 +16,107 @@ def searchable(*columns: Column | str) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(F.lower(joined), NOT_WORD, " "), F.lit(" "))
 
 
-def has_phrase(text: Column, phrase: str) -> Column:
-    """Whether the words of ``phrase`` stand in ``text`` (from :func:`searchable`) in a row."""
-    words = re.sub(r"[\W_]+", " ", phrase.lower()).strip()
-    return F.contains(text, F.lit(f" {words} ")) if words else F.lit(True)
+def _tokens(query: str) -> list[tuple[str, str, int]]:
+    """(kind, words, place) of each part of a query; a term without words is left out.
 
+    Kinds are ``term``, ``AND``, ``OR``, ``NOT``, ``(`` and ``)``. Marks in a quoted phrase or in the
+    middle of a word belong to it.
+    """
+    out: list[tuple[str, str, int]] = []
+    at = 0
+
+    def term(text: str, place: int) -> None:
+        words = " ".join("".join(c if c.isalnum() else " " for c in text.lower()).split())
+        if words:
+            out.append(("term", words, place))
+        elif out and out[-1][0] == "NOT":
+            out.pop()
+
+    while at < len(query):
+        mark, place = query[at], at
+        at += 1
+        if mark.isspace():
+            continue
+        if mark == '"':
+            end = query.find('"', at)
+            if end < 0:
+                raise ValueError(f"quote at {place} of the query is not closed")
+            term(query[at:end], place)
+            at = end + 1
+        elif mark in "()":
+            out.append((mark, "", place))
+        elif mark in "+|":
+            out.append(("AND" if mark == "+" else "OR", "", place))
+        elif mark == "-" and at < len(query) and not query[at].isspace() and query[at] != ")":
+            out.append(("NOT", "", place))
+        else:
+            while at < len(query) and not query[at].isspace() and query[at] not in '()+|"':
+                at += 1
+            word = query[place:at]
+            if word in ("AND", "OR", "NOT"):
+                out.append((word, "", place))
+            else:
+                term(word, place)
+    return out
 
-def boolean_sql(query: str, text: str) -> str:
-    """A query as a Spark SQL condition on ``text``.
 
-    The notation's marks become SQL words and each term a ``contains``; precedence and
-    grouping are then Spark's own. Terms side by side must both be there.
+def query_condition(query: str, text: Column) -> Column:
+    """A query as a condition on ``text`` (from :func:`searchable`).
+
+    NOT binds closest, then AND, then OR; terms side by side must both be there. Raises a
+    ``ValueError`` that names the place where a query can't be read.
     """
-    negated = re.sub(r"(^|[\s(])-(?=[^\s)])", r"\1 NOT ", query)
-    out: list[str] = []
-    for token in _TOKEN.findall(re.sub(r"([+|])", r" \1 ", negated)):
-        token = {"+": "AND", "|": "OR"}.get(token, token)
-        starts_term = token not in ("AND", "OR", ")")
-        ends_term = bool(out) and out[-1] not in _OPERATORS | {"("}
-        if starts_term and ends_term:
-            out.append("AND")
-        if token in _OPERATORS or token in "()":
-            out.append(token)
-        else:
-            words = re.sub(r"[\W_]+", " ", token.lower()).strip()
-            out.append(f"contains({text}, ' {words} ')" if words else "true")
-    return " ".join(out) or "true"
+    tokens = _tokens(query)
+    if not tokens:
+        raise ValueError(f"the query {query!r} has no words")
+    at = 0
+
+    def peek() -> str:
+        return tokens[at][0] if at < len(tokens) else "end"
+
+    def fail() -> ValueError:
+        where = f"at {tokens[at][2]} of" if at < len(tokens) else "at the end of"
+        return ValueError(f"a term is missing {where} the query {query!r}")
+
+    def either() -> Column:
+        nonlocal at
+        left = both()
+        while peek() == "OR":
+            at += 1
+            left = left | both()
+        return left
+
+    def both() -> Column:
+        nonlocal at
+        left = one()
+        while peek() in ("AND", "NOT", "term", "("):
+            at += peek() == "AND"
+            left = left & one()
+        return left
+
+    def one() -> Column:
+        nonlocal at
+        kind = peek()
+        if kind == "NOT":
+            at += 1
+            return ~one()
+        if kind == "(":
+            opened = tokens[at][2]
+            at += 1
+            inner = either()
+            if peek() != ")":
+                raise ValueError(f"the bracket at {opened} of the query {query!r} is not closed")
+            at += 1
+            return inner
+        if kind != "term":
+            raise fail()
+        at += 1
+        return F.contains(text, F.lit(f" {tokens[at - 1][1]} "))
+
+    condition = either()
+    if at < len(tokens):
+        raise fail()
+    return condition
 
 
 def keyword_filter(
@@ -57,8 +127,7 @@ def keyword_filter(
     The searchable text is built once per row: ``exists`` over a one-element array keeps the
     optimizer from copying it into every term.
     """
-    condition = F.expr(f"exists(array(_search_text), t -> {boolean_sql(query, 't')})")
-    return df.withColumn("_search_text", searchable(*columns)).where(condition).drop("_search_text")
+    return df.where(F.exists(F.array(searchable(*columns)), lambda t: query_condition(query, t)))
 
 
 def year_filter(df: DataFrame, year: str | None, only_open_access: bool = False) -> DataFrame:
@@ -77,19 +146,26 @@ def year_filter(df: DataFrame, year: str | None, only_open_access: bool = False)
 
 
 def limited(
-    df: DataFrame, order: list[str | Column], limit: int | None = None, cap: int = DEFAULT_RESULT_CEILING
+    df: DataFrame, order: list[str | Column], limit: int | None = None, cap: int | None = None
 ) -> DataFrame:
-    """The first rows in order: as many as the tighter of limit and ceiling allows."""
-    size = cap if limit is None else min(limit, cap)
-    return df.orderBy(*order).limit(size)
+    """The first rows in order: as many as the tighter of limit and cap allows, all without either."""
+    given = [n for n in (limit, cap) if n is not None]
+    return df.orderBy(*order).limit(min(given)) if given else df.orderBy(*order)
 
 
-def truncated(page_meta: DataFrame, limit: int | None = None, cap: int = DEFAULT_RESULT_CEILING) -> DataFrame:
+def truncated(page_meta: DataFrame, limit: int | None = None, cap: int | None = None) -> DataFrame:
     """One row: whether the cap, not the caller's limit, cut the results (``count`` per page)."""
-    by_ceiling = limit is None or limit >= cap
-    return page_meta.agg(
-        (F.lit(by_ceiling) & F.coalesce(F.max("count") > cap, F.lit(False))).alias("truncated")
-    )
+    if cap is None or (limit is not None and limit < cap):
+        return page_meta.sparkSession.range(1).select(F.lit(False).alias("truncated"))
+    return page_meta.agg(F.coalesce(F.max("count") > cap, F.lit(False)).alias("truncated"))
+
+
+def matches(
+    df: DataFrame, query: str | None = None, year: str | None = None, only_open_access: bool = False
+) -> DataFrame:
+    """All rows of a search: cheap conditions first, then keywords."""
+    rows = year_filter(df, year, only_open_access)
+    return keyword_filter(rows, query) if query else rows
 
 
 def search_corpus(
@@ -98,11 +174,22 @@ def search_corpus(
     year: str | None = None,
     only_open_access: bool = False,
     limit: int | None = None,
-    cap: int = DEFAULT_RESULT_CEILING,
     order: tuple[str, ...] = ("ord",),
 ) -> DataFrame:
-    """A search over stored records: cheap conditions first, then keywords, then the limit."""
-    rows = year_filter(df, year, only_open_access)
-    if query:
-        rows = keyword_filter(rows, query)
-    return limited(rows, list(order), limit, cap)
+    """A search over stored records; every match unless the caller sets a limit."""
+    return limited(matches(df, query, year, only_open_access), list(order), limit)
+
+
+def capped_search(
+    df: DataFrame,
+    cap: int,
+    query: str | None = None,
+    year: str | None = None,
+    only_open_access: bool = False,
+    limit: int | None = None,
+    order: tuple[str, ...] = ("ord",),
+) -> tuple[DataFrame, DataFrame]:
+    """A search under an engine's quota: its rows, and one row telling whether the quota cut them."""
+    found = matches(df, query, year, only_open_access)
+    total = found.agg(F.count(F.lit(1)).alias("count"))
+    return limited(found, list(order), limit, cap), truncated(total, limit, cap)

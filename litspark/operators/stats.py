@@ -102,19 +102,33 @@ def by_provider(runs: DataFrame) -> DataFrame:
     return runs.groupBy("provider").agg(F.count("*").alias("requests"))
 
 
-def by_model(runs: DataFrame, *keys: Column | str) -> DataFrame:
-    """Per model over all providers; tokens and seconds count finished runs only."""
+def by_model_sums(runs: DataFrame, *keys: Column | str) -> DataFrame:
+    """Sums per model over all providers, which add up over parts of a table."""
     done = F.col("status") == "success"
     seconds = F.coalesce("elapsed_seconds", F.lit(0.0))
-    grouped = runs.groupBy(*keys, "model_name").agg(
+    return runs.groupBy(*keys, "model_name").agg(
         F.count("*").alias("requests"),
         F.count_if(done).alias("finished"),
         F.count_if(F.col("status").isNull()).alias("open"),
         F.coalesce(F.sum(F.when(done, _tokens())), F.lit(0)).alias("tokens"),
         F.coalesce(F.sum(F.when(done, seconds)), F.lit(0.0)).alias("elapsed_seconds"),
     )
+
+
+def _with_mean(sums: DataFrame) -> DataFrame:
     mean = F.coalesce(F.try_divide("elapsed_seconds", "finished"), F.lit(0.0))
-    return grouped.withColumn("avg_elapsed_seconds", mean)
+    return sums.withColumn("avg_elapsed_seconds", mean)
+
+
+def add_up(sums: DataFrame, *keys: str) -> DataFrame:
+    """Totals from the sums of parts."""
+    added = [F.sum(c).alias(c) for c in ("requests", "finished", "open", "tokens", "elapsed_seconds")]
+    return _with_mean(sums.groupBy(*keys).agg(*added))
+
+
+def by_model(runs: DataFrame, *keys: Column | str) -> DataFrame:
+    """Per model over all providers; tokens and seconds count finished runs only."""
+    return _with_mean(by_model_sums(runs, *keys))
 
 
 def outcome_counts(df: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from litspark import schemas
 from litspark.functions.language import PROFILES, UNCLEAR
 from litspark.functions.text import IMAGE_REMOVED
 from litspark.operators.inventory import PROJECT_INPUTS
-from litspark.operators.offline import MAX_PROMPT
 from litspark.plans.bindings import MODELS, PARAMS, PROMPTS, PROVIDERS
 
 SQL: dict[str, str] = {}
@@ -159,9 +158,12 @@ SQL["exclude_again"] = with_pubs(
     """
     , filtered AS (SELECT * FROM pubs WHERE search_id < 'src15' AND language <> 'en'),
     input AS (SELECT * FROM filtered UNION ALL SELECT * FROM pubs
-        WHERE search_id NOT IN (SELECT search_id FROM filtered))
+        WHERE search_id NOT IN (SELECT search_id FROM pubs WHERE search_id < 'src15'))
     SELECT doc_id, search_id, language FROM input WHERE language <> 'fr'"""
 )
+SQL["exclude_emptied"] = with_pubs(
+    "SELECT search_id, count(*) AS papers FROM pubs WHERE search_id <> 'src3' GROUP BY search_id"
+)
 SQL["keep_downloaded"] = with_pubs("SELECT doc_id, pdf_filename FROM pubs WHERE pdf_downloaded")
 SQL["combine_engines"] = with_pubs(
     f"""
@@ -189,6 +191,17 @@ SQL["limited_search"] = with_pubs(
     f"""SELECT doc_id, year FROM ({_SEARCH}) WHERE year BETWEEN 2016 AND 2024
     AND (contains(hay, ' the ') OR contains(hay, ' la ')) ORDER BY ord LIMIT 150"""
 )
+SQL["search_truncated"] = with_pubs(
+    f"""SELECT cap, max_rows, least(n, cap, coalesce(max_rows, cap)) AS papers,
+        coalesce(max_rows, cap) >= cap AND n > cap AS truncated
+    FROM (SELECT count(*) AS n FROM ({_SEARCH}) WHERE year BETWEEN 2016 AND 2024
+        AND (contains(hay, ' the ') OR contains(hay, ' la '))),
+        (VALUES (100::BIGINT, NULL::INTEGER), (100, 50), (1073741824, NULL)) v(cap, max_rows)"""
+)
+SQL["phrase_search"] = with_pubs(
+    f"""SELECT doc_id FROM ({_SEARCH}) WHERE (contains(hay, ' of the ') OR contains(hay, ' de la '))
+    AND NOT (contains(hay, ' und ') AND contains(hay, ' der '))"""
+)
 SQL["query_notation"] = with_pubs(
     r"""SELECT doc_id, array_to_string(list_transform(
             string_split(regexp_replace(title, '[^\p{L} ]', '', 'g'), ' '),
@@ -278,6 +291,11 @@ def _flattened(engine: int) -> str:
 SQL["flatten_engine1"] = _flattened(1)
 SQL["flatten_engine2"] = _flattened(2)
 SQL["stream_pages"] = _flattened(1)
+SQL["raw_pages_round_trip"] = _flattened(1)
+SQL["raw_pages_array"] = _flattened(1)
+SQL["raw_pages_broken"] = """
+    SELECT 'works' AS kind, count(*) FILTER (doc_id // 100 % 3 <> 1) AS n FROM documents
+    UNION ALL SELECT 'rejected', count(DISTINCT doc_id // 100) FILTER (doc_id // 100 % 3 = 1) FROM documents"""
 SQL["union_engines"] = f"""WITH {DOC_CTE}
     SELECT '{schemas.SOURCE_ENGINE_1}' AS entry_source, year, count(*) AS papers,
         CAST(sum(n_chars % 7) AS BIGINT) AS "references" FROM docs GROUP BY year
@@ -523,13 +541,13 @@ _ROWS = f"""rows_in AS (
     FROM documents
 ),
 called AS (
-    SELECT provider, "ID", length(prompt) > {MAX_PROMPT} AS bad, length(prompt) AS size, call_count AS calls, model_name
+    SELECT provider, "ID", starts_with(md5(prompt), '0') AS bad, length(prompt) AS size, call_count AS calls, model_name
     FROM rows_in
 ),
 answers AS (
     SELECT provider, "ID", CASE WHEN bad THEN '' ELSE model_name || ' read ' || size || ' characters' END AS response_text,
         CASE WHEN NOT bad THEN CAST(size // 4 AS INTEGER) END AS usage_tokens,
-        CASE WHEN bad THEN 'Error: prompt too long' ELSE 'success' END AS status,
+        CASE WHEN bad THEN 'Error: refused' ELSE 'success' END AS status,
         CASE WHEN bad THEN 'error' ELSE 'finished' END AS state,
         CAST(coalesce(calls, 0) + 1 AS INTEGER) AS call_count,
         CASE WHEN bad THEN 0 ELSE CAST(size // 4 AS INTEGER) END AS total_tokens FROM called
@@ -565,6 +583,10 @@ SQL["merge_results"] = f"""WITH {_ROWS} SELECT code, provider, "ID",
     {", ".join(f"CASE WHEN r.status = 'success' THEN {'NULL' if c == 'state' else 'r.' + c} ELSE a.{c} END AS {c}"
                for c in _VALUES.split(", "))}
     FROM rows_in r JOIN answers a USING (provider, "ID")"""
+SQL["merge_repeated_results"] = f"""WITH {_ROWS} SELECT code, provider, "ID",
+    {", ".join(f"CASE WHEN r.status = 'success' THEN {'NULL' if c == 'state' else 'r.' + c} ELSE a.{c} END AS {c}"
+               for c in _VALUES.split(", "))}
+    FROM rows_in r JOIN answers a USING (provider, "ID")"""
 SQL["response_payloads"] = f"""WITH {_ROWS} SELECT "ID", r.model_name AS model, provider, 'base' AS profile,
     a.response_text, a.status, sha256(prompt) AS prompt_hash,
     CASE WHEN a.status = 'success' THEN CAST(length(prompt) AS INTEGER) END AS size
@@ -595,8 +617,7 @@ _PER_MODEL = f"""count(*) AS requests, count(*) FILTER (status = 'success') AS f
     {duration("round(sum(seconds) FILTER (status = 'success'), 2)")} AS duration"""
 SQL["run_by_model"] = f"{_RUNS} SELECT model_name, {_PER_MODEL} FROM runs GROUP BY model_name"
 SQL["stream_run_stats"] = f"""{_RUNS} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
-    model_name, {_PER_MODEL} FROM runs GROUP BY date_trunc('hour', ts), model_name
-    HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"""
+    model_name, {_PER_MODEL} FROM runs GROUP BY date_trunc('hour', ts), model_name"""
 SQL["dialogue_results"] = """
     SELECT q.conv_id * 1000 + q.turn AS "ID", CAST(length(q.text) // 4 AS INTEGER) AS tokens_estimate,
         CASE WHEN a.text IS NOT NULL THEN 'success' END AS status, sha256(a.text) AS response_hash
@@ -606,3 +627,9 @@ SQL["dialogue_results"] = """
 SQL["stream_first_seen"] = with_pubs(
     f"SELECT DISTINCT coalesce({key()}, 'row:' || ord) AS dedup_key FROM pubs"
 )
+SQL["stream_late_keys"] = with_pubs(
+    f"SELECT coalesce({key()}, 'row:' || ord) AS dedup_key, 1::BIGINT AS times FROM pubs GROUP BY ALL"
+)
+SQL["records_round_trip"] = with_pubs(
+    """SELECT ord AS doc_id, title, year, doi, NULL::INTEGER AS "citationCount" FROM pubs"""
+)

@@ -75,8 +75,10 @@ def exclude_audit(spark: SparkSession, folder: str) -> DataFrame:
 def exclude_again(spark: SparkSession, folder: str) -> DataFrame:
     """A second run reads the filtered rows of the searches that have some."""
     results = b.publications(spark, folder)
-    filtered = curate.exclude(results.where("search_id < 'src15'"), language="en")
-    rows = curate.exclude(curate.latest_rows(results, filtered), language="fr")
+    before = results.where("search_id < 'src15'")
+    filtered = curate.exclude(before, language="en")
+    done = curate.list_searches_of(before)
+    rows = curate.exclude(curate.latest_rows(results, filtered, done), language="fr")
     return rows.select(F.col("ord").alias("doc_id"), "search_id", "language")
 
 
@@ -119,6 +121,34 @@ def limited_search(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("ord").alias("doc_id"), "year")
 
 
+@query
+def exclude_emptied(spark: SparkSession, folder: str) -> DataFrame:
+    """A search whose rows were all excluded before stays empty."""
+    results = b.publications(spark, folder)
+    before = results.where("search_id = 'src3'")
+    emptied = curate.exclude(before, language="en").where("false")
+    rows = curate.latest_rows(results, emptied, curate.list_searches_of(before))
+    return rows.groupBy("search_id").agg(F.count("*").alias("papers"))
+
+
+@query
+def search_truncated(spark: SparkSession, folder: str) -> DataFrame:
+    """A search under quotas: how many rows come back, and whether the quota cut them."""
+    results, out = b.publications(spark, folder), []
+    for cap, limit in ((100, None), (100, 50), (1 << 30, None)):
+        rows, cut = search.capped_search(results, cap, "the | la", "2016-2024", limit=limit)
+        counted = rows.agg(F.count("*").alias("papers"))
+        out.append(counted.join(cut).select(F.lit(cap).cast("bigint").alias("cap"), F.lit(limit).cast("int").alias("max_rows"), "papers", "truncated"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query
+def phrase_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Phrases with marks in them, groups, and a term that is only a mark."""
+    found = search.keyword_filter(b.publications(spark, folder), '("of-the" | "de - la") -(und + der) *')
+    return found.select(F.col("ord").alias("doc_id"))
+
+
 @query
 def query_notation(spark: SparkSession, folder: str) -> DataFrame:
     """Titles read as queries, and years as ranges."""
@@ -164,6 +194,44 @@ def flatten_engine1(spark: SparkSession, folder: str) -> DataFrame:
     return _flat(pages.flatten_s2_pages(b.parse_pages(landed, 1)))
 
 
+def _land(spark: SparkSession, folder: str, engine: int) -> str:
+    path = f"{work_dir(spark)}/landed"
+    b.landed_pages(spark, folder, engine).select("value").write.text(path)
+    return path
+
+
+@query
+def raw_pages_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages written to the raw zone and read back."""
+    path = f"{work_dir(spark)}/raw"
+    writers.write_raw_pages(b.parse_pages(b.landed_pages(spark, folder, 1), 1), path)
+    return _flat(pages.flatten_s2_pages(pages.read_pages(spark, path, 1)))
+
+
+@query
+def raw_pages_array(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that hold one indented array of pages each."""
+    path = f"{work_dir(spark)}/arrays"
+    landed = b.landed_pages(spark, folder, 1)
+    joined = F.array_join(F.collect_list("value"), ",\n  ")
+    files = landed.groupBy(F.col("page_no") % 3).agg(F.concat(F.lit("[\n  "), joined, F.lit("\n]")).alias("value"))
+    files.select("value").repartition(3).write.option("maxRecordsPerFile", 1).text(path)
+    return _flat(pages.flatten_s2_pages(pages.read_pages(spark, path, 1, layout="array")))
+
+
+@query
+def raw_pages_broken(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages of which every third is broken: works read, and pages set aside."""
+    base = work_dir(spark)
+    landed = b.landed_pages(spark, folder, 1)
+    cut = F.substring("value", F.lit(1), F.length("value") - 7)
+    landed.select(F.when(F.col("page_no") % 3 == 1, cut).otherwise(F.col("value")).alias("value")).write.text(f"{base}/in")
+    good = pages.read_pages(spark, f"{base}/in", 1, rejected=f"{base}/rejected")
+    works = pages.flatten_s2_pages(good).agg(F.count("*").alias("n")).select(F.lit("works").alias("kind"), "n")
+    bad = spark.read.parquet(f"{base}/rejected").agg(F.count("*").alias("n")).select(F.lit("rejected").alias("kind"), "n")
+    return works.unionByName(bad)
+
+
 @query
 def flatten_engine2(spark: SparkSession, folder: str) -> DataFrame:
     landed = b.landed_pages(spark, folder, 2)
@@ -494,6 +562,18 @@ RESULT_KEYS = ["provider", "ID"]
 RESULT_VALUES = ["response_text", "usage_tokens", "status", "state", "call_count", "total_tokens"]
 
 
+@query
+def records_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Records written as text files with a column more, one fewer and another order, read by name."""
+    path = f"{work_dir(spark)}/records"
+    rows = b.publications(spark, folder)
+    names = [c for c in reversed(schemas.RECORD_COLUMNS) if c != "citationCount"]
+    given = rows.select(F.col("ord").alias("in.merged"), *names)
+    given.write.option("sep", ";").option("header", "true").option("escape", '"').csv(path)
+    back = readers.read_records(spark, path, extra=True)
+    return back.select(F.col("`in.merged`").cast("bigint").alias("doc_id"), "title", "year", "doi", "citationCount")
+
+
 @query
 def run_offline(spark: SparkSession, folder: str) -> DataFrame:
     results = inference.run_experiment(_rows(spark, folder), connect_offline)
@@ -506,6 +586,22 @@ def resume_pending(spark: SparkSession, folder: str) -> DataFrame:
     return results.select(*RESULT_KEYS, "status", "call_count")
 
 
+@query
+def merge_repeated_results(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows run twice, a failure before each result: one row each, the success before the failure."""
+    rows = _rows(spark, folder)
+    results = materialize(inference.resume(rows, connect_offline))
+    failed = results.withColumns(
+        {
+            "status": F.lit("Error: earlier"),
+            "response_text": F.lit("early"),
+            "timestamp": F.col("timestamp") - F.expr("INTERVAL 1 HOUR"),
+        }
+    )
+    merged = inference.merge_results(rows, results.unionByName(failed))
+    return merged.select("code", *RESULT_KEYS, *RESULT_VALUES)
+
+
 @query
 def merge_results(spark: SparkSession, folder: str) -> DataFrame:
     rows = _rows(spark, folder)
@@ -601,27 +697,31 @@ def _document_stream(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def stream_pages(spark: SparkSession, folder: str) -> DataFrame:
     base = work_dir(spark)
-    b.landed_pages(spark, folder, 1).select("value").write.text(f"{base}/landed")
-    streams.stream_pages(
-        spark, f"{base}/landed", 1, f"{base}/out", f"{base}/checkpoint"
-    ).awaitTermination()
+    landed = _land(spark, folder, 1)
+    streams.stream_pages(spark, landed, 1, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return _flat(spark.read.parquet(f"{base}/out"))
 
 
 @query
 def stream_first_seen(spark: SparkSession, folder: str) -> DataFrame:
     docs = b.publication_columns(_document_stream(spark, folder))
-    # One row per second from 2024 on; rows at the very start of the epoch would be late.
-    arrival = F.timestamp_seconds(F.col("doc_id") + 1704067200)
-    arriving = docs.select(
-        "doi", "title", F.col("doc_id").alias("ord"), arrival.alias("ingested_at")
-    )
+    arriving = docs.select("doi", "title", F.col("doc_id").alias("ord"))
     base = work_dir(spark)
-    seen = streams.stream_first_seen(arriving, delay="3650 days")
-    streams.run_available(seen, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    streams.stream_first_seen(arriving, f"{base}/out", f"{base}/keys", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out").select("dedup_key")
 
 
+@query
+def stream_late_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Records in three parts, the oldest last: late ones count as any other."""
+    docs = b.publication_columns(b.read(spark, folder, "documents"))
+    base = work_dir(spark)
+    for number, part in enumerate((2, 1, 0)):
+        rows = docs.where(F.col("doc_id") % 3 == part).select("doi", "title", F.col("doc_id").alias("ord"))
+        streams.first_seen_batch(rows, number, f"{base}/keys", f"{base}/out")
+    return spark.read.parquet(f"{base}/out").groupBy("dedup_key").agg(F.count("*").alias("times"))
+
+
 @query
 def stream_run(spark: SparkSession, folder: str) -> DataFrame:
     base = work_dir(spark)
@@ -638,8 +738,8 @@ def stream_run_stats(spark: SparkSession, folder: str) -> DataFrame:
         .option("pathGlobFilter", "events.parquet")
         .parquet(folder)
     )
-    totals = streams.stream_run_stats(b.run_columns(source))
-    streams.run_available(totals, f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    out = spark.read.parquet(f"{base}/out")
+    runs = b.run_columns(source)
+    streams.stream_run_stats(runs, f"{base}/sums", f"{base}/checkpoint").awaitTermination()
+    out = streams.run_stats(spark, f"{base}/sums")
     start: Column = F.date_format("window.start", "yyyy-MM-dd HH:mm:ss")
     return _rounded(out.select(start.alias("window_start"), *[c for c in out.columns if c != "window"]))

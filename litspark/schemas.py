@@ -32,7 +32,6 @@ SOURCE_MANUAL = "manually added"
 
 DEFAULT_YEARS = "2020-2025"
 DEFAULT_OPEN_ACCESS = False
-DEFAULT_RESULT_CEILING = 5000
 
 IDENTITY_COLUMNS = [
     "ID",

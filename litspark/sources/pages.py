@@ -10,15 +10,84 @@ from litspark.functions import filenames, text
 from litspark.functions.language import detect_language
 
 
-def read_pages(spark: SparkSession, path: str, engine: int) -> DataFrame:
-    """Raw pages: JSON lines, or a file that holds one array of pages."""
-    schema = schemas.PAGE_ENGINE_1 if engine == 1 else schemas.PAGE_ENGINE_2
-    return (
-        spark.read.schema(schema)
-        .option("multiLine", "true")
-        .json(path)
-        .withColumn("page_no", F.monotonically_increasing_id())
+CORRUPT = "_corrupt"
+
+
+def page_schema(engine: int) -> str:
+    return schemas.PAGE_ENGINE_1 if engine == 1 else schemas.PAGE_ENGINE_2
+
+
+def parse_pages(raw: DataFrame, engine: int, layout: str = "lines") -> DataFrame:
+    """Pages from a text column ``value``; other columns of ``raw`` are kept.
+
+    ``layout`` says what a value is: one page (``lines``) or one array of pages (``array``). What can't
+    be read stays as a row with its text in ``_corrupt`` and no page.
+    """
+    page = f"page_no bigint, {page_schema(engine)}, {CORRUPT} string"
+    options = {"columnNameOfCorruptRecord": CORRUPT}
+    others = [c for c in raw.columns if c != "value"]
+    if layout == "lines":
+        rows = raw.where(F.trim("value") != "").select(*others, "value", F.from_json("value", page, options).alias("p"))
+    elif layout == "array":
+        # A file of one page, not in an array, is taken as an array of one.
+        text_ = F.ltrim(F.translate("value", "\r\n\t", "   "))
+        whole = F.when(F.startswith(text_, F.lit("[")), text_).otherwise(F.concat(F.lit("["), text_, F.lit("]")))
+        items = F.from_json(whole, "array<string>")
+        listed = raw.where(text_ != "").select(*others, "value", F.posexplode_outer(items).alias("place", "item"))
+        rows = listed.select(*others, "value", "place", F.from_json("item", page, options).alias("p"))
+        rows = rows.withColumn("value", F.when(F.col("p").isNotNull(), F.lit(None)).otherwise(F.col("value")))
+        others.append("place")
+    else:
+        raise ValueError("layout must be lines or array")
+    bad = F.when(F.col("p").isNull(), F.col("value")).otherwise(F.col(f"p.{CORRUPT}"))
+    read = rows.withColumn("_bad", bad).select(*others, "p.*", "_bad").drop(CORRUPT)
+    return read.withColumnRenamed("_bad", CORRUPT)
+
+
+def raw_text(spark: SparkSession, path: str, layout: str = "lines", stream: bool = False) -> DataFrame:
+    """Text of landed files: a row per line, or per file for arrays.
+
+    A file that holds one array can't be split: it is one search's pages. Large tables of pages are
+    JSON lines.
+    """
+    reader = spark.readStream if stream else spark.read
+    return reader.text(path, wholetext=layout == "array")
+
+
+def split_pages(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Readable pages, and what could not be read."""
+    good = parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return good, parsed.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+
+
+def or_fail(parsed: DataFrame) -> DataFrame:
+    """All pages; the job ends with an error at one that can't be read."""
+    message = F.concat(F.lit("unreadable page: "), F.substring(CORRUPT, 1, 200))
+    read = F.when(F.col(CORRUPT).isNull(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    return parsed.where(read).drop(CORRUPT)
+
+
+def read_pages(
+    spark: SparkSession, path: str, engine: int, layout: str = "lines", rejected: str | None = None
+) -> DataFrame:
+    """Every page of the landed files, with ``page_no`` to order by: file, place in it.
+
+    Pages that can't be read go to the table ``rejected``; without one they are an error.
+    """
+    raw = raw_text(spark, path, layout).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
     )
+    parsed = parse_pages(raw, engine, layout).drop("page_no")
+    place = [c for c in ("file", "block", "row", "place") if c in parsed.columns]
+    parsed = parsed.withColumn("page_no", F.struct(*place)).drop(*place)
+    if rejected is None:
+        return or_fail(parsed)
+    good, bad = split_pages(parsed)
+    bad.write.mode("append").parquet(rejected)
+    return good
 
 
 def _explode(pages: DataFrame, items: str) -> DataFrame:

@@ -50,32 +50,59 @@ def row_in_file() -> Column:
     return F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
 
 
-def _read_semicolon(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    text_schema = T.StructType([T.StructField(c, T.StringType()) for c in schemas.RECORD_COLUMNS])
-    reader = (
-        spark.read.schema(text_schema)
-        .option("sep", ";")
-        .option("header", "true")
-        .option("enforceSchema", "false")
-        .option("multiLine", "true")
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("encoding", "UTF-8")
-        .options(**options)
-    )
-    return reader.csv(path).select(
-        "*",
-        F.col("_metadata.file_name").alias("file_name"),
-        row_in_file().alias("ord"),
+def _headers(spark: SparkSession, path: str, **options: str) -> dict[str, list[str]]:
+    """Files by their first line: one short row per file comes to the driver."""
+    lines = spark.read.options(**options).text(path)
+    first = (
+        lines.select(
+            F.col("_metadata.file_path").alias("path"),
+            "value",
+            F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"),
+        )
+        .groupBy("path")
+        .agg(F.min_by("value", "place").alias("header"))
     )
+    by_header: dict[str, list[str]] = {}
+    for row in first.orderBy("path").collect():
+        by_header.setdefault(row["header"].lstrip("\ufeff"), []).append(row["path"])
+    return by_header
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
+def _read_semicolon(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """Text files with all columns as text, taken by the names in each file's own header."""
+    tables = []
+    for paths in _headers(spark, path, **options).values():
+        reader = (
+            spark.read.option("sep", ";")
+            .option("header", "true")
+            .option("multiLine", "true")
+            .option("quote", '"')
+            .option("escape", '"')
+            .option("encoding", "UTF-8")
+        )
+        rows = reader.csv(paths)
+        named = [F.col(f"`{c}`").alias(c.strip()) for c in rows.columns]
+        tables.append(rows.select(*named, F.col("_metadata.file_name").alias("file_name"), row_in_file().alias("ord")))
+    if not tables:
+        names = ", ".join(f"{c} string" for c in schemas.RECORD_COLUMNS)
+        return spark.createDataFrame([], f"{names}, file_name string, ord bigint")
+    first, *rest = tables
+    for other in rest:
+        first = first.unionByName(other, allowMissingColumns=True)
+    return first
+
+
+def read_records(spark: SparkSession, path: str, extra: bool = False) -> DataFrame:
     """Records of ``;``-separated files, with the file name and the row order.
 
+    Columns are found by name, in any order; those a file lacks are null. With ``extra`` the columns
+    that are not of the record schema, as merged tables have them, are carried along as text.
     Text files are for exchange: a multi-line file cannot be split. Large tables are Parquet.
     """
-    return apply_record_schema(_read_semicolon(spark, path), "file_name", "ord")
+    rows = _read_semicolon(spark, path)
+    known = {*schemas.RECORD_COLUMNS, "file_name", "ord"}
+    others = [c for c in rows.columns if c not in known] if extra else []
+    return apply_record_schema(rows, *[f"`{c}`" for c in others], "file_name", "ord")
 
 
 def read_searches(spark: SparkSession, folder: str, role: str = "results") -> DataFrame:

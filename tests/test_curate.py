@@ -155,7 +155,9 @@ def test_audit(three):
 def test_latest_rows(records):
     results = records({"search_id": A, "doi": "1"}, {"search_id": A, "doi": "2"}, {"search_id": B, "doi": "3"})
     filtered = results.where("doi = '2'")
-    assert sorted(r["doi"] for r in curate.latest_rows(results, filtered).collect()) == ["2", "3"]
+    assert sorted(r["doi"] for r in curate.latest_rows(results, filtered, [A]).collect()) == ["2", "3"]
+    with pytest.raises(ValueError):
+        curate.latest_rows(results, filtered)
     assert curate.latest_rows(results, None).count() == 3
     emptied = results.where("false")
     assert [r["doi"] for r in curate.latest_rows(results, emptied, [A]).collect()] == ["3"]
@@ -206,6 +208,8 @@ def test_limit_and_ceiling(spark):
     assert search.limited(rows, ["ord"], 20, 150).count() == 20
     assert search.truncated(pages, 20, 150).first()[0] is False
     assert search.truncated(pages, None, 1000).first()[0] is False
+    assert search.limited(rows, ["ord"]).count() == 200
+    assert search.truncated(pages).first()[0] is False
 
 
 def test_papers_by_year(records):

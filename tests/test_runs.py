@@ -1,7 +1,9 @@
 import datetime
+import hashlib
 import json
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from litspark import schemas
@@ -30,15 +32,18 @@ def rows(spark):
     return make
 
 
+REFUSED = next(p for p in (f"prompt {i}" for i in range(1000)) if hashlib.md5(p.encode()).hexdigest()[0] == "0")
+
+
 def test_run_and_merge(rows):
-    df = rows({}, {"prompt": "x" * 5000}, {"status": "success", "response_text": "kept", "call_count": 1}, {"call_count": 2})
+    df = rows({}, {"prompt": REFUSED}, {"status": "success", "response_text": "kept", "call_count": 1}, {"call_count": 2})
     results = inference.resume(df, connect_offline, concurrency=3)
     assert sorted(r["ID"] for r in results.collect()) == [1, 2, 4]
     merged = {r["ID"]: r for r in inference.merge_results(df, results).collect()}
     assert (merged[1]["status"], merged[1]["state"], merged[1]["total_tokens"], merged[1]["call_count"]) == ("success", "finished", 10, 1)
     assert merged[1]["response_text"] == "m read 40 characters"
     assert (merged[2]["status"], merged[2]["state"], merged[2]["usage_tokens"], merged[2]["total_tokens"]) == (
-        "Error: prompt too long", "error", None, 0)
+        "Error: refused", "error", None, 0)
     assert merged[3]["response_text"] == "kept" and merged[4]["call_count"] == 3
     assert merged[1]["elapsed_seconds"] >= 0 and isinstance(merged[1]["timestamp"], datetime.datetime)
 
@@ -136,7 +141,7 @@ def test_run_statistics(rows):
 
 def test_stream_run_skips_stored_successes(spark, rows, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    df = rows({}, {"prompt": "x" * 5000}, {"status": "success"}, {})
+    df = rows({}, {"prompt": REFUSED}, {"status": "success"}, {})
     df.write.parquet(source)
 
     def run(checkpoint):
@@ -144,36 +149,68 @@ def test_stream_run_skips_stored_successes(spark, rows, tmp_path):
         streams.stream_run(stream, out, str(tmp_path / checkpoint), connect_offline).awaitTermination()
         return [(r["ID"], r["status"]) for r in spark.read.parquet(out).orderBy("ID", "timestamp").collect()]
 
-    bad = (2, "Error: prompt too long")
+    bad = (2, "Error: refused")
     assert run("one") == [(1, "success"), bad, (4, "success")]
     assert run("one") == [(1, "success"), bad, (4, "success")]
     # A replay from the start repeats the failed row alone.
     assert run("two") == [(1, "success"), bad, bad, (4, "success")]
 
 
-def test_stream_first_seen_equals_batch(spark, tmp_path):
+def test_merge_takes_one_result_of_several(spark, rows):
+    t = datetime.datetime(2026, 1, 1)
+    kinds = "provider string, ID bigint, status string, response_text string, timestamp timestamp_ntz"
+    results = spark.createDataFrame(
+        [("ollama", 1, "success", "first", t), ("ollama", 1, "success", "second", t.replace(day=2)),
+         ("ollama", 1, "Error: late", "", t.replace(day=3)), ("ollama", 2, "Error: a", "", t), ("ollama", 2, "Error: b", "", t.replace(day=2))], kinds)
+    merged = [(r["ID"], r["status"], r["response_text"]) for r in inference.merge_results(rows({}, {}, {}), results).orderBy("ID").collect()]
+    assert merged == [(1, "success", "second"), (2, "Error: b", ""), (3, None, None)]
+
+
+def test_stream_first_seen_keeps_late_rows(spark, tmp_path):
     rows = [(f"d{i % 5}" if i % 3 else "hot", None, i) for i in range(300)] + [(None, None, 900), (None, " ", 901)]
     df = spark.createDataFrame(rows, "doi string, title string, ord bigint")
-    df = df.withColumn("ingested_at", F.timestamp_seconds(F.col("ord") + 1_700_000_000))
-    df.repartition(4).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    seen = streams.stream_first_seen(stream)
-    streams.run_available(seen, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    keys = [r["dedup_key"] for r in spark.read.parquet(str(tmp_path / "out")).collect()]
-    assert sorted(keys) == sorted([f"doi:d{i}" for i in range(5)] + ["doi:hot", "row:900", "row:901"])
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    df.repartition(4).write.parquet(source)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+    def run():
+        streams.stream_first_seen(stream, out, str(tmp_path / "keys"), str(tmp_path / "cp")).awaitTermination()
+        return sorted(r["dedup_key"] for r in spark.read.parquet(out).collect())
+
+    want = [f"doi:d{i}" for i in range(5)] + ["doi:hot", "row:900", "row:901"]
+    assert run() == sorted(want)
+    late = spark.createDataFrame([("d1", None, -5), ("new", None, -4), (None, None, -3)], df.schema)
+    late.coalesce(1).write.mode("append").parquet(source)
+    assert run() == sorted([*want, "doi:new", "row:-3"])
+    streams.first_seen_batch(late, 4, str(tmp_path / "keys"), out)  # a replay of the batch
+    assert run() == sorted([*want, "doi:new", "row:-3"])
 
 
 def test_stream_stats_equal_batch(spark, tmp_path):
     start = datetime.datetime(2026, 1, 1)
     rows = [(start + datetime.timedelta(minutes=7 * i), f"m{i % 2}", "success" if i % 3 else None, i, None, 1.0) for i in range(60)]
     df = spark.createDataFrame(rows, "ts timestamp_ntz, model_name string, status string, total_tokens int, usage_tokens int, elapsed_seconds double")
-    df.write.parquet(str(tmp_path / "in"))
-    totals = streams.stream_run_stats(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
-    streams.run_available(totals, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out"))
+    df.orderBy(F.desc("ts")).repartitionByRange(3, F.desc("ts")).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    streams.stream_run_stats(stream, str(tmp_path / "sums"), str(tmp_path / "cp")).awaitTermination()
+    got = streams.run_stats(spark, str(tmp_path / "sums"))
     batch = stats.by_model(df.withColumn("ts", F.col("ts").cast("timestamp")), F.window("ts", "1 hour").alias("window"))
-    closed = batch.where("window.end <= (timestamp'2026-01-01' + interval 403 minutes)")
-    assert sorted(map(str, got.collect())) == sorted(map(str, closed.select(got.columns).collect()))
+    assert sorted(map(str, got.collect())) == sorted(map(str, batch.select(got.columns).collect()))
+    assert got.agg(F.sum("requests")).first()[0] == 60
+
+
+def test_stream_pages_set_aside(spark, tmp_path):
+    landed = tmp_path / "landed"
+    landed.mkdir()
+    page = lambda i: {"page_no": i, "data": [{"paperId": str(i), "title": "T", "authors": []}]}
+    (landed / "a.json").write_text(json.dumps([page(1), page(2)], indent=2))
+    (landed / "b.json").write_text('[{"page_no": 3, "data"')
+    out, bad = str(tmp_path / "out"), str(tmp_path / "bad")
+    streams.stream_pages(spark, str(landed), 1, out, str(tmp_path / "cp"), "array", bad).awaitTermination()
+    assert sorted(r["search_engine_internal_id"] for r in spark.read.parquet(out).collect()) == ["1", "2"]
+    assert spark.read.parquet(bad).count() == 1
+    with pytest.raises(StreamingQueryException):
+        streams.stream_pages(spark, str(landed), 1, str(tmp_path / "o2"), str(tmp_path / "cp2"), "array").awaitTermination()
 
 
 def test_stream_pages_once(spark, tmp_path):

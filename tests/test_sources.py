@@ -106,7 +106,7 @@ def _s2(i, **values):
 def test_engine_1_pages(spark, tmp_path):
     (tmp_path / "raw.json").write_text(json.dumps(
         [{"total": 3, "token": "x", "data": [_s2(1), _s2(2, externalIds=None, authors=[])]}, {"data": [_s2(3, year=None)]}]))
-    df = pages.flatten_s2_pages(pages.read_pages(spark, str(tmp_path / "raw.json"), 1))
+    df = pages.flatten_s2_pages(pages.read_pages(spark, str(tmp_path / "raw.json"), 1, "array"))
     rows = df.orderBy("page_no", "pos").collect()
     assert [(r["search_engine_internal_id"], r["authors"], r["doi"], r["year"]) for r in rows] == [
         ("P1", "Ada Lovelace; ", "10.1/1", 2020), ("P2", "", None, 2020), ("P3", "Ada Lovelace; ", "10.1/3", None)]
@@ -165,3 +165,36 @@ def test_filter_log_and_failures(spark, tmp_path):
     writers.write_failures(outcomes, str(tmp_path / "failed"))
     written = [path.read_text() for path in (tmp_path / "failed").glob("*.csv")]
     assert any("d;t;;f.pdf;false" in text for text in written)
+
+
+def test_json_lines_give_every_page(spark, tmp_path):
+    lines = [json.dumps({"data": [_s2(2 * i), _s2(2 * i + 1)]}) for i in range(3)]
+    (tmp_path / "a.json").write_text("\n".join(lines) + "\n\n")
+    rows = pages.flatten_s2_pages(pages.read_pages(spark, str(tmp_path / "a.json"), 1)).orderBy("page_no", "pos").collect()
+    assert [r["search_engine_internal_id"] for r in rows] == [f"P{i}" for i in range(6)]
+    writers.write_raw_pages(spark.read.schema(schemas.PAGE_ENGINE_1).json(str(tmp_path / "a.json")), str(tmp_path / "raw"))
+    assert pages.flatten_s2_pages(pages.read_pages(spark, str(tmp_path / "raw"), 1)).count() == 6
+
+
+def test_unreadable_pages_are_told(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(json.dumps({"data": [_s2(1)]}) + '\n{"data": [\n' + json.dumps({"data": [_s2(2)]}) + "\n")
+    with pytest.raises(Exception, match="unreadable page"):
+        pages.read_pages(spark, str(tmp_path / "in"), 1).collect()
+    good = pages.read_pages(spark, str(tmp_path / "in"), 1, rejected=str(tmp_path / "bad"))
+    assert sorted(r["search_engine_internal_id"] for r in pages.flatten_s2_pages(good).collect()) == ["P1", "P2"]
+    assert [r["_corrupt"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == ['{"data": [']
+    # An array of pages is no line of pages.
+    (tmp_path / "array.json").write_text(json.dumps([{"data": [_s2(1)]}], indent=1))
+    with pytest.raises(Exception, match="unreadable page"):
+        pages.read_pages(spark, str(tmp_path / "array.json"), 1).collect()
+
+
+def test_records_by_header_name(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.csv").write_text("in_search_a;title;year\n1;One;2021\n")
+    (tmp_path / "m" / "b.csv").write_text('year;doi;title;odd.name\n2020;10.1/x;"Two; b";z\n')
+    rows = readers.read_records(spark, str(tmp_path / "m"), extra=True).orderBy("title").collect()
+    assert [(r["title"], r["year"], r["doi"], r["in_search_a"], r["odd.name"], r["abstract"]) for r in rows] == [
+        ("One", 2021, None, "1", None, None), ("Two; b", 2020, "10.1/x", None, "z", None)]
+    assert "in_search_a" not in readers.read_records(spark, str(tmp_path / "m")).columns
