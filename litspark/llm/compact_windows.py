@@ -310,7 +310,8 @@ def repeats(
     )
     pairs = materialize(pairs.where(F.col("functions") >= need).drop("functions"))
     wanted = pairs.select("id").unionAll(pairs.select(F.col("source").alias("id"))).distinct()
-    chosen = materialize(rows.join(wanted, "id", "left_semi"))
+    # The ids grow with the data: they are never broadcast, so the join is the same at every size.
+    chosen = materialize(rows.join(wanted.hint("merge"), "id", "left_semi"))
     spans = _verify(pairs, chosen, size, need, least).unionAll(copies)
     return spans.groupBy("id").agg(
         union(F.array_sort(F.collect_set(F.struct("start", "end")))).alias("spans"),
