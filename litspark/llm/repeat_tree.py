@@ -103,11 +103,11 @@ def anchor_rows(documents: DataFrame, length: int, gram: int) -> DataFrame:
     Other rows have a negative ``reach``: spans of that many bytes that are repeats already.
     """
     side = length - gram
-    remember = 200_000
+    remember = 50_000
 
     def run(batches):
         seen: dict[bytes, int] = {}
-        for piece in pieces(batches, "text", SEGMENT):
+        for piece in pieces(batches, "text", SEGMENT >> 1):
             ids = piece.column(0).to_numpy(zero_copy_only=False)
             t = texts(piece.column(1))
             # A whole text met before in this task under a smaller id is known as a copy.
@@ -313,11 +313,20 @@ def _left_groups(members: list[int], left: list[bytes], at: int, need: int):
         todo += [(g, depth + 1) for g in by_next.values() if len(g) > 1]
 
 
-def repeat_groups(left: list[bytes], order: list[int], lcp: list[int], length: int, gram: int):
-    """Maximal repeat groups of one bucket: (bytes to the left, to the right, members)."""
+def repeat_groups(
+    left: list[bytes], order: list[int], lcp: list[int], length: int, gram: int, known: list[int] | None = None
+):
+    """Maximal repeat groups of one bucket: (bytes to the left, to the right, members).
+
+    With ``known``, how far to the left each member is known to repeat, groups that tell nothing new
+    are passed over.
+    """
     for right, first, last in intervals(lcp, gram):
         members = sorted(order[first : last + 1])
-        for depth, group in _left_groups(members, left, 0, max(0, length - right)):
+        need = max(0, length - right)
+        if known is not None:
+            need = max(need, min(known[k] for k in members[1:]) + 1)
+        for depth, group in _left_groups(members, left, 0, need):
             yield depth, right, group
 
 
@@ -352,12 +361,17 @@ def scan(buckets: DataFrame, length: int, gram: int) -> DataFrame:
             own = order[s : s + n].tolist()
             base = min(own)
             lefts = [left[base + k, : left_n[base + k]].tobytes() for k in range(n)]
+            # Intervals come with the longest common prefixes first: a later group tells something
+            # new of a member only if it reaches farther to the left.
+            reach_left = [-1] * n
             for depth, ahead_, group in repeat_groups(
-                lefts, [k - base for k in own], lcp[s : s + n - 1].tolist(), length, gram
+                lefts, [k - base for k in own], lcp[s : s + n - 1].tolist(), length, gram, reach_left
             ):
                 for k in group[1:]:
-                    x = base + k
-                    many.append((int(ids[x]), int(place[x]) - depth, int(place[x]) + ahead_))
+                    if depth > reach_left[k]:
+                        reach_left[k] = depth
+                        x = base + k
+                        many.append((int(ids[x]), int(place[x]) - depth, int(place[x]) + ahead_))
         if many:
             found.append(np.array(many, "i8"))
         spans = np.concatenate(found)
