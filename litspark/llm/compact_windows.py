@@ -214,6 +214,8 @@ def similar(part: np.ndarray, other: np.ndarray, near: np.ndarray) -> bool:
     there = near[at]
     # Stray hits elsewhere in the other text don't widen its stretch.
     there = there[np.abs(at - there - np.median(at - there)) <= max(32, len(part) // 4)]
+    if not len(there):
+        return False
     x, y = np.unique(part), np.unique(other[there.min() : there.max() + 1])
     shared = len(np.intersect1d(x, y, assume_unique=True))
     return shared >= SIMILAR * (len(x) + len(y) - shared)
