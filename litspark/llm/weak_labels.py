@@ -190,7 +190,7 @@ def learn_lists(rows: list[tuple[str, int]], folds: int = FOLDS) -> list[Lists]:
             del pair, once
             counts.append(np.bincount(np.searchsorted(distinct, pairs), minlength=len(distinct)))
         n_bad, n_good = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
-        common = counts[0] >= max(3, 0.08 * n_bad)
+        common = counts[0] >= max(4, 0.08 * n_bad)
         likely = common & (counts[0] / n_bad >= 20 * (counts[1] + 0.5) / n_good)
         lists.append((distinct[likely & (counts[1] <= 0.001 * n_good)], distinct[likely]))
     return lists
