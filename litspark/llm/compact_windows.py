@@ -221,24 +221,50 @@ def similar(part: np.ndarray, other: np.ndarray, near: np.ndarray) -> bool:
     return shared >= SIMILAR * (len(x) + len(y) - shared)
 
 
+class _Places:
+    """Where each shingle of a text stands."""
+
+    def __init__(self, values: np.ndarray):
+        self.place = np.argsort(values, kind="stable")
+        self.values = values[self.place]
+        new = np.ones(len(values), bool)
+        new[1:] = self.values[1:] != self.values[:-1]
+        self.block = np.cumsum(new) - 1
+        # Block and place in one number: sorted, as places grow within a block.
+        self.key = self.block * len(values) + self.place
+
+    def nearest(self, wanted: np.ndarray, target: np.ndarray, most: np.ndarray | None) -> np.ndarray:
+        """Place of each wanted shingle nearest to its target, ``most`` at most; -1 without one."""
+        n = len(self.values)
+        if not n:
+            return np.full(len(wanted), -1)
+        first = np.minimum(np.searchsorted(self.values, wanted), n - 1)
+        there = self.values[first] == wanted
+        block = self.block[first]
+        target = np.clip(target if most is None else np.minimum(target, most), 0, n - 1)
+        up = np.searchsorted(self.key, block * n + target)
+        down = up - 1
+        up = np.minimum(up, n - 1)
+        most = np.full(len(wanted), n) if most is None else most
+        far = 1 << 60
+        ahead = there & (self.block[up] == block) & (self.place[up] >= target) & (self.place[up] <= most)
+        behind = there & (down >= 0) & (self.block[down] == block) & (self.place[down] <= most)
+        d_up = np.where(ahead, self.place[up] - target, far)
+        d_down = np.where(behind, target - self.place[down], far)
+        out = np.where(d_up < d_down, self.place[up], self.place[down])
+        return np.where(ahead | behind, out, -1)
+
+
 def verified(
     own: np.ndarray, other: np.ndarray, places: list[tuple[int, int, int, int]], need: int, least: int, same: bool
 ) -> list[tuple[int, int]]:
     """Stretches of ``own`` that are near-duplicates of stretches of ``other``."""
-    order = np.argsort(other, kind="stable")
-    ranked = other[order]
+    index = _Places(other)
     out = []
     for low, high, shift in stretches(places, need, least):
         part = own[low:high]
-        left, right = np.searchsorted(ranked, part, "left"), np.searchsorted(ranked, part, "right")
-        # Of equal shingles of the other text the one nearest to the shift counts.
-        near = np.full(len(part), -1)
-        for k in np.flatnonzero(right > left).tolist():
-            at = order[left[k] : right[k]]
-            if same:
-                at = at[at <= low + k - least]
-            if len(at):
-                near[k] = at[np.argmin(np.abs(at - (low + k - shift)))] if len(at) > 1 else at[0]
+        at = low + np.arange(len(part))
+        near = index.nearest(part, at - shift, at - least if same else None)
         for a, b in dense_runs(near >= 0, 2 * SIMILAR / (1 + SIMILAR), least):
             if similar(part[a:b], other, near[a:b]):
                 out.append((low + a, low + b))
