@@ -4,7 +4,7 @@ Each task first replaces its own edges by a spanning forest of them (union-find
 partition), which leaves at most one edge per node. Then large-star and small-star steps
 alternate: every node's larger, then smaller, neighbours are linked to its smallest one. Each
 step is an aggregation and a join, the result is written to the shared folder, and the loop ends
-when every edge points from a node to its component's smallest. A node with very many
+when every edge points from a node to its component's smallest, which one aggregation tells. A node with very many
 neighbours is met in salted joins, its minimum in a pre-aggregated one.
 """
 
@@ -73,10 +73,13 @@ def _salted(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return spread.join(copies, [key, "salt"]).drop("salt")
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Number and checksum of the edges: equal for the same edges in any order."""
-    total = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-    return tuple(edges.agg(F.count(F.lit(1)), total).first())
+def _is_star(edges: DataFrame) -> bool:
+    """Whether every edge leads from a node without other edges to its root."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionAll(
+        edges.select(F.col("b").alias("node"), F.lit(0), F.lit(1))
+    )
+    per_node = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return per_node.where("out > 1 OR (out = 1 AND into = 1)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -85,8 +88,8 @@ def components(edges: DataFrame) -> DataFrame:
     ``edges`` has two bigint columns ``a`` and ``b``; direction, repeats and loops don't matter.
     """
     star = materialize(forest(edges.select("a", "b").where("a <> b")).distinct())
-    state = _state(star)
-    while True:
+    # Edges lead from larger to smaller nodes throughout, so the root of a star is its smallest node.
+    while not _is_star(star):
         # Large star: the larger neighbours of a node go to its smallest neighbour, or to itself.
         both = star.select("a", "b").unionAll(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = (
@@ -101,6 +104,4 @@ def components(edges: DataFrame) -> DataFrame:
         ahead = met.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
         small = ahead.unionAll(small_least.select("a", F.col("least").alias("b")))
         star = materialize(forest(small).distinct())
-        before, state = state, _state(star)
-        if state == before:
-            return star.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return star.select(F.col("a").alias("node"), F.col("b").alias("root"))
