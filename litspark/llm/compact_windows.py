@@ -4,12 +4,13 @@ A text is the sequence of its five-word shingles. Under one hash function, the s
 least hash stands at place ``c`` are those that begin in ``[l, c]`` and end in ``[c, r]``: one compact
 window ``(l, c, r)`` stands for all of them. The windows of a text are the nodes of the Cartesian
 tree over its hashes; only those of ``WORDS`` words or more are kept, about ``2 n / WORDS`` a text.
-Two passages with equal least hashes meet where their windows have the same value. A window is
-joined to the better of two earlier ones with its value, the first and the one before it, so that a
-passage of very many documents gives one row per window and no pairs. The two windows then
-agree on an interval around ``c``. Where the intervals of ``NEED`` of ``HASHES`` functions overlap for one
-pair of documents, the passage is verified on both texts: a stretch of shingles of which eight in
-ten are the other's, and a Jaccard similarity of 0.8 with the other's stretch.
+Two passages with equal least hashes meet where their windows have the same value. A window
+meets all earlier ones with its value: two bytes of each shingle near ``c`` tell whether there is a
+similar stretch around it, of which equal surroundings are compared once, and what an earlier window
+has told is not told again, so that a passage of very many documents gives few rows and no pairs.
+The two windows then agree on an interval around ``c``. Where one of ``HASHES`` functions finds
+such a pair, the passage is verified on both texts: a stretch of shingles of which eight in
+nine are the other's, and a Jaccard similarity of 0.8 with the other's stretch.
 
 A verified passage is a repeat of an earlier one (smaller id, or earlier in the same document), and
 it is the later one that is removed. A whole text with an earlier copy is a repeat without search.
@@ -23,21 +24,20 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litspark.llm.arrays import SPACES, Texts, mix, pieces, shingles, texts, words
+from litspark.llm.arrays import SPACES, Texts, mix, pieces, ragged, shingles, texts, words
 from litspark.llm.spans import kept_bytes, union
 from litspark.session import materialize
 
 SIZE = 5
 WORDS = 50
 HASHES = 4
-NEED = 2
+REACH = 12  # places beyond the least length that a window shows of its surroundings
 SIMILAR = 0.8
 SALTS = 16
 _TIES = np.uint64((1 << 16) - 1)
@@ -110,79 +110,238 @@ def windows(documents: DataFrame, size: int = SIZE, n_words: int = WORDS, hashes
     return documents.select("id", "text").mapInArrow(run, _WINDOW)
 
 
+def _shared(placed: DataFrame) -> DataFrame:
+    """Windows whose key another window has too; ``placed`` is sorted by key in each partition."""
+
+    def run(batches):
+        # The last row waits: the next batch tells whether its key goes on.
+        held, known = None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            keys = batch.column(0).to_numpy()
+            more = keys[1:] == keys[:-1]
+            shared = np.append(False, more) | np.append(more, False)
+            shared[0] |= known
+            held, known = batch.slice(len(keys) - 1), bool(shared[-1])
+            yield batch.slice(0, len(keys) - 1).filter(pa.array(shared[:-1]))
+        if known:
+            yield held
+
+    return placed.mapInArrow(run, _WINDOW)
+
+
+def surroundings(shared: DataFrame, rows: DataFrame, size: int, reach: int) -> DataFrame:
+    """Adds to each window ``around``: two bytes of each shingle up to ``reach`` places from ``c``."""
+    kind = pa.schema([*WINDOW, pa.field("around", pa.binary())])
+    width = 2 * reach + 1
+
+    def run(batches):
+        for piece in pieces(batches, "text", 1 << 20):
+            ids = piece.column(0).to_numpy()
+            own, first = shingles(words(texts(piece.column(1)), SPACES), size, whole=False)
+            short = np.concatenate([np.zeros(reach, "u2"), (mix(own) >> np.uint64(48)).astype("u2"), np.zeros(reach, "u2")])
+            listed = piece.column(2)
+            owner = np.repeat(np.arange(len(ids)), listed.value_lengths().to_numpy())
+            key, at, before, after = (x.to_numpy(zero_copy_only=False) for x in listed.flatten().flatten())
+            step = 1 << 14
+            for x in range(0, len(key), step):
+                y = slice(x, x + step)
+                taken = short[(first[owner[y]] + at[y])[:, None] + np.arange(width)]
+                offset = np.arange(width) - reach
+                taken[(offset < -before[y][:, None]) | (offset > after[y][:, None])] = 0
+                packed = pa.FixedSizeBinaryArray.from_buffers(
+                    pa.binary(2 * width), len(taken), [None, pa.py_buffer(np.ascontiguousarray(taken))]
+                )
+                columns = [key[y], ids[owner[y]], at[y], before[y], after[y]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), packed.cast(pa.binary())], schema=kind)
+
+    place = F.struct("key", "at", "before", "after")
+    listed = shared.groupBy("id").agg(F.collect_list(place).alias("places"))
+    both = rows.join(listed.hint("merge"), "id").select("id", "text", "places")
+    return both.mapInArrow(run, f"{_WINDOW}, around binary")
+
+
+def dense_around(hit: np.ndarray, reach: int, least: int) -> np.ndarray:
+    """Of each row of hits the widest stretch around place ``reach``: first, end; zeros without one.
+
+    Of its ``least`` places or more eight in nine are hits, as in any stretch of similarity 0.8.
+    """
+    sums = np.zeros((len(hit), hit.shape[1] + 1), "i4")
+    np.cumsum(np.where(hit, 1, -8), axis=1, out=sums[:, 1:])
+    best = np.maximum.accumulate(sums[:, ::-1], axis=1)[:, ::-1]
+    n = reach + 1
+    # A stretch from place a ends behind the middle, and not before a + least.
+    ends = np.maximum(np.arange(n) + least, n)
+    inside = ends <= hit.shape[1]
+    ok = (best[:, np.minimum(ends, hit.shape[1])] >= sums[:, :n]) & inside
+    low = ok.argmax(1)
+    found = ok[np.arange(len(hit)), low]
+    reached = sums >= sums[np.arange(len(hit)), low][:, None]
+    high = hit.shape[1] - reached[:, ::-1].argmax(1)
+    return np.where(found, np.stack([low, high]), 0)
+
+
+JOINED = ("id", "source", "low", "high", "shift", "seed_low", "seed_high")
+
+
+class _Key:
+    """Pairs of the windows of a batch with all earlier windows of their keys."""
+
+    def __init__(self, rows: np.ndarray, around: np.ndarray, least: int):
+        self.rows, self.around, self.least = rows, around, least
+        self.reach = around.shape[1] // 2
+        self.small = (around & np.uint16(4095)).astype("i8")
+        self.inside = self._inside(rows)
+        # 1024 bits of each window's shingles, and how many of its places share a bit.
+        bits = np.zeros((len(around), 1024), bool)
+        r, c = np.nonzero(self.inside)
+        bits[r, self.small[r, c] & 1023] = True
+        self.bits = np.packbits(bits, axis=1).view("u8")
+        self.slack = self.inside.sum(1) - bits.sum(1)
+        self.out: list[tuple[int, ...]] = []
+        self.covered: dict[int, np.ndarray] = {}
+
+    def _inside(self, rows: np.ndarray) -> np.ndarray:
+        offset = np.arange(self.around.shape[1]) - self.reach
+        return (offset >= -rows[3][:, None]) & (offset <= rows[4][:, None])
+
+    def tell(self, i: int, j: int, low: int, high: int) -> None:
+        """Window ``i`` meets ``j``: where they agree, and the stretch that is known to be similar."""
+        rows, at = self.rows, int(self.rows[2, i])
+        back, ahead = int(min(rows[3, i], rows[3, j])), int(min(rows[4, i], rows[4, j]))
+        shift = at - int(rows[2, j])
+        seed = (at - self.reach + low, at - self.reach + high) if high else (0, 0)
+        self.out.append((int(rows[1, i]), int(rows[1, j]), at - back, at + ahead + 1, shift, *seed))
+
+    def compare(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Windows ``i`` with earlier ones ``j``, sorted by ``i``."""
+        # Of the least stretch eight places in nine are hits; fewer bits in common leave none.
+        shared = np.bitwise_count(self.bits[i] & self.bits[j]).sum(1, dtype="i8")
+        near = 9 * (shared + self.slack[i]) >= 8 * self.least
+        i, j = i[near], j[near]
+        pivots, of = np.unique(j, return_inverse=True)
+        has = np.zeros((len(pivots), 4096), bool)
+        r, c = np.nonzero(self.inside[pivots])
+        has[r, self.small[pivots][r, c]] = True
+        hit = has[of[:, None], self.small[i]] & self.inside[i]
+        stretch = dense_around(hit, self.reach, self.least)
+        for k in np.flatnonzero(stretch[1]).tolist():
+            a, b, (low, high) = int(i[k]), int(j[k]), stretch[:, k].tolist()
+            known = self.covered.get(a)
+            # What is known to repeat needs no second source.
+            if known is not None and not (hit[k, low:high] & ~known[low:high]).any():
+                continue
+            self.meet(a, b)
+
+    def meet(self, i: int, j: int) -> None:
+        a, b = self.around[i], self.around[j]
+        other = np.flatnonzero(self.inside[j])
+        values = b[other]
+        equal = (a[:, None] == values[None, :]) & self.inside[i][:, None]
+        gap = np.where(equal, np.abs(np.arange(len(a))[:, None] - other[None, :]), 1 << 20)
+        best = gap.argmin(1)
+        near = np.where(equal.any(1), best, -1)
+        low, high = dense_around((near >= 0)[None], self.reach, self.least)[:, 0].tolist()
+        if not high:
+            return
+        at = low + np.flatnonzero(near[low:high] >= 0)
+        low, high = int(at[0]), int(at[-1]) + 1
+        known = self.covered.setdefault(i, np.zeros(len(a), bool))
+        told = []
+        if high - low >= self.least and similar(a[low:high], values, near[low:high]):
+            told = [(low, high)]
+        else:
+            told = [(low + x, low + y) for x, y in equal_runs(near[low:high], self.least)]
+        for x, y in told:
+            known[x:y] = True
+            self.tell(i, j, x, y)
+        if not told:
+            self.tell(i, j, 0, 0)
+
+
 def join_windows(found: DataFrame, least: int) -> DataFrame:
-    """Each window with an earlier one of its value: the interval of places on which both agree.
+    """Each window with the earlier ones of its value that repeat a part of it.
 
-    ``found`` is partitioned by key and sorted by key, id and place. Of a key only its first and
-    its last window so far are held.
+    ``found`` is partitioned by key and sorted by key, id and place. Every window meets all earlier
+    windows of its key that have other surroundings; of equal surroundings the first stands for all.
+    A pair is given where it holds a similar stretch around ``c`` that no pair before has told, so
+    that a passage of very many documents gives few rows and no pairs. Of a key only its different
+    surroundings are held.
     """
 
     def run(batches):
-        key, first, before = None, None, None
+        held, held_around = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)])
-            keys = rows[0]
-            new = np.ones(len(keys), bool)
-            new[1:] = keys[1:] != keys[:-1]
-            new[0] = keys[0] != key
-            start = np.zeros(len(keys), "i8")
-            start[new] = np.flatnonzero(new)
-            start = np.maximum.accumulate(start)
-            firsts = rows[:, start]
-            head = int(np.flatnonzero(new)[0]) if new.any() else len(keys)
-            if head:
-                firsts[:, :head] = first[:, None]
-            last = np.empty_like(rows)
-            last[:, 1:] = rows[:, :-1]
-            last[:, 0] = before if before is not None else rows[:, 0]
-            best, length = np.zeros((3, len(keys)), "i8"), np.zeros(len(keys), "i8")
-            for other in (firsts, last):
-                back, ahead = np.minimum(rows[3], other[3]), np.minimum(rows[4], other[4])
-                n = back + ahead + 1
-                # Within one document a passage repeats another only if they are apart.
-                earlier = ~new & ((other[1] < rows[1]) | (rows[2] - other[2] >= least))
-                better = earlier & (n >= least) & (n > length)
-                length[better] = n[better]
-                best[:, better] = np.stack([other[1], back, rows[2] - other[2]])[:, better]
-            ok = length > 0
-            low = rows[2][ok] - best[1][ok]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(rows[1][ok]),
-                    pa.array(best[0][ok]),
-                    pa.array(low),
-                    pa.array(low + length[ok]),
-                    pa.array(best[2][ok]),
-                    pa.array(keys[ok] & 7),
-                ],
-                names=["id", "source", "low", "high", "shift", "function"],
-            )
-            key, before = keys[-1], rows[:, -1].copy()
-            first = firsts[:, -1].copy()
-
-    schema = "id bigint, source bigint, low bigint, high bigint, shift bigint, function bigint"
-    return found.mapInArrow(run, schema)
-
-
-def stretches(intervals: list[tuple[int, int, int, int]], need: int, least: int) -> list[tuple[int, int, int]]:
-    """``(low, high, shift)`` wherever intervals of ``need`` functions overlap, of ``least`` places or more."""
-    end = max(x[1] for x in intervals)
-    cover = np.zeros(end, "i4")
-    by_function = defaultdict(list)
-    for low, high, _, function in intervals:
-        by_function[function].append((low, high))
-    for own in by_function.values():
-        change = np.zeros(end + 1, "i4")
-        np.add.at(change, [x for x, _ in own], 1)
-        np.add.at(change, [x for _, x in own], -1)
-        cover += np.cumsum(change)[:end] > 0
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], (cover >= need).astype("i1"), [0]])))
+            t = texts(batch.column(5))
+            around = np.frombuffer(t.data.tobytes(), "u2").reshape(rows.shape[1], -1)
+            h = 0
+            if held is not None and held[0, 0] == rows[0, 0]:
+                h = held.shape[1]
+                rows, around = np.concatenate([held, rows], axis=1), np.concatenate([held_around, around])
+            n = rows.shape[1]
+            pairs = _Key(rows, around, least)
+            reach = pairs.reach
+            # The numbers beside a 16-bit value tell its place, and those of a window its bounds.
+            weights = mix(np.arange(1, around.shape[1] + 1, dtype="u8"))
+            content = (mix(around + (weights[None] << np.uint64(16))) * pairs.inside).sum(1, dtype="u8")
+            content = mix(content + np.minimum(rows[3], reach).astype("u8") * np.uint64(4099) + np.minimum(rows[4], reach).astype("u8"))
+            order = np.lexsort((np.arange(n), content, rows[0]))
+            new = np.ones(n, bool)
+            new[1:] = (rows[0][order][1:] != rows[0][order][:-1]) | (content[order][1:] != content[order][:-1])
+            head = np.empty(n, "i8")
+            head[order] = order[np.maximum.accumulate(np.where(new, np.arange(n), 0))]
+            # Within one document a passage repeats another only if they are apart.
+            apart = (rows[1][head] < rows[1]) | (rows[2] - rows[2][head] >= least)
+            same = (head != np.arange(n)) & apart
+            for i in np.flatnonzero(same).tolist():
+                if i >= h:
+                    pairs.tell(i, int(head[i]), max(0, reach - int(rows[3, i])), reach + min(reach, int(rows[4, i])) + 1)
+            left = np.flatnonzero(~same)
+            keys = rows[0][left]
+            start = np.zeros(len(left), "i8")
+            if len(left):
+                fresh = np.append(True, keys[1:] != keys[:-1])
+                start = np.maximum.accumulate(np.where(fresh, np.arange(len(left)), 0))
+            count = np.where(left >= h, np.arange(len(left)) - start, 0)
+            at, step = 0, 1 << 14
+            ends = np.cumsum(count)
+            while at < len(left):
+                # Some windows with all earlier ones; one that has very many takes several goes.
+                done = int(ends[at - 1]) if at else 0
+                to = max(int(np.searchsorted(ends, done + step, "right")), at + 1)
+                i = np.repeat(np.arange(at, to), count[at:to])
+                j = ragged(start[at:to], count[at:to])
+                for x in range(0, len(i), step):
+                    a, b = left[i[x : x + step]], left[j[x : x + step]]
+                    fit = np.minimum(rows[3][a], rows[3][b]) + np.minimum(rows[4][a], rows[4][b]) + 1 >= least
+                    fit &= (rows[1][b] < rows[1][a]) | (rows[2][a] - rows[2][b] >= least)
+                    if fit.any():
+                        pairs.compare(a[fit], b[fit])
+                at = to
+            last = left[keys == rows[0, -1]]
+            held, held_around = rows[:, last].copy(), around[last].copy()
+            if pairs.out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs.out)], names=list(JOINED))
+
+    return found.mapInArrow(run, ", ".join(f"{c} bigint" for c in JOINED))
+
+
+def stretches(intervals: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
+    """``(low, high, shift)`` of the union of intervals, of ``least`` places or more."""
+    change = np.zeros(max(x[1] for x in intervals) + 1, "i4")
+    np.add.at(change, [x[0] for x in intervals], 1)
+    np.add.at(change, [x[1] for x in intervals], -1)
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(change) > 0).astype("i1"), [0]])))
     out = []
     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
         if b - a >= least:
-            shifts = sorted(s for low, high, s, _ in intervals if low < b and high > a)
+            shifts = sorted(s for low, high, s in intervals if low < b and high > a)
             out.append((a, b, shifts[len(shifts) // 2]))
     return out
 
@@ -256,12 +415,19 @@ class _Places:
 
 
 def verified(
-    own: np.ndarray, other: np.ndarray, places: list[tuple[int, int, int, int]], need: int, least: int, same: bool
+    own: np.ndarray, other: np.ndarray, places: list[tuple[int, int, int, int, int]], least: int, same: bool
 ) -> list[tuple[int, int]]:
-    """Stretches of ``own`` that are near-duplicates of stretches of ``other``."""
+    """Stretches of ``own`` that are near-duplicates of stretches of ``other``.
+
+    A place is an interval, its shift, and the stretch within it that the join told as similar.
+    """
     index = _Places(other)
     out = []
-    for low, high, shift in stretches(places, need, least):
+    wide = stretches([x[:3] for x in places], least)
+    for low, high, shift in wide + [(a, b, shift) for _, _, shift, a, b in places]:
+        # A told stretch stands on its own where the one around it was not similar as a whole.
+        if high - low < least or any(a <= low and high <= b for a, b in out):
+            continue
         part = own[low:high]
         at = low + np.arange(len(part))
         near = index.nearest(part, at - shift, at - least if same else None)
@@ -274,7 +440,7 @@ def verified(
     return out
 
 
-def _verify(pairs: DataFrame, rows: DataFrame, size: int, need: int, least: int) -> DataFrame:
+def _verify(pairs: DataFrame, rows: DataFrame, size: int, least: int) -> DataFrame:
     """Byte spans of verified repeats, with the source of each."""
 
     def run(batches):
@@ -291,8 +457,8 @@ def _verify(pairs: DataFrame, rows: DataFrame, size: int, need: int, least: int)
             for k, places in enumerate(piece.column(4).to_pylist()):
                 d, e = int(of_id[k]), int(of_source[k])
                 x, y = own[own_first[d] : own_first[d + 1]], other[other_first[e] : other_first[e + 1]]
-                listed = [(p["low"], p["high"], p["shift"], p["function"]) for p in places]
-                for a, b in verified(x, y, listed, need, least, bool(ids[k] == sources[k])):
+                listed = [tuple(p[c] for c in JOINED[2:]) for p in places]
+                for a, b in verified(x, y, listed, least, bool(ids[k] == sources[k])):
                     at = int(w.first[d])
                     start, end = int(w.start[at + a]), int(w.end[at + b + size - 2])
                     out.append((int(ids[k]), start - int(t.start[d]), end - int(t.start[d]), int(sources[k])))
@@ -313,7 +479,6 @@ def repeats(
     size: int = SIZE,
     n_words: int = WORDS,
     hashes: int = HASHES,
-    need: int = NEED,
 ) -> DataFrame:
     """``id``, ``spans`` (bytes) and ``sources`` (ids) of every document that repeats an earlier passage."""
     rows = documents.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
@@ -330,17 +495,16 @@ def repeats(
         .select("id", F.lit(0).cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "source")
     )
     placed = windows(rows, size, n_words, hashes).repartition("key").sortWithinPartitions("key", "id", "at")
-    place = F.struct(*(F.col(c).cast("int").alias(c) for c in ("low", "high", "shift", "function")))
-    # A copy has been told already and needs no search.
-    met = join_windows(placed, least).join(copies.select("id"), "id", "left_anti")
-    pairs = met.groupBy("id", "source").agg(
-        F.collect_list(place).alias("places"), F.count_distinct("function").alias("functions")
-    )
-    pairs = materialize(pairs.where(F.col("functions") >= need).drop("functions"))
+    shared = _shared(placed).join(copies.select("id").distinct(), "id", "left_anti")
+    # A copy has been told already and needs no search. Texts are read again for the windows that meet.
+    around = surroundings(materialize(shared), rows, size, least - 1 + REACH)
+    met = join_windows(around.repartition("key").sortWithinPartitions("key", "id", "at"), least)
+    place = F.struct(*(F.col(c).cast("int").alias(c) for c in JOINED[2:]))
+    pairs = materialize(met.groupBy("id", "source").agg(F.collect_list(place).alias("places")))
     wanted = pairs.select("id").unionAll(pairs.select(F.col("source").alias("id"))).distinct()
     # The ids grow with the data: they are never broadcast, so the join is the same at every size.
     chosen = materialize(rows.join(wanted.hint("merge"), "id", "left_semi"))
-    spans = _verify(pairs, chosen, size, need, least).unionAll(copies)
+    spans = _verify(pairs, chosen, size, least).unionAll(copies)
     return spans.groupBy("id").agg(
         union(F.array_sort(F.collect_set(F.struct("start", "end")))).alias("spans"),
         F.array_sort(F.collect_set("source")).alias("sources"),

@@ -77,3 +77,40 @@ def test_removal(documents, planted):
 
 def test_empty_table(documents):
     assert c.mark(documents([(1, "a")]).limit(0)).count() == 0
+
+
+def _found(documents, rows):
+    return {r.doc_id: [rows[r.doc_id][1].encode()[s.start : s.end].decode().split() for s in r.spans] for r in c.mark(documents(rows)).collect()}
+
+
+def test_passage_around_a_frequent_sentence(documents):
+    """A 60-word passage of which 40 words stand in many documents, at any place in the order."""
+    rng = random.Random(5)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    sentence, texts_, want = some(40), [], {}
+    passages = [some(10) + sentence + some(10) for _ in range(6)]
+    for k in range(60):
+        texts_.append(some(60) + sentence + some(60))
+        if k % 5 == 0:
+            texts_.append(some(60) + passages[k // 5 % 6] + some(60))
+            if k >= 30:
+                want[len(texts_) - 1] = passages[k // 5 % 6]
+    found = _found(documents, [(i, " ".join(x)) for i, x in enumerate(texts_)])
+    for i in range(len(texts_)):
+        assert found[i] == ([want[i]] if i in want else [])
+
+
+def test_copies_of_variants(documents):
+    """Variants of a template, below the similarity with one another, and copies of each later."""
+    rng = random.Random(6)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    template, variants = some(60), []
+    for _ in range(40):
+        own = list(template)
+        for at in range(rng.randrange(4, 9), 60, 12):
+            own[at] = some(1)[0]
+        variants.append(own)
+    rows = [(i, " ".join(some(30) + v + some(30))) for i, v in enumerate(variants * 2)]
+    found = _found(documents, rows)
+    for i in range(80):
+        assert found[i] == ([variants[i - 40]] if i >= 40 else [])
