@@ -210,12 +210,12 @@ def raw_pages_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def raw_pages_array(spark: SparkSession, folder: str) -> DataFrame:
-    """Files that hold one indented array of pages each."""
+    """Files that hold one indented array of pages each, 20 pages at most: more pages are more files."""
     path = f"{work_dir(spark)}/arrays"
     landed = b.landed_pages(spark, folder, 1)
     joined = F.array_join(F.collect_list("value"), ",\n  ")
-    files = landed.groupBy(F.col("page_no") % 3).agg(F.concat(F.lit("[\n  "), joined, F.lit("\n]")).alias("value"))
-    files.select("value").repartition(3).write.option("maxRecordsPerFile", 1).text(path)
+    files = landed.groupBy(F.floor(F.col("page_no") / 20)).agg(F.concat(F.lit("[\n  "), joined, F.lit("\n]")).alias("value"))
+    files.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return _flat(pages.flatten_s2_pages(pages.read_pages(spark, path, 1, layout="array")))
 
 

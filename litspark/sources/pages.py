@@ -33,9 +33,16 @@ def parse_pages(raw: DataFrame, engine: int, layout: str = "lines") -> DataFrame
         text_ = F.ltrim(F.translate("value", "\r\n\t", "   "))
         whole = F.when(F.startswith(text_, F.lit("[")), text_).otherwise(F.concat(F.lit("["), text_, F.lit("]")))
         items = F.from_json(whole, "array<string>")
-        listed = raw.where(text_ != "").select(*others, "value", F.posexplode_outer(items).alias("place", "item"))
-        rows = listed.select(*others, "value", "place", F.from_json("item", page, options).alias("p"))
-        rows = rows.withColumn("value", F.when(F.col("p").isNotNull(), F.lit(None)).otherwise(F.col("value")))
+        # The file's text stays only where it holds no item; beside items it would be repeated.
+        read = raw.where(text_ != "").withColumn("_items", items)
+        text_ = F.when(F.coalesce(F.size("_items"), F.lit(0)) < 1, F.col("value"))
+        listed = read.select(*others, text_.alias("value"), F.posexplode_outer("_items").alias("place", "item"))
+        rows = listed.select(
+            *others,
+            F.coalesce("value", "item", F.lit("null")).alias("value"),
+            "place",
+            F.from_json("item", page, options).alias("p"),
+        )
         others.append("place")
     else:
         raise ValueError("layout must be lines or array")

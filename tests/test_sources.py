@@ -198,3 +198,23 @@ def test_records_by_header_name(spark, tmp_path):
     assert [(r["title"], r["year"], r["doi"], r["in_search_a"], r["odd.name"], r["abstract"]) for r in rows] == [
         ("One", 2021, None, "1", None, None), ("Two; b", 2020, "10.1/x", None, "z", None)]
     assert "in_search_a" not in readers.read_records(spark, str(tmp_path / "m")).columns
+
+
+def test_array_pages_do_not_carry_their_file(spark):
+    file = json.dumps([{"data": [_s2(1)]}, None, {"data": 5}, {"data": [_s2(2)]}])
+    rows = pages.parse_pages(spark.createDataFrame([(file,), ("[]",), ("[{",)], "value string"), 1, "array").collect()
+    bad = sorted(r["_corrupt"] for r in rows if r["_corrupt"] is not None)
+    assert len(rows) == 6 and bad == sorted(["null", '{"data":5}', "[]", "[{"])
+
+
+def test_array_files_grow_with_the_pages(spark, tmp_path, monkeypatch):
+    from litspark.plans import queries
+
+    landed = spark.range(100).selectExpr("id AS page_no", """concat('{"page_no": ', id, ', "data": []}') AS value""")
+    monkeypatch.setattr(queries, "work_dir", lambda _: str(tmp_path))
+    monkeypatch.setattr(queries.b, "landed_pages", lambda *_: landed)
+    queries.raw_pages_array(spark, "")
+    files = [json.loads(p.read_text()) for p in (tmp_path / "arrays").glob("part-*")]
+    assert sorted(len(x) for x in files) == [20] * 5
+    back = pages.read_pages(spark, str(tmp_path / "arrays"), 1, layout="array")
+    assert back.count() == 100
