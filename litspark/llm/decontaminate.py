@@ -239,6 +239,8 @@ def mark(
     names = {n.lower() for n in ADDED}
     documents = documents.select([c for c in documents.columns if c.lower() not in names])
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).dropna()
+    # Rows that repeat an item would all fall into one block.
+    rows = rows.distinct()
     size = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     for b in range(blocks):

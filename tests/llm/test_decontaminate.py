@@ -59,3 +59,13 @@ def test_empty_tables(spark, documents):
     docs = documents([(1, "a b c"), (1, "a b c")])
     assert d.decontaminate(docs, items).count() == 2
     assert d.mark(docs.limit(0), items).count() == 0
+
+
+def test_repeated_items_do_not_fill_a_block(spark, documents, monkeypatch):
+    items = [(str(i), f"one two three four five six seven eight nine ten {i}") for i in range(20)]
+    benchmark = spark.createDataFrame(items + items[:1] * 200, "item_id string, text string")
+    blocks, windows_of = [], d.windows_of
+    monkeypatch.setattr(d, "windows_of", lambda rows, *how: blocks.append(rows) or windows_of(rows, *how))
+    marked = d.mark(documents([(1, "x " + items[0][1]), (2, "y")]), benchmark).collect()
+    assert [sorted(x) for x in blocks] == [sorted(items)]
+    assert {r.doc_id: list(r["items"]) for r in marked} == {1: sorted(i for i, _ in items), 2: []}
