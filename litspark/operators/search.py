@@ -189,7 +189,14 @@ def capped_search(
     limit: int | None = None,
     order: tuple[str, ...] = ("ord",),
 ) -> tuple[DataFrame, DataFrame]:
-    """A search under an engine's quota: its rows, and one row telling whether the quota cut them."""
+    """A search under an engine's quota: its rows, and one row telling whether the quota cut them.
+
+    The matches are counted at once. A limit passes all rows through one task, so it is set only
+    where there are more matches than it allows.
+    """
     found = matches(df, query, year, only_open_access)
-    total = found.agg(F.count(F.lit(1)).alias("count"))
+    n = found.count()
+    total = df.sparkSession.range(1).select(F.lit(n).cast("bigint").alias("count"))
+    if n <= min(x for x in (limit, cap) if x is not None):
+        return limited(found, list(order)), truncated(total, limit, cap)
     return limited(found, list(order), limit, cap), truncated(total, limit, cap)

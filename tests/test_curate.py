@@ -249,3 +249,11 @@ def test_half_rounds_to_even(spark):
 def test_key_of_keyless_rows_is_null(records):
     df = records({"title": None}, {"title": "x"})
     assert [r[0] for r in df.select(dedup_key()).collect()] == [None, "title:x"]
+
+
+def test_a_quota_that_does_not_bind_sets_no_limit(spark):
+    rows = spark.range(200).selectExpr("id AS ord")
+    for cap, limit, n, cut, bound in ((1 << 30, None, 200, False, False), (200, None, 200, False, False), (150, None, 150, True, True), (1 << 30, 20, 20, False, True)):
+        found, told = search.capped_search(rows, cap, limit=limit)
+        assert found.count() == n and [r.truncated for r in told.collect()] == [cut]
+        assert ("Limit" in found._jdf.queryExecution().optimizedPlan().toString()) == bound
