@@ -114,3 +114,12 @@ def test_copies_of_variants(documents):
     found = _found(documents, rows)
     for i in range(80):
         assert found[i] == ([variants[i - 40]] if i >= 40 else [])
+
+
+def test_one_function_is_enough(documents):
+    rng = random.Random(7)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = some(55)
+    rows = [(i, " ".join(some(40) + passage + some(40))) for i in range(2)]
+    spans = {r.doc_id: len(r.spans) for r in c.mark(documents(rows), hashes=1).collect()}
+    assert spans == {0: 0, 1: 1}
