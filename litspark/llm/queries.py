@@ -5,10 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litspark.llm import bpe, compact_windows, decontaminate, jaccard_join, pq_dedup, repeat_tree, shards, url_filter, warc, weak_labels
+from litspark.llm import (
+    bin_completion,
+    bpe,
+    compact_windows,
+    decontaminate,
+    jaccard_join,
+    pq_dedup,
+    repeat_tree,
+    shards,
+    url_filter,
+    warc,
+    weak_labels,
+    word_runs,
+)
 from litspark.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,10 +37,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 # The rules of the URL query.
@@ -189,3 +202,51 @@ def op10_repeat_tree(spark: SparkSession, folder: str) -> DataFrame:
         F.coalesce(F.size("spans"), F.lit(0)).cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op12_bin_completion(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens: where each piece stands."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    cut = bin_completion.token_pieces(docs, tokenizer_path("word_bpe_49k.json"), 2048)
+    placed = bin_completion.wide_ids(bin_completion.pack(cut, 2048))
+    return placed.select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"
+    )
+
+
+def made_periodic(doc_id: Column, words: Column, text: Column) -> Column:
+    """Of one in ten documents, chosen by its id, the words from one place on repeat a period."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    n = F.size(words)
+    g = F.floor(h / 10)
+    a = F.pmod(g, n)
+    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+    block = F.slice(words, (a + 1).cast("int"), p.cast("int"))
+    copies = F.flatten(F.array_repeat(block, F.ceil((n - a) / p).cast("int")))
+    changed = F.concat(F.slice(words, F.lit(1), a.cast("int")), F.slice(copies, F.lit(1), (n - a).cast("int")))
+    return F.when((F.pmod(h, F.lit(10)) == 0) & (n > 0), F.array_join(changed, " ")).otherwise(text)
+
+
+@query
+def op13_word_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of words in every document, some of which are made periodic before."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    chosen = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) == 0
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    docs = docs.withColumn("words", F.when(chosen, words))
+    docs = docs.select("doc_id", made_periodic(F.col("doc_id"), F.col("words"), F.col("text")).alias("text"))
+    marked = word_runs.mark(docs)
+    best = word_runs.highest(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    text = F.when(F.size(lines) > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    return marked.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(text.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
