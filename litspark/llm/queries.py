@@ -15,6 +15,7 @@ from litspark.llm import (
     decontaminate,
     jaccard_join,
     pq_dedup,
+    quotient_counts,
     repeat_tree,
     shards,
     url_filter,
@@ -250,3 +251,9 @@ def op13_word_runs(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(text.cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op11_quotient_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """Collocations of 2 to 4 words in each language of the documents."""
+    return quotient_counts.collocations(table(spark, folder, "documents").select("text", "lang"))
