@@ -51,18 +51,83 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
 
 
 def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the bytes of each range: the same for equal bytes wherever they stand."""
+    """Quick hash of the bytes of each range, the same for equal bytes wherever they stand.
+
+    For choosing places only: some different ranges have the same.
+    """
     moved = _powers(_INVERSE, len(sums))[start]
     return mix((sums[end] - sums[start]) * moved + (end - start).astype("u8") * _GOLD)
 
 
+# Hashes that decide whether values are equal: polynomials modulo the prime 2**61 - 1 (those modulo
+# 2**64 vanish on words like Thue and Morse's, whatever the base).
+_PRIME = np.uint64((1 << 61) - 1)
+_TOP, _LOW29, _LOW32 = np.uint64(61), np.uint64((1 << 29) - 1), np.uint64((1 << 32) - 1)
+_B29, _B32, _B3 = np.uint64(29), np.uint64(32), np.uint64(3)
+_ROOT = int(mix(np.array([987654321], "u8"))[0] & _PRIME)
+_CHUNK = 1 << 21
+_TABLES: dict[int, np.ndarray] = {}
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _PRIME) + (x >> _TOP)
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _shifted(x: np.ndarray) -> np.ndarray:
+    """``x * 2**32`` for ``x`` below the prime; less than 2**62."""
+    return ((x & _LOW29) << _B32) + (x >> _B29)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Product modulo the prime."""
+    a1, a0, b1, b0 = a >> _B32, a & _LOW32, b >> _B32, b & _LOW32
+    low = a0 * b0
+    return _reduced(((a1 * b1) << _B3) + _shifted(_reduced(a1 * b0 + a0 * b1)) + (low & _PRIME) + (low >> _TOP))
+
+
+def _table(root: int, n: int) -> np.ndarray:
+    """``root ** i`` modulo the prime for ``i < n``."""
+    have = _TABLES.get(root, np.ones(1, "u8"))
+    while len(have) < n:
+        step = pow(root, len(have), int(_PRIME))
+        have = np.concatenate([have, _times(have, np.full(len(have), step, "u8"))])
+        if len(have) <= 4 * BLOCK:
+            _TABLES[root] = have
+    return have[:n]
+
+
+def _summed(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Sums of ``high * 2**32 + low`` modulo the prime over all beginnings; both parts below 2**42."""
+    out = np.zeros(len(high) + 1, "u8")
+    carry = np.uint64(0)
+    for at in range(0, len(high), _CHUNK):
+        part = slice(at, at + _CHUNK)
+        h, lo = np.cumsum(high[part], dtype="u8"), np.cumsum(low[part], dtype="u8")
+        sums = _reduced(_shifted(_reduced(h)) + _reduced(lo) + carry)
+        out[at + 1 : at + 1 + len(sums)] = sums
+        carry = sums[-1]
+    return out
+
+
+def strong_sums(data: np.ndarray) -> np.ndarray:
+    """Sums from which ``strong_hash`` takes the hash of any range of bytes."""
+    power = _table(_ROOT, len(data))
+    byte = data.astype("u8") + np.uint64(1)
+    return _summed(byte * (power >> _B32), byte * (power & _LOW32))
+
+
+def strong_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each range, the same for equal ranges wherever they stand."""
+    back = _table(pow(_ROOT, -1, int(_PRIME)), len(sums))[start]
+    found = _times(_reduced(sums[end] + (_PRIME - sums[start])), back)
+    return mix(found + (end - start).astype("u8") * _GOLD)
+
+
 def ordered_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of each range of a sequence of 64-bit values, in order."""
-    n = len(values)
-    base, back = _powers(_BASE, n), _powers(_INVERSE, n + 1)
-    sums = np.zeros(n + 1, "u8")
-    np.cumsum(mix(values + _GOLD) * base, out=sums[1:])
-    return mix((sums[end] - sums[start]) * back[start] + (end - start).astype("u8") * _GOLD)
+    terms = _times(_reduced(mix(values + _GOLD)), _table(_ROOT, len(values)))
+    return strong_hash(_summed(terms >> _B32, terms & _LOW32), start, end)
 
 
 class Texts(NamedTuple):
@@ -163,8 +228,7 @@ def words(t: Texts, gaps: np.ndarray = SPACES) -> Words:
         last = inside.copy()
         last[:-1] &= ~inside[1:] | begins[at + 1 : to]
         a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-        sums = prefix_sums(low)
-        hashes.append(range_hash(sums, a, b))
+        hashes.append(strong_hash(strong_sums(low), a, b))
         starts.append(a + at)
         ends.append(b + at)
         at = to

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from litspark.llm.arrays import Texts, pieces, prefix_sums, ragged, range_hash, texts
+from litspark.llm.arrays import Texts, pieces, ragged, strong_hash, strong_sums, texts
 
 CACHE_BYTES = 32 << 20
 SPACE = (9, 10, 11, 12, 13, 32)
@@ -115,7 +115,7 @@ class _Encoder:
         if not len(start):
             return np.zeros(0, "u4"), np.zeros(len(t.start), "i8")
         end = np.append(start[1:], len(t.data))
-        keys = range_hash(prefix_sums(t.data), start, end)
+        keys = strong_hash(strong_sums(t.data), start, end)
         distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         new = ~np.isin(distinct, self.keys, assume_unique=True)
         if self.ids.nbytes + 40 * (len(self.keys) + len(distinct)) > CACHE_BYTES:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litspark.llm.arrays import Texts, mix, pieces, prefix_sums, range_hash, texts
+from litspark.llm.arrays import Texts, mix, pieces, prefix_sums, range_hash, strong_hash, strong_sums, texts
 from litspark.llm.spans import kept_bytes, union
 from litspark.session import materialize
 
@@ -132,7 +132,7 @@ def anchor_rows(documents: DataFrame, length: int, gram: int) -> DataFrame:
                 owner = full[np.searchsorted(part.start[full], at, "right") - 1]
                 left = np.minimum(at - part.start[owner], side)
                 right = np.minimum(part.end[owner] - at, length)
-                around = range_hash(prefix_sums(part.data ^ np.uint8(0x5A)), at - left, at + right)
+                around = strong_hash(strong_sums(part.data), at - left, at + right)
                 around = mix(around + (left << 32 | right).astype("u8"))
                 id_, place = ids[rows[owner]], at - offset[owner]
                 order = np.lexsort((place, id_, around, grams))
