@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 
 from litspark.operators.inference import Client
 
@@ -26,6 +27,28 @@ def connect_offline() -> Client:
     return complete
 
 
+class TaskLost(BaseException):
+    """Ends a task as a lost executor does: it is no error of a call."""
+
+
+def connect_dying(after: int) -> Callable[[], Client]:
+    """Clients like the offline one that take their task with them after so many calls."""
+
+    def connect() -> Client:
+        answer, left = connect_offline(), after
+
+        def complete(request: dict) -> dict:
+            nonlocal left
+            if not left:
+                raise TaskLost
+            left -= 1
+            return answer(request)
+
+        return complete
+
+    return connect
+
+
 _TAG = re.compile(r"<[^>]*>")
 
 

@@ -587,6 +587,10 @@ SQL["merge_repeated_results"] = f"""WITH {_ROWS} SELECT code, provider, "ID",
     {", ".join(f"CASE WHEN r.status = 'success' THEN {'NULL' if c == 'state' else 'r.' + c} ELSE a.{c} END AS {c}"
                for c in _VALUES.split(", "))}
     FROM rows_in r JOIN answers a USING (provider, "ID")"""
+SQL["run_with_lost_tasks"] = f"""WITH {_ROWS} SELECT code, provider, "ID",
+    {", ".join(f"CASE WHEN r.status = 'success' THEN {'NULL' if c == 'state' else 'r.' + c} ELSE a.{c} END AS {c}"
+               for c in _VALUES.split(", ") if c != "call_count")}, 0::BIGINT AS repeated
+    FROM rows_in r JOIN answers a USING (provider, "ID")"""
 SQL["response_payloads"] = f"""WITH {_ROWS} SELECT "ID", r.model_name AS model, provider, 'base' AS profile,
     a.response_text, a.status, sha256(prompt) AS prompt_hash,
     CASE WHEN a.status = 'success' THEN CAST(length(prompt) AS INTEGER) END AS size

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from litspark import schemas
 from litspark.functions import filenames, requests, text
 from litspark.functions.language import detect_language, detect_text
-from litspark.operators import curate, inference, inventory, search, stats
+from litspark.operators import curate, inference, inventory, ledger, search, stats
 from litspark.operators.extract import extract_text
-from litspark.operators.offline import connect_offline, html_pages
+from litspark.operators.offline import connect_dying, connect_offline, html_pages
 from litspark.plans import bindings as b
 from litspark.plans import experiment
 from litspark.session import materialize, work_dir
@@ -405,9 +405,12 @@ def add_papers(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def clean_markdown(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents with image marks put between their lines."""
-    marks = F.when(F.col("doc_id") % 3 == 0, "\r\n  <!-- image -->  \r\n\n\n\n").when(
-        F.col("doc_id") % 3 == 1, "\n![a](data:image/png;base64,AAAA==)\n<!-- image:chart -->\n"
+    """Documents with image marks put between their lines, on one line and over several."""
+    marks = F.when(F.col("doc_id") % 6 == 0, "\r\n  <!-- image -->  \r\n\n\n\n").when(
+        F.col("doc_id") % 6 == 1, "\n![a](data:image/png;base64,AAAA==)\n<!-- image:chart -->\n"
+    )
+    marks = marks.when(F.col("doc_id") % 6 == 3, "\n<!--\r\nimage\n\n-->\n\n\n\n").when(
+        F.col("doc_id") % 6 == 4, "\n![a\nb](data:image/png;base64,AA\nAA==)\t\n <!--image: one\n> two\n-->\n"
     )
     marked = F.replace(F.col("text"), F.lit("\n"), F.coalesce(marks, F.lit("\n")))
     docs = b.read(spark, folder, "documents")
@@ -609,6 +612,29 @@ def merge_results(spark: SparkSession, folder: str) -> DataFrame:
     return inference.merge_results(rows, results).select("code", *RESULT_KEYS, *RESULT_VALUES)
 
 
+@query
+def run_with_lost_tasks(spark: SparkSession, folder: str) -> DataFrame:
+    """A run whose tasks die after some calls, and the run after it, which calls for the rest.
+
+    ``repeated`` is how many rows were called again although an answer was kept.
+    """
+    rows, kept = _rows(spark, folder), f"{work_dir(spark)}/ledger"
+    try:
+        ledger.run_logged(rows, kept, connect_dying(after=30), concurrency=8, chunk_rows=8)
+    except Exception as lost:
+        if "TaskLost" not in str(lost):
+            raise
+    ledger.run_logged(rows, kept, connect_offline, concurrency=8, chunk_rows=8)
+    answers = ledger.read_ledger(spark, kept)
+    times = answers.groupBy(*RESULT_KEYS).agg(
+        F.count("*").alias("answers"), F.max(F.col("status") == "success").alias("good")
+    )
+    # A failed answer of the first run is asked for again; a success never is.
+    twice = times.where("good AND answers > 1").agg(F.count("*").alias("repeated"))
+    merged = ledger.settled(rows, kept).select("code", *RESULT_KEYS, *[c for c in RESULT_VALUES if c != "call_count"])
+    return merged.withColumn("repeated", F.lit(twice.first()[0]).cast("bigint"))
+
+
 @query
 def response_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """The document per call, without its time."""

@@ -181,6 +181,11 @@ NOTE = "<!--  Image has been removed. Keeping placeholder only -->"
         ("<!--image:-->\n<!-- image: a-b -->\n<!-- images -->", f"{NOTE}\n<!-- image: a-b -->\n<!-- images -->"),
         ("![](data:image/png;base64,AA)\t\n![a](data:image/;base64,AA)\n![a](data:image/x;base64,A) b", f"{NOTE}\n![a](data:image/;base64,AA)\n![a](data:image/x;base64,A) b"),
         ("  \n\n\n", ""),
+        ("a\n![x](data:image/png;base64,AAAA\nBBBB==)\nb", f"a\n{NOTE}\nb"),
+        ("<!--\nimage\n-->", NOTE),
+        ("a\n<!-- image: x\ny -->\nb\n<!-- image\n: y -->", f"a\n{NOTE}\nb\n<!-- image\n: y -->"),
+        ("![a\nb](data:image/x\ny;base64,A) \n![c](data:image/x;base64,A", f"{NOTE}\n![c](data:image/x;base64,A"),
+        ("\u2028<!-- image -->\u2028x\r<!-- image -->", "<!-- image -->\u2028x\r<!-- image -->"),
     ],
 )
 def test_clean_markdown(value, raw, wanted):
