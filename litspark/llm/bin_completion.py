@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import json
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,9 @@ from litspark.llm.arrays import pieces, ragged
 from litspark.llm.tokens import column_texts, packed, word_codes, word_spans
 from litspark.session import materialize
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
+TOGETHER = 500  # words that are encoded in one call
+_ENCODERS: dict = {}  # of a Python worker, which runs many tasks
 WORK = 40_000
 WIDTH = 24
 _BITS = 40
@@ -267,27 +270,58 @@ class _WordEncoder:
         self.tokenizer = Tokenizer.from_str(source)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, np.ndarray] = {}
+        self.fence = self.tokenizer.encode("\0", add_special_tokens=False).ids
+        self.forget()
+
+    def forget(self) -> None:
+        self.slot: dict[bytes, int] = {}
+        self.begin, self.count, self.ids = np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, "u4")
+
+    def _each(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one by one, and how many each has."""
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        ids = [e.ids for e in found]
+        count = np.fromiter(map(len, ids), "i8", len(ids))
+        return np.fromiter(chain.from_iterable(ids), "u4", int(count.sum())), count
+
+    def _together(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same in one call: words without NUL in one text, a NUL between any two of them."""
+        joined = b" \0 ".join(words)
+        if len(self.fence) != 1 or joined.count(b"\0") != len(words) - 1:
+            return self._each(words)
+        (found,) = self.tokenizer.encode_batch_fast([joined.decode()], add_special_tokens=False)
+        ids = np.array(found.ids, "u4")
+        apart = ids == self.fence[0]
+        if int(apart.sum()) != len(words) - 1:
+            return self._each(words)
+        ends = np.append(np.flatnonzero(apart), len(ids))
+        return ids[~apart], np.diff(ends, prepend=-1) - 1
+
+    def _learn(self, new: list[bytes]) -> None:
+        found = [self._together(new[i : i + TOGETHER]) for i in range(0, len(new), TOGETHER)]
+        count = np.concatenate([c for _, c in found])
+        self.slot.update(zip(new, range(len(self.slot), len(self.slot) + len(new))))
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.ids = np.concatenate([self.ids, *(i for i, _ in found)])
 
     def encode(self, t) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
         words = word_spans(t)
         codes, distinct = word_codes(t.data, words)
         keys = distinct.to_pylist()
-        new = [k for k in keys if k not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = keys
+        slots = list(map(self.slot.get, keys))
+        new = [k for k, slot in zip(keys, slots) if slot is None]
         if new:
-            found = self.tokenizer.encode_batch_fast([k.decode() for k in new], add_special_tokens=False)
-            self.known |= {k: np.array(e.ids, "u4") for k, e in zip(new, found)}
-        ids = [self.known[k] for k in keys]
-        size = np.array([len(i) for i in ids], "i8")
-        flat = np.concatenate([np.zeros(0, "u4"), *ids])
-        begin = np.cumsum(size) - size
-        count = size[codes]
+            if len(self.slot) + len(new) > CACHE_WORDS:
+                self.forget()
+                new = keys
+            self._learn(new)
+            slots = list(map(self.slot.get, keys))
+        slots = np.array(slots, "i8")[codes]
+        count = self.count[slots]
         of_word = np.concatenate([[0], np.cumsum(count)])
-        return flat[ragged(begin[codes], count)], np.diff(of_word[words.first])
+        return self.ids[ragged(self.begin[slots], count)], np.diff(of_word[words.first])
 
 
 def white_space_free(model: dict) -> bool:
@@ -327,8 +361,11 @@ def token_pieces(df: DataFrame, tokenizer: str, capacity: int, end: int = 0, tex
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = _WordEncoder(source.value)
-        for slice_ in pieces(batches, text, 1 << 20):
+        if source.value not in _ENCODERS:
+            _ENCODERS.clear()
+            _ENCODERS[source.value] = _WordEncoder(source.value)
+        encoder = _ENCODERS[source.value]
+        for slice_ in pieces(batches, text, 4 << 20):
             ids, count = encoder.encode(column_texts(slice_, text))
             with_end = np.full(len(ids) + len(count), end, wide)
             with_end[np.arange(len(ids)) + np.repeat(np.arange(len(count)), count)] = ids
