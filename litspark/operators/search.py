@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +63,17 @@ def _tokens(query: str) -> list[tuple[str, str, int]]:
 
 
 def query_condition(query: str, text: Column) -> Column:
-    """A query as a condition on ``text`` (from :func:`searchable`).
+    """A query as a condition on ``text`` (from :func:`searchable`)."""
+    return read_query(query, lambda words: F.contains(text, F.lit(f" {words} ")))
+
+
+def query_terms(query: str) -> list[str]:
+    """Terms and phrases of a query, each as words with one space between."""
+    return list(dict.fromkeys(words for kind, words, _ in _tokens(query) if kind == "term"))
+
+
+def read_query(query: str, leaf: Callable):
+    """A query over what ``leaf`` gives for a term or phrase, put together by ``&``, ``|`` and ``~``.
 
     NOT binds closest, then AND, then OR; terms side by side must both be there. Raises a
     ``ValueError`` that names the place where a query can't be read.
@@ -78,7 +90,7 @@ def query_condition(query: str, text: Column) -> Column:
         where = f"at {tokens[at][2]} of" if at < len(tokens) else "at the end of"
         return ValueError(f"a term is missing {where} the query {query!r}")
 
-    def either() -> Column:
+    def either():
         nonlocal at
         left = both()
         while peek() == "OR":
@@ -86,7 +98,7 @@ def query_condition(query: str, text: Column) -> Column:
             left = left | both()
         return left
 
-    def both() -> Column:
+    def both():
         nonlocal at
         left = one()
         while peek() in ("AND", "NOT", "term", "("):
@@ -94,7 +106,7 @@ def query_condition(query: str, text: Column) -> Column:
             left = left & one()
         return left
 
-    def one() -> Column:
+    def one():
         nonlocal at
         kind = peek()
         if kind == "NOT":
@@ -111,7 +123,7 @@ def query_condition(query: str, text: Column) -> Column:
         if kind != "term":
             raise fail()
         at += 1
-        return F.contains(text, F.lit(f" {tokens[at - 1][1]} "))
+        return leaf(tokens[at - 1][1])
 
     condition = either()
     if at < len(tokens):

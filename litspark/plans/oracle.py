@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from litspark import schemas
+from litspark.functions import language_model
 from litspark.functions.language import PROFILES, UNCLEAR
 from litspark.functions.text import IMAGE_REMOVED
 from litspark.operators.inventory import PROJECT_INPUTS
@@ -202,6 +203,18 @@ SQL["phrase_search"] = with_pubs(
     f"""SELECT doc_id FROM ({_SEARCH}) WHERE (contains(hay, ' of the ') OR contains(hay, ' de la '))
     AND NOT (contains(hay, ' und ') AND contains(hay, ' der '))"""
 )
+SQL["index_search"] = with_pubs(
+    f"""SELECT query, doc_id FROM ({_SEARCH}), (VALUES ('keywords'), ('phrases'), ('rare'), ('without'), ('absent')) q(query)
+    WHERE CASE query
+        WHEN 'keywords' THEN (contains(hay, ' the ') AND contains(hay, ' of the '))
+            OR (contains(hay, ' que ') AND NOT contains(hay, ' de la ')) OR contains(hay, ' und ')
+        WHEN 'phrases' THEN (contains(hay, ' of the ') OR contains(hay, ' de la '))
+            AND NOT (contains(hay, ' und ') AND contains(hay, ' der '))
+        WHEN 'rare' THEN contains(hay, ' the of ') OR contains(hay, ' la de la ')
+        WHEN 'without' THEN NOT contains(hay, ' the ') AND NOT contains(hay, ' la ')
+            AND NOT (contains(hay, ' und ') OR contains(hay, ' de '))
+        ELSE contains(hay, ' qqqq ') END"""
+)
 SQL["query_notation"] = with_pubs(
     r"""SELECT doc_id, array_to_string(list_transform(
             string_split(regexp_replace(title, '[^\p{L} ]', '', 'g'), ' '),
@@ -319,6 +332,43 @@ SQL["structured_filenames"] = with_pubs(
 
 # Statistics
 
+_GRAMS = ", ".join(
+    f"list_transform(range({1 + (n == 1)}, length(p) - {max(n - 2, 0)}), lambda i: substr(p, i, {n}))"
+    for n in range(1, language_model.LONGEST + 1)
+)
+
+
+def _split(part: str, text: str, table: str) -> str:
+    return rf"SELECT doc_id, '{part}' AS part, unnest(regexp_split_to_array(lower({text}), '[^\p{{L}}]+')) AS word FROM {table}"
+
+
+SQL["fitted_languages"] = with_pubs(
+    rf""", asked AS (SELECT * FROM ({_split("text", "text", "documents")} UNION ALL {_split("title", "title", "pubs")}
+        UNION ALL {_split("abstract", "abstract", "pubs")}) WHERE word <> ''),
+    words AS (SELECT lang, word, count(*) AS n FROM asked JOIN documents USING (doc_id) WHERE part = 'text' GROUP BY ALL),
+    grams AS (SELECT word, unnest(list_concat({_GRAMS})) AS gram FROM (SELECT DISTINCT word, ' ' || word || ' ' AS p FROM words)),
+    counts AS (SELECT lang, gram, CAST(sum(n) AS BIGINT) AS n FROM words JOIN grams USING (word) WHERE lang IS NOT NULL GROUP BY ALL),
+    chosen AS (SELECT DISTINCT gram FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS r FROM counts)
+        WHERE r <= {language_model.TOP}),
+    totals AS (SELECT lang, CAST(sum(n) AS DOUBLE) AS total FROM counts GROUP BY lang),
+    model AS (SELECT a.gram, t.lang, CAST(round(ln(((coalesce(c.n, 0) + 0.5::DOUBLE) / (t.total + 1))
+            / ((a.n - coalesce(c.n, 0) + 0.5::DOUBLE) / (s.total - t.total + 1))) * 1000) AS INTEGER) AS weight
+        FROM (SELECT gram, CAST(sum(n) AS DOUBLE) AS n FROM counts SEMI JOIN chosen USING (gram) GROUP BY gram) a
+        CROSS JOIN totals t CROSS JOIN (SELECT sum(total) AS total FROM totals) s
+        LEFT JOIN counts c ON c.gram = a.gram AND c.lang = t.lang),
+    per_word AS (SELECT word, lang, sum(weight) AS score, count(*) AS known FROM grams JOIN model USING (gram) GROUP BY ALL),
+    scores AS (SELECT doc_id, part, lang, sum(score) AS score, sum(known) AS known FROM asked JOIN per_word USING (word) GROUP BY ALL),
+    ranked AS (SELECT *, row_number() OVER best AS r, score - lead(score) OVER best AS ahead FROM scores
+        WINDOW best AS (PARTITION BY doc_id, part ORDER BY score DESC, lang)),
+    parts AS (SELECT doc_id, 'text' AS part FROM documents
+        UNION ALL SELECT doc_id, 'title' FROM pubs WHERE trim(title) <> '' UNION ALL SELECT doc_id, 'abstract' FROM pubs WHERE trim(abstract) <> ''),
+    told AS (SELECT p.doc_id, p.part, CASE WHEN ahead >= {language_model.MARGIN} * known THEN lang ELSE '{UNCLEAR}' END AS answer
+        FROM parts p LEFT JOIN ranked k ON k.doc_id = p.doc_id AND k.part = p.part AND k.r = 1),
+    agreed AS (SELECT doc_id, CASE WHEN count(DISTINCT answer) = 1 THEN min(answer) ELSE '{UNCLEAR}' END AS agreed
+        FROM told WHERE part <> 'text' GROUP BY doc_id)
+    SELECT d.doc_id, d.lang, t.answer AS detected, coalesce(a.agreed, '{UNCLEAR}') AS agreed FROM documents d
+    JOIN told t ON t.doc_id = d.doc_id AND t.part = 'text' LEFT JOIN agreed a ON a.doc_id = d.doc_id"""
+)
 SQL["papers_by_year"] = with_pubs(
     """SELECT year, count(*) AS count,
     round_even(count(*) / sum(count(*)) OVER () * 100, 1) AS pct FROM pubs WHERE year IS NOT NULL GROUP BY year"""

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litspark import schemas
-from litspark.functions import filenames, requests, text
+from litspark.functions import filenames, language_model, requests, text
 from litspark.functions.language import detect_language, detect_text
-from litspark.operators import curate, inference, inventory, ledger, search, stats
+from litspark.operators import curate, inference, inventory, ledger, search, stats, text_index
 from litspark.operators.extract import extract_text
 from litspark.operators.offline import connect_dying, connect_offline, html_pages
 from litspark.plans import bindings as b
@@ -149,6 +149,24 @@ def phrase_search(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("ord").alias("doc_id"))
 
 
+INDEXED = {
+    "keywords": KEYWORDS,
+    "phrases": '("of-the" | "de - la") -(und + der) *',
+    "rare": '"the of" | "la de la"',
+    "without": "-the -la NOT (und OR de)",
+    "absent": "qqqq | (the qqqq)",
+}
+
+
+@query
+def index_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Searches over the positional index: keywords, phrases, only NOT, words that stand nowhere."""
+    path = f"{work_dir(spark)}/index"
+    text_index.build(b.publications(spark, folder), path, "ord")
+    found = text_index.row_ids(spark, path, text_index.search_index(spark, path, INDEXED))
+    return found.select("query", F.col("ord").alias("doc_id"))
+
+
 @query
 def query_notation(spark: SparkSession, folder: str) -> DataFrame:
     """Titles read as queries, and years as ranges."""
@@ -280,6 +298,17 @@ def language_agreement(spark: SparkSession, folder: str) -> DataFrame:
 # Statistics
 
 
+@query
+def fitted_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages by a model fitted on all documents: of the whole text, and of title and abstract."""
+    pubs = b.publications(spark, folder).select("ord", "title", "abstract")
+    docs = b.read(spark, folder, "documents").select("doc_id", "text", "lang")
+    detector = language_model.Detector(language_model.fit(docs, "text", "lang"))
+    whole = detector.detect(docs, "detected", "text").select("doc_id", "lang", "detected")
+    agreed = detector.detect(pubs, "agreed", "title", "abstract").select(F.col("ord").alias("doc_id"), "agreed")
+    return whole.join(agreed, "doc_id")
+
+
 @query
 def papers_by_year(spark: SparkSession, folder: str) -> DataFrame:
     return stats.papers_by_year(b.publications(spark, folder))
