@@ -672,6 +672,18 @@ _PER_MODEL = f"""count(*) AS requests, count(*) FILTER (status = 'success') AS f
 SQL["run_by_model"] = f"{_RUNS} SELECT model_name, {_PER_MODEL} FROM runs GROUP BY model_name"
 SQL["stream_run_stats"] = f"""{_RUNS} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
     model_name, {_PER_MODEL} FROM runs GROUP BY date_trunc('hour', ts), model_name"""
+SQL["stream_event_windows"] = f"""{_RUNS}, middle AS (
+        SELECT make_timestamp((epoch_us(min(ts)) + epoch_us(max(ts))) // 2) AS m FROM events),
+    parted AS (SELECT *, CASE WHEN event_id % 10 = 0 THEN 2 WHEN ts < m THEN 0 ELSE 1 END AS part FROM runs, middle),
+    clocks AS (SELECT p.part, max(q.ts) - INTERVAL 1 HOUR AS latest FROM (SELECT DISTINCT part FROM parted) p
+        LEFT JOIN (SELECT part, max(ts) AS ts FROM parted GROUP BY part) q ON q.part < p.part GROUP BY p.part)
+    SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, model_name, {_PER_MODEL},
+        count(*) FILTER (date_trunc('hour', ts) + INTERVAL 1 HOUR <= latest) AS late
+    FROM parted JOIN clocks USING (part) GROUP BY date_trunc('hour', ts), model_name"""
+SQL["stream_keyed_state"] = with_pubs(
+    f"""SELECT dedup_key, arg_min(ord, (ord % 3 <> 2, ord % 3 <> 1, ord)) AS ord
+    FROM (SELECT ord, coalesce({key()}, 'row:' || ord) AS dedup_key FROM pubs) GROUP BY dedup_key"""
+)
 SQL["dialogue_results"] = """
     SELECT q.conv_id * 1000 + q.turn AS "ID", CAST(length(q.text) // 4 AS INTEGER) AS tokens_estimate,
         CASE WHEN a.text IS NOT NULL THEN 'success' END AS status, sha256(a.text) AS response_hash

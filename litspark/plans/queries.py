@@ -17,7 +17,7 @@ from litspark.plans import bindings as b
 from litspark.plans import experiment
 from litspark.session import materialize, work_dir
 from litspark.sources import pages, readers, writers
-from litspark.streaming import streams
+from litspark.streaming import state, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -798,3 +798,42 @@ def stream_run_stats(spark: SparkSession, folder: str) -> DataFrame:
     out = streams.run_stats(spark, f"{base}/sums")
     start: Column = F.date_format("window.start", "yyyy-MM-dd HH:mm:ss")
     return _rounded(out.select(start.alias("window_start"), *[c for c in out.columns if c != "window"]))
+
+
+@query
+def stream_keyed_state(spark: SparkSession, folder: str) -> DataFrame:
+    """First records by the state store: three landings in small batches, each a new start of the stream."""
+    docs = b.publication_columns(b.read(spark, folder, "documents"))
+    rows = docs.select("doi", "title", F.col("doc_id").alias("ord"))
+    base = work_dir(spark)
+    for part in (2, 1, 0):
+        rows.where(F.col("ord") % 3 == part).repartition(2).write.mode("append").parquet(f"{base}/landed")
+        arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/landed")
+        state.stream_first_seen(arriving, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("dedup_key", "ord")
+
+
+@query
+def stream_event_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Closed windows and late rows over three landings out of order, and one later event that closes all.
+
+    The first half of the time lands first, then the second half, then every tenth event, late.
+    """
+    runs = b.runs(spark, folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    middle = runs.agg(F.expr("timestamp_micros((unix_micros(min(ts)) + unix_micros(max(ts))) div 2)")).first()[0]
+    tenth = F.col("ID") % 10 == 0
+    early = F.col("ts") < F.lit(middle)
+    clock = runs.agg(F.max("ts").alias("ts")).select(F.expr("ts + INTERVAL 2 DAYS").alias("ts"))
+    parts = [runs.where(~tenth & early), runs.where(~tenth & ~early), runs.where(tenth)]
+    base = work_dir(spark)
+    for landed in [*parts, clock]:
+        whole = landed.select(*[c if c in landed.columns else F.lit(None).cast(runs.schema[c].dataType).alias(c) for c in runs.columns])
+        whole.write.mode("append").parquet(f"{base}/landed")
+        arriving = spark.readStream.schema(runs.schema).parquet(f"{base}/landed")
+        state.stream_windows(arriving, base)
+    late = state.late_rows(spark, base).groupBy(F.window("ts", "1 hour").alias("window"), "model_name")
+    late = late.agg(F.count("*").alias("late"))
+    out = state.whole_windows(spark, base).join(late, ["window", "model_name"], "left")
+    start: Column = F.date_format("window.start", "yyyy-MM-dd HH:mm:ss")
+    out = out.withColumn("late", F.coalesce("late", F.lit(0)))
+    return _rounded(out.select(start.alias("window_start"), *[c for c in out.columns if c != "window"]))
