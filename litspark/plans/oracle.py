@@ -342,6 +342,17 @@ def _split(part: str, text: str, table: str) -> str:
     return rf"SELECT doc_id, '{part}' AS part, unnest(regexp_split_to_array(lower({text}), '[^\p{{L}}]+')) AS word FROM {table}"
 
 
+SQL["template_prompts"] = with_pubs(
+    f"""SELECT doc_id, ({listed(["brief", "people", "figures"])})[doc_id % 3 + 1] AS prompt_id, CASE doc_id % 3
+        WHEN 0 THEN CASE WHEN coalesce(abstract, '') <> '' AND year IS NOT NULL
+                THEN 'Summarize "' || trim(lower(title)) || '" (P' || doc_id || ', ' || year || '):' || {NL} || rtrim(abstract || {NL}, {NL} || ' ')
+            WHEN coalesce(abstract, '') = '' THEN 'No abstract: ' || title ELSE 'Undated: ' || title[1] || title[-1] END || '.'
+        WHEN 1 THEN array_to_string(list_transform(string_split(authors, '; '), lambda a, i: i || '/' || len(string_split(authors, '; '))
+                || ' ' || CASE WHEN starts_with(a, 'Ada') THEN upper(a) ELSE a END), ', ')
+            || CASE WHEN "isOpenAccess" AND year >= 2020 THEN ' ! ' ELSE ' ? ' END || '{{{{ tone }}}}'
+        ELSE coalesce(year, 2000) % 7 + "referenceCount" * 2 || '|' || replace(coalesce(doi, 'no DOI'), '10.1/', '') || '|' || length(title)
+            || '|' || CASE WHEN contains(language, 'en') OR language = 'de' THEN 'True' ELSE 'False' END || '-' END AS prompt FROM pubs"""
+)
 SQL["fitted_languages"] = with_pubs(
     rf""", asked AS (SELECT * FROM ({_split("text", "text", "documents")} UNION ALL {_split("title", "title", "pubs")}
         UNION ALL {_split("abstract", "abstract", "pubs")}) WHERE word <> ''),

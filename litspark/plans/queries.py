@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litspark import schemas
-from litspark.functions import filenames, language_model, requests, text
+from litspark.functions import filenames, language_model, requests, templates, text
 from litspark.functions.language import detect_language, detect_text
 from litspark.operators import curate, inference, inventory, ledger, search, stats, text_index
 from litspark.operators.extract import extract_text
@@ -524,6 +524,29 @@ def generate_grid(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+TEMPLATES = {
+    "brief": """{# with and without abstract #}{% if abstract and year is not none -%}
+Summarize "{{ title|lower|trim }}" ({{ id }}, {{ year }}):
+{{ abstract }}
+{%- elif not abstract %}No abstract: {{ title }}{% else %}Undated: {{ title[0] }}{{ title[-1] }}{% endif %}.
+""",
+    "people": """{% for a in authors.split('; ') -%}
+{{ loop.index }}/{{ loop.length }} {{ a.upper() if a.startswith('Ada') else a }}{% if not loop.last %}, {% endif %}
+{%- else %}nobody{% endfor %} {{ '!' if isopenaccess and year >= 2020 else '?' }} {{ tone }}""",
+    "figures": "{{ (year or 2000) % 7 + referencecount * 2 }}|{{ doi|default('no DOI')|replace('10.1/', '') }}|{{ missing|default(title|length) }}|"
+    "{{ 'en' in language or language == 'de' }}{% for w in missing %}never{% else %}-{% endfor %}",
+}
+
+
+@query
+def template_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record under one of three templates with conditions, loops, filters and arithmetic."""
+    names = F.get(F.lit(list(TEMPLATES)), (F.col("ord") % 3).cast("int"))
+    data = b.publications(spark, folder).withColumn("prompt_id", names)
+    prompt = templates.render_templates(data, TEMPLATES, "prompt_id", row_id="search_engine_internal_id")
+    return data.select(F.col("ord").alias("doc_id"), "prompt_id", prompt.alias("prompt"))
+
+
 @query
 def generate_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return experiment.unmatched(b.mapping(spark, folder), b.data(spark, folder), b.prompts(spark))
