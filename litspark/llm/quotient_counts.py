@@ -33,8 +33,8 @@ from litspark.operators.ordering import with_dense_index
 from litspark.operators.skew import lookup_join
 from litspark.session import materialize
 
-BLOCK = 8 << 20  # bytes of text in a block
-HELD = 32 << 20  # bytes of text a task holds, over all languages
+BLOCK = 2 << 20  # bytes of text in a block
+HELD = 12 << 20  # bytes of text a task holds, over all languages
 GROUP = 1 << 20  # entries in a merge
 PLACE = 22  # bits of an entry's number within its filter
 
@@ -85,7 +85,7 @@ def _text_blocks(batches):
         size.pop(name)
         return name, pa.concat_arrays(held.pop(name))
 
-    for slice_ in pieces(batches, "text", 4 << 20):
+    for slice_ in pieces(batches, "text", 1 << 20):
         names = slice_.column(0)
         for name in names.unique().to_pylist():
             chosen = slice_.column(1).filter(pa.compute.equal(names, name))
