@@ -134,3 +134,55 @@ def by_model(runs: DataFrame, *keys: Column | str) -> DataFrame:
 def outcome_counts(df: DataFrame) -> DataFrame:
     """Rows per outcome of a download or extraction."""
     return df.groupBy("outcome").agg(F.count("*").alias("count"))
+
+
+# Sums that follow changes: a row that goes counts -1, one that comes 1.
+SIGNED_SUMS = ["requests", "finished", "running", "errors", "open", "all_tokens", "tokens", "elapsed_seconds"]
+SIGNED_SCHEMA = "provider string, model_name string, " + ", ".join(
+    f"{c} {'double' if c == 'elapsed_seconds' else 'bigint'}" for c in SIGNED_SUMS
+)
+
+
+def signed_sums(rows: DataFrame) -> DataFrame:
+    """Sums per provider and model of rows with a ``sign``."""
+    done, sign = F.col("status") == "success", F.col("sign").cast("bigint")
+
+    def count(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, sign)), F.lit(0))
+
+    return rows.groupBy("provider", "model_name").agg(
+        F.coalesce(F.sum(sign), F.lit(0)).alias("requests"),
+        count(done).alias("finished"),
+        count(F.col("state") == "running").alias("running"),
+        count(F.col("status").ilike("Error%")).alias("errors"),
+        count(F.col("status").isNull()).alias("open"),
+        F.coalesce(F.sum(_tokens() * sign), F.lit(0)).alias("all_tokens"),
+        F.coalesce(F.sum(F.when(done, _tokens() * sign)), F.lit(0)).alias("tokens"),
+        F.coalesce(F.sum(F.when(done, F.coalesce("elapsed_seconds", F.lit(0.0)) * sign)), F.lit(0.0)).alias(
+            "elapsed_seconds"
+        ),
+    )
+
+
+def add_signed(sums: DataFrame) -> DataFrame:
+    """Totals of signed sums; providers and models without rows are gone."""
+    added = [F.sum(c).alias(c) for c in SIGNED_SUMS]
+    return sums.groupBy("provider", "model_name").agg(*added).where("requests <> 0")
+
+
+def totals_from_sums(sums: DataFrame) -> DataFrame:
+    """:func:`run_totals` from sums."""
+    return sums.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in
+          {"requests": "total", "finished": "finished", "running": "running", "errors": "errors", "all_tokens": "total_tokens"}.items()]
+    )
+
+
+def by_provider_from_sums(sums: DataFrame) -> DataFrame:
+    """:func:`by_provider` from sums."""
+    return sums.groupBy("provider").agg(F.sum("requests").alias("requests"))
+
+
+def by_model_from_sums(sums: DataFrame) -> DataFrame:
+    """:func:`by_model` from sums."""
+    return add_up(sums, "model_name")

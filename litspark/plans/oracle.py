@@ -652,6 +652,21 @@ SQL["run_with_lost_tasks"] = f"""WITH {_ROWS} SELECT code, provider, "ID",
     {", ".join(f"CASE WHEN r.status = 'success' THEN {'NULL' if c == 'state' else 'r.' + c} ELSE a.{c} END AS {c}"
                for c in _VALUES.split(", ") if c != "call_count")}, 0::BIGINT AS repeated
     FROM rows_in r JOIN answers a USING (provider, "ID")"""
+_MERGED = f"""SELECT code, provider, "ID", r.model_name,
+    {", ".join(f"CASE WHEN r.status = 'success' THEN {'NULL' if c == 'state' else 'r.' + c} ELSE a.{c} END AS {c}"
+               for c in _VALUES.split(", "))}
+    FROM rows_in r JOIN answers a USING (provider, "ID")"""
+SQL["committed_versions"] = f"""WITH {_ROWS} SELECT 1 AS version, code, provider, "ID", {_VALUES.replace("state", "NULL AS state")}
+    FROM rows_in UNION ALL SELECT 4, code, provider, "ID", {_VALUES} FROM ({_MERGED})"""
+SQL["versioned_statistics"] = f"""WITH {_ROWS}, merged AS ({_MERGED}), counts AS (SELECT model_name, count(*) AS requests,
+        count(*) FILTER (status = 'success') AS finished, count(*) FILTER (status IS NULL) AS open,
+        count(*) FILTER (status ILIKE 'Error%') AS errors,
+        CAST(coalesce(sum(coalesce(total_tokens, usage_tokens, 0)) FILTER (status = 'success'), 0) AS BIGINT) AS tokens,
+        CAST(sum(coalesce(total_tokens, usage_tokens, 0)) AS BIGINT) AS all_tokens
+    FROM merged GROUP BY model_name)
+    SELECT model_name, requests, finished, open, tokens FROM counts
+    UNION ALL SELECT NULL, CAST(sum(requests) AS BIGINT), CAST(sum(finished) AS BIGINT), CAST(sum(errors) AS BIGINT),
+        CAST(sum(all_tokens) AS BIGINT) FROM counts"""
 SQL["response_payloads"] = f"""WITH {_ROWS} SELECT "ID", r.model_name AS model, provider, 'base' AS profile,
     a.response_text, a.status, sha256(prompt) AS prompt_hash,
     CASE WHEN a.status = 'success' THEN CAST(length(prompt) AS INTEGER) END AS size

@@ -16,7 +16,7 @@ from litspark.operators.offline import connect_dying, connect_offline, html_page
 from litspark.plans import bindings as b
 from litspark.plans import experiment
 from litspark.session import materialize, work_dir
-from litspark.sources import pages, readers, writers
+from litspark.sources import pages, readers, versions, writers
 from litspark.streaming import state, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -687,6 +687,43 @@ def run_with_lost_tasks(spark: SparkSession, folder: str) -> DataFrame:
     return merged.withColumn("repeated", F.lit(twice.first()[0]).cast("bigint"))
 
 
+def _versioned(spark: SparkSession, folder: str) -> tuple[str, int]:
+    """The experiment as a versioned table: all rows first, then the answers of each third of the ids."""
+    rows, root = _rows(spark, folder), f"{work_dir(spark)}/experiment"
+    rows = rows.withColumn("elapsed_seconds", F.lit(None).cast("double"))
+    results = materialize(inference.resume(rows, connect_offline))
+    ends = rows.agg(F.min("ID").alias("low"), F.max("ID").alias("high")).first()
+    version = versions.create(rows, root, width=max((ends.high - ends.low) // 50, 1))
+    third = (ends.high - ends.low) // 3 + 1
+    for i in range(3):
+        part = results.where(F.col("ID").between(ends.low + i * third, ends.low + (i + 1) * third - 1))
+        versions.statistics(spark, root, version)
+        version = versions.merge(part, root)
+    return root, version
+
+
+@query
+def committed_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers merged in three steps, each a committed version; the first and the last version."""
+    root, last = _versioned(spark, folder)
+    shown = ["code", *RESULT_KEYS, *RESULT_VALUES]
+    first, now = (versions.read_version(spark, root, n).select(F.lit(n).alias("version"), *shown) for n in (1, last))
+    return first.unionByName(now)
+
+
+@query
+def versioned_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Run statistics kept up to date over the versions by what changed."""
+    root, last = _versioned(spark, folder)
+    sums = versions.statistics(spark, root, last)
+    shown = ["model_name", "requests", "finished", "open", "tokens"]
+    totals = stats.totals_from_sums(sums).select(
+        F.lit(None).cast("string").alias("model_name"), F.col("total").alias("requests"), "finished",
+        F.col("errors").alias("open"), F.col("total_tokens").alias("tokens"),
+    )
+    return stats.by_model_from_sums(sums).select(shown).unionByName(totals)
+
+
 @query
 def response_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """The document per call, without its time."""
