@@ -7,8 +7,8 @@ often each is right, without looking at any label. The posteriors of the groups,
 fault is there), are the labels from which a linear scorer over hashed words and the votes is
 trained; the scorer judges every document.
 
-The word lists of the abuse labellers are taken from labelled rows: at most ``LABELLED`` of them,
-the first by a hash of their id, dealt into three folds with one labeller each. The scorer is fitted
+The word lists of the abuse labellers are taken from labelled rows: at most ``LABELLED`` ids,
+the first by a hash, dealt into three folds with one labeller each. The scorer is fitted
 to the posteriors of at most ``TRAIN`` documents, the first by another hash. Both are bounds of
 what the driver holds. Votes, their counts and the scores cover all documents and whole texts.
 
@@ -29,11 +29,12 @@ from pyspark.sql import types as T
 
 from litspark.llm.arrays import LOWER, MARKS, SPACES, Texts, Words, mix, pieces, texts, words
 
-LABELLED = 5000
-TRAIN = 8000
+LABELLED = 6000
+TRAIN = 12000
 BITS = 18
 FOLDS = 3
 ROUNDS = 50
+SHARES = 8
 ADDED = {"score": T.DoubleType(), "keep": T.BooleanType()}
 
 # Bytes that are neither letters, digits, white space nor usual in sentences.
@@ -79,13 +80,41 @@ def _per_text(hits: np.ndarray, t: Texts) -> np.ndarray:
 
 
 def _distinct(values: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (owner, value) pairs: values, how often, and the first of each owner."""
-    order = np.lexsort((values, owner))
-    v, o = values[order], owner[order]
-    new = np.ones(len(v), bool)
-    new[1:] = (v[1:] != v[:-1]) | (o[1:] != o[:-1])
+    """Distinct (owner, value) pairs: values, how often, and the first of each owner.
+
+    Owners and the upper bits of values (48 of them for up to 65,536 owners) are sorted as one number;
+    the lower bits of the values given back are zero.
+    """
+    bits = np.uint64(max(16, int(n).bit_length()))
+    keys = np.sort((owner.astype("u8") << (np.uint64(64) - bits)) | (values >> bits))
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
     at = np.flatnonzero(new)
-    return v[at], np.diff(np.append(at, len(v))), np.searchsorted(o[at], np.arange(n + 1))
+    first = np.searchsorted(keys[at] >> (np.uint64(64) - bits), np.arange(n + 1, dtype="u8"))
+    return keys[at] << bits, np.diff(np.append(at, len(keys))), first
+
+
+class Lookup:
+    """Which of several lists of hashes hold a hash: a bit per list, looked up in one table.
+
+    Most hashes are in no list; a bitmap over their upper bits tells nearly all of those.
+    """
+
+    def __init__(self, lists: list[np.ndarray]):
+        self.hashes = np.unique(np.concatenate([np.zeros(0, "u8"), *lists]))
+        self.bits = np.zeros(len(self.hashes), "u1" if len(lists) <= 8 else "u8")
+        for i, one in enumerate(lists):
+            self.bits[np.searchsorted(self.hashes, one)] |= self.bits.dtype.type(1 << i)
+        self.some = np.zeros(1 << 18, bool)
+        self.some[(self.hashes >> np.uint64(46)).astype("i8")] = True
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(values.shape, self.bits.dtype)
+        if len(self.hashes):
+            near = np.flatnonzero(self.some[(values >> np.uint64(46)).astype("i8")])
+            at = np.minimum(np.searchsorted(self.hashes, values[near]), len(self.hashes) - 1)
+            out[near] = np.where(self.hashes[at] == values[near], self.bits[at], 0)
+        return out
 
 
 def _terms(t: Texts, w: Words) -> np.ndarray:
@@ -104,10 +133,10 @@ def _terms(t: Texts, w: Words) -> np.ndarray:
     return np.stack(rows)
 
 
-def vote(t: Texts, lists: list[Lists]) -> Votes:
+def vote(t: Texts, lists: list[Lists], features: bool = True) -> Votes:
     """Votes of all labellers; ``lists`` has the words of each abuse labeller.
 
-    One word that is hardly ever in clean texts makes it vote bad, or two that are rarely.
+    Without ``features`` no hashed words are given. One word that is hardly ever in clean texts makes it vote bad, or two that are rarely.
     """
     n = len(t.start)
     size = np.maximum(t.end - t.start, 1)
@@ -150,49 +179,61 @@ def vote(t: Texts, lists: list[Lists]) -> Votes:
     plain = words(t, MARKS)
     plain_owner = np.repeat(np.arange(n), np.diff(plain.first))
     terms = _terms(t, plain)
-    hashes, _, first = _distinct(terms.reshape(-1), np.tile(plain_owner, len(terms)), n)
-    for sure, likely in lists:
-        hit = np.isin(terms, likely).any(axis=0)
-        _, _, words_hit = _distinct(plain.hash[hit], plain_owner[hit], n)
-        certain = np.bincount(plain_owner[np.isin(terms, sure).any(axis=0)], minlength=n) > 0
+    lookup = Lookup([x for pair in lists for x in pair])
+    found_in = np.zeros(len(plain.hash), lookup.bits.dtype)
+    for row in terms:
+        found_in |= lookup.find(row)
+    for i in range(len(lists)):
+        sure, likely = ((found_in & found_in.dtype.type(1 << (2 * i + j))) > 0 for j in (0, 1))
+        _, _, words_hit = _distinct(plain.hash[likely], plain_owner[likely], n)
+        certain = np.bincount(plain_owner[sure], minlength=n) > 0
         n_hit = np.diff(words_hit)
         found = np.where(certain | (n_hit >= 2), BAD, np.where(n_hit == 1, NONE, GOOD))
-        columns.append(np.where(np.diff(first) > 0, found, NONE))
+        columns.append(np.where(np.diff(plain.first) > 0, found, NONE))
+    hashes, first = np.zeros(0, "u8"), np.zeros(n + 1, "i8")
+    if features:
+        hashes, _, first = _distinct(terms.reshape(-1), np.tile(plain_owner, len(terms)), n)
     return Votes(np.stack(columns, axis=1).astype("i1"), (hashes >> np.uint64(64 - BITS)).astype("i8"), first)
 
 
-def learn_lists(rows: list[tuple[str, int]], folds: int = FOLDS) -> list[Lists]:
-    """Of each fold of (text, toxic) rows: words found much more often in toxic texts.
+def learn_lists(rows: pa.Table, folds: int = FOLDS) -> list[Lists]:
+    """Of each fold of rows (``text``, ``toxic``): words found much more often in toxic texts.
 
     A word counts once with each word before it, so that the words of a text with many copies
-    don't look frequent: abuse stands in ever new places.
+    don't look frequent: abuse stands in ever new places. Terms are counted in ``SHARES`` shares by
+    their hash, which bounds what is held beside the texts.
     """
     lists = []
-    order = np.random.default_rng(0).permutation(len(rows)).tolist()
+    order = np.random.default_rng(0).permutation(len(rows))
     for k in range(folds):
-        own = [rows[i] for i in order[k::folds]]
-        t = texts(pa.array([x for x, _ in own], pa.string()))
-        toxic = np.array([y for _, y in own], bool)
+        own = rows.take(pa.array(order[k::folds])).combine_chunks()
+        t = texts(own.column("text"))
+        toxic = own.column("toxic").to_numpy().astype(bool)
         w = words(t, MARKS)
         owner = np.repeat(np.arange(len(own)), np.diff(w.first))
         before = np.zeros(len(w.hash), "u8")
         before[1:] = np.where(owner[1:] == owner[:-1], w.hash[:-1], 0)
         # With a stem the whole word counts as its surroundings too.
-        around = mix(before + mix(w.hash))
+        near = mix(mix(before + mix(w.hash)))
         terms = _terms(t, w)
-        distinct, counts = np.unique(terms), []
-        for kind in (True, False):
-            mine = toxic[owner] == kind
-            held, near = terms[:, mine], around[mine]
-            pair = np.concatenate([mix(row + mix(near)) for row in held])
-            once = np.unique(pair, return_index=True)[1]
-            pairs = held.reshape(-1)[once]
-            del pair, once
-            counts.append(np.bincount(np.searchsorted(distinct, pairs), minlength=len(distinct)))
+        bad_word = toxic[owner]
         n_bad, n_good = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
-        common = counts[0] >= max(4, 0.08 * n_bad)
-        likely = common & (counts[0] / n_bad >= 20 * (counts[1] + 0.5) / n_good)
-        lists.append((distinct[likely & (counts[1] <= 0.001 * n_good)], distinct[likely]))
+        sure, likely = [], []
+        for share in range(SHARES):
+            mine = [np.flatnonzero(row % np.uint64(SHARES) == share) for row in terms]
+            held = np.concatenate([row[m] for row, m in zip(terms, mine)])
+            place = np.concatenate(mine)
+            distinct, code = np.unique(held, return_inverse=True)
+            counts = []
+            for kind in (True, False):
+                of = bad_word[place] == kind
+                once = np.unique(mix(held[of] + near[place[of]]), return_index=True)[1]
+                counts.append(np.bincount(code[of][once], minlength=len(distinct)))
+            common = counts[0] >= max(4, 0.08 * n_bad)
+            far = common & (counts[0] / n_bad >= 20 * (counts[1] + 0.5) / n_good)
+            sure.append(distinct[far & (counts[1] <= 0.001 * n_good)])
+            likely.append(distinct[far])
+        lists.append((np.sort(np.concatenate(sure)), np.sort(np.concatenate(likely))))
     return lists
 
 
@@ -275,9 +316,10 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     own = labels.select(F.col(key).alias("id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     chosen = _first_rows(own.groupBy("id").agg(F.max("toxic").alias("toxic")), "id", LABELLED, 1)
     # At most LABELLED narrow rows, so that they may go to every task.
-    rows = docs.join(F.broadcast(chosen), "id").where("text IS NOT NULL").dropDuplicates(["id"]).collect()
-    rows.sort(key=lambda r: r["id"])
-    lists = learn_lists([(r["text"], r["toxic"]) for r in rows])
+    # Of several texts of one id the least is taken, so that every run learns the same.
+    of_id = docs.join(F.broadcast(chosen), "id").where("text IS NOT NULL").groupBy("id")
+    rows = of_id.agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).toArrow()
+    lists = learn_lists(rows.sort_by("id").select(["text", "toxic"]))
     del rows
     n_labellers = OWN + len(lists)
     shared = spark.sparkContext.broadcast(lists)
@@ -285,7 +327,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     def count(batches):
         seen: dict[bytes, int] = {}
         for piece in pieces(batches, "text"):
-            votes = vote(texts(piece.column(0)), shared.value).votes
+            votes = vote(texts(piece.column(0)), shared.value, features=False).votes
             kinds, times = np.unique(votes, axis=0, return_counts=True)
             for kind, n in zip(kinds, times.tolist()):
                 seen[kind.tobytes()] = seen.get(kind.tobytes(), 0) + n
@@ -314,16 +356,15 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
                 schema=pa.schema([("id", piece.schema.field(0).type), ("votes", pa.binary()), ("buckets", pa.binary())]),
             )
 
-    taken = docs.join(F.broadcast(sample_ids), "id").select("id", "text")
+    taken = docs.join(F.broadcast(sample_ids), "id").groupBy("id").agg(F.min("text").alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    sample = taken.mapInArrow(features, f"id {kind}, votes binary, buckets binary").collect()
-    sample.sort(key=lambda r: (r["id"], bytes(r["buckets"])))
-    buckets = [np.frombuffer(bytes(r["buckets"]), "<i4") for r in sample]
-    first = np.concatenate([[0], np.cumsum([len(b) for b in buckets])]).astype("i8")
-    votes = np.array([np.frombuffer(bytes(r["votes"]), "i1") for r in sample], "i1").reshape(-1, n_labellers)
-    target = np.array([posterior.get(bytes(r["votes"]), 0.0) for r in sample])
-    flat = np.concatenate([np.zeros(0, "i4"), *buckets])
-    del buckets, sample
+    sample = taken.mapInArrow(features, f"id {kind}, votes binary, buckets binary").toArrow().sort_by("id")
+    said, held = sample.column("votes").to_pylist(), texts(sample.column("buckets"))
+    first = np.append(held.start, held.end[-1:]) // 4 if len(said) else np.zeros(1, "i8")
+    votes = np.frombuffer(b"".join(said), "i1").reshape(-1, n_labellers)
+    target = np.array([posterior.get(v, 0.0) for v in said])
+    flat = np.frombuffer(held.data.tobytes(), "<i4")
+    del held, sample
     return Model(lists, posterior, train_scorer(Votes(votes, flat, first), target, n_labellers))
 
 
