@@ -327,7 +327,10 @@ def link(
     size: int = SIZE,
     threshold: Fraction = THRESHOLD,
 ) -> DataFrame:
-    """Per document: ``key``, ``n_shingles`` and ``component_id``, the smallest id reachable."""
+    """Per document: ``key``, ``n_shingles`` and ``component_id``, the smallest id reachable.
+
+    A document without an id has no component: its ``component_id`` is null.
+    """
     rows = documents.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
     sets = materialize(sketches(rows, "id", "text", size, threshold))
     full = sets.where("n > 0")
@@ -361,7 +364,11 @@ def link(
         still = per_key.where((F.col("least") < F.col("most")) & (F.col("n") > high + 1)).select("key")
         grouped = materialize(grouped.join(still, "key", "left_semi"))
         if grouped.isEmpty():
-            return _result(sets, root, key)
+            bare = rows.where("id IS NULL").withColumn("id", F.monotonically_increasing_id())
+            sizes = sketches(bare, "id", "text", size, threshold).select(
+                F.lit(None).cast("bigint").alias(key), F.col("n").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id")
+            )
+            return _result(sets, root, key).unionAll(sizes)
         low, high = high, high + min(MOST_PIVOTS, max(PIVOTS, 8 * (high - low)))
 
 
@@ -398,6 +405,16 @@ def _result(sets: DataFrame, root: DataFrame, key: str) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """Documents with the smallest id of their group stay, and those that link with nothing."""
-    found = link(documents, key, text, **how).where(F.col(key) == F.col("component_id")).select(key)
-    return documents.join(found, key, "left_semi").select(documents.columns)
+    """Documents with the smallest id of their group stay, and those that link with nothing.
+
+    Of rows that have one id and one text a single one stays. Rows without an id all stay: a group's
+    document is told by its id.
+    """
+    found = materialize(link(documents, key, text, **how).where(F.col(key) == F.col("component_id")).select(key))
+    kept = documents.join(found.distinct(), key, "left_semi").select(documents.columns)
+    again = found.groupBy(key).count().where("count > 1").select(key)
+    if not again.isEmpty():
+        several = kept.join(again, key, "left_semi").select(documents.columns)
+        first = several.dropDuplicates([key, text])
+        kept = kept.join(again, key, "left_anti").select(documents.columns).unionAll(first)
+    return kept.unionAll(documents.where(F.col(key).isNull()))

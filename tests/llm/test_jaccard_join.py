@@ -97,8 +97,8 @@ def test_similar_sets_share_a_key():
 
 def test_repeated_rows_null_ids_and_empty_table(documents):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (2, "a b c d e"), (None, "a b c d e")]
-    found = sorted(tuple(r) for r in j.link(documents(rows)).collect())
-    assert found == [(1, 1, 1), (1, 1, 1), (2, 1, 1)]
+    found = sorted((tuple(r) for r in j.link(documents(rows)).collect()), key=str)
+    assert found == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (None, 1, None)]
     assert j.link(documents(rows).limit(0)).count() == 0
 
 
@@ -106,3 +106,9 @@ def test_one_of_each_keeps_columns(documents):
     docs = documents([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x"), (4, None)], "'en' AS lang")
     kept = j.one_of_each(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+
+
+def test_rows_without_an_id_are_returned(spark, documents):
+    rows = [(None, "a b c d e f"), (None, "x"), (4, "a b c d e f"), (9, "a b c d e f"), (7, None)]
+    found = sorted(map(tuple, j.link(documents(rows), size=4).collect()), key=str)
+    assert found == sorted([(None, 3, None), (None, 1, None), (4, 3, 4), (9, 3, 4), (7, 0, 7)], key=str)

@@ -34,6 +34,41 @@ def test_quality_keeps_clean_and_rejects_labelled(spark, stages):
     assert kept <= {r.doc_id for r in before} and np.mean([i in kept for i in good]) > 0.95
 
 
+def test_quality_rejects_toxic_documents(spark):
+    """At sf0.01, where the word lists have something to learn from."""
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.quality(spark, docs, folder).select("doc_id").collect()}
+    labels = spark.read.parquet(f"{folder}/labels.parquet").collect()
+    toxic = [r.doc_id for r in labels if r.toxic]
+    clean = [r.doc_id for r in labels if r.quality and not r.toxic]
+    assert len(toxic) > 20 and np.mean([i not in kept for i in toxic]) >= 0.8
+    assert np.mean([i in kept for i in clean]) > 0.95
+
+
+ODD_TEXT = " ".join(f"odd{i}" for i in range(70))
+
+
+def test_stages_with_odd_rows(spark):
+    """Null ids and texts, repeated rows, columns named like an operator's, no ``n_chars``; then no row."""
+    rows = [(1, ODD_TEXT), (1, ODD_TEXT), (2, ODD_TEXT + " more"), (3, None), (None, ODD_TEXT), (None, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(
+        "*", "'s' AS score", "1 AS keep", "2 AS spans", "3 AS items", "4 AS n_words", "5 AS sources", "6 AS Decoded"
+    )
+    # Each stage on these rows: only the second one drops any; the third cuts the second document.
+    want = {"quality": 7, "near_duplicates": 5, "passages": 7, "benchmark": 7, "tokens": 7}
+    for name, stage in corpus_pipeline.STAGES:
+        for table in (docs, docs.limit(0)):
+            out = stage(spark, table, FOLDER)
+            found = out.collect()
+            assert out.columns[: len(docs.columns)] == docs.columns and len(found) == (want[name] if table is docs else 0), name
+            assert all((r.score, r.keep, r.spans, r["items"], r.n_words, r.sources, r.Decoded) == ("s", 1, 2, 3, 4, 5, 6) for r in found)
+            assert {r.doc_id for r in found} >= ({None, 1, 3, 5} if table is docs else set())
+    taken = corpus_pipeline.tokens(spark, docs.selectExpr("*", "7 AS N_TOKENS", "8 AS round_trip"), FOLDER)
+    assert sorted(map(str.lower, taken.columns)) == sorted([*map(str.lower, docs.columns), "token_ids", "n_tokens", "round_trip"])
+    assert {r.round_trip for r in taken.collect()} == {True}
+
+
 def test_near_duplicates_against_all_pairs(stages):
     before, after = stages[1]
     sets = [(r.doc_id, shingle_set(r.text, 5)) for r in sorted(before, key=lambda r: r.doc_id)]
