@@ -203,6 +203,26 @@ SQL["phrase_search"] = with_pubs(
     f"""SELECT doc_id FROM ({_SEARCH}) WHERE (contains(hay, ' of the ') OR contains(hay, ' de la '))
     AND NOT (contains(hay, ' und ') AND contains(hay, ' der '))"""
 )
+SQL["selected_half"] = with_pubs(
+    """SELECT doc_id, year FROM (SELECT *, row_number() OVER (ORDER BY year DESC NULLS LAST, title NULLS LAST, ord) AS place FROM pubs)
+    WHERE place <= (SELECT count(*) // 2 FROM documents)"""
+)
+_MANY = f""", found AS (SELECT *, coalesce({key()}, 'row:' || s || ':' || ord) AS merge_key FROM (
+        SELECT p.* EXCLUDE (search_id), printf('s%04d', (ord * k) % 5000) AS s FROM pubs p, (VALUES (1), (37), (1009)) v(k)))"""
+SQL["merge_5000_searches"] = with_pubs(
+    _MANY
+    + """, firsts AS (SELECT merge_key, arg_min(title, (s, ord)) AS title, arg_min(pdf_filename, (s, ord)) AS pdf_filename,
+        CAST(count(DISTINCT s) - 1 AS INTEGER) AS duplicates_counter FROM found GROUP BY merge_key)
+    SELECT DISTINCT merge_key, s AS search_id, f.title, f.pdf_filename, duplicates_counter FROM found JOIN firsts f USING (merge_key)"""
+)
+SQL["searches_together"] = with_pubs(
+    _MANY
+    + """, groups AS (SELECT DISTINCT s, s[1:4] AS name FROM found),
+    per_key AS (SELECT name, merge_key, count(DISTINCT s) AS n FROM found JOIN groups USING (s) GROUP BY ALL)
+    SELECT name, count(*) AS found_by_any, count(*) FILTER (n = size) AS found_by_all
+    FROM per_key JOIN (SELECT name, count(*) AS size FROM groups GROUP BY name) USING (name) GROUP BY name"""
+)
+SQL["listed_by_tasks"] = "SELECT DISTINCT 'lang=' || lang AS lang, 'source=' || source AS source, true AS same FROM documents"
 SQL["index_search"] = with_pubs(
     f"""SELECT query, doc_id FROM ({_SEARCH}), (VALUES ('keywords'), ('phrases'), ('rare'), ('without'), ('absent')) q(query)
     WHERE CASE query

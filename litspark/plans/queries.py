@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from litspark import schemas
 from litspark.functions import filenames, language_model, requests, templates, text
 from litspark.functions.language import detect_language, detect_text
-from litspark.operators import curate, inference, inventory, ledger, search, stats, text_index
+from litspark.operators import curate, inference, inventory, ledger, many, search, selection, stats, text_index
 from litspark.operators.extract import extract_text
 from litspark.operators.offline import connect_dying, connect_offline, html_pages
 from litspark.plans import bindings as b
 from litspark.plans import experiment
 from litspark.session import materialize, work_dir
-from litspark.sources import pages, readers, versions, writers
+from litspark.sources import listing, pages, readers, versions, writers
 from litspark.streaming import state, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,6 +149,62 @@ def phrase_search(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("ord").alias("doc_id"))
 
 
+@query
+def selected_half(spark: SparkSession, folder: str) -> DataFrame:
+    """The newer half of all records, found by counting ranges; no task holds more than its share."""
+    rows = materialize(b.publications(spark, folder).select("year", "title", "ord"))
+    order = [selection.By("year", descending=True), selection.By("title"), selection.By("ord")]
+    half = rows.count() // 2
+    return selection.first_rows(rows, order, half, ranges=16).select(F.col("ord").alias("doc_id"), "year")
+
+
+def _many_searches(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record in three of 5,000 searches."""
+    n = F.col("ord")
+    ids = F.array(*[F.format_string("s%04d", F.pmod(n * k, F.lit(5000))) for k in (1, 37, 1009)])
+    return b.publications(spark, folder).withColumn("search_id", F.explode(ids))
+
+
+@query
+def merge_5000_searches(spark: SparkSession, folder: str) -> DataFrame:
+    """5,000 searches merged: membership as rows, counters and first values beside it."""
+    rows = _many_searches(spark, folder)
+    merged, membership = many.merge_many(rows, many.number_searches(rows))
+    shown = merged.select("number", "merge_key", "title", "pdf_filename", "duplicates_counter")
+    return membership.join(shown, "number").drop("number")
+
+
+@query
+def searches_together(spark: SparkSession, folder: str) -> DataFrame:
+    """What groups of ten among 5,000 searches have found, any or all of them, from their bitmaps."""
+    rows = _many_searches(spark, folder)
+    searches = many.number_searches(rows)
+    _, membership = many.merge_many(rows, searches)
+    maps = many.add_bitmaps(*(many.bitmaps(membership.where(F.col("number") % 2 == k)) for k in (0, 1)))
+    group = F.substring("search_id", 1, 4)
+    return many.together(maps, searches.select(group.alias("name"), "search_id"))
+
+
+@query
+def listed_by_tasks(spark: SparkSession, folder: str) -> DataFrame:
+    """Folders of documents by language and source, listed by tasks and by Spark's own reader."""
+    base = f"{work_dir(spark)}/tree"
+    docs = b.read(spark, folder, "documents").select("lang", "source", "text")
+    docs.repartition("lang", "source").write.partitionBy("lang", "source").json(base)
+    found = listing.list_files(spark, [base], recursive=True, per_task=5)
+    usual = readers.read_file_inventory(spark, base, recursive=True)
+    # The reader tells a path with other slashes before it.
+    plain = F.regexp_replace("path", "^file:/+", "/")
+    both = found.select(plain.alias("path"), "length", F.lit(1).alias("by_tasks"), F.lit(0).alias("by_spark")).unionAll(
+        usual.select(plain, "length", F.lit(0), F.lit(1))
+    )
+    same = both.groupBy("path", "length").agg(F.sum("by_tasks").alias("by_tasks"), F.sum("by_spark").alias("by_spark"))
+    place = F.split(F.regexp_extract("path", "(lang=[^/]*/source=[^/]*)/", 1), "/")
+    return same.groupBy(place[0].alias("lang"), place[1].alias("source")).agg(
+        F.bool_and((F.col("by_tasks") == 1) & (F.col("by_spark") == 1)).alias("same")
+    )
+
+
 INDEXED = {
     "keywords": KEYWORDS,
     "phrases": '("of-the" | "de - la") -(und + der) *',
