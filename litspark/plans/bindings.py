@@ -386,3 +386,20 @@ def parse_pages(landed: DataFrame, engine: int) -> DataFrame:
     schema = schemas.PAGE_ENGINE_1 if engine == 1 else schemas.PAGE_ENGINE_2
     page = F.from_json("value", f"page_no bigint, {schema}")
     return landed.select(page.alias("p")).select("p.*")
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """A file per row of ``name, content``, written by the tasks."""
+
+    def write(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            store, base = fs.FileSystem.from_uri(folder)
+            store.create_dir(base, recursive=True)
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with store.open_output_stream(f"{base}/{name}") as out:
+                    out.write(content.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    files.select("name", "content").mapInArrow(write, "n bigint").agg(F.sum("n")).collect()

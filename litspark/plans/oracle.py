@@ -687,6 +687,32 @@ SQL["versioned_statistics"] = f"""WITH {_ROWS}, merged AS ({_MERGED}), counts AS
     SELECT model_name, requests, finished, open, tokens FROM counts
     UNION ALL SELECT NULL, CAST(sum(requests) AS BIGINT), CAST(sum(finished) AS BIGINT), CAST(sum(errors) AS BIGINT),
         CAST(sum(all_tokens) AS BIGINT) FROM counts"""
+SQL["records_split"] = with_pubs(
+    """SELECT search_engine_internal_id, title, year, '"' || authors || '";' AS authors, sha256(abstract) AS abstract_hash FROM pubs"""
+)
+SQL["searches_from_files"] = with_pubs(
+    """SELECT search_id, search_id || role AS file_name, title, year, doi, CAST(ord AS INTEGER) AS doc_id
+    FROM pubs, (VALUES ('__results.csv'), ('__filtered.csv')) v(role)"""
+)
+SQL["search_config_files"] = SQL["search_configs"]
+SQL["parsed_documents"] = """SELECT 'document' AS kind, 'd' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.md' ELSE '.txt' END AS file_name,
+    sha256(text || chr(10)) AS hash FROM documents
+    UNION ALL SELECT 'prompt', 'd' || doc_id, sha256(text) FROM documents WHERE doc_id % 2 = 1"""
+SQL["responses_round_trip"] = f"""WITH {_ROWS} SELECT provider, r.model_name AS model, a.response_text, sha256(prompt) AS prompt_hash
+    FROM rows_in r JOIN answers a USING (provider, "ID") WHERE a.status = 'success'"""
+SQL["filter_log"] = with_pubs(
+    " UNION ALL ".join(
+        f"""SELECT search_id, 1 AS step, 'language={x}' AS filter, count(*) AS rows_in,
+        count(*) FILTER (language IS DISTINCT FROM '{x}') AS rows_out FROM pubs GROUP BY search_id""" for x in ("de", "en")
+    )
+)
+SQL["guarded_writes"] = with_pubs(
+    """, n AS (SELECT count(*) FILTER (year < 2020) AS old, count(*) FILTER (year >= 2020) AS new FROM pubs)
+    SELECT 'dry run' AS step, 'old' AS "table", old AS rows FROM n UNION ALL SELECT 'dry run', 'new', new FROM n
+    UNION ALL SELECT 'write', 'out', old FROM n UNION ALL SELECT 'refused', 'out', old FROM n UNION ALL SELECT 'rewrite', 'out', new FROM n"""
+)
+SQL["run_single_row"] = f"""WITH {_ROWS} SELECT provider, "ID", {_VALUES}, true AS timed FROM answers
+    WHERE "ID" = (SELECT max("ID") FROM answers)"""
 SQL["response_payloads"] = f"""WITH {_ROWS} SELECT "ID", r.model_name AS model, provider, 'base' AS profile,
     a.response_text, a.status, sha256(prompt) AS prompt_hash,
     CASE WHEN a.status = 'success' THEN CAST(length(prompt) AS INTEGER) END AS size

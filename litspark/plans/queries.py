@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from litspark.operators.offline import connect_dying, connect_offline, html_page
 from litspark.plans import bindings as b
 from litspark.plans import experiment
 from litspark.session import materialize, work_dir
-from litspark.sources import listing, pages, readers, versions, writers
+from litspark.sources import listing, pages, readers, split_text, versions, writers
 from litspark.streaming import state, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -685,6 +687,115 @@ def records_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return back.select(F.col("`in.merged`").cast("bigint").alias("doc_id"), "title", "year", "doi", "citationCount")
 
 
+@query
+def records_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Records written in order as ``;`` files with line ends in their cells, read back by byte ranges."""
+    path = f"{work_dir(spark)}/records"
+    rows = b.publications(spark, folder).withColumn("authors", F.concat(F.lit('"'), "authors", F.lit('";')))
+    writers.write_records(rows.select(*schemas.RECORD_COLUMNS), path, fmt="csv")
+    back = split_text.read_records_split(spark, path)
+    return back.select(
+        "search_engine_internal_id", "title", "year", "authors", text.sha256_hex("abstract").alias("abstract_hash")
+    )
+
+
+@query
+def searches_from_files(spark: SparkSession, folder: str) -> DataFrame:
+    """A file per search and role, read by role; merged outputs beside them are left out."""
+    base = f"{work_dir(spark)}/searches"
+    rows = b.publications(spark, folder)
+    cell = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(";", cell("title"), F.coalesce(F.col("year").cast("double").cast("string"), F.lit("nan")), cell("doi"), F.col("ord"))
+    per_file = rows.groupBy("search_id").agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))).alias("lines"))
+    whole = F.concat(F.lit("title;year;doi;citationCount\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\n"))
+    roles = F.explode(F.array(F.lit("__results.csv"), F.lit("__filtered.csv"), F.lit("__merged__results.csv"))).alias("role")
+    files = per_file.select("search_id", roles, whole.alias("content"))
+    b.write_files(files.select(F.concat("search_id", "role").alias("name"), "content"), base)
+    found = readers.read_searches(spark, base, "results").unionByName(readers.read_searches(spark, base, "filtered"))
+    return found.select("search_id", "file_name", "title", "year", "doi", F.col("citationCount").alias("doc_id"))
+
+
+@query
+def search_config_files(spark: SparkSession, folder: str) -> DataFrame:
+    """A config file per search; the name of the file stands for an id that is left out."""
+    base = f"{work_dir(spark)}/configs"
+    configs = _configs(spark, folder)
+    own = F.when(F.col("search_id").endswith("7"), F.lit(None).cast("string")).otherwise(F.col("search_id"))
+    content = F.to_json(F.struct(own.alias("search_id"), "query", "year", "onlyOpenAccess"))
+    b.write_files(configs.select(F.concat("search_id", F.lit(".json")).alias("name"), content.alias("content")), base)
+    return readers.read_search_configs(spark, base)
+
+
+@query
+def parsed_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as text and Markdown files, and as prompt templates, read back."""
+    base = work_dir(spark)
+    name = F.concat(F.lit("d"), F.col("doc_id"), F.when(F.col("doc_id") % 2 == 0, ".md").otherwise(".txt"))
+    docs = b.read(spark, folder, "documents").select("doc_id", name.alias("name"), F.concat("text", F.lit("\n")).alias("content"))
+    b.write_files(docs, f"{base}/parsed")
+    read = readers.read_parsed_documents(spark, f"{base}/parsed").select(
+        F.lit("document").alias("kind"), "file_name", text.sha256_hex("content").alias("hash")
+    )
+    prompts = readers.read_prompts(spark, f"{base}/parsed").select(
+        F.lit("prompt"), F.col("prompt_id"), text.sha256_hex("template")
+    )
+    return read.unionAll(prompts)
+
+
+@query
+def responses_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """A JSON document per finished call, by provider, read back."""
+    rows, path = _rows(spark, folder), f"{work_dir(spark)}/responses"
+    kept = inference.with_response_json(rows, inference.run_experiment(rows, connect_offline))
+    writers.write_responses(kept.withColumn("response_json", F.when(F.col("status") == "success", F.col("response_json"))), path)
+    json = F.col("value")
+    return spark.read.text(path).select(
+        "provider",
+        F.get_json_object(json, "$.model").alias("model"),
+        F.get_json_object(json, "$.response_text").alias("response_text"),
+        text.sha256_hex(F.get_json_object(json, "$.prompt")).alias("prompt_hash"),
+    )
+
+
+@query
+def filter_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The counts of two exclusion runs in one log."""
+    path = f"{work_dir(spark)}/log"
+    for language in ("de", "en"):
+        writers.append_filter_log(curate.exclude_audit(b.publications(spark, folder), language=language), path)
+    log = spark.read.parquet(path)
+    return log.where("applied_at <= current_timestamp()").drop("applied_at")
+
+
+@query
+def guarded_writes(spark: SparkSession, folder: str) -> DataFrame:
+    """A dry run, a write, one that is refused since the output is there, and one that may replace it."""
+    path = f"{work_dir(spark)}/out"
+    rows = b.publications(spark, folder)
+    old, new = rows.where("year < 2020"), rows.where("year >= 2020")
+    planned = writers.plan_counts(old=old, new=new).select(F.lit("dry run").alias("step"), "table", "rows")
+    written = []
+    for step, table, rewrite in (("write", old, False), ("refused", new, False), ("rewrite", new, True)):
+        try:
+            writers.write_records(table, path, rewrite=rewrite)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+        n = spark.read.parquet(path).agg(F.count("*").alias("rows"))
+        written.append(materialize(n.select(F.lit(step).alias("step"), F.lit("out").alias("table"), "rows")))
+    return reduce(DataFrame.unionAll, written, planned)
+
+
+@query
+def run_single_row(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest row, run again whether or not it has an answer, and the time it took."""
+    rows = _rows(spark, folder)
+    last = rows.agg(F.max_by("code", "ID").alias("code")).first()["code"]
+    result = inference.run_one(rows, last, connect_offline)
+    fast = F.col("elapsed_seconds").between(0, 60).alias("timed")
+    return result.select(*RESULT_KEYS, *RESULT_VALUES, fast)
+
+
 @query
 def run_offline(spark: SparkSession, folder: str) -> DataFrame:
     results = inference.run_experiment(_rows(spark, folder), connect_offline)
