@@ -332,7 +332,9 @@ def link(
     A document without an id has no component: its ``component_id`` is null.
     """
     rows = documents.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-    sets = materialize(sketches(rows, "id", "text", size, threshold))
+    made = sketches(rows, "id", "text", size, threshold)
+    # Keys are many and looked at once: they are made again for their shuffle, and never written.
+    sets = materialize(made.drop("keys"))
     full = sets.where("n > 0")
     # Equal sets: copies met in one task point to the one met first, those to the smallest id.
     copies = full.where("same IS NOT NULL").select(F.col("id").alias("a"), F.col("same").alias("b"))
@@ -341,10 +343,11 @@ def link(
     again = firsts.join(least.where("times > 1"), ["set_a", "set_b"]).where("id <> b").select(F.col("id").alias("a"), "b")
     again = materialize(again.distinct())
     root = components(copies.unionAll(again))
-    keys = full.where("same IS NULL").select(F.explode("keys").alias("key"), "id")
+    keys = made.where("n > 0 AND same IS NULL").select(F.explode("keys").alias("key"), "id")
     grouped = _shared(keys.repartition("key").sortWithinPartitions("key", "id"))
     grouped = materialize(grouped.join(again.select(F.col("a").alias("id")), "id", "left_anti"))
-    bits = full.where("same IS NULL").select("id", "n", "sketch")
+    # Which of several copies in a task is the first may differ between the two times.
+    bits = full.select("id", "n", "sketch")
     named = root.select(F.col("node").alias("id"), "root")
     low, high = 0, 1
     while True:

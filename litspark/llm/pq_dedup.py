@@ -34,10 +34,10 @@ from litspark.session import materialize
 
 THRESHOLD = 0.93
 SAMPLE = 20_000
-MOST_LISTS = 1024
+LIST_ROWS = 4096
 SUBSPACES = 8
 CODEWORDS = 64
-STORED_BLOCK = 512
+STORED_BLOCK = 4096
 PROBE_BLOCK = 4096
 SALTS = 16
 SLACK = 1e-6
@@ -71,8 +71,12 @@ def _padded(x: np.ndarray) -> np.ndarray:
 
 
 def fit_index(sample: np.ndarray, total: int) -> Index:
-    """Index for unit vectors of one length; ``total`` sets the number of lists."""
-    lists = int(np.clip(round(total**0.5), 1, min(MOST_LISTS, max(1, len(sample) // 20))))
+    """Index for unit vectors of one length; ``total``, those of the largest label, sets the number of lists.
+
+    A vector is sent to each list it probes, which may be all: so there are no more lists than blocks of
+    ``LIST_ROWS`` vectors, until their square root is less, and as many as the sample can tell apart.
+    """
+    lists = int(np.clip(round(min(total**0.5, total / LIST_ROWS)), 1, max(1, len(sample) // 20)))
     centroids = _kmeans(sample, lists)
     rest = _padded(sample - centroids[_nearest(sample, centroids)])
     parts = np.split(rest, SUBSPACES, axis=1)
@@ -273,7 +277,8 @@ def link(
         .withColumn("dim", F.size("vector"))
     )
     classes = materialize(classes)
-    totals = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    per_label = classes.groupBy("dim", "label").agg(F.count(F.lit(1)).alias("n"))
+    totals = {r["dim"]: r["n"] for r in per_label.groupBy("dim").agg(F.max("n").alias("n")).collect()}
     first = classes.orderBy(F.xxhash64("id"), "id").limit(sample).select("dim", "vector").collect()
     index = {
         dim: fit_index(_unit(np.array([r["vector"] for r in first if r["dim"] == dim] or [[1.0] * dim])), total)
