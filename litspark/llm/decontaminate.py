@@ -31,7 +31,7 @@ from litspark.llm.arrays import LOWER, MARKS, Texts, Words, ordered_hash, pieces
 
 WINDOW = 10
 SHINGLE = 3
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 FILTER_BITS = 22
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -238,6 +238,8 @@ def mark(
     """Adds to each document ``n_words``, ``spans`` of hit words and ``items`` (ids, as strings)."""
     names = {n.lower() for n in ADDED}
     documents = documents.select([c for c in documents.columns if c.lower() not in names])
+    # Counted over the table as it came: not over what earlier blocks have added to it.
+    plain = documents.select(F.col(text))
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).dropna()
     # Rows that repeat an item would all fall into one block.
     rows = rows.distinct()
@@ -250,7 +252,7 @@ def mark(
         for n, x in zip(block.size.tolist(), block.shingle):
             keys[min(shingle, n)].append(x)
         known = {n: np.unique(np.concatenate(x)) for n, x in keys.items()}
-        counts = _count(documents, text, known) if known else {}
+        counts = _count(plain, text, known) if known else {}
         documents = _match(documents, text, block, counts, shingle)
     return documents
 

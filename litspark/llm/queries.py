@@ -119,15 +119,18 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op4_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents shuffled into 40 shards whose row counts differ by one at most."""
+    """All documents, with their texts, shuffled into 40 shards whose row counts differ by one at most."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    rows = table(spark, folder, "documents").select(
+    return shards.shuffle_to_shards(docs, 40).select(
         "doc_id",
         (F.octet_length(text) + 16).cast("bigint").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
     )
-    return shards.shuffle_to_shards(rows, 40).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
 @query

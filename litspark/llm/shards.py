@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from litspark.session import materialize
 
 CELL_ROWS = 4096
+MOST_CELLS = 4096
 _NUMPY_MOST = 10**9
 
 
@@ -82,7 +83,7 @@ def shuffle_to_shards(df: DataFrame, shards: int, seed: int = 0, cell_rows: int
 
     The rows with their partition and place are written once to the shared folder, so that the
     counts stay true when a task is repeated. One number per partition comes to the driver.
-    Each cell holds about ``cell_rows`` rows, whatever the size of a shard.
+    Each cell holds about ``cell_rows`` rows, more only in shards of over ``MOST_CELLS`` such cells.
     """
     df = df.select([c for c in df.columns if c.lower() not in ("shard", "slot", "_place", "_cell")])
     placed = materialize(df.withColumn("_place", F.monotonically_increasing_id()))
@@ -92,11 +93,11 @@ def shuffle_to_shards(df: DataFrame, shards: int, seed: int = 0, cell_rows: int
     ids, sizes = [p for p, _ in known], np.array([n for _, n in known], "i8")
     total = int(sizes.sum())
     shard_sizes = np.array([total // shards + (s < total % shards) for s in range(shards)], "i8")
-    per_shard = max(1, -(-int(shard_sizes.max(initial=0)) // cell_rows))
-    # Cells of a shard split its rows evenly; their first slots follow.
+    # Beyond so many cells a shard they grow with the table.
+    per_shard = min(max(1, -(-int(shard_sizes.max(initial=0)) // cell_rows)), MOST_CELLS)
+    # Cells of a shard split its rows evenly.
     j = np.arange(per_shard)
     cells = (shard_sizes[:, None] // per_shard + (j < shard_sizes[:, None] % per_shard)).reshape(-1)
-    first = (np.cumsum(cells.reshape(shards, per_shard), axis=1) - cells.reshape(shards, per_shard)).reshape(-1)
 
     def deal(batches):
         ready: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -120,8 +121,11 @@ def shuffle_to_shards(df: DataFrame, shards: int, seed: int = 0, cell_rows: int
 
     dealt = placed.mapInArrow(deal, T.StructType([*placed.schema.fields, T.StructField("_cell", T.LongType())]))
     again = Window.partitionBy("_cell").orderBy(F.xxhash64(F.lit(seed), "_cell", "_place"), "_place")
-    shard = F.floor(F.col("_cell") / per_shard)
-    offset = F.get(F.lit(first.tolist()).cast("array<bigint>"), F.col("_cell").cast("int"))
+    shard = F.expr(f"_cell div {per_shard}")
+    # The first slot of the j-th cell of a shard of n rows: those before it hold n div cells rows, or one more.
+    inside = F.col("_cell") % per_shard
+    rows_in = F.lit(total // shards) + F.when(shard < total % shards, 1).otherwise(0)
+    offset = inside * F.floor(rows_in / per_shard) + F.least(inside, rows_in % per_shard)
     return (
         dealt.withColumn("slot", (F.row_number().over(again) - 1 + offset).cast("bigint"))
         .withColumn("shard", shard.cast("int"))
