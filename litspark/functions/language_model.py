@@ -17,12 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from litspark.functions.language import NOT_LETTERS, UNCLEAR
 from litspark.functions.text import strip
+from litspark.operators.selection import top_per_group
 
 LONGEST = 4
 TOP = 3000
@@ -55,9 +56,7 @@ def fit(df: DataFrame, text: str, lang: str, longest: int = LONGEST, top: int =
     words = known.groupBy("lang", "word").agg(F.count("*").alias("n"))
     grams = words.select("lang", "n", F.explode(grams_of(F.col("word"), longest)).alias("gram"))
     counts = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # Each task keeps the first rows of a language before they meet.
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    profile = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    profile = top_per_group(counts, ["lang"], [F.desc("n"), F.col("gram")], top, spread_by="gram")
     chosen = profile.select("gram").distinct()
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     everything = totals.agg(F.sum("total").alias("all_total"), F.collect_list(F.struct("lang", "total")).alias("langs"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 RANGES = 64
@@ -98,3 +98,16 @@ def first_rows(df: DataFrame, order: list[By], n: int, ranges: int = RANGES) ->
     key, taken = found
     # Rows alike in all columns of the order: one, where the order is total.
     return df.where(_before(order, key)).unionAll(df.where(_equal(order, key)).limit(taken))
+
+
+def top_per_group(df: DataFrame, groups: list[str], order: list[Column], n: int, spread_by: str, salts: int = 64) -> DataFrame:
+    """The first ``n`` rows of each group and their ``rank`` from 1.
+
+    A group is ranked in ``salts`` parts, by a hash of ``spread_by``, before what is left of it meets: no
+    task holds a group as a whole, only ``salts * n`` rows of it. (Spark's own limit per task covers
+    small ``n`` only.)
+    """
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
+    apart = Window.partitionBy(*groups, "_salt").orderBy(*order)
+    near = salted.withColumn("_rank", F.row_number().over(apart)).where(F.col("_rank") <= n).drop("_salt", "_rank")
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).where(F.col("rank") <= n)

@@ -2,7 +2,9 @@ import random
 
 import pytest
 
-from litspark.operators.selection import By, first_rows, nth_key
+from pyspark.sql import functions as F
+
+from litspark.operators.selection import By, first_rows, nth_key, top_per_group
 
 
 @pytest.fixture(scope="module")
@@ -38,3 +40,11 @@ def test_few_rounds_and_no_single_task(table):
     assert taken == 1
     plan = first_rows(df, order, 350)._jdf.queryExecution().optimizedPlan().toString()
     assert "Sort" not in plan and "GlobalLimit 1" in plan
+
+
+def test_top_of_each_group(table):
+    rows, df = table
+    found = top_per_group(df, ["year"], [F.desc("n")], 5, spread_by="n", salts=3).collect()
+    for year in (None, 1, 2, 3):
+        want = sorted((r[2] for r in rows if r[0] == year), reverse=True)[:5]
+        assert [r.n for r in sorted(found, key=lambda r: r["rank"]) if r.year == year] == want
