@@ -24,12 +24,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litspark.llm.arrays import LOWER, mix, pieces, texts
 from litspark.llm.tokens import close, packed, word_codes, word_spans
 from litspark.operators.ordering import with_dense_index
+from litspark.operators.selection import top_per_group
 from litspark.operators.skew import lookup_join
 from litspark.session import materialize
 
@@ -380,9 +381,8 @@ def collocations(df: DataFrame, first: int = 2000, least: int = 30, text: str =
 
     shown = ["lang", "phrase", "n", "best"]
     left = undropped(g2, three).select(shown).unionAll(undropped(g3, four).select(shown)).unionAll(g4.select(shown))
-    order = Window.partitionBy("lang").orderBy(F.desc("best.score"), F.desc("n"), "phrase")
-    # Each task keeps its own first rows of a language before any are shuffled.
-    top = left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first)
+    order = [F.desc("best.score"), F.desc("n"), F.col("phrase")]
+    top = top_per_group(left, ["lang"], order, first, spread_by="phrase")
     return top.withColumnRenamed("n", "a").join(totals, "lang").select(
         "lang",
         F.col("rank").cast("bigint").alias("rank"),
