@@ -7,6 +7,9 @@ there; the attempt that Spark starts in its place, and any later run, calls for
 
 Rows are dealt by ``(provider, ID)``, so an attempt gets the rows of the one before, and finds that
 one's chunks in the folder of the run and the task. ``attempt`` counts a row's calls.
+
+Tasks of a job that failed may go on for a moment. So a run closes all earlier ones before it looks at what
+is answered: a chunk of a closed run is not kept, and its task ends. At most one run of a ledger is open.
 """
 
 from __future__ import annotations
@@ -39,12 +42,29 @@ _ARROW = pa.schema(
 )
 
 
+_CLOSED = "_closed"
+
+
+class RunClosed(RuntimeError):
+    """The run of a task has been closed by a later one."""
+
+
+def close_runs(ledger: str) -> None:
+    """Close all runs that are open; their tasks keep no more answers."""
+    files, base = fs.FileSystem.from_uri(ledger)
+    for run in files.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+        mark = f"{run.path}/{_CLOSED}"
+        if run.base_name.startswith("run=") and files.get_file_info(mark).type == fs.FileType.NotFound:
+            files.open_output_stream(mark).close()
+
+
 class _Chunks:
     """Writer of one task's chunks."""
 
     def __init__(self, folder: str, run: str, task: int, rows: int, seconds: float):
         # A path, or a URI of a store that Arrow can write to (local, HDFS, S3, GCS).
         self.files, base = fs.FileSystem.from_uri(folder)
+        self.closed = f"{base}/run={run}/{_CLOSED}"
         self.base, self.rows, self.seconds = f"{base}/run={run}/task={task}", rows, seconds
         self.held: list[dict] = []
         self.files.create_dir(self.base, recursive=True)
@@ -73,6 +93,8 @@ class _Chunks:
         table = pa.Table.from_pylist(self.held, schema=_ARROW)
         with self.files.open_output_stream(hidden) as out:
             pq.write_table(table, out)
+        if self.files.get_file_info(self.closed).type != fs.FileType.NotFound:
+            raise RunClosed("a later run of this ledger has closed the one of this task")
         self.files.move(hidden, f"{self.base}/{name}")
         self.held = []
 
@@ -110,6 +132,7 @@ def run_logged(
     bounds the calls made at a time. Errors of a call are answers; a task that dies fails the job once
     Spark gives up on it, and the ledger holds what it had answered.
     """
+    close_runs(ledger)
     todo = unanswered(rows, ledger).select(
         *_KEYS,
         F.col("model_name").alias("model"),
@@ -139,7 +162,10 @@ def run_logged(
         chunks.commit()
         yield pd.DataFrame({"made": [made]})
 
-    return dealt.mapInPandas(run, "made bigint").agg(F.coalesce(F.sum("made"), F.lit(0))).first()[0]
+    try:
+        return dealt.mapInPandas(run, "made bigint").agg(F.coalesce(F.sum("made"), F.lit(0))).first()[0]
+    finally:
+        close_runs(ledger)
 
 
 def settled(rows: DataFrame, ledger: str) -> DataFrame:

@@ -95,3 +95,15 @@ def test_nothing_to_do(spark, rows, tmp_path):
     done = rows.withColumn("status", F.lit("success"))
     assert ledger.run_logged(done, f"{tmp_path}/ledger", connect_offline) == 0
     assert ledger.read_ledger(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_a_closed_run_keeps_nothing_more(spark, tmp_path):
+    """A task that outlives its job, when a later run has looked at the ledger."""
+    chunks = ledger._Chunks(str(tmp_path), "r", 0, 1, 60)
+    answer = dict.fromkeys(ledger._ARROW.names) | {"provider": "p", "status": "success"}
+    chunks.add(answer | {"ID": 1})
+    ledger.close_runs(str(tmp_path))
+    with pytest.raises(ledger.RunClosed):
+        chunks.add(answer | {"ID": 2})
+    assert [r.ID for r in ledger.read_ledger(spark, str(tmp_path)).collect()] == [1]
+    ledger.close_runs(str(tmp_path / "none"))
