@@ -23,6 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +36,7 @@ BITS = 18
 FOLDS = 3
 ROUNDS = 50
 SHARES = 8
+PIECE = 1 << 20  # bytes of text that a task looks at together
 ADDED = {"score": T.DoubleType(), "keep": T.BooleanType()}
 
 # Bytes that are neither letters, digits, white space nor usual in sentences.
@@ -264,15 +266,18 @@ def accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -
     return posterior
 
 
-def train_scorer(votes: Votes, target: np.ndarray, n_labellers: int, epochs: int = 12) -> np.ndarray:
-    """Weights of the hashed words, then of each labeller's bad votes, then the offset."""
+def train_scorer(votes: Votes, target: np.ndarray, ranked: np.ndarray, n_labellers: int, epochs: int = 12) -> np.ndarray:
+    """Weights of the hashed words, then of each labeller's bad votes, then the offset.
+
+    ``ranked`` are the texts in an order that is the same on every run.
+    """
     size = (1 << BITS) + n_labellers + 1
     weights, squares = np.zeros(size), np.full(size, 1e-3)
     n = len(target)
     rng = np.random.default_rng(0)
     batch = 256
     for _ in range(epochs):
-        order = rng.permutation(n)
+        order = ranked[rng.permutation(n)]
         for at in range(0, n, batch):
             rows = order[at : at + batch]
             count = votes.first[rows + 1] - votes.first[rows]
@@ -326,7 +331,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     def count(batches):
         seen: dict[bytes, int] = {}
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", PIECE):
             votes = vote(texts(piece.column(0)), shared.value, features=False).votes
             kinds, times = np.unique(votes, axis=0, return_counts=True)
             for kind, n in zip(kinds, times.tolist()):
@@ -348,7 +353,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     sample_ids = _first_rows(docs.select("id").where("id IS NOT NULL").distinct(), "id", TRAIN, 2)
 
     def features(batches):
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", PIECE):
             v = vote(texts(piece.column(1)), shared.value)
             packed = [v.bucket[a:b].astype("<i4").tobytes() for a, b in zip(v.first[:-1], v.first[1:])]
             yield pa.RecordBatch.from_pydict(
@@ -358,14 +363,15 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     taken = docs.join(F.broadcast(sample_ids), "id").groupBy("id").agg(F.min("text").alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    sample = taken.mapInArrow(features, f"id {kind}, votes binary, buckets binary").toArrow().sort_by("id")
-    said, held = sample.column("votes").to_pylist(), texts(sample.column("buckets"))
+    sample = taken.mapInArrow(features, f"id {kind}, votes binary, buckets binary").toArrow()
+    by_id = pa.compute.sort_indices(sample.column("id")).to_numpy()
+    said = sample.column("votes").to_pylist()
+    held = texts(sample.column("buckets"))
+    del sample
     first = np.append(held.start, held.end[-1:]) // 4 if len(said) else np.zeros(1, "i8")
     votes = np.frombuffer(b"".join(said), "i1").reshape(-1, n_labellers)
     target = np.array([posterior.get(v, 0.0) for v in said])
-    flat = np.frombuffer(held.data.tobytes(), "<i4")
-    del held, sample
-    return Model(lists, posterior, train_scorer(Votes(votes, flat, first), target, n_labellers))
+    return Model(lists, posterior, train_scorer(Votes(votes, held.data.view("<i4"), first), target, by_id, n_labellers))
 
 
 def score(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -376,7 +382,7 @@ def score(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches):
         lists, weights = shared.value
-        for piece in pieces(batches, text):
+        for piece in pieces(batches, text, PIECE):
             t = texts(piece.column(piece.schema.get_field_index(text)))
             votes = vote(t, lists)
             empty = ~(votes.votes != NONE).any(1) & (np.diff(votes.first) == 0)
