@@ -46,6 +46,14 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.schema(TABLES[table]).parquet(f"{folder}/{table}.parquet")
 
 
+def stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """The table as a stream, one file or a folder of part files.
+
+    A stream's path must be a folder or a pattern; the braces make it a pattern that fits this table alone.
+    """
+    return spark.readStream.schema(TABLES[table]).parquet(f"{folder}/{{{table}}}.parquet")
+
+
 def _every(n: int, rest: int = 0, column: str = "doc_id") -> Column:
     return F.col(column) % n == rest
 

@@ -968,14 +968,6 @@ def dialogue_results(spark: SparkSession, folder: str) -> DataFrame:
 # Streams
 
 
-def _document_stream(spark: SparkSession, folder: str) -> DataFrame:
-    return (
-        spark.readStream.schema(b.TABLES["documents"])
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(folder)
-    )
-
-
 @query
 def stream_pages(spark: SparkSession, folder: str) -> DataFrame:
     base = work_dir(spark)
@@ -986,7 +978,7 @@ def stream_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def stream_first_seen(spark: SparkSession, folder: str) -> DataFrame:
-    docs = b.publication_columns(_document_stream(spark, folder))
+    docs = b.publication_columns(b.stream(spark, folder, "documents"))
     arriving = docs.select("doi", "title", F.col("doc_id").alias("ord"))
     base = work_dir(spark)
     streams.stream_first_seen(arriving, f"{base}/out", f"{base}/keys", f"{base}/checkpoint").awaitTermination()
@@ -1007,7 +999,7 @@ def stream_late_keys(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def stream_run(spark: SparkSession, folder: str) -> DataFrame:
     base = work_dir(spark)
-    rows = b.experiment_rows(_document_stream(spark, folder))
+    rows = b.experiment_rows(b.stream(spark, folder, "documents"))
     streams.stream_run(rows, f"{base}/out", f"{base}/checkpoint", connect_offline).awaitTermination()
     return spark.read.parquet(f"{base}/out").select(*RESULT_KEYS, "response_text", "status")
 
@@ -1015,12 +1007,7 @@ def stream_run(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def stream_run_stats(spark: SparkSession, folder: str) -> DataFrame:
     base = work_dir(spark)
-    source = (
-        spark.readStream.schema(b.TABLES["events"])
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(folder)
-    )
-    runs = b.run_columns(source)
+    runs = b.run_columns(b.stream(spark, folder, "events"))
     streams.stream_run_stats(runs, f"{base}/sums", f"{base}/checkpoint").awaitTermination()
     out = streams.run_stats(spark, f"{base}/sums")
     start: Column = F.date_format("window.start", "yyyy-MM-dd HH:mm:ss")
