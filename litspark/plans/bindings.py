@@ -397,17 +397,22 @@ def parse_pages(landed: DataFrame, engine: int) -> DataFrame:
 
 
 def write_files(files: DataFrame, folder: str) -> None:
-    """A file per row of ``name, content``, written by the tasks."""
+    """A file per row of ``name, content``, written by the tasks; a name may lead through folders."""
 
     def write(batches):
         from pyarrow import fs
 
+        store, base = fs.FileSystem.from_uri(folder)
+        made: set[str] = set()
         for batch in batches:
-            store, base = fs.FileSystem.from_uri(folder)
-            store.create_dir(base, recursive=True)
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                with store.open_output_stream(f"{base}/{name}") as out:
-                    out.write(content.encode())
+            for name, content in zip(batch.column(0), batch.column(1)):
+                path = f"{base}/{name.as_py()}"
+                within = path.rpartition("/")[0]
+                if within not in made:
+                    store.create_dir(within, recursive=True)
+                    made.add(within)
+                with store.open_output_stream(path) as out:
+                    out.write(content.as_buffer())
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
 
     files.select("name", "content").mapInArrow(write, "n bigint").agg(F.sum("n")).collect()

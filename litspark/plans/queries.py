@@ -728,15 +728,21 @@ def search_config_files(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def parsed_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as text and Markdown files, and as prompt templates, read back."""
-    base = work_dir(spark)
-    name = F.concat(F.lit("d"), F.col("doc_id"), F.when(F.col("doc_id") % 2 == 0, ".md").otherwise(".txt"))
-    docs = b.read(spark, folder, "documents").select("doc_id", name.alias("name"), F.concat("text", F.lit("\n")).alias("content"))
-    b.write_files(docs, f"{base}/parsed")
-    read = readers.read_parsed_documents(spark, f"{base}/parsed").select(
+    """Documents as text and Markdown files, and as prompt templates, read back.
+
+    The files are dealt to folders of about a thousand, so that no task and no driver lists them all.
+    """
+    base = f"{work_dir(spark)}/parsed"
+    docs = b.read(spark, folder, "documents")
+    within = F.pmod(F.xxhash64("doc_id"), F.lit(docs.count() // 1000 + 1))
+    ending = F.when(F.col("doc_id") % 2 == 0, ".md").otherwise(".txt")
+    name = F.concat(within, F.lit("/d"), F.col("doc_id"), ending)
+    b.write_files(docs.select(name.alias("name"), F.concat("text", F.lit("\n")).alias("content")), base)
+    texts = listing.read_texts(listing.list_files(spark, [base], recursive=True, per_task=20))
+    read = readers.parsed_documents(texts).select(
         F.lit("document").alias("kind"), "file_name", text.sha256_hex("content").alias("hash")
     )
-    prompts = readers.read_prompts(spark, f"{base}/parsed").select(
+    prompts = readers.prompt_templates(texts).select(
         F.lit("prompt"), F.col("prompt_id"), text.sha256_hex("template")
     )
     return read.unionAll(prompts)

@@ -16,6 +16,7 @@ from litspark.sources.readers import file_parts
 
 _KIND = "path string, file_name string, length bigint, modificationTime timestamp, folder boolean"
 _HIDDEN = ("_", ".")
+READ_ROWS, READ_BYTES = 1000, 4 << 20
 
 
 def list_files(spark: SparkSession, folders: list[str], recursive: bool = False, per_task: int = 100) -> DataFrame:
@@ -62,3 +63,37 @@ def list_files(spark: SparkSession, folders: list[str], recursive: bool = False,
     for more in files[1:]:
         whole = whole.unionAll(more)
     return file_parts(whole.drop("folder"))
+
+
+def read_texts(files: DataFrame, per_task: int = 2000) -> DataFrame:
+    """``file_name, value`` of the files that :func:`list_files` found, read by tasks of ``per_task`` files.
+
+    A task holds some 4 MB of texts at a time, or one text that is larger. Bytes that are not UTF-8 become
+    replacement signs.
+    """
+
+    def read(batches):
+        from pyarrow import fs
+
+        schema = pa.schema([("file_name", pa.string()), ("value", pa.string())])
+        stores: dict[str, fs.FileSystem] = {}
+        for batch in batches:
+            names, values, held = [], [], 0
+            for path, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                # Whatever stands in a name, the part after the scheme is the path in its store.
+                scheme, _, rest = path.partition("://")
+                if scheme not in stores:
+                    stores[scheme] = fs.LocalFileSystem() if scheme == "file" else fs.FileSystem.from_uri(path)[0]
+                with stores[scheme].open_input_stream(rest, compression=None) as f:
+                    content = f.read()
+                names.append(name)
+                values.append(content.decode("utf-8", "replace"))
+                held += len(content)
+                if len(names) >= READ_ROWS or held >= READ_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.string())], schema=schema)
+                    names, values, held = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.string())], schema=schema)
+
+    paths = files.select("path", "file_name")
+    dealt = paths.repartition(max(1, -(-paths.count() // per_task)))
+    return dealt.mapInArrow(read, "file_name string, value string")

@@ -156,26 +156,37 @@ def read_file_inventory(spark: SparkSession, folder: str, recursive: bool = Fals
     return file_parts(files)
 
 
-def read_parsed_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Text of every ``.md`` and ``.txt`` file, one row per file."""
-    rows = (
-        spark.read.option("pathGlobFilter", "*.{md,txt,MD,TXT}")
-        .text(folder, wholetext=True)
-        .select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("content"))
+def _whole_texts(spark: SparkSession, folder: str, names: str) -> DataFrame:
+    read = spark.read.option("pathGlobFilter", names).text(folder, wholetext=True)
+    return read.select(F.col("_metadata.file_name").alias("file_name"), "value")
+
+
+def parsed_documents(texts: DataFrame) -> DataFrame:
+    """Files as ``file_name, value`` by stem and extension; those that are no ``.md`` and ``.txt`` are left out."""
+    rows = file_parts(texts.where(F.col("file_name").rlike(r"\.(md|txt|MD|TXT)$")))
+    return rows.select("file_name", "stem", "ext", F.col("value").alias("content"))
+
+
+def prompt_templates(texts: DataFrame) -> DataFrame:
+    """``.txt`` files as ``file_name, value`` as templates: the id is the file's stem."""
+    return texts.where(F.col("file_name").endswith(".txt")).select(
+        F.regexp_replace("file_name", r"\.txt$", "").alias("prompt_id"),
+        template_text("value").alias("template"),
     )
-    return file_parts(rows).select("file_name", "stem", "ext", "content")
+
+
+def read_parsed_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Text of every ``.md`` and ``.txt`` file, one row per file.
+
+    Spark's reader takes some milliseconds per file, and its driver lists them all. For folders of very
+    many files there is :func:`litspark.sources.listing.read_texts`.
+    """
+    return parsed_documents(_whole_texts(spark, folder, "*.{md,txt,MD,TXT}"))
 
 
 def read_prompts(spark: SparkSession, folder: str) -> DataFrame:
     """Prompt templates: the id is the file's stem."""
-    return (
-        spark.read.option("pathGlobFilter", "*.txt")
-        .text(folder, wholetext=True)
-        .select(
-            F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "").alias("prompt_id"),
-            template_text("value").alias("template"),
-        )
-    )
+    return prompt_templates(_whole_texts(spark, folder, "*.txt"))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
