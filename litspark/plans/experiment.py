@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litspark import schemas
@@ -16,7 +16,9 @@ from litspark.operators.skew import (
     hot_keys,
     lookup_join,
 )
+from litspark.sources.writers import experiment_columns, write_mode
 
+TEXTS = ["prompt", "original_data"]
 COPY_COLUMNS = ["title", "abstract", "doi", "authors"]
 
 
@@ -114,39 +116,33 @@ def render_rows(numbered: DataFrame, data: DataFrame, prompts: DataFrame) -> Dat
     )
 
 
-def generate(
+def _prepared(
     mapping: DataFrame, data: DataFrame, prompts: DataFrame, models: DataFrame, params: DataFrame
-) -> tuple[DataFrame, DataFrame]:
-    """Grid rows with dense ids, and the mapping rows that were skipped.
-
-    Each prompt is rendered and hashed once, then repeated per (model, parameters) pair by an
-    exploded pair number and an equality join on it. The id is arithmetic on the numbers of
-    the mapping row and the pair: models in list order, mapping order within a model.
-    ``mapping``, ``models`` and ``params`` carry their row order in ``ord``.
-    """
+) -> tuple[DataFrame, DataFrame, int]:
+    """The rendered mapping rows, the numbered pairs, and how many mapping rows there are."""
     check_unique(data, "ID")
     pairs = model_pairs(models, params)
-    n_pairs = pairs.count()
     numbered = matched(mapping, data, prompts)
-    n_rows = numbered.count()
-    rendered = render_rows(numbered, data, prompts)
+    return render_rows(numbered, data, prompts), pairs, numbered.count()
+
+
+def _repeated(rendered: DataFrame, pairs: DataFrame, n_rows: int, *texts: str) -> DataFrame:
+    """A grid row per rendered row and pair; ``texts`` are the columns of the rendered row to repeat."""
+    n_pairs = pairs.count()
     if n_pairs:
         numbers = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_pairs - 1).cast("bigint")))
     else:
         numbers = F.explode(F.array().cast("array<bigint>"))
     # All pairs have equally many rows: each is hot, or none.
     hot = list(range(n_pairs)) if n_pairs * HOT_SHARE <= 1 else []
-    repeated = rendered.withColumn("pair_idx", numbers)
-    grid = lookup_join(repeated, pairs, "pair_idx", "inner", hot=hot)
+    grid = lookup_join(rendered.withColumn("pair_idx", numbers), pairs, "pair_idx", "inner", hot=hot)
     row_id = (
         F.lit(n_rows) * F.col("before") + F.col("map_idx") * F.col("pairs") + F.col("pos") + 1
     ).cast("bigint")
-    rows = grid.select(
+    return grid.select(
         row_id.alias("ID"),
         text.combo_code("data_id", "prompt_id", "model_name", "profile_name").alias("code"),
-        "prompt",
-        "tokens_estimate",
-        "original_data",
+        *texts,
         "model_name",
         "provider_name",
         text.provider_key("provider_name").alias("provider"),
@@ -154,9 +150,57 @@ def generate(
         "prompt_hash",
         "original_data_hash",
     )
+
+
+def generate(
+    mapping: DataFrame, data: DataFrame, prompts: DataFrame, models: DataFrame, params: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Grid rows with dense ids, and the mapping rows that were skipped.
+
+    Each prompt is rendered and hashed once, then repeated per (model, parameters) pair by an
+    exploded pair number and an equality join on it. The id is arithmetic on the numbers of
+    the mapping row and the pair: models in list order, mapping order within a model.
+    ``mapping``, ``models`` and ``params`` carry their row order in ``ord``.
+    """
+    rendered, pairs, n_rows = _prepared(mapping, data, prompts, models, params)
+    rows = _repeated(rendered, pairs, n_rows, "prompt", "tokens_estimate", "original_data")
     return rows, unmatched(mapping, data, prompts)
 
 
+def write_grid(
+    mapping: DataFrame,
+    data: DataFrame,
+    prompts: DataFrame,
+    models: DataFrame,
+    params: DataFrame,
+    path: str,
+    rewrite: bool = False,
+) -> DataFrame:
+    """Store the rows of :func:`generate` by provider, each text once; gives the mapping rows that were skipped.
+
+    ``path/texts`` has prompt and data text per mapping row (``map_idx``), ``path/rows`` all other
+    columns of the grid; :func:`read_grid` puts them together. So what is written grows with the
+    mapping, and not with the mapping times the pairs.
+    """
+    rendered, pairs, n_rows = _prepared(mapping, data, prompts, models, params)
+    rendered.write.mode(write_mode(rewrite)).parquet(f"{path}/texts")
+    stored = data.sparkSession.read.schema(rendered.schema).parquet(f"{path}/texts")
+    rows = _repeated(stored, pairs, n_rows, "map_idx", "tokens_estimate")
+    whole = experiment_columns(rows, "map_idx").drop(*TEXTS)
+    whole.write.mode(write_mode(rewrite)).partitionBy("provider").parquet(f"{path}/rows")
+    return unmatched(mapping, data, prompts)
+
+
+def read_grid(spark: SparkSession, path: str, texts: bool = True) -> DataFrame:
+    """The grid that :func:`write_grid` stored; with ``texts`` also prompt and data text, by a join."""
+    rows = spark.read.parquet(f"{path}/rows")
+    if texts:
+        stored = spark.read.parquet(f"{path}/texts").select("map_idx", *TEXTS)
+        rows = rows.join(stored, "map_idx")
+    kept = [c for c in schemas.EXPERIMENT_COLUMNS if texts or c not in TEXTS]
+    return rows.select(*kept, "provider")
+
+
 def copy_papers(documents: DataFrame) -> DataFrame:
     """Extracted documents as a data table: one per stem, Markdown first, ids by file name."""
     rank = F.when(F.lower("ext") == "md", 0).otherwise(1)

@@ -556,14 +556,12 @@ def next_snapshot(spark: SparkSession, folder: str) -> DataFrame:
 # Experiments
 
 
+def _inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, ...]:
+    return b.mapping(spark, folder), b.data(spark, folder), b.prompts(spark), b.models(spark), b.params(spark)
+
+
 def _grid(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return experiment.generate(
-        b.mapping(spark, folder),
-        b.data(spark, folder),
-        b.prompts(spark),
-        b.models(spark),
-        b.params(spark),
-    )
+    return experiment.generate(*_inputs(spark, folder))
 
 
 @query
@@ -623,11 +621,10 @@ def grid_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def provider_tables(spark: SparkSession, folder: str) -> DataFrame:
-    """The grid stored by provider and read back, one provider's columns."""
-    rows, _ = _grid(spark, folder)
+    """The grid stored by provider, each text once, and read back, one provider's columns."""
     path = work_dir(spark)
-    writers.write_experiment(rows, path)
-    stored = spark.read.parquet(path)
+    experiment.write_grid(*_inputs(spark, folder), path)
+    stored = experiment.read_grid(spark, path, texts=False)
     return writers.provider_view(stored, "Ollama").select(
         "ID", "code", "ollama_context_window", "ollama_repeat_penalty", "status", "prompt_hash"
     )

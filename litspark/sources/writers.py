@@ -56,8 +56,8 @@ def plan_counts(**tables: DataFrame) -> DataFrame:
     return first
 
 
-def experiment_columns(df: DataFrame) -> DataFrame:
-    """Every known column with its type; lacking ones null, unknown ones dropped, NaN as null."""
+def experiment_columns(df: DataFrame, *keep: str) -> DataFrame:
+    """Every known column with its type; lacking ones null, unknown ones but ``keep`` dropped, NaN as null."""
     have = set(df.columns)
 
     def column(name: str) -> Column:
@@ -69,6 +69,7 @@ def experiment_columns(df: DataFrame) -> DataFrame:
 
     return df.select(
         *[column(name) for name in schemas.EXPERIMENT_COLUMNS],
+        *keep,
         provider_key("provider_name").alias("provider"),
     )
 
@@ -79,8 +80,10 @@ def write_experiment(df: DataFrame, path: str, rewrite: bool = False) -> None:
 
 
 def provider_view(df: DataFrame, provider: str) -> DataFrame:
-    """One provider's rows with its own columns."""
-    return df.where(F.col("provider") == provider.lower()).select(*schemas.provider_columns(provider))
+    """One provider's rows with its own columns, of a grid read without its texts all but those."""
+    textless = "prompt" not in df.columns and "original_data" not in df.columns
+    own = [c for c in schemas.provider_columns(provider) if not textless or c not in ("prompt", "original_data")]
+    return df.where(F.col("provider") == provider.lower()).select(*own)
 
 
 def write_responses(df: DataFrame, path: str) -> None:
