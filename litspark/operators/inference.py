@@ -7,7 +7,7 @@ import time
 from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +22,22 @@ RESULT_SCHEMA = (
     "state string, call_count int, total_tokens int, elapsed_seconds double, "
     "timestamp timestamp, raw string"
 )
+RESULT_ARROW = pa.schema(
+    [
+        ("provider", pa.string()), ("ID", pa.int64()), ("response_text", pa.string()), ("usage_tokens", pa.int32()),
+        ("status", pa.string()), ("state", pa.string()), ("call_count", pa.int32()), ("total_tokens", pa.int32()),
+        ("elapsed_seconds", pa.float64()), ("timestamp", pa.timestamp("us", "UTC")), ("raw", pa.string()),
+    ]
+)
+# Rows of a batch that a task takes out of it at a time.
+ROWS = 200
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[list[dict]]:
+    """Rows of Arrow batches as dicts, few at a time, however large a batch is."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows).to_pylist()
 
 
 def pending(rows: DataFrame) -> DataFrame:
@@ -104,27 +120,17 @@ def run_experiment(
     if concurrency:
         requests = requests.repartition(concurrency, "provider", "ID")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = connect()
-        for batch in batches:
-            results = [
-                _call(client, {"model": m, "prompt": p, "params": json.loads(params)})
-                for m, p, params in zip(batch["model"], batch["prompt"], batch["params"], strict=True)
-            ]
-            out = pd.DataFrame(
-                results,
-                columns=[
-                    "response_text", "usage_tokens", "status", "state",
-                    "total_tokens", "elapsed_seconds", "timestamp", "raw",
-                ],
-            )
-            out["usage_tokens"] = out["usage_tokens"].astype("Int32")
-            out["provider"] = batch["provider"].to_numpy()
-            out["ID"] = batch["ID"].to_numpy()
-            out["call_count"] = (batch["calls"] + 1).astype("int32").to_numpy()
-            yield out[[field.split()[0] for field in RESULT_SCHEMA.split(", ")]]
-
-    return requests.mapInPandas(run, RESULT_SCHEMA)
+        for part in in_slices(batches):
+            results = []
+            for row in part:
+                asked = {"model": row["model"], "prompt": row["prompt"], "params": json.loads(row["params"])}
+                key = {"provider": row["provider"], "ID": row["ID"], "call_count": row["calls"] + 1}
+                results.append(_call(client, asked) | key)
+            yield pa.RecordBatch.from_pylist(results, schema=RESULT_ARROW)
+
+    return requests.mapInArrow(run, RESULT_SCHEMA)
 
 
 def merge_results(rows: DataFrame, results: DataFrame) -> DataFrame:

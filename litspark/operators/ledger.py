@@ -19,7 +19,6 @@ import time
 import uuid
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
@@ -28,18 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litspark.functions.requests import provider_request
-from litspark.operators.inference import RESULT_SCHEMA, Client, _call, merge_results, pending
+from litspark.operators.inference import RESULT_ARROW, RESULT_SCHEMA, Client, _call, in_slices, merge_results, pending
 
 LEDGER_SCHEMA = f"{RESULT_SCHEMA}, attempt int, run string, task int"
 _KEYS = ["provider", "ID"]
-_ARROW = pa.schema(
-    [
-        ("provider", pa.string()), ("ID", pa.int64()), ("response_text", pa.string()), ("usage_tokens", pa.int32()),
-        ("status", pa.string()), ("state", pa.string()), ("call_count", pa.int32()), ("total_tokens", pa.int32()),
-        ("elapsed_seconds", pa.float64()), ("timestamp", pa.timestamp("us", "UTC")), ("raw", pa.string()),
-        ("attempt", pa.int32()),
-    ]
-)
+_ARROW = RESULT_ARROW.append(pa.field("attempt", pa.int32()))
 
 
 _CLOSED = "_closed"
@@ -143,27 +135,25 @@ def run_logged(
     dealt = todo.repartition(concurrency, *_KEYS) if concurrency else todo.repartition(*_KEYS)
     run_id = uuid.uuid4().hex
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         chunks = _Chunks(ledger, run_id, TaskContext.get().partitionId(), chunk_rows, chunk_seconds)
         done = chunks.answered()
         client, made = None, 0
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                if (row.provider, row.ID) in done:
-                    continue
-                client = client or connect()
-                request = {"model": row.model, "prompt": row.prompt, "params": json.loads(row.params)}
-                answer = _call(client, request)
-                count = int(row.calls) + 1
-                chunks.add(answer | {"provider": row.provider, "ID": int(row.ID), "call_count": count, "attempt": count})
-                made += 1
+        for row in (row for part in in_slices(batches) for row in part):
+            if (row["provider"], row["ID"]) in done:
+                continue
+            client = client or connect()
+            request = {"model": row["model"], "prompt": row["prompt"], "params": json.loads(row["params"])}
+            count = row["calls"] + 1
+            chunks.add(_call(client, request) | {"provider": row["provider"], "ID": row["ID"], "call_count": count, "attempt": count})
+            made += 1
         chunks.commit()
-        yield pd.DataFrame({"made": [made]})
+        yield pa.RecordBatch.from_pydict({"made": [made]})
 
     try:
-        return dealt.mapInPandas(run, "made bigint").agg(F.coalesce(F.sum("made"), F.lit(0))).first()[0]
+        return dealt.mapInArrow(run, "made bigint").agg(F.coalesce(F.sum("made"), F.lit(0))).first()[0]
     finally:
         close_runs(ledger)
 
