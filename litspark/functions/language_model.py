@@ -22,14 +22,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from litspark.functions.language import NOT_LETTERS, UNCLEAR
-from litspark.functions.text import strip
+from litspark.functions.text import once, strip
 from litspark.operators.selection import top_per_group
+from litspark.session import materialize
 
 LONGEST = 4
 TOP = 3000
 MARGIN = 20
 # Words whose scores a task keeps.
 CACHE = 200_000
+# Rows whose words a task looks at together.
+ROWS = 1000
 
 
 def words_of(text: Column | str) -> Column:
@@ -40,14 +43,14 @@ def words_of(text: Column | str) -> Column:
 
 def grams_of(word: Column, longest: int = LONGEST) -> Column:
     """N-grams of a word between two spaces, but for the spaces alone."""
-    padded = F.concat(F.lit(" "), word, F.lit(" "))
 
-    def of_size(n: int) -> Column:
+    def of_size(padded: Column, n: int) -> Column:
         first, last = (2, F.char_length(padded) - 1) if n == 1 else (1, F.char_length(padded) - (n - 1))
         starts = F.when(last >= first, F.sequence(F.lit(first), last)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.substring(padded, i, F.lit(n)))
 
-    return F.concat(*[of_size(n) for n in range(1, longest + 1)])
+    # Padded once for all its n-grams.
+    return once(F.concat(F.lit(" "), word, F.lit(" ")), lambda p: F.concat(*[of_size(p, n) for n in range(1, longest + 1)]))
 
 
 def fit(df: DataFrame, text: str, lang: str, longest: int = LONGEST, top: int = TOP) -> DataFrame:
@@ -55,7 +58,8 @@ def fit(df: DataFrame, text: str, lang: str, longest: int = LONGEST, top: int =
     known = df.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(words_of(text)).alias("word"))
     words = known.groupBy("lang", "word").agg(F.count("*").alias("n"))
     grams = words.select("lang", "n", F.explode(grams_of(F.col("word"), longest)).alias("gram"))
-    counts = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # Looked at three times below; the words are counted and taken apart once.
+    counts = materialize(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     profile = top_per_group(counts, ["lang"], [F.desc("n"), F.col("gram")], top, spread_by="gram")
     chosen = profile.select("gram").distinct()
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
@@ -88,16 +92,20 @@ class Detector:
         self.place = {g: i for i, g in enumerate(names)}
         self.weights, self.longest, self.margin = weights, longest, margin
 
-    def word(self, word: str) -> np.ndarray:
-        """Number of known n-grams, then the score per language."""
-        padded = f" {word} "
-        found = [
-            at
-            for n in range(1, self.longest + 1)
-            for i in (range(1, len(padded) - 1) if n == 1 else range(len(padded) - n + 1))
-            if (at := self.place.get(padded[i : i + n])) is not None
-        ]
-        return np.concatenate([[len(found)], self.weights[found].sum(axis=0)])
+    def words(self, words: list[str]) -> np.ndarray:
+        """Of each word the number of known n-grams, then the score per language."""
+        place, sizes, found = self.place.get, [], []
+        for word in words:
+            padded, before = f" {word} ", len(found)
+            found += [at for c in word if (at := place(c)) is not None]
+            for n in range(2, self.longest + 1):
+                found += [at for i in range(len(padded) - n + 1) if (at := place(padded[i : i + n])) is not None]
+            sizes.append(len(found) - before)
+        n = np.array(sizes, "i8")
+        sums = np.zeros((len(found) + 1, len(self.langs)), "i8")
+        np.cumsum(self.weights[found], axis=0, out=sums[1:])
+        ends = np.cumsum(n)
+        return np.column_stack([n, sums[ends] - sums[ends - n]])
 
     def judge(self, sums: np.ndarray) -> list[str]:
         """Languages from sums of ``word`` over texts; of equal scores the first by name."""
@@ -128,20 +136,23 @@ class Detector:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             detector: Detector = model.value
-            cache: dict[str, np.ndarray] = {}
-            for batch in batches:
+            width = len(detector.langs) + 1
+            # Words by their row in ``held``.
+            cache: dict[str, int] = {}
+            held = np.zeros((0, width), "i8")
+            for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
                 sums, there = [], []
                 for name in lists:
                     column = batch.column(batch.schema.get_field_index(name))
                     coded = column.flatten().dictionary_encode()
                     if len(cache) > CACHE:
                         cache.clear()
+                        held = held[:0]
                     distinct = coded.dictionary.to_pylist()
-                    for w in distinct:
-                        if w not in cache:
-                            cache[w] = detector.word(w)
-                    width = len(detector.langs) + 1
-                    per_word = np.array([cache[w] for w in distinct], "i8").reshape(-1, width)
+                    new = [w for w in distinct if w not in cache]
+                    cache.update(zip(new, range(len(cache), len(cache) + len(new))))
+                    held = np.concatenate([held, detector.words(new)])
+                    per_word = held[[cache[w] for w in distinct]] if distinct else held[:0]
                     per_place = np.zeros((len(coded) + 1, width), "i8")
                     np.cumsum(per_word[coded.indices.to_numpy()], axis=0, out=per_place[1:])
                     ends = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy())])
