@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from litspark.llm.arrays import pieces, ragged
+from litspark.llm.arrays import LOWER, pieces, ragged
 from litspark.llm.tokens import column_texts, packed, word_codes, word_spans
 from litspark.session import materialize
 
@@ -45,6 +45,10 @@ WIDTH = 24
 _BITS = 40
 # Alternatives of a word splitter that match no white space and look at none.
 WORD_PATTERNS = {"'s", "'t", "'re", "'ve", "'m", "'ll", "'d", r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+"}
+# Marks that such a splitter parts from an ASCII letter before or after them (no apostrophe: ``'s`` is one).
+_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(b".,;:!?")] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 Pattern = tuple[int, tuple[tuple[int, int], ...]]  # how often, and (length, number) of its pieces
 
@@ -261,7 +265,8 @@ class _WordEncoder:
     """Ids of texts under a tokenizer whose pieces never cross ASCII white space.
 
     Texts are cut at white space, and every distinct word is encoded by the library once, as long
-    as it is among the ``CACHE_WORDS`` last learnt.
+    as it is among the ``CACHE_WORDS`` last learnt. Where the tokenizer allows it (``finer``), words are
+    also cut between ASCII letters and marks, and A-Z are lower-cased, so that fewer are distinct.
     """
 
     def __init__(self, source: str):
@@ -271,6 +276,9 @@ class _WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.fence = self.tokenizer.encode("\0", add_special_tokens=False).ids
+        model = json.loads(source)
+        self.parts, self.lowers = finer(model)
+        self.added = [t["content"].encode().lower() for t in model["added_tokens"]]
         self.forget()
 
     def forget(self) -> None:
@@ -307,8 +315,19 @@ class _WordEncoder:
 
     def encode(self, t) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
-        words = word_spans(t)
-        codes, distinct = word_codes(t.data, words)
+        data, cut = t.data, None
+        if self.parts and len(data):
+            mark, letter = _MARK[data], _LETTER[data]
+            cut = np.append(False, (mark[1:] & letter[:-1]) | (letter[1:] & mark[:-1]))
+        words = word_spans(t, cut=cut)
+        if self.lowers and len(data):
+            low = LOWER[data]
+            # Before another script's byte a letter stays: it may be composed with an accent.
+            plain = np.append(data[1:] < 128, True)
+            # Added tokens are told by their case.
+            if not any(a in low.tobytes() for a in self.added):
+                data = np.where(plain, low, data)
+        codes, distinct = word_codes(data, words)
         keys = distinct.to_pylist()
         slots = list(map(self.slot.get, keys))
         new = [k for k, slot in zip(keys, slots) if slot is None]
@@ -337,6 +356,17 @@ def white_space_free(model: dict) -> bool:
     )
 
 
+def finer(model: dict) -> tuple[bool, bool]:
+    """Whether words may be cut between ASCII letters and marks too, and whether A-Z may be lower-cased
+    before: the ids of a text stay the same."""
+    splits = set(model["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].split("|"))
+    steps = model["normalizer"]["normalizers"]
+    plain = all(n["pattern"] == {"Regex": r"\s+"} for n in steps if n["type"] == "Replace")
+    whole = all(t["content"].isascii() and not set(t["content"]) & set(".,;:!?") for t in model["added_tokens"])
+    parts = plain and whole and {r"[\p{L}]+", r"[^\s\p{L}\p{N}]+"} <= splits
+    return parts, plain and whole and any(n["type"] == "Lowercase" for n in steps)
+
+
 def token_pieces(df: DataFrame, tokenizer: str, capacity: int, end: int = 0, text: str = "text") -> DataFrame:
     """Pieces of at most ``capacity`` tokens of each row's text, ``end`` after the text included.
 

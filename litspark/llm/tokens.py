@@ -33,8 +33,11 @@ class Spans(NamedTuple):
     inside: np.ndarray
 
 
-def word_spans(t: Texts, gaps: np.ndarray = SPACES) -> Spans:
-    """Longest runs of bytes outside ``gaps`` within each text; ``t`` as ``close`` gives it."""
+def word_spans(t: Texts, gaps: np.ndarray = SPACES, cut: np.ndarray | None = None) -> Spans:
+    """Longest runs of bytes outside ``gaps`` within each text; ``t`` as ``close`` gives it.
+
+    Where ``cut`` is true at a byte, a word begins there also without a gap before it.
+    """
     n = len(t.data)
     inside = ~gaps[t.data]
     begins = np.zeros(n + 1, bool)
@@ -43,6 +46,10 @@ def word_spans(t: Texts, gaps: np.ndarray = SPACES) -> Spans:
     if n:
         first[1:] &= ~inside[:-1] | begins[1:n]
         last[:-1] &= ~inside[1:] | begins[1:n]
+    if cut is not None and n:
+        own = cut[1:] & inside[1:] & inside[:-1]
+        first[1:] |= own
+        last[:-1] |= own
     start = np.flatnonzero(first)
     at = np.searchsorted(start, np.append(t.start, n)).astype("i8")
     return Spans(start, np.flatnonzero(last) + 1, at, inside)

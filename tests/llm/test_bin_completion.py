@@ -137,3 +137,23 @@ def test_query(spark, tmp_path):
         total += at
         assert at <= 2048
     assert len(sequences) <= -(-total // 2048) + 1
+
+
+def test_words_are_cut_finer():
+    """Marks beside ASCII letters and A-Z make no new words, and the ids stay the library's."""
+    import pyarrow as pa
+
+    from litspark.llm.tokens import close, texts
+
+    with open(WORD_BPE, encoding="utf-8") as f:
+        source = f.read()
+    library, rng = tokenizers.Tokenizer.from_str(source), random.Random(8)
+    parts = ["Word", "J̌", "H", "̱", "İ", "İ", ".", ",", "'s", "'S", "'", "!?", "3", "…", "̸", "\0", " ", " ", "Σ", "É"]
+    for odd in ([], ["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>"]):
+        rows = ["".join(rng.choice(parts + odd) for _ in range(rng.randrange(12))) for _ in range(3000)]
+        ids, count = bc._WordEncoder(source).encode(close(texts(pa.array(rows))))
+        want = [library.encode(r, add_special_tokens=False).ids for r in rows]
+        assert count.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    encoder = bc._WordEncoder(source)
+    encoder.encode(close(texts(pa.array(["The the THE the. the, (the; the", ";The.The"]))))
+    assert len(encoder.slot) == 5
