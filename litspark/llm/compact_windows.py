@@ -40,6 +40,7 @@ HASHES = 4
 REACH = 12  # places beyond the least length that a window shows of its surroundings
 SIMILAR = 0.8
 SALTS = 16
+TOGETHER = 1 << 16  # pairs of windows that wait to be met side by side
 _TIES = np.uint64((1 << 16) - 1)
 
 
@@ -201,20 +202,22 @@ class _Key:
         bits[r, self.small[r, c] & 1023] = True
         self.bits = np.packbits(bits, axis=1).view("u8")
         self.slack = self.inside.sum(1) - bits.sum(1)
-        self.out: list[tuple[int, ...]] = []
-        self.covered: dict[int, np.ndarray] = {}
+        self.out: list[np.ndarray] = []
+        self.covered = np.zeros(around.shape, bool)
+        self.waiting: list[tuple[np.ndarray, ...]] = []
+        self.held = 0
 
     def _inside(self, rows: np.ndarray) -> np.ndarray:
         offset = np.arange(self.around.shape[1]) - self.reach
         return (offset >= -rows[3][:, None]) & (offset <= rows[4][:, None])
 
-    def tell(self, i: int, j: int, low: int, high: int) -> None:
-        """Window ``i`` meets ``j``: where they agree, and the stretch that is known to be similar."""
-        rows, at = self.rows, int(self.rows[2, i])
-        back, ahead = int(min(rows[3, i], rows[3, j])), int(min(rows[4, i], rows[4, j]))
-        shift = at - int(rows[2, j])
-        seed = (at - self.reach + low, at - self.reach + high) if high else (0, 0)
-        self.out.append((int(rows[1, i]), int(rows[1, j]), at - back, at + ahead + 1, shift, *seed))
+    def tell(self, i: np.ndarray, j: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """Windows ``i`` meet ``j``: where they agree, and the stretch that is known to be similar."""
+        rows = self.rows
+        at = rows[2, i]
+        back, ahead = np.minimum(rows[3, i], rows[3, j]), np.minimum(rows[4, i], rows[4, j])
+        seed = np.where(high > 0, at - self.reach + np.stack([low, high]), 0)
+        self.out.append(np.stack([rows[1, i], rows[1, j], at - back, at + ahead + 1, at - rows[2, j], *seed]))
 
     def compare(self, i: np.ndarray, j: np.ndarray) -> None:
         """Windows ``i`` with earlier ones ``j``, sorted by ``i``."""
@@ -222,44 +225,109 @@ class _Key:
         shared = np.bitwise_count(self.bits[i] & self.bits[j]).sum(1, dtype="i8")
         near = 9 * (shared + self.slack[i]) >= 8 * self.least
         i, j = i[near], j[near]
+        if not len(i):
+            return
         pivots, of = np.unique(j, return_inverse=True)
         has = np.zeros((len(pivots), 4096), bool)
         r, c = np.nonzero(self.inside[pivots])
         has[r, self.small[pivots][r, c]] = True
         hit = has[of[:, None], self.small[i]] & self.inside[i]
-        stretch = dense_around(hit, self.reach, self.least)
-        for k in np.flatnonzero(stretch[1]).tolist():
-            a, b, (low, high) = int(i[k]), int(j[k]), stretch[:, k].tolist()
-            known = self.covered.get(a)
+        low, high = dense_around(hit, self.reach, self.least)
+        found = np.flatnonzero(high)
+        place = np.arange(hit.shape[1])
+        hit = hit[found]
+        within = (place >= low[found, None]) & (place < high[found, None])
+        self.waiting.append((i[found], j[found], hit, hit & within))
+        self.held += len(found)
+        if self.held >= TOGETHER:
+            self.settle()
+
+    def settle(self) -> None:
+        """Meets the pairs that wait: each window its sources in turn, all windows side by side."""
+        if not self.held:
+            return
+        i, j, hit, dense = (np.concatenate(x) for x in zip(*self.waiting))
+        self.waiting, self.held = [], 0
+        while len(i):
             # What is known to repeat needs no second source.
-            if known is not None and not (hit[k, low:high] & ~known[low:high]).any():
-                continue
-            self.meet(a, b)
-
-    def meet(self, i: int, j: int) -> None:
+            left = (dense & ~self.covered[i]).any(1)
+            i, j, hit, dense = i[left], j[left], hit[left], dense[left]
+            if not len(i):
+                return
+            turn = np.append(True, i[1:] != i[:-1])
+            for at in np.array_split(np.flatnonzero(turn), 1 + int(turn.sum()) // 4096):
+                self.meet(i[at], j[at], hit[at])
+            i, j, hit, dense = i[~turn], j[~turn], hit[~turn], dense[~turn]
+
+    def nearest(self, i: np.ndarray, j: np.ndarray, hit: np.ndarray) -> np.ndarray:
+        """Of each place of windows ``i`` the nearest one of ``j`` with the same two bytes; -1 without."""
         a, b = self.around[i], self.around[j]
-        other = np.flatnonzero(self.inside[j])
-        values = b[other]
-        equal = (a[:, None] == values[None, :]) & self.inside[i][:, None]
-        gap = np.where(equal, np.abs(np.arange(len(a))[:, None] - other[None, :]), 1 << 20)
-        best = gap.argmin(1)
-        near = np.where(equal.any(1), best, -1)
-        low, high = dense_around((near >= 0)[None], self.reach, self.least)[:, 0].tolist()
-        if not high:
+        place = np.arange(a.shape[1])
+        there = self.inside[j]
+        near = np.where((a == b) & self.inside[i] & there, place, -1)
+        r, c = np.nonzero(hit & (near < 0))
+        for at in np.array_split(np.arange(len(r)), 1 + len(r) // (1 << 14)):
+            equal = (b[r[at]] == a[r[at], c[at]][:, None]) & there[r[at]]
+            gap = np.where(equal, np.abs(place - c[at][:, None]).astype("i2"), np.int16(1 << 14))
+            best = gap.argmin(1)
+            near[r[at], c[at]] = np.where(equal[np.arange(len(at)), best], best, -1)
+        return near
+
+    def meet(self, i: np.ndarray, j: np.ndarray, hit: np.ndarray) -> None:
+        """Tells of each pair of different windows ``i`` whether a stretch is similar."""
+        near = self.nearest(i, j, hit)
+        low, high = dense_around(near >= 0, self.reach, self.least)
+        some = high > 0
+        i, j, near, low, high = i[some], j[some], near[some], low[some], high[some]
+        if not len(i):
             return
-        at = low + np.flatnonzero(near[low:high] >= 0)
-        low, high = int(at[0]), int(at[-1]) + 1
-        known = self.covered.setdefault(i, np.zeros(len(a), bool))
-        told = []
-        if high - low >= self.least and similar(a[low:high], values, near[low:high]):
-            told = [(low, high)]
-        else:
-            told = [(low + x, low + y) for x, y in equal_runs(near[low:high], self.least)]
-        for x, y in told:
-            known[x:y] = True
-            self.tell(i, j, x, y)
-        if not told:
-            self.tell(i, j, 0, 0)
+        place = np.arange(near.shape[1])
+        met = (near >= 0) & (place >= low[:, None]) & (place < high[:, None])
+        low, high = met.argmax(1), near.shape[1] - met[:, ::-1].argmax(1)
+        whole = high - low >= self.least
+        whole[whole] = similar_rows(self.around[i[whole]], self.around[j[whole]], near[whole], met[whole], low[whole], high[whole])
+        inside = (place >= low[:, None]) & (place < high[:, None]) & whole[:, None]
+        self.tell(i[whole], j[whole], low[whole], high[whole])
+        # Otherwise what is the same word by word stands on its own.
+        rest = np.flatnonzero(~whole)
+        goes_on = met[rest, 1:] & met[rest, :-1] & (near[rest, 1:] == near[rest, :-1] + 1)
+        step = np.cumsum(goes_on, axis=1)
+        length = step - np.maximum.accumulate(np.where(goes_on, 0, step), axis=1) + 1
+        long_ = length.max(1) >= self.least
+        for k in rest[long_].tolist():
+            a = int(low[k])
+            for x, y in equal_runs(near[k, a : high[k]], self.least):
+                inside[k, a + x : a + y] = True
+                self.tell(*(np.array([v]) for v in (i[k], j[k], a + x, a + y)))
+        none = rest[~long_]
+        self.tell(i[none], j[none], np.zeros(len(none), "i8"), np.zeros(len(none), "i8"))
+        self.covered[i] |= inside
+
+
+def _n_distinct(values: np.ndarray) -> np.ndarray:
+    """Different values of each row but the filler 65536."""
+    values = np.sort(values, axis=1)
+    return ((values[:, 1:] != values[:, :-1]) & (values[:, 1:] < 65536)).sum(1) + (values[:, 0] < 65536)
+
+
+def similar_rows(
+    a: np.ndarray, b: np.ndarray, near: np.ndarray, met: np.ndarray, low: np.ndarray, high: np.ndarray
+) -> np.ndarray:
+    """``similar`` of the stretch ``low`` to ``high`` of each row of ``a`` that meets ``b`` at ``near``."""
+    place = np.arange(a.shape[1])
+    shift = np.where(met, place - near, 1 << 20)
+    ranked = np.sort(shift, axis=1)
+    n, row = met.sum(1), np.arange(len(a))
+    middle = (ranked[row, (n - 1) // 2] + ranked[row, n // 2]) / 2
+    # Stray hits elsewhere in the other text don't widen its stretch.
+    kept = met & (np.abs(shift - middle[:, None]) <= np.maximum(32, (high - low) // 4)[:, None])
+    first = np.where(kept, near, 1 << 20).min(1)
+    last = np.where(kept, near, -1).max(1)
+    x = np.where((place >= low[:, None]) & (place < high[:, None]), a.astype("i4"), 65536)
+    y = np.where((place >= first[:, None]) & (place <= last[:, None]), b.astype("i4"), 65536)
+    n_x, n_y, both = _n_distinct(x), _n_distinct(y), _n_distinct(np.concatenate([x, y], axis=1))
+    shared = n_x + n_y - both
+    return (last >= 0) & (shared >= SIMILAR * both)
 
 
 def join_windows(found: DataFrame, least: int) -> DataFrame:
@@ -299,9 +367,10 @@ def join_windows(found: DataFrame, least: int) -> DataFrame:
             # Within one document a passage repeats another only if they are apart.
             apart = (rows[1][head] < rows[1]) | (rows[2] - rows[2][head] >= least)
             same = (head != np.arange(n)) & apart
-            for i in np.flatnonzero(same).tolist():
-                if i >= h:
-                    pairs.tell(i, int(head[i]), max(0, reach - int(rows[3, i])), reach + min(reach, int(rows[4, i])) + 1)
+            copies = np.flatnonzero(same)
+            copies = copies[copies >= h]
+            shown = np.maximum(0, reach - rows[3, copies]), reach + np.minimum(reach, rows[4, copies]) + 1
+            pairs.tell(copies, head[copies], *shown)
             left = np.flatnonzero(~same)
             keys = rows[0][left]
             start = np.zeros(len(left), "i8")
@@ -324,25 +393,24 @@ def join_windows(found: DataFrame, least: int) -> DataFrame:
                     if fit.any():
                         pairs.compare(a[fit], b[fit])
                 at = to
+            pairs.settle()
             last = left[keys == rows[0, -1]]
             held, held_around = rows[:, last].copy(), around[last].copy()
-            if pairs.out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs.out)], names=list(JOINED))
+            told = np.concatenate(pairs.out, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in told.astype("i8")], names=list(JOINED))
 
     return found.mapInArrow(run, ", ".join(f"{c} bigint" for c in JOINED))
 
 
-def stretches(intervals: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
+def stretches(low: np.ndarray, high: np.ndarray, shift: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """``(low, high, shift)`` of the union of intervals, of ``least`` places or more."""
-    change = np.zeros(max(x[1] for x in intervals) + 1, "i4")
-    np.add.at(change, [x[0] for x in intervals], 1)
-    np.add.at(change, [x[1] for x in intervals], -1)
+    change = np.bincount(low, minlength=int(high.max()) + 1) - np.bincount(high, minlength=int(high.max()) + 1)
     edge = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(change) > 0).astype("i1"), [0]])))
     out = []
     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
         if b - a >= least:
-            shifts = sorted(s for low, high, s in intervals if low < b and high > a)
-            out.append((a, b, shifts[len(shifts) // 2]))
+            shifts = np.sort(shift[(low < b) & (high > a)])
+            out.append((a, b, int(shifts[len(shifts) // 2])))
     return out
 
 
@@ -367,72 +435,87 @@ def equal_runs(near: np.ndarray, least: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(start.tolist(), end.tolist()) if b - a >= least]
 
 
-def similar(part: np.ndarray, other: np.ndarray, near: np.ndarray) -> bool:
-    """Whether a stretch has the Jaccard similarity with the stretch of the other text it hits."""
-    at = np.flatnonzero(near >= 0)
-    there = near[at]
-    # Stray hits elsewhere in the other text don't widen its stretch.
-    there = there[np.abs(at - there - np.median(at - there)) <= max(32, len(part) // 4)]
-    if not len(there):
-        return False
-    x, y = np.unique(part), np.unique(other[there.min() : there.max() + 1])
-    shared = len(np.intersect1d(x, y, assume_unique=True))
-    return shared >= SIMILAR * (len(x) + len(y) - shared)
+def _before(codes: np.ndarray, owner: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Of each place the one before it in its text with the same code; -1 without."""
+    out = np.full(len(codes), -1)
+    same = (codes[order][1:] == codes[order][:-1]) & (owner[order][1:] == owner[order][:-1])
+    out[order[1:][same]] = order[:-1][same]
+    return out
 
 
 class _Places:
-    """Where each shingle of a text stands."""
-
-    def __init__(self, values: np.ndarray):
-        self.place = np.argsort(values, kind="stable")
-        self.values = values[self.place]
-        new = np.ones(len(values), bool)
-        new[1:] = self.values[1:] != self.values[:-1]
-        self.block = np.cumsum(new) - 1
-        # Block and place in one number: sorted, as places grow within a block.
-        self.key = self.block * len(values) + self.place
-
-    def nearest(self, wanted: np.ndarray, target: np.ndarray, most: np.ndarray | None) -> np.ndarray:
-        """Place of each wanted shingle nearest to its target, ``most`` at most; -1 without one."""
-        n = len(self.values)
-        if not n:
+    """Shingles of the texts of a slice and of their sources, and where each stands in the sources."""
+
+    def __init__(self, own: np.ndarray, own_first: np.ndarray, other: np.ndarray, other_first: np.ndarray):
+        distinct, codes = np.unique(np.concatenate([own, other]), return_inverse=True)
+        self.own, self.other = codes[: len(own)], codes[len(own) :]
+        self.own_first, self.other_first = own_first.tolist(), other_first.tolist()
+        owner = np.repeat(np.arange(len(own_first) - 1), np.diff(own_first))
+        self.own_before = _before(self.own, owner, np.argsort(self.own, kind="stable"))
+        self.place = np.argsort(self.other, kind="stable")
+        owner = np.repeat(np.arange(len(other_first) - 1), np.diff(other_first))
+        self.other_before = _before(self.other, owner, self.place)
+        self.code = self.other[self.place]
+        # Code and place in one number: sorted, as places grow within a code.
+        self.key = self.code * len(other) + self.place
+        self.met = np.zeros(len(distinct), bool)
+
+    def nearest(self, wanted: np.ndarray, source: int, target: np.ndarray, most: np.ndarray | None) -> np.ndarray:
+        """Place in a source of each wanted code nearest to its target, ``most`` at most; -1 without one."""
+        low, high = self.other_first[source], self.other_first[source + 1]
+        if low == high:
             return np.full(len(wanted), -1)
-        first = np.minimum(np.searchsorted(self.values, wanted), n - 1)
-        there = self.values[first] == wanted
-        block = self.block[first]
-        target = np.clip(target if most is None else np.minimum(target, most), 0, n - 1)
-        up = np.searchsorted(self.key, block * n + target)
-        down = up - 1
-        up = np.minimum(up, n - 1)
-        most = np.full(len(wanted), n) if most is None else most
-        far = 1 << 60
-        ahead = there & (self.block[up] == block) & (self.place[up] >= target) & (self.place[up] <= most)
-        behind = there & (down >= 0) & (self.block[down] == block) & (self.place[down] <= most)
-        d_up = np.where(ahead, self.place[up] - target, far)
-        d_down = np.where(behind, target - self.place[down], far)
-        out = np.where(d_up < d_down, self.place[up], self.place[down])
-        return np.where(ahead | behind, out, -1)
-
-
-def verified(
-    own: np.ndarray, other: np.ndarray, places: list[tuple[int, int, int, int, int]], least: int, same: bool
-) -> list[tuple[int, int]]:
-    """Stretches of ``own`` that are near-duplicates of stretches of ``other``.
+        last = high - 1 if most is None else np.minimum(low + most, high - 1)
+        target = np.maximum(np.minimum(target + low, last), low)
+        up = np.searchsorted(self.key, wanted * len(self.other) + target)
+        down = np.maximum(up - 1, 0)
+        up = np.minimum(up, len(self.key) - 1)
+        p_up, p_down = self.place[up], self.place[down]
+        ahead = (self.code[up] == wanted) & (p_up >= target) & (p_up <= last)
+        behind = (self.code[down] == wanted) & (p_down >= low) & (p_down < target) & (p_down <= last)
+        nearer = ahead & (~behind | (p_up - target < target - p_down))
+        return np.where(ahead | behind, np.where(nearer, p_up, p_down) - low, -1)
+
+    def similar(self, low: int, high: int, source: int, near: np.ndarray) -> bool:
+        """Whether a stretch has the Jaccard similarity with the stretch of the source it hits."""
+        at = np.flatnonzero(near >= 0)
+        there = near[at]
+        shift = at - there
+        ranked = np.sort(shift)
+        middle = (ranked[(len(ranked) - 1) // 2] + ranked[len(ranked) // 2]) / 2
+        # Stray hits elsewhere in the source don't widen its stretch.
+        there = there[np.abs(shift - middle) <= max(32, len(near) // 4)]
+        if not len(there):
+            return False
+        a = self.other_first[source] + int(there.min())
+        b = self.other_first[source] + int(there.max()) + 1
+        part = self.own[low:high]
+        self.met[part] = True
+        fresh = self.other_before[a:b] < a
+        shared = np.count_nonzero(fresh & self.met[self.other[a:b]])
+        self.met[part] = False
+        n = np.count_nonzero(self.own_before[low:high] < low) + np.count_nonzero(fresh)
+        return shared >= SIMILAR * (n - shared)
+
+
+def verified(at: _Places, text: int, source: int, places: np.ndarray, least: int, same: bool) -> list[tuple[int, int]]:
+    """Stretches of a text that are near-duplicates of stretches of its source.
 
     A place is an interval, its shift, and the stretch within it that the join told as similar.
     """
-    index = _Places(other)
+    first = at.own_first[text]
     out = []
-    wide = stretches([x[:3] for x in places], least)
-    for low, high, shift in wide + [(a, b, shift) for _, _, shift, a, b in places]:
-        # A told stretch stands on its own where the one around it was not similar as a whole.
+    wide = stretches(*places[:3], least)
+    # A told stretch stands on its own where the one around it was not similar as a whole.
+    told = dict.fromkeys(zip(*(places[k].tolist() for k in (3, 4, 2))))
+    for low, high, shift in [*wide, *told]:
         if high - low < least or any(a <= low and high <= b for a, b in out):
             continue
-        part = own[low:high]
-        at = low + np.arange(len(part))
-        near = index.nearest(part, at - shift, at - least if same else None)
+        place = np.arange(low, high)
+        part = at.own[first + low : first + high]
+        near = at.nearest(part, source, place - shift, place - least if same else None)
         for a, b in dense_runs(near >= 0, 2 * SIMILAR / (1 + SIMILAR), least):
-            if similar(part[a:b], other, near[a:b]):
+            if at.similar(first + low + a, first + low + b, source, near[a:b]):
                 out.append((low + a, low + b))
             else:
                 # What is the same word by word within it stands on its own.
@@ -453,12 +536,13 @@ def _verify(pairs: DataFrame, rows: DataFrame, size: int, least: int) -> DataFra
             own, own_first = shingles(w, size, whole=False)
             s = texts(piece.column(3).take(pa.array(first_source)))
             other, other_first = shingles(words(s, SPACES), size, whole=False)
-            out = []
-            for k, places in enumerate(piece.column(4).to_pylist()):
+            index, out = _Places(own, own_first, other, other_first), []
+            listed = piece.column(4)
+            places = np.stack([c.to_numpy(zero_copy_only=False) for c in listed.flatten().flatten()]).astype("i8")
+            ends = np.cumsum(listed.value_lengths().to_numpy())
+            for k, (low, high) in enumerate(zip([0, *ends.tolist()], ends.tolist())):
                 d, e = int(of_id[k]), int(of_source[k])
-                x, y = own[own_first[d] : own_first[d + 1]], other[other_first[e] : other_first[e + 1]]
-                listed = [tuple(p[c] for c in JOINED[2:]) for p in places]
-                for a, b in verified(x, y, listed, least, bool(ids[k] == sources[k])):
+                for a, b in verified(index, d, e, places[:, low:high], least, bool(ids[k] == sources[k])):
                     at = int(w.first[d])
                     start, end = int(w.start[at + a]), int(w.end[at + b + size - 2])
                     out.append((int(ids[k]), start - int(t.start[d]), end - int(t.start[d]), int(sources[k])))

@@ -123,3 +123,41 @@ def test_one_function_is_enough(documents):
     rows = [(i, " ".join(some(40) + passage + some(40))) for i in range(2)]
     spans = {r.doc_id: len(r.spans) for r in c.mark(documents(rows), hashes=1).collect()}
     assert spans == {0: 0, 1: 1}
+
+
+class _Handed:
+    """Takes the function that is handed to Spark."""
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_windows_of_many_keys_are_met_side_by_side(monkeypatch):
+    """Each pair is judged as by plain sets, and windows of many keys in a few calls."""
+    import pyarrow as pa
+
+    rng, n, reach, least = np.random.default_rng(9), 240, 58, 46
+    rows, around = [], []
+    for key in range(n // 4):
+        base = rng.integers(0, 60000, 2 * reach + 1)
+        for k in range(4):
+            own = base.copy()
+            changed = rng.random(len(own)) < 0.04 * k
+            own[changed] = rng.integers(0, 60000, int(changed.sum()))
+            rows.append((key, 4 * key + k, 200, 200, 200))
+            around.append(own.astype("u2").tobytes())
+    columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
+    batch = pa.RecordBatch.from_arrays([*columns, pa.array(around, pa.binary())], names=["key", "id", "at", "before", "after", "around"])
+    calls, meet = [], c._Key.meet
+    monkeypatch.setattr(c._Key, "meet", lambda self, i, j, *more: (calls.append(len(i)), meet(self, i, j, *more))[1])
+    out = pa.Table.from_batches(c.join_windows(_Handed(), least)(iter([batch])))
+    assert sum(calls) > 150 and len(calls) < 10
+    told = 0
+    for i, j, low, high in zip(*(out.column(k).to_pylist() for k in ("id", "source", "seed_low", "seed_high"))):
+        assert j < i and i // 4 == j // 4
+        if high:
+            a, b = (np.frombuffer(around[k], "u2")[low - 200 + reach : high - 200 + reach] for k in (i, j))
+            x, y = set(a.tolist()), set(b.tolist())
+            told += 1
+            assert len(x & y) >= c.SIMILAR * len(x | y) and high - low >= least
+    assert told > 100
