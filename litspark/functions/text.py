@@ -70,15 +70,14 @@ def strip_work_id_prefix(c: Column | str) -> Column:
 
 def rebuild_abstract(index: Column | str) -> Column:
     """Text of a word -> positions map; words at one position keep the map's order."""
+    index = as_col(index)
+    # Position and number of the word as one long: numbers sort far quicker than structs. A null position is first.
+    number = lambda pos, i: F.shiftleft(F.coalesce(pos.cast("long"), F.lit(-(1 << 31) - 1)), 31) + i
     placed = F.flatten(
-        F.transform(
-            F.map_entries(as_col(index)),
-            lambda entry, i: F.transform(
-                entry["value"], lambda pos: F.struct(pos.alias("p"), i.alias("i"), entry["key"])
-            ),
-        )
+        F.transform(F.map_values(index), lambda at, i: F.transform(at, lambda pos: number(pos, i)))
     )
-    words = F.transform(F.sort_array(placed), lambda w: w["key"])
+    word = lambda keys, n: F.get(keys, n.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    words = once(F.map_keys(index), lambda keys: F.transform(F.sort_array(placed), lambda n: word(keys, n)))
     return F.nullif(F.array_join(words, " "), F.lit(""))
 
 

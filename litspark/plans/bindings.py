@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from litspark import schemas
 from litspark.functions.filenames import structured_filename
-from litspark.functions.text import once
+from litspark.functions.text import as_col, once
 from litspark.sources.readers import file_parts
 
 # Stated, not inferred: inference reads file footers in a job of its own per read.
@@ -331,7 +331,7 @@ def landed_pages(spark: SparkSession, folder: str, engine: int) -> DataFrame:
             (F.col("n_chars") % 7).cast("int").alias("referenceCount"),
             (F.col("n_chars") % 100).cast("int").alias("citationCount"),
         )
-        rows = docs.select(doc_id, "page_no", work.alias("work"))
+        rows = docs.select(doc_id, "page_no", F.to_json(work).alias("json"))
     else:
         prefix = F.get(F.lit(["https://doi.org/", "HTTP://DOI.ORG/", "doi.org/", ""]), (doc_id % 4).cast("int"))
         work = F.struct(
@@ -343,15 +343,16 @@ def landed_pages(spark: SparkSession, folder: str, engine: int) -> DataFrame:
                 "names", lambda n: F.struct(F.struct(n.alias("display_name")).alias("author"))
             ).alias("authorships"),
             F.struct(_every(4).alias("is_oa")).alias("open_access"),
-            inverted_index("abstract").alias("abstract_inverted_index"),
             F.when(
                 ~_every(13), F.array_repeat(F.lit("W1"), (doc_id % 7).cast("int"))
             ).alias("referenced_works"),
             (F.col("n_chars") % 100).cast("int").alias("cited_by_count"),
         )
-        rows = docs.select(doc_id, "page_no", work.alias("work"))
+        index = F.concat(F.lit('{"abstract_inverted_index":'), inverted_index("abstract"), F.lit(","))
+        json = F.concat(F.coalesce(index, F.lit("{")), F.substr(F.to_json(work), F.lit(2)))
+        rows = docs.select(doc_id, "page_no", json.alias("json"))
     # A page holds at most 100 works: the ids are unique.
-    ordered = F.sort_array(F.collect_list(F.struct("doc_id", F.to_json("work").alias("json"))))
+    ordered = F.sort_array(F.collect_list(F.struct("doc_id", "json")))
     works = F.array_join(F.transform(ordered, lambda w: w["json"]), ",")
     field = "data" if engine == 1 else "results"
     return rows.groupBy("page_no").agg(works.alias("works")).select(
@@ -367,27 +368,28 @@ def landed_pages(spark: SparkSession, folder: str, engine: int) -> DataFrame:
 
 
 def inverted_index(abstract: Column | str) -> Column:
-    """Word -> positions of a text: sorted words, cut where a new word starts."""
-    words = F.split(abstract, " ")
-    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("pos"))))
-
-    def cut(p: Column) -> Column:
-        def starts_word(i: Column) -> Column:
-            return (i == 0) | (F.get(p, i)["word"] != F.get(p, i - 1)["word"])
-
-        starts = F.filter(F.sequence(F.lit(0), F.size(p) - 1), starts_word)
+    """Word -> positions of a text as JSON: sorted words, a new list where a new word starts.
 
-        def entries(s: Column) -> Column:
-            def entry(at: Column, k: Column) -> Column:
-                length = F.coalesce(F.get(s, k + 1), F.size(p)) - at
-                places = F.transform(F.slice(p, at + 1, length), lambda x: x["pos"])
-                return F.struct(F.get(p, at)["word"].alias("key"), places.alias("value"))
+    The text is escaped as a whole, which neither joins words nor makes different ones equal; the members
+    are joined as texts. A map of them would be built entry by entry and then written as JSON.
+    """
+    abstract = as_col(abstract)
+    # Without the brackets and quotes around it.
+    escaped = F.to_json(F.array(abstract))
+    words = F.split(F.substr(escaped, F.lit(3), F.length(escaped) - 4), " ")
+    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("pos"))))
 
-            return F.transform(s, entry)
+    def members(p: Column) -> Column:
+        def member(x: Column, k: Column) -> Column:
+            known = x["word"] == F.get(p, k - 1)["word"]
+            opened = F.concat(F.lit('],"'), x["word"], F.lit('":['), x["pos"].cast("string"))
+            return F.when(known, F.concat(F.lit(","), x["pos"].cast("string"))).otherwise(opened)
 
-        return F.map_from_entries(once(starts, entries))
+        return F.array_join(F.transform(p, member), "")
 
-    return F.when(F.col(abstract).isNotNull(), once(placed, cut))
+    # The first member has nothing to close.
+    index = F.concat(F.lit("{"), F.substr(once(placed, members), F.lit(3)), F.lit("]}"))
+    return F.when(abstract.isNotNull(), index)
 
 
 def parse_pages(landed: DataFrame, engine: int) -> DataFrame:

@@ -314,3 +314,25 @@ def test_query_condition(spark, query, wanted):
 def test_queries_that_cannot_be_read(query, place):
     with pytest.raises(ValueError, match=place):
         query_condition(query, F.lit(" a "))
+
+
+def test_rebuild_abstract_at_odd_places(value):
+    """A null position comes first, negative ones and the largest in their order."""
+    index = F.from_json(F.lit('{"b": [2147483647, -2147483648], "a": [0, null], "c": [0]}'), "map<string, array<int>>")
+    assert value(text.rebuild_abstract(index)) == "a b a c b"
+    holes = F.from_json(F.lit('{"b": [1], "a": null}'), "map<string, array<int>>")
+    assert value(text.rebuild_abstract(holes)) is None
+
+
+@pytest.mark.parametrize("given", ["", "a", 'b "a" b\\ \n a  é "a"', "\t x \x01 x", " ", None])
+def test_inverted_index_as_json(value, given):
+    from litspark.plans import bindings
+
+    index = value(bindings.inverted_index(F.lit(given).cast("string")))
+    if given is None:
+        assert index is None
+        return
+    wanted = {}
+    for i, word in enumerate(given.split(" ")):
+        wanted.setdefault(word, []).append(i)
+    assert json.loads(index) == wanted and len(json.loads(index, object_pairs_hook=list)) == len(wanted)
