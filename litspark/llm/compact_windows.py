@@ -41,6 +41,8 @@ REACH = 12  # places beyond the least length that a window shows of its surround
 SIMILAR = 0.8
 SALTS = 16
 TOGETHER = 1 << 16  # pairs of windows that wait to be met side by side
+WIDE = 64  # earlier windows from which a window is compared with them block by block
+BLOCK = 1 << 17  # pairs of a block, and pairs that are looked at in turns
 _TIES = np.uint64((1 << 16) - 1)
 
 
@@ -197,13 +199,14 @@ class _Key:
         self.small = (around & np.uint16(4095)).astype("i8")
         self.inside = self._inside(rows)
         # 1024 bits of each window's shingles, and how many of its places share a bit.
-        bits = np.zeros((len(around), 1024), bool)
-        r, c = np.nonzero(self.inside)
-        bits[r, self.small[r, c] & 1023] = True
-        self.bits = np.packbits(bits, axis=1).view("u8")
-        self.slack = self.inside.sum(1) - bits.sum(1)
+        self.bits = self._bits(np.arange(len(around)), self.inside)
+        self.slack = self.inside.sum(1) - np.bitwise_count(self.bits).sum(1, dtype="i8")
+        # A byte holds how many bits two windows have in common, if they have no more places.
+        self.narrow = around.shape[1] < 256
         self.out: list[np.ndarray] = []
         self.covered = np.zeros(around.shape, bool)
+        self.near: list[tuple[np.ndarray, np.ndarray]] = []
+        self.n_near = 0
         self.waiting: list[tuple[np.ndarray, ...]] = []
         self.held = 0
 
@@ -219,14 +222,81 @@ class _Key:
         seed = np.where(high > 0, at - self.reach + np.stack([low, high]), 0)
         self.out.append(np.stack([rows[1, i], rows[1, j], at - back, at + ahead + 1, at - rows[2, j], *seed]))
 
+    def _bits(self, i: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """A bit for each shingle at the given places of windows ``i``, in 1024 of them."""
+        bits = np.zeros((len(i), 128), "u1")
+        for at in range(0, len(i), 1 << 12):
+            part = np.zeros((len(i[at : at + (1 << 12)]), 1024), bool)
+            r, c = np.nonzero(places[at : at + (1 << 12)])
+            part[r, self.small[i[at + r], c] & 1023] = True
+            bits[at : at + len(part)] = np.packbits(part, axis=1)
+        return bits.view("u8")
+
+    def fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether windows ``a`` and earlier ones ``b`` share places enough, and lie apart within one document."""
+        rows = self.rows
+        fit = np.minimum(rows[3][a], rows[3][b]) + np.minimum(rows[4][a], rows[4][b]) + 1 >= self.least
+        return fit & ((rows[1][b] < rows[1][a]) | (rows[2][a] - rows[2][b] >= self.least))
+
     def compare(self, i: np.ndarray, j: np.ndarray) -> None:
         """Windows ``i`` with earlier ones ``j``, sorted by ``i``."""
         # Of the least stretch eight places in nine are hits; fewer bits in common leave none.
         shared = np.bitwise_count(self.bits[i] & self.bits[j]).sum(1, dtype="i8")
         near = 9 * (shared + self.slack[i]) >= 8 * self.least
-        i, j = i[near], j[near]
-        if not len(i):
+        self.turns(i[near], j[near])
+
+    def compare_all(self, i: np.ndarray, j: np.ndarray, n: int) -> None:
+        """``compare`` of windows ``i`` with all of ``j`` that stand before them; ``i`` is ``j`` from place ``n``.
+
+        Rows meet columns as a whole, so that no pair is looked up by its numbers.
+        """
+        # Bits in common that a window needs at least.
+        need = np.maximum(-(-8 * self.least // 9) - self.slack[i], 0)[:, None]
+        a, b = np.ascontiguousarray(self.bits[i].T), np.ascontiguousarray(self.bits[j].T)
+        shared = np.zeros((len(i), len(j)), "u1" if self.narrow else "u2")
+        for x, y in zip(a, b):
+            shared += np.bitwise_count(x[:, None] & y)
+        near = shared >= need.astype(shared.dtype)
+        near &= np.arange(len(j)) < n + np.arange(len(i))[:, None]
+        r, c = np.nonzero(near)
+        i, j = i[r], j[c]
+        fit = self.fit(i, j)
+        self.turns(i[fit], j[fit])
+
+    def turns(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Pairs that may agree, all those of a window at once, sorted by ``i`` and ``j``."""
+        self.near.append((i, j))
+        self.n_near += len(i)
+        if self.n_near >= BLOCK:
+            self.look()
+
+    def look(self) -> None:
+        """Looks at each window's first sources, then at more for what of it none has repeated yet."""
+        if not self.n_near:
             return
+        i, j = (np.concatenate(x) for x in zip(*self.near))
+        self.near, self.n_near = [], 0
+        place = np.arange(len(i))
+        turn = place - np.maximum.accumulate(np.where(np.append(True, i[1:] != i[:-1]), place, 0))
+        upto, step = 2, 1 << 12
+        while len(i):
+            now = np.flatnonzero(turn < upto)
+            for at in range(0, len(now), step):
+                self._look(i[now[at : at + step]], j[now[at : at + step]])
+            self.settle()
+            later = turn >= upto
+            i, j, turn = i[later], j[later], turn[later]
+            # A source without a shingle of what is left tells nothing new.
+            windows, of = np.unique(i, return_inverse=True)
+            left = self._bits(windows, self.inside[windows] & ~self.covered[windows])
+            some = np.zeros(len(i), bool)
+            for at in range(0, len(i), step):
+                part = slice(at, at + step)
+                some[part] = (left[of[part]] & self.bits[j[part]]).any(1)
+            i, j, turn = i[some], j[some], turn[some]
+            upto *= 4
+
+    def _look(self, i: np.ndarray, j: np.ndarray) -> None:
         pivots, of = np.unique(j, return_inverse=True)
         has = np.zeros((len(pivots), 4096), bool)
         r, c = np.nonzero(self.inside[pivots])
@@ -234,6 +304,8 @@ class _Key:
         hit = has[of[:, None], self.small[i]] & self.inside[i]
         low, high = dense_around(hit, self.reach, self.least)
         found = np.flatnonzero(high)
+        if not len(found):
+            return
         place = np.arange(hit.shape[1])
         hit = hit[found]
         within = (place >= low[found, None]) & (place < high[found, None])
@@ -380,20 +452,28 @@ def join_windows(found: DataFrame, least: int) -> DataFrame:
             count = np.where(left >= h, np.arange(len(left)) - start, 0)
             at, step = 0, 1 << 14
             ends = np.cumsum(count)
+            wide = np.append(np.flatnonzero(count >= WIDE), len(left))
             while at < len(left):
-                # Some windows with all earlier ones; one that has very many takes several goes.
+                next_wide = int(wide[np.searchsorted(wide, at)])
+                if next_wide == at:
+                    # Some windows of a key with all earlier ones, as a block.
+                    first = int(start[at])
+                    to = at + max(1, BLOCK // (at - first))
+                    to = min(to, int(np.searchsorted(start, first, "right")))
+                    pairs.compare_all(left[at:to], left[first:to], at - first)
+                    at = to
+                    continue
+                # Some windows with all earlier ones, all told a step.
                 done = int(ends[at - 1]) if at else 0
-                to = max(int(np.searchsorted(ends, done + step, "right")), at + 1)
+                to = min(max(int(np.searchsorted(ends, done + step, "right")), at + 1), next_wide)
                 i = np.repeat(np.arange(at, to), count[at:to])
                 j = ragged(start[at:to], count[at:to])
-                for x in range(0, len(i), step):
-                    a, b = left[i[x : x + step]], left[j[x : x + step]]
-                    fit = np.minimum(rows[3][a], rows[3][b]) + np.minimum(rows[4][a], rows[4][b]) + 1 >= least
-                    fit &= (rows[1][b] < rows[1][a]) | (rows[2][a] - rows[2][b] >= least)
-                    if fit.any():
-                        pairs.compare(a[fit], b[fit])
+                a, b = left[i], left[j]
+                fit = pairs.fit(a, b)
+                if fit.any():
+                    pairs.compare(a[fit], b[fit])
                 at = to
-            pairs.settle()
+            pairs.look()
             last = left[keys == rows[0, -1]]
             held, held_around = rows[:, last].copy(), around[last].copy()
             told = np.concatenate(pairs.out, axis=1)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from litspark.llm import compact_windows as c
@@ -146,7 +147,7 @@ def test_windows_of_many_keys_are_met_side_by_side(monkeypatch):
             own[changed] = rng.integers(0, 60000, int(changed.sum()))
             rows.append((key, 4 * key + k, 200, 200, 200))
             around.append(own.astype("u2").tobytes())
-    columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
+    columns = [pa.array(x, pa.int64()) for c in zip(*rows)]
     batch = pa.RecordBatch.from_arrays([*columns, pa.array(around, pa.binary())], names=["key", "id", "at", "before", "after", "around"])
     calls, meet = [], c._Key.meet
     monkeypatch.setattr(c._Key, "meet", lambda self, i, j, *more: (calls.append(len(i)), meet(self, i, j, *more))[1])
@@ -161,3 +162,52 @@ def test_windows_of_many_keys_are_met_side_by_side(monkeypatch):
             told += 1
             assert len(x & y) >= c.SIMILAR * len(x | y) and high - low >= least
     assert told > 100
+
+
+class _Found:
+    """Stands for a table: gives the function that a task runs."""
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def _family(n, width=115, edits=2):
+    """Windows of one key, each a copy of the first or of one before with other shingles at some places."""
+    rng = np.random.default_rng(7)
+    around = rng.integers(1, 1 << 16, (n, width)).astype("u2")
+    for k in range(1, n):
+        if k % 5:
+            around[k] = around[rng.integers(0, k) if k % 3 == 0 else 0]
+            around[k, rng.integers(0, width, edits)] = rng.integers(1, 1 << 16, edits)
+    packed = pa.array([row.tobytes() for row in around], pa.binary())
+    key, bounds = np.full(n, 8), rng.integers(30, 58, (2, n))
+    columns = [key, np.arange(n), np.full(n, 100), *bounds]
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns), packed], names=list("abcdef"))
+
+
+def _joined(batch, step):
+    run = c.join_windows(_Found(), 46)
+    batches = (batch.slice(at, step) for at in range(0, batch.num_rows, step))
+    return sorted(row for out in run(batches) for row in zip(*(x.to_pylist() for x in out.columns)))
+
+
+def test_blocks_of_a_frequent_key_tell_the_same(monkeypatch):
+    batch = _family(500)
+    blocks = [_joined(batch, 500), _joined(batch, 130)]
+    monkeypatch.setattr(c, "WIDE", 1 << 40)
+    one_by_one = _joined(batch, 500)
+    assert len(one_by_one) > 300 and blocks == [one_by_one] * 2
+
+
+def test_known_repeats_are_not_looked_at(monkeypatch):
+    """Of a family of near copies a window is looked at beside few others, not beside all."""
+    seen, look = [], c._Key._look
+
+    def counted(self, i, j):
+        seen.append(len(i))
+        look(self, i, j)
+
+    monkeypatch.setattr(c._Key, "_look", counted)
+    batch = _family(1500)
+    _joined(batch, 1500)
+    assert sum(seen) < 1500 * 60  # 720,000 pairs are similar
