@@ -198,8 +198,11 @@ class Words(NamedTuple):
         return slice(self.first[i], self.first[i + 1])
 
 
-def words(t: Texts, gaps: np.ndarray = SPACES) -> Words:
-    """Words of each text: longest runs of bytes outside ``gaps``, A-Z lower-cased for the hash."""
+def words(t: Texts, gaps: np.ndarray = SPACES, hashed: bool = True) -> Words:
+    """Words of each text: longest runs of bytes outside ``gaps``, A-Z lower-cased for the hash.
+
+    Where only the places are wanted, ``hashed`` saves the hashes: there are none.
+    """
     n = len(t.data)
     begins = np.zeros(n + 1, bool)
     full = t.end > t.start
@@ -228,7 +231,7 @@ def words(t: Texts, gaps: np.ndarray = SPACES) -> Words:
         last = inside.copy()
         last[:-1] &= ~inside[1:] | begins[at + 1 : to]
         a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-        hashes.append(strong_hash(strong_sums(low), a, b))
+        hashes.append(strong_hash(strong_sums(low), a, b) if hashed else np.zeros(0, "u8"))
         starts.append(a + at)
         ends.append(b + at)
         at = to
@@ -245,15 +248,53 @@ def shingles(w: Words, size: int, whole: bool = True) -> tuple[np.ndarray, np.nd
 
     With ``whole`` a text of fewer words, but not none, has one: all its words.
     """
-    n_words = np.diff(w.first)
+    start, end, first = _runs(w.first, size, whole)
+    return ordered_hash(w.hash, start, end), first
+
+
+def _runs(first_word: np.ndarray, size: int, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word and end of every run of ``size`` words, and the first run of each text."""
+    n_words = np.diff(first_word)
     counts = np.maximum(n_words - size + 1, 0)
     if whole:
         counts = np.where((n_words > 0) & (counts == 0), 1, counts)
     first = np.concatenate([[0], np.cumsum(counts)]).astype("i8")
     text = np.repeat(np.arange(len(counts)), counts)
-    start = w.first[:-1][text] + (np.arange(first[-1]) - first[:-1][text])
-    end = np.minimum(start + size, w.first[1:][text])
-    return ordered_hash(w.hash, start, end), first
+    start = first_word[:-1][text] + (np.arange(first[-1]) - first[:-1][text])
+    return start, np.minimum(start + size, first_word[1:][text]), first
+
+
+def coded_shingles(given: list[tuple[Texts, Words]], size: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+    """Numbers of the shingles of several columns of texts and each text's first one; how many differ.
+
+    Equal shingles, and no others, have the same number: words are told apart by their bytes (A-Z
+    lower-cased), shingles by the numbers of their words. For slices of texts at a time.
+    """
+    base = np.cumsum([0, *(len(t.data) for t, _ in given)])
+    n = sum(len(w.start) for _, w in given)
+    # The bytes between words are entries too, so that the offsets go through the texts as they are.
+    offsets = np.empty((n, 2), "i8")
+    offsets[:, 0] = np.concatenate([w.start + b for (_, w), b in zip(given, base)])
+    offsets[:, 1] = np.concatenate([w.end + b for (_, w), b in zip(given, base)])
+    data = LOWER[np.concatenate([t.data for t, _ in given])]
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data)]
+    number = np.zeros(0, "i4")
+    if n:
+        entries = pa.Array.from_buffers(pa.large_binary(), 2 * n - 1, buffers)
+        number = entries.dictionary_encode().indices.to_numpy()[::2].astype("i4")
+    runs, at = [], 0
+    for _, w in given:
+        start, _, first = _runs(w.first, size, False)
+        runs.append((start + at, first))
+        at += len(w.start)
+    start = np.concatenate([r for r, _ in runs])
+    if not len(start):
+        return [(r, first) for r, first in runs], 0
+    rows = np.ascontiguousarray(number[start[:, None] + np.arange(size)])
+    packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * size), len(rows), [None, pa.py_buffer(rows)])
+    coded = packed.dictionary_encode()
+    codes, ends = coded.indices.to_numpy().astype("i8"), np.cumsum([0, *(len(r) for r, _ in runs)])
+    return [(codes[a:b], first) for (_, first), a, b in zip(runs, ends, ends[1:])], len(coded.dictionary)
 
 
 def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litspark.llm.arrays import SPACES, Texts, mix, pieces, ragged, shingles, texts, words
+from litspark.llm.arrays import SPACES, Texts, Words, coded_shingles, mix, pieces, ragged, shingles, texts, words
 from litspark.llm.spans import kept_bytes, union
 from litspark.session import materialize
 
@@ -526,9 +526,9 @@ def _before(codes: np.ndarray, owner: np.ndarray, order: np.ndarray) -> np.ndarr
 class _Places:
     """Shingles of the texts of a slice and of their sources, and where each stands in the sources."""
 
-    def __init__(self, own: np.ndarray, own_first: np.ndarray, other: np.ndarray, other_first: np.ndarray):
-        distinct, codes = np.unique(np.concatenate([own, other]), return_inverse=True)
-        self.own, self.other = codes[: len(own)], codes[len(own) :]
+    def __init__(self, own: tuple[Texts, Words], other: tuple[Texts, Words], size: int):
+        coded, n_distinct = coded_shingles([own, other], size)
+        (self.own, own_first), (self.other, other_first) = coded
         self.own_first, self.other_first = own_first.tolist(), other_first.tolist()
         owner = np.repeat(np.arange(len(own_first) - 1), np.diff(own_first))
         self.own_before = _before(self.own, owner, np.argsort(self.own, kind="stable"))
@@ -537,8 +537,8 @@ class _Places:
         self.other_before = _before(self.other, owner, self.place)
         self.code = self.other[self.place]
         # Code and place in one number: sorted, as places grow within a code.
-        self.key = self.code * len(other) + self.place
-        self.met = np.zeros(len(distinct), bool)
+        self.key = self.code * len(self.other) + self.place
+        self.met = np.zeros(n_distinct, bool)
 
     def nearest(self, wanted: np.ndarray, source: int, target: np.ndarray, most: np.ndarray | None) -> np.ndarray:
         """Place in a source of each wanted code nearest to its target, ``most`` at most; -1 without one."""
@@ -612,11 +612,9 @@ def _verify(pairs: DataFrame, rows: DataFrame, size: int, least: int) -> DataFra
             _, first_id, of_id = np.unique(ids, return_index=True, return_inverse=True)
             _, first_source, of_source = np.unique(sources, return_index=True, return_inverse=True)
             t = texts(piece.column(2).take(pa.array(first_id)))
-            w = words(t, SPACES)
-            own, own_first = shingles(w, size, whole=False)
+            w = words(t, SPACES, hashed=False)
             s = texts(piece.column(3).take(pa.array(first_source)))
-            other, other_first = shingles(words(s, SPACES), size, whole=False)
-            index, out = _Places(own, own_first, other, other_first), []
+            index, out = _Places((t, w), (s, words(s, SPACES, hashed=False)), size), []
             listed = piece.column(4)
             places = np.stack([c.to_numpy(zero_copy_only=False) for c in listed.flatten().flatten()]).astype("i8")
             ends = np.cumsum(listed.value_lengths().to_numpy())

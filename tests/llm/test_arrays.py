@@ -61,3 +61,22 @@ def test_fragments_of_one_batch_keep_their_ids(spark):
     found = {r.i: r.decoded for r in bpe.decode(bpe.encode(df, tokenizer), tokenizer).collect()}
     assert found == dict(enumerate(texts))
     assert len({hashlib.sha256(t.encode()).hexdigest() for t in found.values()}) == 2
+
+
+def test_coded_shingles_are_equal_where_their_words_are():
+    """Numbers across two columns, with texts that are null, empty, short, of other case or of other gaps."""
+    given = [["a b c a B c", None, "", "x", "é\tb  c", " lone "], ["A B C", "ab c a b c", None, "xé b c x", "\n"], []]
+    columns = [arrays.texts(pa.array(texts, pa.string())) for texts in given]
+    told = [(t, arrays.words(t, hashed=False)) for t in columns]
+    coded, n = arrays.coded_shingles(told, 3)
+    seen = {}
+    for texts, (codes, first) in zip(given, coded):
+        wanted = [text.lower().split() if text else [] for text in texts]
+        assert np.array_equal(np.diff(first), [max(len(w) - 2, 0) for w in wanted])
+        for words, a, b in zip(wanted, first, first[1:]):
+            for k, code in enumerate(codes[a:b].tolist()):
+                assert seen.setdefault(code, tuple(words[k : k + 3])) == tuple(words[k : k + 3])
+    assert len(set(seen.values())) == len(seen) == n
+    nothing = arrays.texts(pa.array([None, " "], pa.string()))
+    empty, none = arrays.coded_shingles([(nothing, arrays.words(nothing, hashed=False))] * 2, 3)
+    assert none == 0 and [len(codes) for codes, _ in empty] == [0, 0]
