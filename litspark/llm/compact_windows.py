@@ -222,6 +222,18 @@ class _Key:
         seed = np.where(high > 0, at - self.reach + np.stack([low, high]), 0)
         self.out.append(np.stack([rows[1, i], rows[1, j], at - back, at + ahead + 1, at - rows[2, j], *seed]))
 
+    def agreed(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Places on which windows ``i`` and ``j`` agree, of those shown."""
+        rows, offset = self.rows, np.arange(self.around.shape[1]) - self.reach
+        back, ahead = np.minimum(rows[3, i], rows[3, j]), np.minimum(rows[4, i], rows[4, j])
+        return (offset >= -back[:, None]) & (offset <= ahead[:, None])
+
+    def hidden(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether windows ``i`` and ``j`` agree on places that are not shown."""
+        rows = self.rows
+        most = np.maximum(np.minimum(rows[3, i], rows[3, j]), np.minimum(rows[4, i], rows[4, j]))
+        return most > self.reach
+
     def _bits(self, i: np.ndarray, places: np.ndarray) -> np.ndarray:
         """A bit for each shingle at the given places of windows ``i``, in 1024 of them."""
         bits = np.zeros((len(i), 128), "u1")
@@ -315,21 +327,47 @@ class _Key:
             self.settle()
 
     def settle(self) -> None:
-        """Meets the pairs that wait: each window its sources in turn, all windows side by side."""
+        """Meets the pairs that wait: of each window first one source, then more and more of them at a time."""
         if not self.held:
             return
         i, j, hit, dense = (np.concatenate(x) for x in zip(*self.waiting))
         self.waiting, self.held = [], 0
+        most = 1
         while len(i):
             # What is known to repeat needs no second source.
             left = (dense & ~self.covered[i]).any(1)
             i, j, hit, dense = i[left], j[left], hit[left], dense[left]
-            if not len(i):
-                return
-            turn = np.append(True, i[1:] != i[:-1])
-            for at in np.array_split(np.flatnonzero(turn), 1 + int(turn.sum()) // 4096):
-                self.meet(i[at], j[at], hit[at])
-            i, j, hit, dense = i[~turn], j[~turn], hit[~turn], dense[~turn]
+            place = np.arange(len(i))
+            now = place - np.maximum.accumulate(np.where(np.append(True, i[1:] != i[:-1])[: len(i)], place, 0)) < most
+            rows = np.flatnonzero(now)
+            # No window is parted: what its sources tell is taken in turn.
+            cuts = np.searchsorted(i[rows], np.unique(i[rows])[:: max(1, 4096 // most)])
+            for at in np.split(rows, cuts[1:]):
+                self.take(i[at], j[at], dense[at], *self.meet(i[at], j[at], hit[at]))
+            i, j, hit, dense = i[~now], j[~now], hit[~now], dense[~now]
+            most *= 2
+
+    def take(self, i, j, dense, row, low, high, none) -> None:
+        """Tells the stretches ``low`` to ``high`` of pairs ``row``, each unless those before tell all that is dense."""
+        place = np.arange(dense.shape[1])
+        pair, of = np.unique(row, return_inverse=True)
+        inside = np.zeros((len(pair), dense.shape[1]), bool)
+        np.logical_or.at(inside, of, (place >= low[:, None]) & (place < high[:, None]))
+        taken, open_ = np.zeros(len(pair), bool), np.arange(len(pair))
+        while len(open_):
+            of_window = i[pair[open_]]
+            left = (dense[pair[open_]] & ~self.covered[of_window]).any(1)
+            open_, of_window = open_[left], of_window[left]
+            turn = np.append(True, of_window[1:] != of_window[:-1])[: len(open_)]
+            self.covered[of_window[turn]] |= inside[open_[turn]]
+            taken[open_[turn]] = True
+            open_ = open_[~turn]
+        told = taken[of]
+        self.tell(i[row[told]], j[row[told]], low[told], high[told])
+        # Where the windows agree on more than is shown, the texts tell.
+        none = none[(dense[none] & ~self.covered[i[none]]).any(1)]
+        none = none[self.hidden(i[none], j[none])]
+        self.tell(i[none], j[none], np.zeros(len(none), "i8"), np.zeros(len(none), "i8"))
 
     def nearest(self, i: np.ndarray, j: np.ndarray, hit: np.ndarray) -> np.ndarray:
         """Of each place of windows ``i`` the nearest one of ``j`` with the same two bytes; -1 without."""
@@ -345,35 +383,38 @@ class _Key:
             near[r[at], c[at]] = np.where(equal[np.arange(len(at)), best], best, -1)
         return near
 
-    def meet(self, i: np.ndarray, j: np.ndarray, hit: np.ndarray) -> None:
-        """Tells of each pair of different windows ``i`` whether a stretch is similar."""
+    def meet(self, i: np.ndarray, j: np.ndarray, hit: np.ndarray):
+        """Similar stretches of pairs of windows: pair, low and high of each; and the pairs that have none."""
         near = self.nearest(i, j, hit)
         low, high = dense_around(near >= 0, self.reach, self.least)
-        some = high > 0
+        some = np.flatnonzero(high > 0)
         i, j, near, low, high = i[some], j[some], near[some], low[some], high[some]
-        if not len(i):
-            return
         place = np.arange(near.shape[1])
         met = (near >= 0) & (place >= low[:, None]) & (place < high[:, None])
         low, high = met.argmax(1), near.shape[1] - met[:, ::-1].argmax(1)
         whole = high - low >= self.least
         whole[whole] = similar_rows(self.around[i[whole]], self.around[j[whole]], near[whole], met[whole], low[whole], high[whole])
-        inside = (place >= low[:, None]) & (place < high[:, None]) & whole[:, None]
-        self.tell(i[whole], j[whole], low[whole], high[whole])
+        found = [(np.flatnonzero(whole), low[whole], high[whole])]
         # Otherwise what is the same word by word stands on its own.
         rest = np.flatnonzero(~whole)
         goes_on = met[rest, 1:] & met[rest, :-1] & (near[rest, 1:] == near[rest, :-1] + 1)
         step = np.cumsum(goes_on, axis=1)
         length = step - np.maximum.accumulate(np.where(goes_on, 0, step), axis=1) + 1
-        long_ = length.max(1) >= self.least
-        for k in rest[long_].tolist():
+        equal = length.max(1, initial=0) >= self.least
+        for k in rest[equal].tolist():
             a = int(low[k])
             for x, y in equal_runs(near[k, a : high[k]], self.least):
-                inside[k, a + x : a + y] = True
-                self.tell(*(np.array([v]) for v in (i[k], j[k], a + x, a + y)))
-        none = rest[~long_]
-        self.tell(i[none], j[none], np.zeros(len(none), "i8"), np.zeros(len(none), "i8"))
-        self.covered[i] |= inside
+                found.append((np.array([k]), np.array([a + x]), np.array([a + y])))
+        # A stretch within the widest may be similar where that is not.
+        rest = rest[~equal]
+        row, x, y = dense_run_rows(self.agreed(i[rest], j[rest]) & (near[rest] >= 0), 2 * SIMILAR / (1 + SIMILAR), self.least)
+        k = rest[row]
+        met = (near[k] >= 0) & (place >= x[:, None]) & (place < y[:, None])
+        ok = similar_rows(self.around[i[k]], self.around[j[k]], near[k], met, x, y)
+        found.append((k[ok], x[ok], y[ok]))
+        row, low, high = (np.concatenate(f) for f in zip(*found))
+        order = np.lexsort((low, row))
+        return some[row[order]], low[order], high[order], some[np.setdiff1d(rest, k[ok])]
 
 
 def _n_distinct(values: np.ndarray) -> np.ndarray:
@@ -506,6 +547,30 @@ def dense_runs(hit: np.ndarray, share: float, least: int) -> list[tuple[int, int
     return [(a, b) for a, b, _ in out if b - a >= least]
 
 
+def dense_run_rows(hit: np.ndarray, share: float, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``dense_runs`` of each row of hits: row, low and high of each run."""
+    n, width = hit.shape
+    low, high, hits, begin = np.full(n, -1), np.zeros(n, "i8"), np.zeros(n, "i8"), np.zeros(n, "i8")
+    step = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype("i1"), axis=1)
+    out = []
+    for at in range(width + 1):
+        r = np.flatnonzero(step[:, at] < 0)
+        if len(r):
+            more = at - begin[r]
+            joins = (low[r] >= 0) & (hits[r] + more >= share * (at - low[r]))
+            fresh = r[~joins]
+            ended = fresh[high[fresh] - low[fresh] >= least]
+            out.append((ended, low[ended], high[ended]))
+            low[fresh], hits[fresh] = begin[fresh], 0
+            hits[r] += more
+            high[r] = at
+        begin[step[:, at] > 0] = at
+    ended = np.flatnonzero(high - low >= least)
+    out.append((ended, low[ended], high[ended]))
+    row, low, high = (np.concatenate(x) for x in zip(*out))
+    return row, low, high
+
+
 def equal_runs(near: np.ndarray, least: int) -> list[tuple[int, int]]:
     """Runs of hits that follow each other in the other text too."""
     go_on = np.zeros(len(near) + 1, bool)
@@ -603,8 +668,83 @@ def verified(at: _Places, text: int, source: int, places: np.ndarray, least: int
     return out
 
 
+def merged(group: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals of each group with overlapping and touching ones joined; ``group`` counts up from 0."""
+    order = np.lexsort((low, group))
+    wide = int(high.max(initial=0)) + 2
+    low, high = (group * wide + low)[order], (group * wide + high)[order]
+    reach = np.maximum.accumulate(high)
+    fresh = np.flatnonzero(np.append(True, low[1:] > reach[:-1])[: len(low)])
+    last = np.append(fresh[1:], len(low))[: len(fresh)] - 1
+    of = low[fresh] // wide
+    return of, low[fresh] - of * wide, reach[last] - of * wide
+
+
+def _sources(met: DataFrame) -> DataFrame:
+    """One row for each source that repeats a part of a text, with the places of that.
+
+    ``first`` are some that tell all that any of the text's sources tells, those that tell most before
+    others. A source of which no window has told a similar stretch is left out: of what is similar
+    around such a window, others have told every part that is so by itself.
+    """
+    fields = JOINED[2:]
+    kind = pa.list_(pa.struct([(c, pa.int32()) for c in fields]))
+    schema = pa.schema([("id", pa.int64()), ("source", pa.int64()), ("places", kind), ("first", pa.bool_())])
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            listed = batch.column(1)
+            owner = np.repeat(np.arange(batch.num_rows), listed.value_lengths().to_numpy())
+            source, *places = (x.to_numpy(zero_copy_only=False) for x in listed.flatten().flatten())
+            order = np.lexsort((source, owner))
+            owner, source, places = owner[order], source[order], [x[order] for x in places]
+            fresh = np.append(True, (owner[1:] != owner[:-1]) | (source[1:] != source[:-1]))
+            pair, begin = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+            low, high = (x.astype("i8") for x in places[3:])
+            some = high > 0
+            of, a, b = merged(pair[some], low[some], high[some])
+            told = np.bincount(of, b - a, len(begin)).astype("i8")
+            first = np.zeros(len(begin), bool)
+            text = owner[begin]
+            at = np.searchsorted(of, np.arange(len(begin) + 1))
+            left, of_text = None, -1
+            for k in np.lexsort((source[begin], -told, text)).tolist():
+                if text[k] != of_text:
+                    of_text = text[k]
+                    ends = b[at[np.searchsorted(text, of_text)] : at[np.searchsorted(text, of_text, "right")]]
+                    left = np.ones(int(ends.max(initial=0)), bool)
+                for x, y in zip(a[at[k] : at[k + 1]].tolist(), b[at[k] : at[k + 1]].tolist()):
+                    if left[x:y].any():
+                        first[k] = True
+                        left[x:y] = False
+            keep = told > 0
+            taken = keep[pair]
+            counts = np.diff(np.append(begin, len(pair)))[keep]
+            struct = pa.StructArray.from_arrays([pa.array(x[taken], pa.int32()) for x in places], fields=list(kind.value_type))
+            offsets = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
+            columns = [batch.column(0).take(pa.array(text[keep])), pa.array(source[begin][keep])]
+            columns += [pa.ListArray.from_arrays(offsets, struct).cast(kind), pa.array(first[keep])]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    place = F.struct("source", *(F.col(c).cast("int").alias(c) for c in fields))
+    listed = met.groupBy("id").agg(F.collect_list(place).alias("places"))
+    struct = ", ".join(f"{c}: int" for c in fields)
+    return listed.mapInArrow(run, f"id bigint, source bigint, places array<struct<{struct}>>, first boolean")
+
+
+def _untold(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs that tell of places which no verified stretch of the text has."""
+    spans = F.array_sort(F.collect_set(F.struct(F.col("low").alias("start"), F.col("high").alias("end"))))
+    done = found.groupBy("id").agg(union(spans).alias("done"))
+    told = lambda p: F.exists("done", lambda d: (d["start"] <= p["seed_low"]) & (p["seed_high"] <= d["end"]))
+    open_ = F.exists("places", lambda p: (p["seed_high"] > 0) & ~F.coalesce(told(p), F.lit(False)))
+    return pairs.join(done, "id", "left").where(open_).drop("done")
+
+
 def _verify(pairs: DataFrame, rows: DataFrame, size: int, least: int) -> DataFrame:
-    """Byte spans of verified repeats, with the source of each."""
+    """Byte spans of verified repeats, with the source and the places (shingles) of each."""
 
     def run(batches):
         for piece in pieces(batches, "text", 1 << 20):
@@ -623,15 +763,15 @@ def _verify(pairs: DataFrame, rows: DataFrame, size: int, least: int) -> DataFra
                 for a, b in verified(index, d, e, places[:, low:high], least, bool(ids[k] == sources[k])):
                     at = int(w.first[d])
                     start, end = int(w.start[at + a]), int(w.end[at + b + size - 2])
-                    out.append((int(ids[k]), start - int(t.start[d]), end - int(t.start[d]), int(sources[k])))
-            columns = list(zip(*out)) or [()] * 4
+                    out.append((int(ids[k]), start - int(t.start[d]), end - int(t.start[d]), int(sources[k]), a, b))
+            columns = list(zip(*out)) or [()] * 6
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in columns], names=["id", "start", "end", "source"]
+                [pa.array(c, pa.int64()) for c in columns], names=["id", "start", "end", "source", "low", "high"]
             )
 
     with_source = pairs.join(rows.select(F.col("id").alias("source"), F.col("text").alias("other")), "source")
     both = with_source.join(rows.select("id", "text"), "id").select("id", "source", "text", "other", "places")
-    return both.mapInArrow(run, "id bigint, start bigint, end bigint, source bigint")
+    return both.mapInArrow(run, "id bigint, start bigint, end bigint, source bigint, low bigint, high bigint")
 
 
 def repeats(
@@ -646,8 +786,10 @@ def repeats(
     rows = documents.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
     rows = rows.where("id IS NOT NULL")
     least = n_words - size + 1
-    long_ = F.regexp_count("text", F.lit(r"\S+")) >= n_words
+    # No more of a text is read than the words it needs.
+    long_ = F.col("text").rlike(rf"^\s*+(?:\S++\s++){{{n_words - 1}}}\S")
     digests = rows.where(long_).select("id", F.sha2("text", 256).alias("d"), F.octet_length("text").alias("end"))
+    digests = materialize(digests)
     first = digests.groupBy("d").agg(F.min("id").alias("source"), F.count(F.lit(1)).alias("times"))
     first = first.where("times > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = digests.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
@@ -661,12 +803,14 @@ def repeats(
     # A copy has been told already and needs no search. Texts are read again for the windows that meet.
     around = surroundings(materialize(shared), rows, size, least - 1 + REACH)
     met = join_windows(around.repartition("key").sortWithinPartitions("key", "id", "at"), least)
-    place = F.struct(*(F.col(c).cast("int").alias(c) for c in JOINED[2:]))
-    pairs = materialize(met.groupBy("id", "source").agg(F.collect_list(place).alias("places")))
+    pairs = materialize(_sources(met))
     wanted = pairs.select("id").unionAll(pairs.select(F.col("source").alias("id"))).distinct()
     # The ids grow with the data: they are never broadcast, so the join is the same at every size.
     chosen = materialize(rows.join(wanted.hint("merge"), "id", "left_semi"))
-    spans = _verify(pairs, chosen, size, least).unionAll(copies)
+    found = materialize(_verify(pairs.where("first").drop("first"), chosen, size, least))
+    rest = materialize(_untold(pairs.where("not first").drop("first"), found))
+    found = found.unionAll(_verify(rest, chosen, size, least)).drop("low", "high")
+    spans = found.unionAll(copies)
     return spans.groupBy("id").agg(
         union(F.array_sort(F.collect_set(F.struct("start", "end")))).alias("spans"),
         F.array_sort(F.collect_set("source")).alias("sources"),

@@ -211,3 +211,43 @@ def test_known_repeats_are_not_looked_at(monkeypatch):
     batch = _family(1500)
     _joined(batch, 1500)
     assert sum(seen) < 1500 * 60  # 720,000 pairs are similar
+
+
+def test_dense_runs_side_by_side():
+    rng = np.random.default_rng(1)
+    hit = rng.random((600, 115)) < rng.choice([0.8, 0.85, 0.9, 0.95, 1, 0], (600, 1))
+    found = sorted(zip(*(x.tolist() for x in c.dense_run_rows(hit, 8 / 9, 20))))
+    assert found == [(r, *run) for r in range(600) for run in c.dense_runs(hit[r], 8 / 9, 20)]
+
+
+def test_sources_that_tell_nothing_are_met_together(monkeypatch):
+    """Windows that share one shingle over and over but are not similar: few calls, not one for each source."""
+    rng = np.random.default_rng(8)
+    n, width = 400, 115
+    around = rng.integers(1, 1 << 16, (n, width)).astype("u2")
+    around[:, 32:82] = 7
+    for row in around:
+        row[rng.choice(np.arange(34, 80), 5, replace=False)] = rng.integers(1, 1 << 16, 5)
+    packed = pa.array([row.tobytes() for row in around], pa.binary())
+    columns = [np.full(n, 8), np.arange(n), np.full(n, 100), np.full(n, 57), np.full(n, 57)]
+    batch = pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns), packed], names=list("abcdef"))
+    calls, meet = [], c._Key.meet
+    monkeypatch.setattr(c._Key, "meet", lambda self, i, *more: (calls.append(len(i)), meet(self, i, *more))[1])
+    told = _joined(batch, n)
+    assert sum(calls) > 10000 and len(calls) < 100
+    assert not told
+
+
+def test_family_of_near_copies_is_verified_with_few_sources(documents, monkeypatch):
+    rng = random.Random(10)
+    base, rows = [f"w{rng.randrange(10**6)}" for _ in range(400)], []
+    for i in range(80):
+        own = list(base)
+        for at in rng.sample(range(400), 4 if i else 0):
+            own[at] = f"w{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    verified, verify = [], c._verify
+    monkeypatch.setattr(c, "_verify", lambda pairs, *more: (verified.append(pairs.count()), verify(pairs, *more))[1])
+    found = _found(documents, rows)
+    assert not found[0] and all(sum(map(len, found[i])) > 200 for i in range(1, 80))
+    assert sum(verified) < 80 * 4
