@@ -172,8 +172,9 @@ def dense_around(hit: np.ndarray, reach: int, least: int) -> np.ndarray:
 
     Of its ``least`` places or more eight in nine are hits, as in any stretch of similarity 0.8.
     """
-    sums = np.zeros((len(hit), hit.shape[1] + 1), "i4")
-    np.cumsum(np.where(hit, 1, -8), axis=1, out=sums[:, 1:])
+    kind = np.dtype("i2" if hit.shape[1] < 4096 else "i4")
+    sums = np.zeros((len(hit), hit.shape[1] + 1), kind)
+    np.cumsum(hit * kind.type(9) - kind.type(8), axis=1, dtype=kind, out=sums[:, 1:])
     best = np.maximum.accumulate(sums[:, ::-1], axis=1)[:, ::-1]
     n = reach + 1
     # A stretch from place a ends behind the middle, and not before a + least.
@@ -314,6 +315,8 @@ class _Key:
         r, c = np.nonzero(self.inside[pivots])
         has[r, self.small[pivots][r, c]] = True
         hit = has[of[:, None], self.small[i]] & self.inside[i]
+        enough = 9 * np.count_nonzero(hit, axis=1) >= 8 * self.least
+        i, j, hit = i[enough], j[enough], hit[enough]
         low, high = dense_around(hit, self.reach, self.least)
         found = np.flatnonzero(high)
         if not len(found):
@@ -681,15 +684,25 @@ def merged(group: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.nda
 
 
 def _sources(met: DataFrame) -> DataFrame:
-    """One row for each source that repeats a part of a text, with the places of that.
+    """One row for each text that repeats something: its sources, each with the places told of it.
 
-    ``first`` are some that tell all that any of the text's sources tells, those that tell most before
-    others. A source of which no window has told a similar stretch is left out: of what is similar
-    around such a window, others have told every part that is so by itself.
+    ``first`` tell all that any of the text's sources tells, those that tell most before others; ``rest``
+    are the others. A source of which no window has told a similar stretch is left out: of what is
+    similar around such a window, others have told every part that is so by itself.
     """
     fields = JOINED[2:]
     kind = pa.list_(pa.struct([(c, pa.int32()) for c in fields]))
-    schema = pa.schema([("id", pa.int64()), ("source", pa.int64()), ("places", kind), ("first", pa.bool_())])
+    sources = pa.list_(pa.struct([("source", pa.int64()), ("places", kind)]))
+    schema = pa.schema([("id", pa.int64()), ("first", sources), ("rest", sources)])
+
+    def nested(n, owner, source, places, counts):
+        """Sources of each of ``n`` texts, ``counts`` places of each."""
+        offsets = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
+        struct = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in places], fields=list(kind.value_type))
+        inner = pa.ListArray.from_arrays(offsets, struct).cast(kind)
+        struct = pa.StructArray.from_arrays([pa.array(source, pa.int64()), inner], fields=list(sources.value_type))
+        outer = pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32())
+        return pa.ListArray.from_arrays(outer, struct).cast(sources)
 
     def run(batches):
         for batch in batches:
@@ -719,28 +732,40 @@ def _sources(met: DataFrame) -> DataFrame:
                     if left[x:y].any():
                         first[k] = True
                         left[x:y] = False
-            keep = told > 0
-            taken = keep[pair]
-            counts = np.diff(np.append(begin, len(pair)))[keep]
-            struct = pa.StructArray.from_arrays([pa.array(x[taken], pa.int32()) for x in places], fields=list(kind.value_type))
-            offsets = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
-            columns = [batch.column(0).take(pa.array(text[keep])), pa.array(source[begin][keep])]
-            columns += [pa.ListArray.from_arrays(offsets, struct).cast(kind), pa.array(first[keep])]
+            counts = np.diff(np.append(begin, len(pair)))
+            columns = [batch.column(0)]
+            for keep in (first, (told > 0) & ~first):
+                taken = keep[pair]
+                columns.append(nested(batch.num_rows, text[keep], source[begin][keep], [x[taken] for x in places], counts[keep]))
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     place = F.struct("source", *(F.col(c).cast("int").alias(c) for c in fields))
     listed = met.groupBy("id").agg(F.collect_list(place).alias("places"))
     struct = ", ".join(f"{c}: int" for c in fields)
-    return listed.mapInArrow(run, f"id bigint, source bigint, places array<struct<{struct}>>, first boolean")
+    struct = f"array<struct<source: bigint, places: array<struct<{struct}>>>>"
+    return listed.mapInArrow(run, f"id bigint, first {struct}, rest {struct}")
 
 
-def _untold(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs that tell of places which no verified stretch of the text has."""
+def _named(listed: DataFrame) -> DataFrame:
+    """Ids of texts and sources, each about once a task: a family's sources are many times the same."""
+
+    def run(batches):
+        for batch in batches:
+            ids = pa.concat_arrays([batch.column(0), batch.column(1).flatten(), batch.column(2).flatten()]).unique()
+            yield pa.RecordBatch.from_arrays([ids], names=["id"])
+
+    return listed.select("id", "first.source", "rest.source").toDF("id", "first", "rest").mapInArrow(run, "id bigint")
+
+
+def _untold(listed: DataFrame, found: DataFrame) -> DataFrame:
+    """Of the other sources those that tell of places which no verified stretch of the text has."""
     spans = F.array_sort(F.collect_set(F.struct(F.col("low").alias("start"), F.col("high").alias("end"))))
     done = found.groupBy("id").agg(union(spans).alias("done"))
     told = lambda p: F.exists("done", lambda d: (d["start"] <= p["seed_low"]) & (p["seed_high"] <= d["end"]))
-    open_ = F.exists("places", lambda p: (p["seed_high"] > 0) & ~F.coalesce(told(p), F.lit(False)))
-    return pairs.join(done, "id", "left").where(open_).drop("done")
+    untold = lambda p: (p["seed_high"] > 0) & ~F.coalesce(told(p), F.lit(False))
+    left = F.filter("rest", lambda s: F.exists(s["places"], untold))
+    both = listed.where(F.size("rest") > 0).join(done.hint("merge"), "id", "left")
+    return both.select("id", F.inline(left))
 
 
 def _verify(pairs: DataFrame, rows: DataFrame, size: int, least: int) -> DataFrame:
@@ -769,8 +794,10 @@ def _verify(pairs: DataFrame, rows: DataFrame, size: int, least: int) -> DataFra
                 [pa.array(c, pa.int64()) for c in columns], names=["id", "start", "end", "source", "low", "high"]
             )
 
-    with_source = pairs.join(rows.select(F.col("id").alias("source"), F.col("text").alias("other")), "source")
-    both = with_source.join(rows.select("id", "text"), "id").select("id", "source", "text", "other", "places")
+    # Texts are never broadcast either.
+    source = rows.select(F.col("id").alias("source"), F.col("text").alias("other"))
+    with_source = pairs.join(source.hint("merge"), "source")
+    both = with_source.join(rows.select("id", "text").hint("merge"), "id").select("id", "source", "text", "other", "places")
     return both.mapInArrow(run, "id bigint, start bigint, end bigint, source bigint, low bigint, high bigint")
 
 
@@ -803,12 +830,13 @@ def repeats(
     # A copy has been told already and needs no search. Texts are read again for the windows that meet.
     around = surroundings(materialize(shared), rows, size, least - 1 + REACH)
     met = join_windows(around.repartition("key").sortWithinPartitions("key", "id", "at"), least)
-    pairs = materialize(_sources(met))
-    wanted = pairs.select("id").unionAll(pairs.select(F.col("source").alias("id"))).distinct()
+    listed = materialize(_sources(met))
+    pairs = listed.select("id", F.inline("first"))
+    wanted = _named(listed).distinct()
     # The ids grow with the data: they are never broadcast, so the join is the same at every size.
     chosen = materialize(rows.join(wanted.hint("merge"), "id", "left_semi"))
-    found = materialize(_verify(pairs.where("first").drop("first"), chosen, size, least))
-    rest = materialize(_untold(pairs.where("not first").drop("first"), found))
+    found = materialize(_verify(pairs, chosen, size, least))
+    rest = materialize(_untold(listed, found))
     found = found.unionAll(_verify(rest, chosen, size, least)).drop("low", "high")
     spans = found.unionAll(copies)
     return spans.groupBy("id").agg(

@@ -171,12 +171,13 @@ def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_compact_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Passages of 50 words or more that nearly repeat earlier ones, and where those stand."""
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    marked = compact_windows.mark(docs)
+    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes")
+    # Texts are counted before they are marked, so that none goes through the last join.
+    marked = compact_windows.mark(table(spark, folder, "documents").select("doc_id", "text", n_bytes))
     n_removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     return marked.select(
         "doc_id",
-        F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"),
+        "n_bytes",
         n_removed.alias("n_removed"),
         F.size("spans").cast("bigint").alias("n_spans"),
         F.transform("spans", lambda s: s["start"]).alias("starts"),
