@@ -43,6 +43,8 @@ SALTS = 16
 TOGETHER = 1 << 16  # pairs of windows that wait to be met side by side
 WIDE = 64  # earlier windows from which a window is compared with them block by block
 BLOCK = 1 << 17  # pairs of a block, and pairs that are looked at in turns
+PART, PART_MOST = 512, 8192  # earlier windows that a window meets at a time: the first, and at most
+ROWS = 1024  # windows of a frequent key that meet a part together
 _TIES = np.uint64((1 << 16) - 1)
 
 
@@ -188,16 +190,92 @@ def dense_around(hit: np.ndarray, reach: int, least: int) -> np.ndarray:
     return np.where(found, np.stack([low, high]), 0)
 
 
+def dense_extent(hit: np.ndarray, reach: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of hits first and end of all stretches of ``dense_around`` together; zeros without one.
+
+    Fewer hits have no stretch outside.
+    """
+    kind = np.dtype("i2" if hit.shape[1] < 4096 else "i4")
+    width, n = hit.shape[1], reach + 1
+    sums = np.zeros((len(hit), width + 1), kind)
+    np.cumsum(hit * kind.type(9) - kind.type(8), axis=1, dtype=kind, out=sums[:, 1:])
+    best = np.maximum.accumulate(sums[:, ::-1], axis=1)[:, ::-1]
+    ends = np.maximum(np.arange(n) + least, n)
+    ok = (best[:, np.minimum(ends, width)] >= sums[:, :n]) & (ends <= width)
+    low = ok.argmax(1)
+    found = ok[np.arange(len(hit)), low]
+    lowest = np.minimum.accumulate(sums[:, :n], axis=1)
+    ends = np.arange(max(n, least), width + 1)
+    ok = sums[:, ends] >= lowest[:, np.minimum(ends - least, reach)]
+    high = width - ok[:, ::-1].argmax(1) if len(ends) else low
+    return np.where(found, low, 0), np.where(found, high, 0)
+
+
+def place_before(codes: np.ndarray) -> np.ndarray:
+    """Of each place of each row the one before it with the same code; -1 without."""
+    order = np.argsort(codes, axis=1, kind="stable")
+    ranked = np.take_along_axis(codes, order, axis=1)
+    out = np.full(codes.shape, -1, "i2")
+    last = np.where(ranked[:, 1:] == ranked[:, :-1], order[:, :-1], -1)
+    np.put_along_axis(out, order[:, 1:], last.astype("i2"), axis=1)
+    return out
+
+
+def may_be_similar(before: np.ndarray, hit: np.ndarray, least: int) -> np.ndarray:
+    """Whether each row has a stretch that may be similar to another text which has its hits only.
+
+    Of its ``least`` places or more eight in nine are hits, and so are ``SIMILAR`` of its different codes:
+    the other text can have no more of them in common. ``before`` is the ``place_before`` of the codes.
+    """
+    n, width = hit.shape
+    sums = np.zeros((n, width + 1), "i2")
+    np.cumsum(hit * np.int16(9) - np.int16(8), axis=1, dtype="i2", out=sums[:, 1:])
+    best = np.maximum.accumulate(sums[:, ::-1], axis=1)[:, ::-1]
+    share = np.where(hit, np.int16(100 - 100 * SIMILAR), np.int16(-100 * SIMILAR))
+    begins = hit[:, : width - least + 1] & (best[:, least:] >= sums[:, : width - least + 1])
+    out = np.zeros(n, bool)
+    for low in range(width - least + 1):
+        k = np.flatnonzero(begins[:, low] & ~out)
+        if len(k):
+            # Each code counts once, where it comes first.
+            first = np.where(before[k, low:] < low, share[k, low:], np.int16(0))
+            enough = np.cumsum(first, axis=1, dtype="i2")[:, least - 1 :] >= 0
+            out[k] = (enough & (sums[k, low + least :] >= sums[k, low][:, None])).any(1)
+    return out
+
+
 JOINED = ("id", "source", "low", "high", "shift", "seed_low", "seed_high")
 
 
+class _Part:
+    """Some windows of a key, and which of them have a shingle (two bytes of it)."""
+
+    def __init__(self, first: int, around: np.ndarray, inside: np.ndarray):
+        self.first, self.n = first, len(around)
+        codes = np.sort(np.where(inside, around, np.int32(1 << 16)), axis=1)
+        fresh = codes < 1 << 16
+        fresh[:, 1:] &= codes[:, 1:] != codes[:, :-1]
+        window, place = np.nonzero(fresh)
+        codes = codes[window, place].astype("u2")
+        self.window = window[np.argsort(codes, kind="stable")].astype("u2")
+        self.count = np.bincount(codes, minlength=1 << 16).astype("i4")
+        self.start = np.cumsum(self.count) - self.count
+
+    def having(self, row: np.ndarray, code: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of ``n`` rows with some codes each the windows that have one of them: row and window, sorted."""
+        count = self.count[code]
+        met = np.zeros((n, self.n), bool)
+        met[np.repeat(row, count), self.window[ragged(self.start[code], count)]] = True
+        return np.nonzero(met)
+
+
 class _Key:
     """Pairs of the windows of a batch with all earlier windows of their keys."""
 
     def __init__(self, rows: np.ndarray, around: np.ndarray, least: int):
         self.rows, self.around, self.least = rows, around, least
         self.reach = around.shape[1] // 2
-        self.small = (around & np.uint16(4095)).astype("i8")
+        self.small = around & np.uint16(4095)
         self.inside = self._inside(rows)
         # 1024 bits of each window's shingles, and how many of its places share a bit.
         self.bits = self._bits(np.arange(len(around)), self.inside)
@@ -253,13 +331,17 @@ class _Key:
 
     def compare(self, i: np.ndarray, j: np.ndarray) -> None:
         """Windows ``i`` with earlier ones ``j``, sorted by ``i``."""
+        near = self.like(i, j)
+        self.turns(i[near], j[near])
+
+    def like(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether windows ``i`` and ``j`` have bits enough in common."""
         # Of the least stretch eight places in nine are hits; fewer bits in common leave none.
         shared = np.bitwise_count(self.bits[i] & self.bits[j]).sum(1, dtype="i8")
-        near = 9 * (shared + self.slack[i]) >= 8 * self.least
-        self.turns(i[near], j[near])
+        return 9 * (shared + self.slack[i]) >= 8 * self.least
 
-    def compare_all(self, i: np.ndarray, j: np.ndarray, n: int) -> None:
-        """``compare`` of windows ``i`` with all of ``j`` that stand before them; ``i`` is ``j`` from place ``n``.
+    def compare_all(self, i: np.ndarray, j: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of windows ``i`` and those of ``j`` that stand before them, ``before`` many, the pairs that may agree.
 
         Rows meet columns as a whole, so that no pair is looked up by its numbers.
         """
@@ -270,11 +352,107 @@ class _Key:
         for x, y in zip(a, b):
             shared += np.bitwise_count(x[:, None] & y)
         near = shared >= need.astype(shared.dtype)
-        near &= np.arange(len(j)) < n + np.arange(len(i))[:, None]
+        near &= np.arange(len(j)) < before[:, None]
         r, c = np.nonzero(near)
         i, j = i[r], j[c]
         fit = self.fit(i, j)
-        self.turns(i[fit], j[fit])
+        return i[fit], j[fit]
+
+    def frequent(self, members: np.ndarray, n: int) -> None:
+        """Windows of one key, from place ``n`` of its ``members`` on, with all that stand before them.
+
+        A window meets them part by part in their order. What the first have told of it leaves little that
+        a later one may add: of those to come it meets only the ones that share one of its ``probes``.
+        """
+        parts, size, at = [], PART, 0
+        while at < len(members):
+            own = members[at : at + size]
+            parts.append(_Part(at, self.around[own], self.inside[own]))
+            at += size
+            size = min(at, PART_MOST)
+        times = sum(part.count for part in parts)
+        for at in range(n, len(members), ROWS):
+            place = np.arange(at, min(at + ROWS, len(members)))
+            own = members[place]
+            codes, probes, covered = self.around[own], np.zeros(self.inside[own].shape, bool), np.full(len(own), -1)
+            for part in parts:
+                if part.first > place[-1]:
+                    break
+                there, before = members[part.first : part.first + part.n], place - part.first
+                if not part.first:
+                    every, some = np.arange(len(own)), np.zeros(0, "i8")
+                else:
+                    now = self.covered[own].sum(1)
+                    changed = np.flatnonzero(now != covered)
+                    probes[changed], covered = self.probes(own[changed], times), now
+                    met = (part.count[codes] * probes).sum(1)
+                    # Where the shingles are those of many windows, all pairs are cheaper.
+                    every, some = np.flatnonzero(4 * met >= part.n), np.flatnonzero((met > 0) & (4 * met < part.n))
+                found = [(np.zeros(0, "i8"), np.zeros(0, "i8"))]
+                step = max(1, BLOCK // part.n)
+                for x in range(0, len(every), step):
+                    k = every[x : x + step]
+                    found.append(self.compare_all(own[k], there, before[k]))
+                r, c = np.nonzero(probes[some])
+                r, c = part.having(r, codes[some[r], c], len(some))
+                earlier = c < before[some[r]]
+                i, j = own[some[r[earlier]]], there[c[earlier]]
+                for x in range(0, len(i), 1 << 14):
+                    a, b = i[x : x + (1 << 14)], j[x : x + (1 << 14)]
+                    ok = self.fit(a, b) & self.like(a, b)
+                    found.append((a[ok], b[ok]))
+                i, j = (np.concatenate(x) for x in zip(*found))
+                order = np.argsort(i, kind="stable")
+                self.turns(i[order], j[order])
+                self.look()
+
+    def probes(self, i: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Places of windows ``i`` of which a source must have one to tell anything new; the rarest that do.
+
+        A source without any of them has at most the other places, and those are not similar to anything
+        around the middle, or are told already.
+        """
+        left = self.inside[i] & ~self.covered[i]
+        n_times = times[self.around[i]]
+        level = np.ceil(np.log2(np.maximum(n_times, 1)) / 2).astype("i1")
+        out, todo = left.copy(), np.arange(len(i))
+        for most in range(-1, int(level.max(initial=0))):
+            rare = left[todo] & (level[todo] <= most)
+            enough = ~self._tells(i[todo], rare)
+            out[todo[enough]] = rare[enough]
+            todo = todo[~enough]
+        # Where nothing is told yet, the rarest of some neighbours may do.
+        fresh = np.flatnonzero(~self.covered[i].any(1) & out.any(1))
+        for side in (3, 6):
+            width, n = out.shape[1], -(-out.shape[1] // side)
+            padded = np.full((len(fresh), n * side), 1 << 31)
+            padded[:, :width] = np.where(out[fresh], n_times[fresh], 1 << 31)
+            rarest = padded.reshape(len(fresh), n, side).argmin(2)
+            few = (np.arange(side) == rarest[:, :, None]).reshape(len(fresh), n * side)[:, :width] & out[fresh]
+            enough = ~self._tells(i[fresh], few)
+            out[fresh[enough]] = few[enough]
+            fresh = fresh[enough]
+        return out
+
+    def _tells(self, i: np.ndarray, without: np.ndarray) -> np.ndarray:
+        """Whether a source that has all places of windows ``i`` but those may tell anything new."""
+        hit = self.inside[i] & ~without
+        low, high = dense_extent(hit, self.reach, self.least)
+        place = np.arange(hit.shape[1])
+        tells = (hit & ~self.covered[i] & (place >= low[:, None]) & (place < high[:, None])).any(1)
+        some = np.flatnonzero(tells)
+        tells[some] = self.may_be_similar(i[some], hit[some])
+        return tells
+
+    def may_be_similar(self, i: np.ndarray, hit: np.ndarray) -> np.ndarray:
+        """``may_be_similar`` of windows ``i`` and their hits."""
+        windows, of = np.unique(i, return_inverse=True)
+        before = place_before(self.around[windows])
+        out = np.zeros(len(i), bool)
+        for at in range(0, len(i), 1 << 11):
+            part = slice(at, at + (1 << 11))
+            out[part] = may_be_similar(before[of[part]], hit[part], self.least)
+        return out
 
     def turns(self, i: np.ndarray, j: np.ndarray) -> None:
         """Pairs that may agree, all those of a window at once, sorted by ``i`` and ``j``."""
@@ -317,14 +495,24 @@ class _Key:
         hit = has[of[:, None], self.small[i]] & self.inside[i]
         enough = 9 * np.count_nonzero(hit, axis=1) >= 8 * self.least
         i, j, hit = i[enough], j[enough], hit[enough]
-        low, high = dense_around(hit, self.reach, self.least)
+        low, high = dense_extent(hit, self.reach, self.least)
         found = np.flatnonzero(high)
+        i, j, hit = i[found], j[found], hit[found]
+        place = np.arange(hit.shape[1])
+        dense = hit & (place >= low[found, None]) & (place < high[found, None])
+        left = dense & ~self.covered[i]
+        n_left = np.count_nonzero(left, axis=1)
+        # Of few places that seem new both bytes are compared: most of these are there by chance.
+        r, c = np.nonzero(left & (n_left <= 8)[:, None])
+        real = np.zeros(len(r), bool)
+        for at in range(0, len(r), 1 << 14):
+            x, y = r[at : at + (1 << 14)], c[at : at + (1 << 14)]
+            real[at : at + len(x)] = ((self.around[j[x]] == self.around[i[x], y][:, None]) & self.inside[j[x]]).any(1)
+        hit[r[~real], c[~real]] = dense[r[~real], c[~real]] = False
+        found = np.flatnonzero((n_left > 8) | (np.bincount(r[real], minlength=len(i)) > 0))
         if not len(found):
             return
-        place = np.arange(hit.shape[1])
-        hit = hit[found]
-        within = (place >= low[found, None]) & (place < high[found, None])
-        self.waiting.append((i[found], j[found], hit, hit & within))
+        self.waiting.append((i[found], j[found], hit[found], dense[found]))
         self.held += len(found)
         if self.held >= TOGETHER:
             self.settle()
@@ -343,17 +531,21 @@ class _Key:
             place = np.arange(len(i))
             now = place - np.maximum.accumulate(np.where(np.append(True, i[1:] != i[:-1])[: len(i)], place, 0)) < most
             rows = np.flatnonzero(now)
+            if most > 1:
+                # Many sources of a window: most share one word said over and over, which is not similar.
+                rows = rows[self.may_be_similar(i[rows], hit[rows])]
             # No window is parted: what its sources tell is taken in turn.
             cuts = np.searchsorted(i[rows], np.unique(i[rows])[:: max(1, 4096 // most)])
-            for at in np.split(rows, cuts[1:]):
-                self.take(i[at], j[at], dense[at], *self.meet(i[at], j[at], hit[at]))
+            for at in np.split(rows, cuts[1:]) if len(rows) else ():
+                self.take(i[at], j[at], *self.meet(i[at], j[at], hit[at]))
             i, j, hit, dense = i[~now], j[~now], hit[~now], dense[~now]
             most *= 2
 
     def take(self, i, j, dense, row, low, high, none) -> None:
         """Tells the stretches ``low`` to ``high`` of pairs ``row``, each unless those before tell all that is dense."""
         place = np.arange(dense.shape[1])
-        pair, of = np.unique(row, return_inverse=True)
+        pair, of = np.unique(np.concatenate([row, none]), return_inverse=True)
+        of, of_none = of[: len(row)], of[len(row) :]
         inside = np.zeros((len(pair), dense.shape[1]), bool)
         np.logical_or.at(inside, of, (place >= low[:, None]) & (place < high[:, None]))
         taken, open_ = np.zeros(len(pair), bool), np.arange(len(pair))
@@ -367,9 +559,7 @@ class _Key:
             open_ = open_[~turn]
         told = taken[of]
         self.tell(i[row[told]], j[row[told]], low[told], high[told])
-        # Where the windows agree on more than is shown, the texts tell.
-        none = none[(dense[none] & ~self.covered[i[none]]).any(1)]
-        none = none[self.hidden(i[none], j[none])]
+        none = none[taken[of_none]]
         self.tell(i[none], j[none], np.zeros(len(none), "i8"), np.zeros(len(none), "i8"))
 
     def nearest(self, i: np.ndarray, j: np.ndarray, hit: np.ndarray) -> np.ndarray:
@@ -387,13 +577,17 @@ class _Key:
         return near
 
     def meet(self, i: np.ndarray, j: np.ndarray, hit: np.ndarray):
-        """Similar stretches of pairs of windows: pair, low and high of each; and the pairs that have none."""
+        """Similar stretches of pairs of windows that hit what none has told yet.
+
+        Given are the hits of the widest stretch of each pair; pair, low and high of each similar stretch;
+        and the pairs that have none where the windows agree on more than is shown: the texts tell.
+        """
         near = self.nearest(i, j, hit)
         low, high = dense_around(near >= 0, self.reach, self.least)
-        some = np.flatnonzero(high > 0)
-        i, j, near, low, high = i[some], j[some], near[some], low[some], high[some]
         place = np.arange(near.shape[1])
-        met = (near >= 0) & (place >= low[:, None]) & (place < high[:, None])
+        dense = (near >= 0) & (place >= low[:, None]) & (place < high[:, None])
+        some = np.flatnonzero((dense & ~self.covered[i]).any(1))
+        i, j, near, low, high, met = i[some], j[some], near[some], low[some], high[some], dense[some]
         low, high = met.argmax(1), near.shape[1] - met[:, ::-1].argmax(1)
         whole = high - low >= self.least
         whole[whole] = similar_rows(self.around[i[whole]], self.around[j[whole]], near[whole], met[whole], low[whole], high[whole])
@@ -417,7 +611,11 @@ class _Key:
         found.append((k[ok], x[ok], y[ok]))
         row, low, high = (np.concatenate(f) for f in zip(*found))
         order = np.lexsort((low, row))
-        return some[row[order]], low[order], high[order], some[np.setdiff1d(rest, k[ok])]
+        # Without codes enough in common there is nothing that the texts could tell.
+        none = np.setdiff1d(rest, k[ok])
+        none = none[self.hidden(i[none], j[none])]
+        none = none[self.may_be_similar(i[none], near[none] >= 0)]
+        return dense, some[row[order]], low[order], high[order], some[none]
 
 
 def _n_distinct(values: np.ndarray) -> np.ndarray:
@@ -473,7 +671,10 @@ def join_windows(found: DataFrame, least: int) -> DataFrame:
             reach = pairs.reach
             # The numbers beside a 16-bit value tell its place, and those of a window its bounds.
             weights = mix(np.arange(1, around.shape[1] + 1, dtype="u8"))
-            content = (mix(around + (weights[None] << np.uint64(16))) * pairs.inside).sum(1, dtype="u8")
+            content = np.zeros(n, "u8")
+            for at in range(0, n, 1 << 11):
+                part = slice(at, at + (1 << 11))
+                content[part] = (mix(around[part] + (weights[None] << np.uint64(16))) * pairs.inside[part]).sum(1, dtype="u8")
             content = mix(content + np.minimum(rows[3], reach).astype("u8") * np.uint64(4099) + np.minimum(rows[4], reach).astype("u8"))
             order = np.lexsort((np.arange(n), content, rows[0]))
             new = np.ones(n, bool)
@@ -500,12 +701,9 @@ def join_windows(found: DataFrame, least: int) -> DataFrame:
             while at < len(left):
                 next_wide = int(wide[np.searchsorted(wide, at)])
                 if next_wide == at:
-                    # Some windows of a key with all earlier ones, as a block.
-                    first = int(start[at])
-                    to = at + max(1, BLOCK // (at - first))
-                    to = min(to, int(np.searchsorted(start, first, "right")))
-                    pairs.compare_all(left[at:to], left[first:to], at - first)
-                    at = to
+                    # The other windows of a key with all earlier ones.
+                    first, at = int(start[at]), int(np.searchsorted(start, start[at], "right"))
+                    pairs.frequent(left[first:at], next_wide - first)
                     continue
                 # Some windows with all earlier ones, all told a step.
                 done = int(ends[at - 1]) if at else 0

@@ -251,3 +251,54 @@ def test_family_of_near_copies_is_verified_with_few_sources(documents, monkeypat
     found = _found(documents, rows)
     assert not found[0] and all(sum(map(len, found[i])) > 200 for i in range(1, 80))
     assert sum(verified) < 80 * 4
+
+
+def _runs(n, words=60, width=115):
+    """Windows of one key in texts that say a word many times and then another; two places where words meet have a shingle."""
+    rng = np.random.default_rng(11)
+    around = np.zeros((n, width), "i8")
+    for row in around:
+        before, after = rng.integers(1, words, 2)
+        a, b = 58 - rng.integers(10, 40), 58 + rng.integers(10, 40)
+        row[:a], row[a:b], row[b:] = before, words, after
+        for at, x, y in ((a, before, words), (b, words, after)):
+            row[at - 2 : at + 2] = 1000 + 4 * (x * 100 + y) + np.arange(4)
+    packed = pa.array([row.tobytes() for row in around.astype("u2")], pa.binary())
+    columns = [np.full(n, 8), np.arange(n), np.full(n, 100), np.full(n, 70), np.full(n, 70)]
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns), packed], names=list("abcdef"))
+
+
+@pytest.mark.parametrize("batch", [_family(700), _runs(700)])
+def test_parts_of_a_frequent_key_tell_the_same(monkeypatch, batch):
+    monkeypatch.setattr(c, "PART", 64)
+    monkeypatch.setattr(c, "ROWS", 100)
+    parts = [_joined(batch, 700), _joined(batch, 190)]
+    monkeypatch.setattr(c, "WIDE", 1 << 40)
+    one_by_one = _joined(batch, 700)
+    assert len(one_by_one) > 300 and parts == [one_by_one] * 2
+
+
+def test_frequent_word_is_not_met_by_all_pairs(monkeypatch):
+    """Windows around one word said over and over, beside others: most share that word only."""
+    pairs, turns = [], c._Key.turns
+    monkeypatch.setattr(c._Key, "turns", lambda self, i, j: (pairs.append(len(i)), turns(self, i, j))[1])
+    monkeypatch.setattr(c, "PART", 64, raising=False)
+    n = 2000
+    told = _joined(_runs(n), n)
+    assert told and sum(pairs) < n * n / 2 / 4
+
+
+def test_stretches_that_may_be_similar():
+    rng, least = np.random.default_rng(12), 10
+    codes = rng.integers(0, 12, (300, 24))
+    codes[::2] = np.sort(codes[::2], axis=1)
+    hit = rng.random((300, 24)) < rng.choice([0.85, 0.95, 1], (300, 1))
+    want = []
+    for row, h in zip(codes, hit):
+        parts = [(a, b) for a in range(24) for b in range(a + least, 25) if h[a] and 9 * h[a:b].sum() >= 8 * (b - a)]
+        want.append(any(len({*row[a:b][h[a:b]]}) >= c.SIMILAR * len({*row[a:b]}) for a, b in parts))
+    # A code is hit at all its places or at none.
+    same = [len({*row[h]} & {*row[~h]}) == 0 for row, h in zip(codes, hit)]
+    found = c.may_be_similar(c.place_before(codes), hit, least)
+    assert 20 < sum(same) and 0 < sum(want) < 300
+    assert all(f == w for f, w, s in zip(found.tolist(), want, same) if s)
