@@ -382,6 +382,7 @@ class _Key:
                 if not part.first:
                     every, some = np.arange(len(own)), np.zeros(0, "i8")
                 else:
+                    self.look()
                     now = self.covered[own].sum(1)
                     changed = np.flatnonzero(now != covered)
                     probes[changed], covered = self.probes(own[changed], times), now
@@ -404,7 +405,6 @@ class _Key:
                 i, j = (np.concatenate(x) for x in zip(*found))
                 order = np.argsort(i, kind="stable")
                 self.turns(i[order], j[order])
-                self.look()
 
     def probes(self, i: np.ndarray, times: np.ndarray) -> np.ndarray:
         """Places of windows ``i`` of which a source must have one to tell anything new; the rarest that do.
