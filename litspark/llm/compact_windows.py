@@ -531,12 +531,9 @@ class _Key:
             place = np.arange(len(i))
             now = place - np.maximum.accumulate(np.where(np.append(True, i[1:] != i[:-1])[: len(i)], place, 0)) < most
             rows = np.flatnonzero(now)
-            if most > 1:
-                # Many sources of a window: most share one word said over and over, which is not similar.
-                rows = rows[self.may_be_similar(i[rows], hit[rows])]
             # No window is parted: what its sources tell is taken in turn.
             cuts = np.searchsorted(i[rows], np.unique(i[rows])[:: max(1, 4096 // most)])
-            for at in np.split(rows, cuts[1:]) if len(rows) else ():
+            for at in np.split(rows, cuts[1:]):
                 self.take(i[at], j[at], *self.meet(i[at], j[at], hit[at]))
             i, j, hit, dense = i[~now], j[~now], hit[~now], dense[~now]
             most *= 2
@@ -582,12 +579,16 @@ class _Key:
         Given are the hits of the widest stretch of each pair; pair, low and high of each similar stretch;
         and the pairs that have none where the windows agree on more than is shown: the texts tell.
         """
-        near = self.nearest(i, j, hit)
+        given, place, dense = np.arange(len(i)), np.arange(hit.shape[1]), np.zeros(hit.shape, bool)
+        if (i[1:] == i[:-1]).any():
+            # Of many sources of a window most share one word said over and over, which is not similar.
+            given = np.flatnonzero(self.may_be_similar(i, hit))
+        near = self.nearest(i[given], j[given], hit[given])
         low, high = dense_around(near >= 0, self.reach, self.least)
-        place = np.arange(near.shape[1])
-        dense = (near >= 0) & (place >= low[:, None]) & (place < high[:, None])
-        some = np.flatnonzero((dense & ~self.covered[i]).any(1))
-        i, j, near, low, high, met = i[some], j[some], near[some], low[some], high[some], dense[some]
+        dense[given] = (near >= 0) & (place >= low[:, None]) & (place < high[:, None])
+        found = np.flatnonzero((dense[given] & ~self.covered[i[given]]).any(1))
+        some, near, low, high = given[found], near[found], low[found], high[found]
+        i, j, met = i[some], j[some], dense[some]
         low, high = met.argmax(1), near.shape[1] - met[:, ::-1].argmax(1)
         whole = high - low >= self.least
         whole[whole] = similar_rows(self.around[i[whole]], self.around[j[whole]], near[whole], met[whole], low[whole], high[whole])
